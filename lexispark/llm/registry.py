@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from lexispark.llm.contamination import op10_benchmark_decontamination
+from lexispark.llm.mixing import OP5_SQL, op5_mix_sources
 
-OPERATORS = (op10_benchmark_decontamination,)
+OPERATORS = (op5_mix_sources, op10_benchmark_decontamination)
 
 
 def queries() -> dict:
@@ -12,4 +13,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_mix_sources": OP5_SQL}

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from lexispark.llm.contamination import op10_benchmark_decontamination
 from lexispark.llm.mixing import OP5_SQL, op5_mix_sources
+from lexispark.llm.parity_join import op1_ngram_jaccard_join
 from lexispark.llm.sharding import op8_balanced_shards
 
-OPERATORS = (op5_mix_sources, op8_balanced_shards, op10_benchmark_decontamination)
+OPERATORS = (op1_ngram_jaccard_join, op5_mix_sources, op8_balanced_shards, op10_benchmark_decontamination)
 
 
 def queries() -> dict:

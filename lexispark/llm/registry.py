@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from lexispark.llm.contamination import op10_benchmark_decontamination
+from lexispark.llm.langid import op3_language_id
 from lexispark.llm.lm import op2_lm_scoring
 from lexispark.llm.mixing import OP5_SQL, op5_mix_sources
 from lexispark.llm.parity_join import op1_ngram_jaccard_join
 from lexispark.llm.sharding import op8_balanced_shards
 
-OPERATORS = (op1_ngram_jaccard_join, op2_lm_scoring, op5_mix_sources, op8_balanced_shards, op10_benchmark_decontamination)
+OPERATORS = (op1_ngram_jaccard_join, op2_lm_scoring, op3_language_id, op5_mix_sources, op8_balanced_shards, op10_benchmark_decontamination)
 
 
 def queries() -> dict:

@@ -7,9 +7,10 @@ from lexispark.llm.langid import op3_language_id
 from lexispark.llm.lm import op2_lm_scoring
 from lexispark.llm.mixing import OP5_SQL, op5_mix_sources
 from lexispark.llm.parity_join import op1_ngram_jaccard_join
+from lexispark.llm.quality import op6_quality_rules
 from lexispark.llm.sharding import op8_balanced_shards
 
-OPERATORS = (op1_ngram_jaccard_join, op2_lm_scoring, op3_language_id, op5_mix_sources, op8_balanced_shards, op10_benchmark_decontamination)
+OPERATORS = (op1_ngram_jaccard_join, op2_lm_scoring, op3_language_id, op5_mix_sources, op6_quality_rules, op8_balanced_shards, op10_benchmark_decontamination)
 
 
 def queries() -> dict:

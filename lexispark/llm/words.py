@@ -115,14 +115,14 @@ def bounds(s: Slice, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(inside & (~before | edge[:n])), np.flatnonzero(inside & (~after | edge[1:])) + 1
 
 
-def words(s: Slice, is_word: np.ndarray = BLANK_SEPARATED) -> Words:
-    """The slice's words with A-Z lower-cased for the hash.
+def words(s: Slice, is_word: np.ndarray = BLANK_SEPARATED, lower: bool = True) -> Words:
+    """The slice's words; with `lower`, A-Z are lower-cased for the hash.
 
     The hash is a polynomial over the word's bytes modulo 2**64, taken from one running sum over the
     whole slice, then mixed together with the length."""
     start, end = bounds(s, is_word)
     sums = np.zeros(len(s.data) + 1, dtype=_U)
-    np.cumsum(_SYMBOL[_LOWER[s.data]] * powers(_BASE, len(s.data)), out=sums[1:])
+    np.cumsum(_SYMBOL[_LOWER[s.data] if lower else s.data] * powers(_BASE, len(s.data)), out=sums[1:])
     h = (sums[end] - sums[start]) * powers(_INVERSE, len(s.data) + 1)[start]
     h = mix(h + (end - start).astype(_U) * _U(0xD6E8FEB86659FD93))
     doc = np.searchsorted(s.offsets, start, "right") - 1

@@ -8,10 +8,11 @@ from lexispark.llm.lm import op2_lm_scoring
 from lexispark.llm.mixing import OP5_SQL, op5_mix_sources
 from lexispark.llm.parity_join import op1_ngram_jaccard_join
 from lexispark.llm.quality import op6_quality_rules
+from lexispark.llm.secrets import op9_secret_scan
 from lexispark.llm.sharding import op8_balanced_shards
 from lexispark.llm.toxicity import op7_toxicity
 
-OPERATORS = (op1_ngram_jaccard_join, op2_lm_scoring, op3_language_id, op5_mix_sources, op6_quality_rules, op7_toxicity, op8_balanced_shards, op10_benchmark_decontamination)
+OPERATORS = (op1_ngram_jaccard_join, op2_lm_scoring, op3_language_id, op5_mix_sources, op6_quality_rules, op7_toxicity, op8_balanced_shards, op9_secret_scan, op10_benchmark_decontamination)
 
 
 def queries() -> dict:

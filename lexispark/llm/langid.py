@@ -231,16 +231,18 @@ def label_texts(model: Model, texts: list[str], penalty: float = SWITCH_PENALTY)
     return out
 
 
-def _predict(model: Model, penalty: float, names: list[str]):
+def _predict(model: Model, penalty: float, names: list[str], text_at: int):
+    """Label the texts of column `text_at`; the first len(names) columns are carried along."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
-            texts = batch.column(0)
+            texts = batch.column(text_at)
             for s in W.slices(texts, 4 << 20):
                 own = [t or "" for t in texts.slice(s.lo, s.hi - s.lo).to_pylist()]
                 found = label_texts(model, own, penalty)
                 spans = [[{"first_word": a, "end_word": b, "lang": x} for a, b, x in f[2]] for f in found]
-                carried = [batch.column(i).slice(s.lo, s.hi - s.lo) for i in range(1, batch.num_columns)]
+                carried = [batch.column(i).slice(s.lo, s.hi - s.lo) for i in range(len(names))]
                 yield pa.record_batch([*carried, pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()), pa.array(spans, kind)], names=[*names, "lang_pred", "score", "spans"])
 
     return run
@@ -251,7 +253,10 @@ def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = SW
     carried = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
     types = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     schema = f"{types}, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>"
-    found = docs.select(F.col("text").alias("_text"), *carried).mapInArrow(_predict(model, penalty, [f"_{i}" for i in range(len(keep))]), schema)
+    text_at = keep.index("text") if "text" in keep else len(keep)
+    if text_at == len(keep):
+        carried.append(F.col("text").alias("_text"))
+    found = docs.select(*carried).mapInArrow(_predict(model, penalty, [f"_{i}" for i in range(len(keep))], text_at), schema)
     return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred"), F.col("score"), F.col("spans"))
 
 

@@ -162,7 +162,7 @@ class Postings:
 def _search_batches(windows: Windows, slop: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in W.rows(batch):
                 p = Postings(row["terms"], row["counts"], row["positions"], row["n_words"])
                 n = len(row["doc_ids"])
                 cover = np.zeros(len(p.term_at) + 1, np.int64)
@@ -209,9 +209,9 @@ def search(index: DataFrame, benchmark: DataFrame, size: int = WINDOW, slop: int
     return found.select("doc_id", "n_words", "hits", "items")
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, workspace: Workspace | None = None) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, work: Workspace | None = None) -> DataFrame:
     """Index `docs`, search every window of `benchmark`, and report each document's hits."""
-    work = workspace or Workspace(docs.sparkSession, "contamination")
+    work = work or Workspace(docs.sparkSession, "contamination")
     return search(work.write(build_index(docs), "index"), benchmark, size)
 
 

@@ -36,7 +36,7 @@ from lexispark.llm.storage import Workspace, shuffle_partitions, training_row
 _U = np.uint64
 ORDER = 2
 MODULUS, HELD_OUT, EM_PART = 10, 0, 1
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 CLASSES = 24
 BINS, BINS_PER_OCTAVE, LOWEST = 3200, 32, -50
 EM_STEPS = 200
@@ -52,6 +52,20 @@ def unplanes64(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Counts in the narrowest width that holds the largest, plane by plane after a byte that tells the width."""
+    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(values.max(initial=0)) < 1 << (8 * w))
+    return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(raw: bytes) -> np.ndarray:
+    width = raw[0]
+    body = np.frombuffer(raw, np.uint8, offset=1).reshape(width, -1).T
+    out = np.zeros((len(body), 8), np.uint8)
+    out[:, :width] = body
+    return out.view("<i8").ravel()
+
+
 class Chunk:
     """Consecutive documents of one role, as token sequences with an end after each document."""
 
@@ -104,7 +118,7 @@ def _ask(order: int, buckets: int):
                 edge = np.searchsorted(bucket, np.arange(buckets + 1))
                 used = np.flatnonzero(np.diff(edge))
                 keys = [planes64(np.diff(gram[edge[b] : edge[b + 1]], prepend=_U(0))) for b in used]
-                counts = [b"" if role == HELD_OUT else planes64(count[edge[b] : edge[b + 1]]) for b in used]
+                counts = [b"" if role == HELD_OUT else packed(count[edge[b] : edge[b + 1]]) for b in used]
                 n = len(used)
                 yield pa.record_batch([pa.array([name] * n, pa.int64()), pa.array([role] * n, pa.int32()), pa.array(used, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["chunk", "role", "bucket", "keys", "counts"])
 
@@ -115,10 +129,11 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For one bucket: the corpus count of every n-gram asked for, and in the EM part that part's count too."""
     asked, keys, counts, parts = [], [], [], []
     for batch in batches:
-        for chunk, role, bucket, k, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            key = np.cumsum(unplanes64(k), dtype=_U)
-            own = unplanes64(c).astype(np.int64) if c else np.zeros(len(key), np.int64)
-            asked.append((chunk, bucket, role))
+        for row in W.rows(batch):
+            role = row["role"]
+            key = np.cumsum(unplanes64(row["keys"]), dtype=_U)
+            own = unpacked(row["counts"]) if row["counts"] else np.zeros(len(key), np.int64)
+            asked.append((row["chunk"], row["bucket"], role))
             keys.append(key)
             counts.append(own)
             parts.append(own if role == EM_PART else np.zeros(len(key), np.int64))
@@ -134,7 +149,7 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for (chunk, bucket, role), k in zip(asked, keys, strict=True):
         own = inverse[at : at + len(k)]
         at += len(k)
-        yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([planes64(everything[own])], pa.binary()), pa.array([planes64(part[own]) if role == EM_PART else b""], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["chunk", "bucket", "counts", "part", "totals"])
+        yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed(everything[own])], pa.binary()), pa.array([packed(part[own]) if role == EM_PART else b""], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["chunk", "bucket", "counts", "part", "totals"])
 
 
 def _carry(roles: tuple[int, ...]):
@@ -161,8 +176,8 @@ def _opened(row: dict) -> tuple[Chunk, np.ndarray | None, np.ndarray | None]:
     data = pa.Codec(_CODEC).decompress(row["data"], row["offsets"][-1], asbytes=True) if row["offsets"][-1] else b""
     texts = pa.LargeStringArray.from_buffers(len(row["ids"]), pa.py_buffer(np.array(row["offsets"], np.int64)), pa.py_buffer(data))
     answers = sorted(row["answers"], key=lambda a: a["bucket"])
-    part = [unplanes64(a["part"]) for a in answers if a["part"]]
-    return Chunk(row["ids"], texts), np.concatenate([unplanes64(a["counts"]) for a in answers]).astype(np.int64), np.concatenate(part).astype(np.int64) if part else None
+    part = [unpacked(a["part"]) for a in answers if a["part"]]
+    return Chunk(row["ids"], texts), np.concatenate([unpacked(a["counts"]) for a in answers]), np.concatenate(part) if part else None
 
 
 def _aligned(chunk: Chunk, order: int, counts: np.ndarray) -> list[np.ndarray]:
@@ -208,7 +223,7 @@ def _histogram(model: Model, level: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((CLASSES, BINS + 1), np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in W.rows(batch):
                 chunk, counts, part = _opened(row)
                 deleted = _aligned(chunk, model.order, counts - part)
                 *_, (estimate, below, group) = model.levels(chunk, deleted, level)
@@ -242,7 +257,7 @@ def em(histogram: np.ndarray, steps: int = EM_STEPS) -> float:
 def _score(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in W.rows(batch):
                 chunk, counts, _ = _opened(row)
                 aligned = _aligned(chunk, model.order, counts)
                 for _ in model.levels(chunk, aligned, model.order):

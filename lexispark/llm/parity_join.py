@@ -43,7 +43,10 @@ ID_BITS = 54  # of a shingle's hash; the bits above number the documents of a sl
 CHUNK_DOCS = 256
 CHUNK_SHINGLES = 200_000
 BROADCAST_IDS = 500_000  # at most 8 MB of candidate ids
-SLICE = 3 << 20
+STRONG = 1  # shared runs from which a link to a pivot is followed further
+FOLLOW = 4  # times the gathering is followed, each time twice as far
+FLUSH_KEYS = 1 << 20
+FLUSH_DOCS = 60_000  # a place in a blob has 16 bits
 
 
 class Bands:
@@ -82,7 +85,7 @@ def fingerprints(first: np.ndarray, elements: np.ndarray) -> np.ndarray:
 def _describe(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in W.slices(batch.column(1), SLICE):
+            for s in W.slices(batch.column(1)):
                 first, elements = sets(s, size)
                 yield pa.record_batch([
                     batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), pa.array(fingerprints(first, elements).view(np.int64)),
@@ -109,39 +112,54 @@ def _blocks(bands: Bands, band: np.ndarray, n: np.ndarray, first: np.ndarray, el
     return row[at], W.mix(sketch[at] ^ W.mix(where)), empty >= k - d
 
 
+def _pack(keys: list[np.ndarray], docs: list[np.ndarray], fps: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """One blob of keys per bucket, each key with the place of its document among the blob's fingerprints."""
+    key, doc = np.concatenate(keys), np.concatenate(docs)
+    bucket = ((key >> _U(48)) * _U(buckets) >> _U(16)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    blobs, names, ids = [], [], np.flatnonzero(np.diff(edge))
+    for b in ids:
+        part = order[edge[b] : edge[b + 1]]
+        own, inverse = np.unique(doc[part], return_inverse=True)
+        # 48 bits of key and 16 of the place, in one long
+        blobs.append(((key[part] << _U(16)) | inverse.astype(_U)).tobytes())
+        names.append(fps[own].tobytes())
+    return pa.record_batch([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.array(names, pa.binary())], names=["bucket", "keys", "fps"])
+
+
 def _sketch(size: int, percent: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
+        keys, docs, fps = [], [], []
+        n_docs = n_keys = 0
         for batch in batches:
-            for s in W.slices(batch.column(0), SLICE):
+            for s in W.slices(batch.column(0)):
                 first, elements = sets(s, size)
                 n = np.diff(first)
                 fp = fingerprints(first, elements)
                 _, firsts = np.unique(fp, return_index=True)
-                docs = firsts[n[firsts] > 0]  # copies within a slice are sketched once
-                if not len(docs):
+                picked = firsts[n[firsts] > 0]  # copies within a slice are sketched once
+                if not len(picked):
                     continue
                 bands.cover(int(n.max()))
-                band = np.searchsorted(np.array(bands.start), n[docs], "right") - 1
-                doc, band = np.concatenate((docs, docs[band > 0])), np.concatenate((band, band[band > 0] - 1))
-                found_doc, found_key, seed = [], [], 0
+                band = np.searchsorted(np.array(bands.start), n[picked], "right") - 1
+                doc, band = np.concatenate((picked, picked[band > 0])), np.concatenate((band, band[band > 0] - 1))
+                seed = 0
                 while len(doc):
                     row, key, open_ = _blocks(bands, band, n[doc], first[doc], elements, seed)
-                    found_doc.append(doc[row])
-                    found_key.append(key)
+                    keys.append(key)
+                    docs.append(doc[row] + n_docs)
+                    n_keys += len(key)
                     doc, band, seed = doc[open_], band[open_], seed + 1
-                doc, key = np.concatenate(found_doc), np.concatenate(found_key)
-                bucket = ((key >> _U(48)) * _U(buckets) >> _U(16)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                edge = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                keys, fps, ids = [], [], np.flatnonzero(np.diff(edge))
-                for b in ids:
-                    part = order[edge[b] : edge[b + 1]]
-                    own, inverse = np.unique(doc[part], return_inverse=True)
-                    # 48 bits of key and 16 of the place among this blob's documents, in one long
-                    keys.append(((key[part] << _U(16)) | inverse.astype(_U)).tobytes())
-                    fps.append(fp[own].tobytes())
-                yield pa.record_batch([pa.array(ids, pa.int32()), pa.array(keys, pa.binary()), pa.array(fps, pa.binary())], names=["bucket", "keys", "fps"])
+                fps.append(fp)
+                n_docs += len(fp)
+                if n_keys > FLUSH_KEYS or n_docs > FLUSH_DOCS:
+                    yield _pack(keys, docs, np.concatenate(fps), buckets)
+                    keys, docs, fps = [], [], []
+                    n_docs = n_keys = 0
+        if keys:
+            yield _pack(keys, docs, np.concatenate(fps), buckets)
 
     return run
 
@@ -186,7 +204,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _sets_of(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for s in W.slices(batch.column(0), SLICE):
+            for s in W.slices(batch.column(0)):
                 first, elements = sets(s, size)
                 blobs = [elements[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.record_batch([pa.array(fingerprints(first, elements).view(np.int64)), pa.array(blobs, pa.binary())], names=["fp", "elements"])
@@ -224,7 +242,7 @@ def _compare(rows: list[tuple], percent: int) -> Iterator[tuple[int, int, int]]:
         return
     side = np.array([r[0] for r in rows])
     rep, weight = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    elements = [np.frombuffer(r[4], _U) for r in rows]
+    elements = [r[4] for r in rows]
     n = np.array([len(x) for x in elements])
     shared = _overlaps(elements)
     linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
@@ -250,13 +268,14 @@ def _verify(percent: int):
             return batch
 
         for batch in batches:
-            for a, b, side, fp, rep, weight, blob in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            blobs = batch.column(6)
+            for i, (a, b, side, fp, rep, weight) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
                 if (a, b) != key:
                     out.extend(_compare(rows, percent))
                     key, rows = (a, b), []
                     if len(out) > 10_000:
                         yield flush()
-                rows.append((side, fp, rep, weight, blob))
+                rows.append((side, fp, rep, weight, np.frombuffer(blobs[i].as_buffer(), _U)))  # no copy
         out.extend(_compare(rows, percent))
         yield flush()
 
@@ -275,7 +294,11 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
 
     classes = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"))
     met = F.sum(F.when(F.col("fp") == F.col("pivot"), 0).otherwise(F.col("times"))).alias("met")
-    gathered = runs.groupBy("fp", "pivot").agg(met).groupBy("fp").agg(F.max(F.struct("met", "pivot")).alias("best")).select("fp", F.col("best.pivot").alias("cluster"))
+    nearest = runs.groupBy("fp", "pivot").agg(met).groupBy("fp").agg(F.max(F.struct("met", "pivot")).alias("best"))
+    gathered = work.write(nearest.select("fp", F.col("best.pivot").alias("cluster"), (F.col("best.met") >= STRONG).alias("strong")), "nearest")
+    for _ in range(FOLLOW):  # where the pivot itself has a strong pivot, gather around that one
+        above = gathered.filter("strong").select(F.col("fp").alias("cluster"), F.col("cluster").alias("above"))
+        gathered = gathered.join(above, "cluster", "left").select("fp", F.coalesce("above", "cluster").alias("cluster"), "strong")
     members = gathered.join(classes, "fp")
     splits = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("splits"))
     members = members.join(splits, "cluster").select("fp", "rep", "weight", F.xxhash64("cluster", F.pmod(F.xxhash64("fp"), F.col("splits"))).alias("chunk"))

@@ -51,6 +51,12 @@ def powers(base: int, n: int) -> np.ndarray:
     return known[:n]
 
 
+def rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """The batch's rows, one at a time: wide binary columns are never copied all at once."""
+    for i in range(batch.num_rows):
+        yield {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns, strict=True)}
+
+
 @dataclass
 class Slice:
     """Some consecutive documents of a batch: rows lo..hi, their bytes, and offsets into those."""

@@ -85,16 +85,12 @@ def _top(k: int, rank: str = "ll", where: str = "true", window: int = 5, word: s
 
 
 def _ngram(n: int, base: str = TOK, where: str = "true") -> str:
-    joins = "".join(f" JOIN tok t{k} ON t{k}.doc_id = t0.doc_id AND t{k}.pos = t0.pos + {k}" for k in range(1, n))
-    words = " OR ".join(WORD.replace("low", f"t{k}.low") for k in range(n))
-    text = " || ' ' || ".join(f"t{k}.token" for k in range(n))
-    return f"""{_with(base, SIZE)} SELECT {text} AS ngram, count(*) AS frequency, round(count(*) / any_value(n) * 1000000, 4) AS relative_frequency
-      FROM tok t0{joins}, size WHERE ({words}) AND {where} GROUP BY 1"""
-
-
-def _side(shown: str, low: str, high: str) -> str:
-    """Text of the tokens at pos + low .. pos + high around each hit."""
-    return f"(SELECT coalesce(string_agg({shown}, ' ' ORDER BY t.pos), '') FROM tok t WHERE t.doc_id = h.doc_id AND t.pos BETWEEN h.pos + {low} AND h.pos + {high})"
+    leads = ", ".join(f"lead({c}, {k}) OVER w AS {c}{k}" for k in range(n) for c in ("token", "low", "tag", "lemma"))
+    words = " OR ".join(WORD.replace("low", f"low{k}") for k in range(n))
+    text = " || ' ' || ".join(f"token{k}" for k in range(n))
+    return f"""{_with(base, SIZE)}, g AS (SELECT {leads} FROM tok WINDOW w AS (PARTITION BY doc_id ORDER BY pos))
+      SELECT {text} AS ngram, count(*) AS frequency, round(count(*) / any_value(n) * 1000000, 4) AS relative_frequency
+      FROM g, size WHERE token{n - 1} IS NOT NULL AND ({words}) AND {where} GROUP BY 1"""
 
 
 def _lines(left: int, right: int, shown: str = "t.token") -> str:
@@ -209,7 +205,7 @@ SQL = {
       SELECT lines.*, collocate FROM lines JOIN fit USING (doc_id, pos)""",
     "kwic_sample": f"""{_with(TOK, _hits(), _lines(7, 7))} SELECT * FROM lines ORDER BY md5(doc_id || ':' || pos || ':42'), doc_id, pos LIMIT 50""",
     **{f"ngram_{n}": _ngram(n) for n in range(1, 6)},
-    "ngram_filtered": _ngram(3, TAGGED, "t0.low = 'the' AND (starts_with(t1.tag, 'V') OR t1.tag = 'NN') AND starts_with(t2.lemma, 'th')"),
+    "ngram_filtered": _ngram(3, TAGGED, "low0 = 'the' AND (starts_with(tag1, 'V') OR tag1 = 'NN') AND starts_with(lemma2, 'th')"),
     "colloc_counts": f"{_with(TAGGED, _hits(), _near(5), COUNTS)} SELECT * FROM counts",
     "colloc_stats": _stats(TAGGED),
     "colloc_ll": f"{_top(20)} SELECT {STAT_COLUMNS}, rank FROM top",

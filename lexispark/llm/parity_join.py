@@ -299,6 +299,13 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     for _ in range(FOLLOW):  # where the pivot itself has a strong pivot, gather around that one
         above = gathered.filter("strong").select(F.col("fp").alias("cluster"), F.col("cluster").alias("above"))
         gathered = gathered.join(above, "cluster", "left").select("fp", F.coalesce("above", "cluster").alias("cluster"), "strong")
+    # a small cluster joins the largest one that it meets in a run, so the two are not compared chunk by chunk
+    gathered = work.write(gathered.select("fp", "cluster"), "gathered")
+    sizes = gathered.groupBy("cluster").agg(F.count("*").alias("docs"))
+    met_in = runs.join(gathered, "fp").select("run", "cluster").distinct().join(sizes, "cluster")
+    largest = met_in.groupBy("run").agg(F.max(F.struct("docs", "cluster")).alias("big"))
+    joins = met_in.join(largest, "run").groupBy("cluster").agg(F.max("big").alias("big"))
+    gathered = gathered.join(joins, "cluster", "left").select("fp", F.coalesce("big.cluster", "cluster").alias("cluster"))
     members = gathered.join(classes, "fp")
     splits = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("splits"))
     members = members.join(splits, "cluster").select("fp", "rep", "weight", F.xxhash64("cluster", F.pmod(F.xxhash64("fp"), F.col("splits"))).alias("chunk"))

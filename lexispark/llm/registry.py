@@ -10,9 +10,10 @@ from lexispark.llm.parity_join import op1_ngram_jaccard_join
 from lexispark.llm.quality import op6_quality_rules
 from lexispark.llm.secrets import op9_secret_scan
 from lexispark.llm.sharding import op8_balanced_shards
+from lexispark.llm.substrings import op4_substring_dedup
 from lexispark.llm.toxicity import op7_toxicity
 
-OPERATORS = (op1_ngram_jaccard_join, op2_lm_scoring, op3_language_id, op5_mix_sources, op6_quality_rules, op7_toxicity, op8_balanced_shards, op9_secret_scan, op10_benchmark_decontamination)
+OPERATORS = (op1_ngram_jaccard_join, op2_lm_scoring, op3_language_id, op4_substring_dedup, op5_mix_sources, op6_quality_rules, op7_toxicity, op8_balanced_shards, op9_secret_scan, op10_benchmark_decontamination)
 
 
 def queries() -> dict:

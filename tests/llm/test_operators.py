@@ -373,3 +373,36 @@ def test_proximity(spark):
     items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
     assert {r["doc_id"] for r in contamination.search(index, items, slop=1).collect() if r["items"]} == {1, 2}
     assert not any(r["items"] for r in contamination.search(index, items).collect())
+
+
+def test_substrings(spark):
+    from lexispark.llm import substrings
+
+    r = random.Random(12)
+    fresh = lambda n: [f"{r.choice(VOCAB)}{r.randrange(10**6)}" for _ in range(n)]
+    passage, rows = fresh(55), []
+    for i in range(40):
+        own = fresh(80)
+        if i % 4 == 0:  # within a line, as a line of its own, or with one word changed
+            part = list(passage)
+            if i % 8 == 0:
+                part[25] = "changed"
+            at = r.randrange(10, 70)
+            own = own[:at] + part + own[at:] if i % 3 else own[:at] + ["\n" + part[0], *part[1:-1], part[-1] + "\n"] + own[at:]
+        rows.append((i, " ".join(own)))
+    rows += [(90, None), (91, ""), (92, "Licensed under the same licence line"), (93, "Licensed under the same licence line"), (94, "a b c\n" + " ".join(fresh(30)))]
+    found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {x["doc_id"] for x in found} == {i for i in range(0, 40, 4)}
+    assert all(x["first_doc_id"] == 0 or x["first_doc_id"] == 4 for x in found)
+    split = {i: (t or "").lower().split() for i, t in rows}
+    low = [w.lower() for w in passage]
+    for x in found:
+        own = split[x["doc_id"]][x["first_word"] : x["end_word"]]
+        assert sum(w in low for w in own) >= 0.8 * len(own)
+
+
+def test_substring_bands_are_tuned():
+    from lexispark.llm import substrings
+
+    bands = substrings.tune(80, 0.98)
+    assert 1 - (1 - 0.8**substrings.ROWS) ** bands >= 0.98 > 1 - (1 - 0.8**substrings.ROWS) ** (bands - 1)

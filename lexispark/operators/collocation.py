@@ -24,10 +24,10 @@ class Collocates:
     once for each match."""
 
     def __init__(self, corpus: Corpus, query: str, window: int = 5, min_observed: int = 1, word: str | None = None, tag: str | None = None, tags: list[str] | None = None, lemma: str | None = None):
-        if window > corpus.halo:
-            raise ValueError("the window is wider than the corpus halo")
         self.corpus, self.window, self.min_observed = corpus, window, min_observed
         self.hits = Hits(corpus, query)
+        if window + max(self.hits.length - 1, 0) > corpus.halo:
+            raise ValueError("the window is wider than the corpus halo")
         self.word, self.tag, self.tags, self.lemma = word, tag, tags, lemma
 
     def occurrences(self) -> DataFrame:

@@ -55,8 +55,14 @@ class Hits:
         first = F.greatest(i - left, F.lit(0))
         return F.slice(name, first + 1, i - first), F.slice(name, end + 1, F.lit(right))
 
+    def _check(self, left: int, right: int) -> None:
+        """A match may begin at the last token of a block's own part, so the halo holds its rest and what follows."""
+        if max(left, right + self.length - 1) > self.corpus.halo:
+            raise ValueError("the context is wider than the corpus halo")
+
     def near(self, word: str | None, tag: str | None, window: int) -> Column:
         """Whether some token within `window` of the match (not in it) fits the word and tag patterns."""
+        self._check(window, window)
         if tag and self.corpus.raw:
             return F.lit(False)
         return F.size(self._fitting(word, tag, window)) > 0
@@ -92,8 +98,7 @@ class Hits:
         active = bool(near or near_tag)
         if active:
             left = right = window
-        if max(left, right) > self.corpus.halo:
-            raise ValueError("the context is wider than the corpus halo")
+        self._check(left, right)
         rows = self.rows
         if active:
             rows = rows.filter(self.near(near, near_tag, window))

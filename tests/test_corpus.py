@@ -93,7 +93,7 @@ def test_ngram_filters(spark):
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
-@given(block=st.integers(3, 40), halo=st.integers(3, 9))
+@given(block=st.integers(4, 40), halo=st.integers(4, 9))
 def test_blocks_do_not_change_results(spark, block, halo):
     text = TEXT * 4
     whole, cut = corpus(spark, text), corpus(spark, text, block=block, halo=halo)

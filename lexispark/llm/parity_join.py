@@ -39,6 +39,7 @@ from lexispark.llm.storage import Workspace, shuffle_partitions
 _U = np.uint64
 SHINGLE = 4
 PERCENT = 85
+LEAST_PERCENT = 85
 ID_BITS = 54  # of a shingle's hash; the bits above number the documents of a slice
 CHUNK_DOCS = 256
 CHUNK_SHINGLES = 200_000
@@ -53,6 +54,8 @@ class Bands:
     """Size bands with, for each, the largest difference d of a linked pair and the number of blocks k."""
 
     def __init__(self, percent: int):
+        if not LEAST_PERCENT <= percent <= 100:
+            raise ValueError(f"percent must be {LEAST_PERCENT} to 100: below, a band's difference leaves too many blocks empty")
         self.percent = percent
         self.start, self.d, self.k = [1], [], []
 
@@ -285,6 +288,7 @@ def _verify(percent: int):
 def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, work: Workspace | None = None) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, class_id (smallest id with an equal set), n_links
     (documents whose set is linked to this one's, copies included)."""
+    Bands(percent)
     spark = docs.sparkSession
     work = work or Workspace(spark, "parity-join")
     parts = shuffle_partitions(spark)

@@ -73,7 +73,7 @@ def brute_groups(sets, percent):
     return {i: find(i) for i in sets}, links
 
 
-@pytest.mark.parametrize("percent", [85, 60])
+@pytest.mark.parametrize("percent", [85, 95])
 def test_parity_join(docs, texts, percent):
     def shingles(w):
         return {tuple(w[k : k + 4]) for k in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
@@ -99,6 +99,11 @@ def test_parity_join_one_large_group(spark):
     assert {r["component_id"] for r in found} == {0}
 
 
+def test_parity_join_refuses_low_thresholds(docs):
+    with pytest.raises(ValueError):
+        parity_join.ngram_jaccard_groups(docs, percent=60)
+
+
 def test_parity_join_empty(empty):
     assert parity_join.ngram_jaccard_groups(empty).count() == 0
 

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import words as W
 from lexispark.llm.components import components
+from lexispark.llm.lm import planes64, unplanes64
 from lexispark.llm.storage import Workspace, shuffle_partitions
 
 _U = np.uint64
@@ -125,8 +126,9 @@ def _pack(keys: list[np.ndarray], docs: list[np.ndarray], fps: np.ndarray, bucke
     for b in ids:
         part = order[edge[b] : edge[b + 1]]
         own, inverse = np.unique(doc[part], return_inverse=True)
-        # 48 bits of key and 16 of the place, in one long
-        blobs.append(((key[part] << _U(16)) | inverse.astype(_U)).tobytes())
+        # 48 bits of key and 16 of the place in one long; sorted, so the gaps' high bytes compress away
+        packed = np.sort((key[part] << _U(16)) | inverse.astype(_U))
+        blobs.append(planes64(np.diff(packed, prepend=_U(0))))
         names.append(fps[own].tobytes())
     return pa.record_batch([pa.array(ids, pa.int32()), pa.array(blobs, pa.binary()), pa.array(names, pa.binary())], names=["bucket", "keys", "fps"])
 
@@ -172,7 +174,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     keys, fps = [], []
     for batch in batches:
         for k, f in zip(batch.column(1), batch.column(2), strict=True):
-            both = np.frombuffer(k.as_buffer(), _U)
+            both = np.cumsum(unplanes64(k.as_buffer()), dtype=_U)
             keys.append(both >> _U(16))
             fps.append(np.frombuffer(f.as_buffer(), _U)[(both & _U(0xFFFF)).astype(np.int64)])
     if not keys:

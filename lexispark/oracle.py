@@ -119,9 +119,9 @@ LEX = "lex AS (SELECT word, min(cefr) AS cefr, min('/' || word || '/') AS ipa FR
 RAW_LINES = r"array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#')), chr(10))"
 ATTRS = r"""
 st AS (SELECT unnest(regexp_extract_all(markup, '<[A-Za-z][A-Za-z0-9_.:-]*(?:\s[^<>]*)?>')) AS s FROM src),
-at AS (SELECT regexp_extract(s, '<([A-Za-z][A-Za-z0-9_.:-]*)', 1) AS tag, regexp_extract_all(s, '([A-Za-z_:][A-Za-z0-9_.:-]*)\s*=\s*"([^"]*)"', 1) AS names,
+tagged_attrs AS (SELECT regexp_extract(s, '<([A-Za-z][A-Za-z0-9_.:-]*)', 1) AS tag, regexp_extract_all(s, '([A-Za-z_:][A-Za-z0-9_.:-]*)\s*=\s*"([^"]*)"', 1) AS names,
   regexp_extract_all(s, '([A-Za-z_:][A-Za-z0-9_.:-]*)\s*=\s*"([^"]*)"', 2) AS vals FROM st),
-flat AS (SELECT DISTINCT tag, unnest(names) AS attr, unnest(vals) AS value FROM at WHERE len(names) > 0 UNION ALL SELECT DISTINCT tag, NULL, NULL FROM at WHERE len(names) = 0),
+flat AS (SELECT DISTINCT tag, unnest(names) AS attr, unnest(vals) AS value FROM tagged_attrs WHERE len(names) > 0 UNION ALL SELECT DISTINCT tag, NULL, NULL FROM tagged_attrs WHERE len(names) = 0),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY tag, attr ORDER BY value) AS r FROM flat)
 SELECT tag, attr, count(value) AS n_values, coalesce(string_agg(value, ',' ORDER BY value) FILTER (r <= 20), '') AS "values" FROM ranked GROUP BY tag, attr"""
 ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"

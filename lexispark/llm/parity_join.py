@@ -40,7 +40,7 @@ from lexispark.llm.storage import Workspace, shuffle_partitions
 _U = np.uint64
 SHINGLE = 4
 PERCENT = 85
-LEAST_PERCENT = 85
+LEAST_PERCENT = 80
 ID_BITS = 54  # of a shingle's hash; the bits above number the documents of a slice
 CHUNK_DOCS = 256
 CHUNK_SHINGLES = 200_000
@@ -59,13 +59,17 @@ class Bands:
             raise ValueError(f"percent must be {LEAST_PERCENT} to 100: below, a band's difference leaves too many blocks empty")
         self.percent = percent
         self.start, self.d, self.k = [1], [], []
+        # share of k blocks that stay empty in a band's smallest set, which fills them J * J / (1 - J) times or less
+        self.empty, j = 0.01, percent / 100
+        for _ in range(50 if percent < 100 else 0):
+            self.empty = max(0.01, float(np.exp(-j * j / (1 - j) / (1 + self.empty))))
 
     def cover(self, n: int) -> None:
         while self.start[-1] <= n:
             lo = self.start[-1]
             hi = max(lo + 1, -(-lo * 100 // self.percent))
             d = (100 - self.percent) * (hi - 1 + (hi - 1) * 100 // self.percent) // (100 + self.percent)
-            empty = 0.01 * d
+            empty = self.empty * d
             self.start.append(hi)
             self.d.append(d)
             self.k.append(d + 1 + int(np.ceil(empty + 1.5 * np.sqrt(empty))))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lexispark.llm import contamination, langid, mixing, parity_join, sharding
 from lexispark.llm.storage import Workspace
 
+SHINGLE, PERCENT = 5, 80  # near duplicates; op1's own contract has other values
 LEAST_SHARE = 0.5  # of a document's letters in its language
 BROADCAST_IDS = 1_000_000  # at most about 16 MB of ids
 
@@ -30,9 +31,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents, the one with the smallest id stays."""
+    """Of each group of documents linked by five-word Jaccard of 0.8 or more, the one with the smallest id stays."""
     work = Workspace(spark, "near-duplicates")
-    groups = work.write(parity_join.ngram_jaccard_groups(docs, work=work), "groups")
+    groups = work.write(parity_join.ngram_jaccard_groups(docs, SHINGLE, PERCENT, work), "groups")
     kept = without(docs, groups.filter("doc_id <> component_id").select("doc_id"), work)
     ids = groups.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
     return kept.dropDuplicates(["doc_id"]) if ids[0] != ids[1] else kept

@@ -7,8 +7,8 @@ that collide are linked when the exact Jaccard similarity of their sets reaches
 form clusters; the first occurrence (smallest doc_id, then place) is kept.  Neighbouring repeated segments of a
 document are one passage; passages under `min_words` words (common lines, licences) are not reported.
 
-Equal sets are one class, so copies never meet in pairs.  A run of colliding classes links each to the run's
-smallest, over all bands.  Collisions travel packed per bucket of hashes.
+Equal sets are one class, so copies never meet in pairs.  The classes of a run (that share a band) are all compared
+with each other, a bounded chunk of them with another at a time.  Collisions travel packed per bucket of hashes.
 
 Defined results: null, empty and blank texts have no segments; segments under five words are one shingle; repeats
 inside one document alone are not reported; repeated rows are documents of their own with equal ids and repeat
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from lexispark.llm import words as W
 from lexispark.llm.components import components
 from lexispark.llm.lm import unplanes64
-from lexispark.llm.parity_join import _pack
+from lexispark.llm.parity_join import _pack, _verify
 from lexispark.llm.storage import Workspace, shuffle_partitions
 
 _U = np.uint64
@@ -36,6 +36,7 @@ SHINGLE, PERCENT, RECALL, ROWS = 5, 80, 0.98, 2
 RADIUS = 4
 MIN_WORDS = 16
 BROADCAST_CLASSES = 500_000  # 4 MB of class names
+CHUNK = 512  # members of a run that are compared at once with as many others
 
 
 def tune(percent: int, recall: float, rows: int = ROWS) -> int:
@@ -112,8 +113,8 @@ def _band(bands: int, buckets: int):
 
 
 def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(class, pivot): classes found twice or more (pivot null), and classes that share a band with the
-    run's smallest class."""
+    """(class, run, members): classes found twice or more (run null), and the members of every run of different
+    classes that share a band.  A run's name is a hash of its members, so runs with the same members are one."""
     keys, fps = [], []
     for batch in batches:
         for k, f in zip(batch.column(1), batch.column(2), strict=True):
@@ -128,16 +129,27 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     same = key[order][1:] == key[order][:-1]
     several = np.concatenate((same, [False])) | np.concatenate(([False], same))
     key, fp = key[order][several], fp[order][several]
+    if not len(key):
+        return
     order = np.lexsort((fp, key))
     key, fp = key[order], fp[order]
     twice = (key[1:] == key[:-1]) & (fp[1:] == fp[:-1])
     repeated = np.unique(fp[1:][twice & ((key[1:] & _U(15)) == 0)])
-    fresh = np.concatenate(([True], ~twice)) if len(key) else np.empty(0, bool)
+    fresh = np.concatenate(([True], ~twice))
     key, fp = key[fresh], fp[fresh]
-    first = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-    pivot = fp[np.flatnonzero(first)[np.cumsum(first) - 1]] if len(key) else fp
-    pair = np.unique(np.stack((fp[~first], pivot[~first])), axis=1) if len(key) else np.zeros((2, 0), _U)
-    yield pa.record_batch([pa.array(np.concatenate((repeated, pair[0])).view(np.int64)), pa.array([None] * len(repeated) + pair[1].view(np.int64).tolist(), pa.int64())], names=["fp", "pivot"])
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    count = np.diff(np.append(first, len(key)))
+    name = W.mix(np.add.reduceat(W.mix(fp), first) + count.astype(_U))
+    keep = count > 1
+    name, at = np.unique(name[keep], return_index=True)
+    first, count = first[keep][at], count[keep][at]
+    run = np.repeat(np.arange(len(name)), count)
+    member = fp[np.arange(len(run)) - np.repeat(np.cumsum(count) - count - first, count)]
+    yield pa.record_batch([
+        pa.array(np.concatenate((repeated, member)).view(np.int64)),
+        pa.concat_arrays([pa.nulls(len(repeated), pa.int64()), pa.array(name[run].view(np.int64))]),
+        pa.concat_arrays([pa.nulls(len(repeated), pa.int64()), pa.array(count[run].astype(np.int64))]),
+    ], names=["fp", "run", "members"])
 
 
 def _emit(with_sets: bool):
@@ -159,17 +171,12 @@ def _emit(with_sets: bool):
     return run
 
 
-def _similar(percent: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for a, b in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * both >= percent * (len(x) + len(y) - both))
-            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
-
-    return run
+def _jobs(runs: DataFrame, chunk: int) -> DataFrame:
+    """Each run's members in chunks of about `chunk`; every two chunks of a run, and every chunk alone, are a job."""
+    splits = F.ceil(F.col("members") / chunk)
+    cut = runs.withColumn("own", F.pmod(F.xxhash64("fp"), splits)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)))
+    part = lambda c: F.when(F.col("members") <= chunk, F.col("run")).otherwise(F.xxhash64("run", c))
+    return cut.select(part(F.least("own", "other")).alias("ca"), part(F.greatest("own", "other")).alias("cb"), (F.col("own") > F.col("other")).cast("int").alias("side"), "fp")
 
 
 def _segments_of(docs: DataFrame, classes: DataFrame, with_sets: bool) -> DataFrame:
@@ -179,21 +186,28 @@ def _segments_of(docs: DataFrame, classes: DataFrame, with_sets: bool) -> DataFr
     return docs.mapInArrow(_emit(with_sets), schema).join(F.broadcast(classes) if few else classes, "fp", "left_semi")
 
 
-def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, min_words: int = MIN_WORDS, work: Workspace | None = None) -> DataFrame:
+def links(docs: DataFrame, percent: int, bands: int, work: Workspace, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
+    """The classes that meet, and (fp, root): linked classes with the smallest class they reach among those compared at once."""
+    parts = shuffle_partitions(docs.sparkSession)
+    packed = docs.select("text").mapInArrow(_band(bands, parts), "bucket int, keys binary, fps binary")
+    met = work.write(packed.repartitionById(parts, "bucket").mapInArrow(_collide, "fp long, run long, members long"), "met")
+    runs = work.write(met.filter("run IS NOT NULL").distinct(), "runs")
+    sets = _segments_of(docs, work.write(runs.select("fp").distinct(), "near"), True).groupBy("fp").agg(F.first("elements").alias("elements"))
+    ready = _jobs(runs, chunk).join(sets, "fp").select("ca", "cb", "side", "fp", F.col("fp").alias("rep"), F.lit(1).alias("weight"), "elements")
+    ready = ready.repartition(parts, "ca", "cb").sortWithinPartitions("ca", "cb")
+    edges = work.write(ready.mapInArrow(_verify(percent), "fp long, root long, links long").select("fp", "root"), "similar")
+    return met, edges
+
+
+def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, min_words: int = MIN_WORDS, work: Workspace | None = None, chunk: int = CHUNK) -> DataFrame:
     """doc_id, first_word, end_word, n_words, first_doc_id (where the passage is kept), removed."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "substrings")
-    parts, bands = shuffle_partitions(spark), tune(percent, recall)
+    bands = tune(percent, recall)
     docs = docs.select("doc_id", "text")
-    packed = docs.select("text").mapInArrow(_band(bands, parts), "bucket int, keys binary, fps binary")
-    met = work.write(packed.repartitionById(parts, "bucket").mapInArrow(_collide, "fp long, pivot long"), "met")
-    pairs = work.write(met.filter("pivot IS NOT NULL").distinct(), "pairs")
-    near = work.write(pairs.select("fp").unionByName(pairs.select(F.col("pivot").alias("fp"))).distinct(), "near")
-    sets = work.write(_segments_of(docs, near, True).groupBy("fp").agg(F.first("elements").alias("elements")), "sets")
-    both = pairs.join(sets, "fp").join(sets.select(F.col("fp").alias("pivot"), F.col("elements").alias("other")), "pivot").select("fp", "pivot", "elements", "other")
-    edges = work.write(both.mapInArrow(_similar(percent), "fp long, pivot long"), "similar")
-    groups = components(edges.select(F.col("fp").alias("u"), F.col("pivot").alias("v")), work).select(F.col("node").alias("fp"), F.col("component").alias("cluster"))
-    classes = met.filter("pivot IS NULL").select("fp").unionByName(groups.select("fp")).distinct()
+    met, edges = links(docs, percent, bands, work, chunk)
+    groups = components(edges.select(F.col("fp").alias("u"), F.col("root").alias("v")), work).select(F.col("node").alias("fp"), F.col("component").alias("cluster"))
+    classes = met.filter("run IS NULL").select("fp").unionByName(groups.select("fp")).distinct()
     found = _segments_of(docs, work.write(classes, "classes"), False).join(groups, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp"))
     found = work.write(found, "found")
     keepers = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "ordinal")).alias("keeper"), F.max("doc_id").alias("last")).filter("keeper.doc_id < last")

@@ -1,11 +1,12 @@
 """Substring dedup: MinHash banding of paragraph segments, verified by exact Jaccard, clustered by components.
 
 A text's lines are its paragraphs.  They are cut further where a word pair's hash is the smallest within four
-words on either side, so the same passage is cut alike wherever it stands in a line.  Each segment is the set of
-its five-word shingles.  Bands are tuned so that a pair at the threshold collides with the wanted recall; segments
-that collide are linked when the exact Jaccard similarity of their sets reaches the threshold.  Linked segments
-form clusters; the first occurrence (smallest doc_id, then place) is kept.  Neighbouring repeated segments of a
-document are one passage; passages under `min_words` words (common lines, licences) are not reported.
+words on either side, so the same passage is cut alike wherever it stands in a line.  Each line and each segment is
+a unit of its own, the set of its five-word shingles.  Bands are tuned so that a pair at the threshold collides with
+the wanted recall; units that collide are linked when the exact Jaccard similarity of their sets reaches the threshold.
+Linked units form clusters; the first occurrence (smallest doc_id, then place) is kept.  Neighbouring repeated units of
+a document are one passage, also across at most `GAP` segments that match nothing where both sides are kept in the same document;
+passages under `min_words` words (common lines, licences) are not reported.
 
 Equal sets are one class, so copies never meet in pairs.  The classes of a run (that share a band) are all compared
 with each other, a bounded chunk of them with another at a time.  Collisions travel packed per bucket of hashes.
@@ -34,6 +35,8 @@ from lexispark.llm.storage import Workspace, shuffle_partitions
 _U = np.uint64
 SHINGLE, PERCENT, RECALL, ROWS = 5, 80, 0.98, 2
 RADIUS = 4
+LINE = 8  # bit of a band key that marks a line; bands are fewer
+GAP = 3  # unmatched segments within a passage: a changed word moves the cuts of at most ten places, which hold two at most
 MIN_WORDS = 16
 BROADCAST_CLASSES = 500_000  # 4 MB of class names
 CHUNK = 512  # members of a run that are compared at once with as many others
@@ -45,7 +48,8 @@ def tune(percent: int, recall: float, rows: int = ROWS) -> int:
 
 
 class Segments:
-    """The segments of a slice: document, first word within the document, length, and sorted shingle sets."""
+    """The units of a slice, first its segments, then its lines of several segments: document, first word within the
+    document, length, first and last segment within the document, and sorted shingle sets."""
 
     def __init__(self, s: W.Slice, size: int = SHINGLE):
         w = W.words(s)
@@ -60,13 +64,21 @@ class Segments:
         for k in range(1, RADIUS + 1):
             least[k:] &= pair[k:] < pair[:-k]
             least[:-k] &= pair[:-k] < pair[k:]
-        self.begin = np.flatnonzero(fresh | least)
-        stop = np.append(self.begin[1:], n)
+        begin, line = np.flatnonzero(fresh | least), np.flatnonzero(fresh)
+        at = np.searchsorted(begin, line)  # the line's first segment
+        count, length = np.diff(np.append(at, len(begin))), np.diff(np.append(line, n))
+        at, line, count, length = at[count > 1], line[count > 1], count[count > 1], length[count > 1]
+        self.is_line = np.arange(len(begin) + len(line)) >= len(begin)
+        self.begin = np.concatenate((begin, line))
+        self.length = np.concatenate((np.diff(np.append(begin, n)), length))
         self.doc = w.doc[self.begin]
-        self.length = stop - self.begin
         self.first = self.begin - w.first[self.doc] if n else self.begin
-        # shingles of a segment, as if each segment were a document
-        own = W.Words(w.start, w.end, np.repeat(np.arange(len(self.begin)), self.length), w.hash, self.length)
+        before = np.searchsorted(w.doc[begin], self.doc)
+        self.from_ = np.concatenate((np.arange(len(begin)), at)) - before
+        self.to = np.concatenate((np.arange(len(begin)), at + count - 1)) - before
+        # shingles of a unit, as if each unit were a document
+        word = np.concatenate((np.arange(n), np.repeat(line - np.cumsum(length) + length, length) + np.arange(length.sum())))
+        own = W.Words(w.start[word], w.end[word], np.repeat(np.arange(len(self.begin)), self.length), w.hash[word], self.length)
         seg, h = W.shingles(own, size)
         order = np.lexsort((h, seg))
         seg, h = seg[order], h[order]
@@ -77,13 +89,13 @@ class Segments:
         self.fp = W.mix((sums[self.edge[1:]] - sums[self.edge[:-1]]) ^ (np.diff(self.edge).astype(_U) * _U(0x9E3779B97F4A7C15)))
 
     def band_keys(self, bands: int, rows: int = ROWS) -> np.ndarray:
-        """(bands, segments): hash of `rows` minima each; the low bits name the band."""
+        """(bands, units): hash of `rows` minima each; the low bits name the band and whether the unit is a line."""
         out = np.zeros((bands, len(self.begin)), _U)
         for b in range(bands):
             for r in range(rows):
                 salt = _U((b * rows + r + 1) * 0xA0761D6478BD642F & (2**64 - 1))
                 out[b] = W.mix(out[b] * _U(0x9FB21C651E98DF25) + np.minimum.reduceat(W.mix(self.element ^ salt), self.edge[:-1]))
-            out[b] = (out[b] & ~_U(15)) | _U(b)
+            out[b] = (out[b] & ~_U(15)) | _U(b) | np.where(self.is_line, _U(LINE), _U(0))
         return out
 
 
@@ -134,7 +146,7 @@ def _collide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     order = np.lexsort((fp, key))
     key, fp = key[order], fp[order]
     twice = (key[1:] == key[:-1]) & (fp[1:] == fp[:-1])
-    repeated = np.unique(fp[1:][twice & ((key[1:] & _U(15)) == 0)])
+    repeated = np.unique(fp[1:][twice & ((key[1:] & _U(LINE - 1)) == 0)])
     fresh = np.concatenate(([True], ~twice))
     key, fp = key[fresh], fp[fresh]
     first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
@@ -164,9 +176,8 @@ def _emit(with_sets: bool):
                     sets = [g.element[g.edge[i] : g.edge[i + 1]].tobytes() for i in once]
                     yield pa.record_batch([pa.array(g.fp[once].view(np.int64)), pa.array(sets, pa.binary())], names=["fp", "elements"])
                 else:
-                    ordinal = np.arange(len(g.begin)) - np.searchsorted(g.doc, g.doc, "left")
                     ids = batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()).take(pa.array(g.doc))
-                    yield pa.record_batch([ids, pa.array(ordinal), pa.array(g.first), pa.array(g.length), pa.array(g.fp.view(np.int64))], names=["doc_id", "ordinal", "first", "length", "fp"])
+                    yield pa.record_batch([ids, pa.array(g.from_), pa.array(g.to), pa.array(g.first), pa.array(g.length), pa.array(g.fp.view(np.int64))], names=["doc_id", "ordinal", "last", "first", "length", "fp"])
 
     return run
 
@@ -181,7 +192,7 @@ def _jobs(runs: DataFrame, chunk: int) -> DataFrame:
 
 def _segments_of(docs: DataFrame, classes: DataFrame, with_sets: bool) -> DataFrame:
     """Segments of the given classes.  The classes are broadcast only while they are few."""
-    schema = "fp long, elements binary" if with_sets else "doc_id long, ordinal long, first long, length long, fp long"
+    schema = "fp long, elements binary" if with_sets else "doc_id long, ordinal long, last long, first long, length long, fp long"
     few = classes.count() <= BROADCAST_CLASSES
     return docs.mapInArrow(_emit(with_sets), schema).join(F.broadcast(classes) if few else classes, "fp", "left_semi")
 
@@ -210,11 +221,18 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = R
     classes = met.filter("run IS NULL").select("fp").unionByName(groups.select("fp")).distinct()
     found = _segments_of(docs, work.write(classes, "classes"), False).join(groups, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp"))
     found = work.write(found, "found")
-    keepers = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "ordinal")).alias("keeper"), F.max("doc_id").alias("last")).filter("keeper.doc_id < last")
+    keepers = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "ordinal")).alias("keeper"), F.max("doc_id").alias("last_doc")).filter("keeper.doc_id < last_doc")
     shared = found.join(keepers, "cluster")
-    island = F.col("ordinal") - F.dense_rank().over(Window.partitionBy("doc_id").orderBy("ordinal"))
-    passages = shared.withColumn("island", island).groupBy("doc_id", "island").agg(
-        F.min("first").alias("first_word"), F.max(F.col("first") + F.col("length")).alias("end_word"), F.sum("length").alias("n_words"),
+    # units in the order of their places; `reach` is how far those before go, and where the farthest of them is kept
+    place = Window.partitionBy("doc_id").orderBy("ordinal", F.desc("last"))
+    before = place.rowsBetween(Window.unboundedPreceding, -1)
+    reach = F.max(F.struct("last", F.col("keeper.doc_id").alias("kept"))).over(before)
+    gap = F.col("ordinal") - F.col("reach.last") - 1
+    starts = F.col("reach").isNull() | (gap > GAP) | ((gap > 0) & (F.col("reach.kept") != F.col("keeper.doc_id")))
+    shared = shared.withColumn("reach", reach).withColumn("starts", starts.cast("int")).withColumn("island", F.sum("starts").over(place.rowsBetween(Window.unboundedPreceding, 0)))
+    end = F.max(F.col("first") + F.col("length"))
+    passages = shared.groupBy("doc_id", "island").agg(
+        F.min("first").alias("first_word"), end.alias("end_word"), (end - F.min("first")).alias("n_words"),
         F.min("keeper.doc_id").alias("first_doc_id"), F.max((F.col("keeper.doc_id") != F.col("doc_id")) | (F.col("keeper.ordinal") != F.col("ordinal"))).alias("removed"),
     )
     return passages.filter(F.col("n_words") >= min_words).drop("island")

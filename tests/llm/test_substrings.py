@@ -48,3 +48,40 @@ def test_all_members_of_a_run_are_compared(spark, chunk):
     _, edges = substrings.links(docs.select("doc_id", "text"), percent, bands, work, chunk)
     found = {x["node"]: x["component"] for x in components(edges.toDF("u", "v"), work).collect()}
     assert found == whole and found != starred
+
+
+def test_lines_with_a_changed_word_are_whole(spark):
+    """A paragraph of 50 words with one inner word changed is one passage in both documents."""
+    r = random.Random(21)
+    fresh = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    rows, spans = [], {}
+    for i in range(0, 60, 2):
+        line = fresh(50)
+        near = list(line)
+        near[20 + i % 10] = "changed"
+        for k, own in ((i, line), (i + 1, near)):
+            head, tail = fresh(r.randrange(20, 40)), fresh(30)
+            rows.append((k, "\n".join(" ".join(x) for x in (head, own, tail))))
+            spans[k] = (len(head), len(head) + 50, 50, i - i % 2, k % 2 == 1)
+    found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = defaultdict(list)
+    for x in found:
+        got[x["doc_id"]].append((x["first_word"], x["end_word"], x["n_words"], x["first_doc_id"], x["removed"]))
+    whole = sum(got[k] == [spans[k]] for k in spans)
+    assert whole >= 0.9 * len(spans) and not any(len(v) > 1 for v in got.values())
+
+
+def test_passages_inside_lines_are_joined_across_a_changed_word(spark):
+    r = random.Random(22)
+    fresh = lambda n: [f"w{r.randrange(10**7)}" for _ in range(n)]
+    rows = []
+    for i in range(0, 60, 2):
+        part = fresh(50)
+        near = list(part)
+        near[25] = "changed"
+        rows += [(i, " ".join(fresh(40) + part + fresh(40))), (i + 1, " ".join(fresh(40) + near + fresh(40)))]
+    found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    copies = [x for x in found if x["doc_id"] % 2]
+    assert len(copies) == 30 and all(x["first_doc_id"] == x["doc_id"] - 1 for x in copies)  # and one passage each
+    # with fewer than two common cuts between the change and an edge, that side has no segment to match
+    assert sum(x["first_word"] <= 65 - 8 and x["end_word"] >= 65 + 8 for x in copies) >= 27

@@ -10,7 +10,7 @@ no broadcast grows with the benchmark.
 
 Defined results: null and empty texts have no words, no hits and n_items 0; an item without words matches
 nothing; a null item id reads as the empty string; repeated documents are reported once per row; repeated
-item ids count once; extra columns are ignored (`keep` carries chosen ones through).
+item ids count once; extra columns are ignored.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Operators as pipeline stages: (spark, docs, sf_dir) -> DataFrame with the columns of documents.
 
-Rows without a doc_id cannot be told apart by the operators' results, so removing stages keep them.  Repeated
-rows share a verdict; the near-duplicate stage keeps one of them.
+Removing stages number the rows and judge each by its own text, whatever its doc_id: a null or repeated id neither
+saves nor loses a row.  Of repeated rows the near-duplicate stage keeps one; rows without words are no copies.
 """
 
 from __future__ import annotations
@@ -14,14 +14,25 @@ from lexispark.llm.storage import Workspace
 
 SHINGLE, PERCENT = 5, 80  # near duplicates; op1's own contract has other values
 LEAST_SHARE = 0.5  # of a document's letters in its language
+ROW = "_row"
 BROADCAST_IDS = 1_000_000  # at most about 16 MB of ids
 
 
-def without(docs: DataFrame, ids: DataFrame, work: Workspace) -> DataFrame:
-    """`docs` without the rows of the given ids; the ids are sent to every task only if they are few."""
-    ids = work.write(ids.filter("doc_id IS NOT NULL").distinct(), "removed")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(*docs.columns)
+def numbered(docs: DataFrame, work: Workspace) -> DataFrame:
+    """`docs` with a number of its own for every row, written so that it stays the same."""
+    return work.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    """Numbered rows for an operator, with the number for the id."""
+    return rows.select(F.col(ROW).alias("doc_id"), "text")
+
+
+def without(rows: DataFrame, removed: DataFrame, work: Workspace) -> DataFrame:
+    """Numbered rows without those of the given numbers, which are sent to every task only if they are few."""
+    removed = work.write(removed.select(F.col("doc_id").alias(ROW)), "removed")
+    few = removed.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(removed) if few else removed, ROW, "left_anti").drop(ROW)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,17 +44,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word Jaccard of 0.8 or more, the one with the smallest id stays."""
     work = Workspace(spark, "near-duplicates")
-    groups = work.write(parity_join.ngram_jaccard_groups(docs, SHINGLE, PERCENT, work), "groups")
-    kept = without(docs, groups.filter("doc_id <> component_id").select("doc_id"), work)
-    ids = groups.agg(F.count("doc_id"), F.count_distinct("doc_id")).first()
-    return kept.dropDuplicates(["doc_id"]) if ids[0] != ids[1] else kept
+    rows = numbered(docs, work)
+    groups = work.write(parity_join.ngram_jaccard_groups(as_documents(rows), SHINGLE, PERCENT, work), "groups")
+    shared = groups.join(groups.filter("doc_id <> component_id").select("component_id").distinct(), "component_id", "left_semi")
+    ids = rows.select(F.col(ROW).alias("doc_id"), F.col("doc_id").alias("id"))
+    place = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
+    members = work.write(shared.select("doc_id", "component_id").join(ids, "doc_id").select("component_id", "doc_id", place.alias("place")), "shared")
+    keepers = members.groupBy("component_id").agg(F.min("place").alias("keeper"))
+    return without(rows, members.join(keepers, "component_id").filter("doc_id <> keeper.doc_id").select("doc_id"), work)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     work = Workspace(spark, "decontaminate")
-    found = contamination.contamination(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work)
-    return without(docs, found.filter(F.size("hits") > 0).select("doc_id"), work)
+    rows = numbered(docs, work)
+    found = contamination.contamination(as_documents(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work)
+    return without(rows, found.filter(F.size("hits") > 0).select("doc_id"), work)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -13,7 +13,8 @@ with each other, a bounded chunk of them with another at a time.  Collisions tra
 
 Defined results: null, empty and blank texts have no segments; segments under five words are one shingle; repeats
 inside one document alone are not reported; repeated rows are documents of their own with equal ids and repeat
-each other only if they have different ids; extra columns are ignored.
+each other only if they have different ids; rows with a null id are different documents, and a passage is kept there
+only if no other row has it; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -176,8 +177,8 @@ def _emit(with_sets: bool):
                     sets = [g.element[g.edge[i] : g.edge[i + 1]].tobytes() for i in once]
                     yield pa.record_batch([pa.array(g.fp[once].view(np.int64)), pa.array(sets, pa.binary())], names=["fp", "elements"])
                 else:
-                    ids = batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()).take(pa.array(g.doc))
-                    yield pa.record_batch([ids, pa.array(g.from_), pa.array(g.to), pa.array(g.first), pa.array(g.length), pa.array(g.fp.view(np.int64))], names=["doc_id", "ordinal", "last", "first", "length", "fp"])
+                    ids, rows = (batch.column(i).slice(s.lo, s.hi - s.lo).cast(pa.int64()).take(pa.array(g.doc)) for i in (0, 2))
+                    yield pa.record_batch([ids, rows, pa.array(g.from_), pa.array(g.to), pa.array(g.first), pa.array(g.length), pa.array(g.fp.view(np.int64))], names=["doc_id", "row", "ordinal", "last", "first", "length", "fp"])
 
     return run
 
@@ -192,8 +193,9 @@ def _jobs(runs: DataFrame, chunk: int) -> DataFrame:
 
 def _segments_of(docs: DataFrame, classes: DataFrame, with_sets: bool) -> DataFrame:
     """Segments of the given classes.  The classes are broadcast only while they are few."""
-    schema = "fp long, elements binary" if with_sets else "doc_id long, ordinal long, last long, first long, length long, fp long"
+    schema = "fp long, elements binary" if with_sets else "doc_id long, row long, ordinal long, last long, first long, length long, fp long"
     few = classes.count() <= BROADCAST_CLASSES
+    docs = docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row"))  # tells rows of one reading apart
     return docs.mapInArrow(_emit(with_sets), schema).join(F.broadcast(classes) if few else classes, "fp", "left_semi")
 
 
@@ -221,21 +223,23 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = R
     classes = met.filter("run IS NULL").select("fp").unionByName(groups.select("fp")).distinct()
     found = _segments_of(docs, work.write(classes, "classes"), False).join(groups, "fp", "left").withColumn("cluster", F.coalesce("cluster", "fp"))
     found = work.write(found, "found")
-    keepers = found.groupBy("cluster").agg(F.min(F.struct("doc_id", "ordinal")).alias("keeper"), F.max("doc_id").alias("last_doc")).filter("keeper.doc_id < last_doc")
+    none = F.col("doc_id").isNull()  # such rows are documents of their own, after all others
+    found = found.withColumn("own", F.struct(none.alias("none"), F.when(none, F.col("row")).otherwise(F.col("doc_id")).alias("id")))
+    keepers = found.groupBy("cluster").agg(F.min(F.struct("own", "ordinal", "doc_id")).alias("keeper"), F.max("own").alias("last_own")).filter("keeper.own < last_own")
     shared = found.join(keepers, "cluster")
     # units in the order of their places; `reach` is how far those before go, and where the farthest of them is kept
-    place = Window.partitionBy("doc_id").orderBy("ordinal", F.desc("last"))
+    place = Window.partitionBy("row").orderBy("ordinal", F.desc("last"))
     before = place.rowsBetween(Window.unboundedPreceding, -1)
-    reach = F.max(F.struct("last", F.col("keeper.doc_id").alias("kept"))).over(before)
+    reach = F.max(F.struct("last", F.col("keeper.own").alias("kept"))).over(before)
     gap = F.col("ordinal") - F.col("reach.last") - 1
-    starts = F.col("reach").isNull() | (gap > GAP) | ((gap > 0) & (F.col("reach.kept") != F.col("keeper.doc_id")))
+    starts = F.col("reach").isNull() | (gap > GAP) | ((gap > 0) & (F.col("reach.kept") != F.col("keeper.own")))
     shared = shared.withColumn("reach", reach).withColumn("starts", starts.cast("int")).withColumn("island", F.sum("starts").over(place.rowsBetween(Window.unboundedPreceding, 0)))
     end = F.max(F.col("first") + F.col("length"))
-    passages = shared.groupBy("doc_id", "island").agg(
+    passages = shared.groupBy("row", "doc_id", "island").agg(
         F.min("first").alias("first_word"), end.alias("end_word"), (end - F.min("first")).alias("n_words"),
-        F.min("keeper.doc_id").alias("first_doc_id"), F.max((F.col("keeper.doc_id") != F.col("doc_id")) | (F.col("keeper.ordinal") != F.col("ordinal"))).alias("removed"),
+        F.min("keeper.doc_id").alias("first_doc_id"), F.max((F.col("keeper.own") != F.col("own")) | (F.col("keeper.ordinal") != F.col("ordinal"))).alias("removed"),
     )
-    return passages.filter(F.col("n_words") >= min_words).drop("island")
+    return passages.filter(F.col("n_words") >= min_words).drop("row", "island")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

@@ -54,3 +54,16 @@ def test_bands_leave_few_documents_open():
     for n, d, k in list(zip(bands.start, bands.d, bands.k))[8:]:
         empty = [k - len(np.unique(r.integers(0, k, n))) for _ in range(50)]
         assert np.mean([e >= k - d for e in empty]) < 0.35
+
+
+def test_null_and_repeated_ids(spark, tmp_path):
+    r = random.Random(3)
+    a, b, c, d, leak = (" ".join(f"w{r.randrange(10**6)}" for _ in range(60)) for _ in range(5))
+    rows = [(None, a), (None, b), (1, c), (1, d), (None, c), (2, leak), (None, leak + " x"), (7, a), (7, a)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    kept = sorted((tuple(x) for x in stages.near_duplicates(spark, docs, "").collect()), key=key)
+    assert kept == sorted([(None, b), (1, c), (1, d), (2, leak), (7, a)], key=key)
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    clean = sorted((tuple(x) for x in stages.decontaminate(spark, docs, str(tmp_path)).collect()), key=key)
+    assert clean == sorted([x for x in rows if leak not in x[1]], key=key)

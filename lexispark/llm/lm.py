@@ -13,9 +13,10 @@ Counting: documents are read in chunks; a chunk sends its distinct n-gram hashes
 bucket of hashes, and a bucket answers each chunk with the corpus counts of just those n-grams.  Counts and
 answers grow with the corpus and stay distributed; the driver sees the histograms and two totals.
 
-A chunk is named by its documents' ids, so both reads must cut the same chunks; that holds for a table read
-from files.  Other inputs are written to the shared folder first (`stored=False`).  A chunk without its
-answers stops the job rather than scoring wrongly.
+A chunk is named by a digest of its ids and texts, so both reads must cut the same chunks; that holds for a
+table read from files.  Other inputs are written to the shared folder first (`stored=False`).  A chunk without
+its answers stops the job rather than scoring wrongly.  Chunks with the same ids and texts (a table that holds a
+file twice) count twice and share their answers.
 
 Defined results: null and empty text is one token, the end; repeated rows count as often as they occur;
 without training rows all counts are 0; extra columns are ignored.
@@ -23,6 +24,7 @@ without training rows all counts are 0; extra columns are ignored.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import words as W
-from lexispark.llm.storage import Workspace, shuffle_partitions, training_row
+from lexispark.llm.storage import Workspace, bucket_count, training_row
 
 _U = np.uint64
 ORDER = 2
@@ -97,30 +99,48 @@ class Chunk:
         return out
 
 
-def _chunks(batch: pa.RecordBatch) -> Iterator[tuple[int, int, list, pa.Array]]:
-    """(role, chunk id, document ids, texts); columns: doc_id, text, role."""
-    roles = batch.column(2).to_numpy(zero_copy_only=False)
-    for role in np.unique(roles).tolist():
-        rows = batch.filter(pa.array(roles == role))
-        texts = rows.column(1).cast(pa.large_string()).fill_null("")
-        for s in W.slices(texts, CHUNK_BYTES, 1 << 16):
-            ids = rows.column(0).slice(s.lo, s.hi - s.lo).to_pylist()
-            name = W.mix(np.array([hash((role, len(s.data), tuple(ids))) & (2**64 - 1)], _U)).view(np.int64)[0]
-            yield role, int(name), ids, texts.slice(s.lo, s.hi - s.lo)
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, list, pa.Array]]:
+    """(role, chunk name, document ids, texts); columns: doc_id, text, role.  A role's rows fill a chunk across
+    batches, up to CHUNK_BYTES of text."""
+    ids: dict[int, list] = {}
+    texts: dict[int, list[pa.Array]] = {}
+    held: dict[int, int] = {}
+
+    def flush(role: int) -> tuple[int, int, list, pa.Array]:
+        own, column = ids.pop(role), pa.concat_arrays(texts.pop(role))
+        held.pop(role)
+        data, offsets = W.utf8(column)
+        digest = hashlib.blake2b(data.tobytes(), digest_size=8, key=f"{role}".encode())
+        digest.update(offsets.tobytes())
+        digest.update(repr(own).encode())
+        return role, int.from_bytes(digest.digest(), "little", signed=True), own, column
+
+    for batch in batches:
+        roles = batch.column(2).to_numpy(zero_copy_only=False)
+        for role in np.unique(roles).tolist():
+            rows = batch.filter(pa.array(roles == role))
+            column = rows.column(1).cast(pa.large_string()).fill_null("")
+            for s in W.slices(column, CHUNK_BYTES, 1 << 16):
+                if held.get(role, 0) + len(s.data) > CHUNK_BYTES and role in ids:
+                    yield flush(role)
+                ids.setdefault(role, []).extend(rows.column(0).slice(s.lo, s.hi - s.lo).to_pylist())
+                texts.setdefault(role, []).append(column.slice(s.lo, s.hi - s.lo))
+                held[role] = held.get(role, 0) + len(s.data)
+    for role in sorted(ids):
+        yield flush(role)
 
 
 def _ask(order: int, buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for role, name, ids, texts in _chunks(batch):
-                gram, count = np.unique(np.concatenate(Chunk(ids, texts).grams(order)), return_counts=True)
-                bucket = ((gram >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
-                edge = np.searchsorted(bucket, np.arange(buckets + 1))
-                used = np.flatnonzero(np.diff(edge))
-                keys = [planes64(np.diff(gram[edge[b] : edge[b + 1]], prepend=_U(0))) for b in used]
-                counts = [b"" if role == HELD_OUT else packed(count[edge[b] : edge[b + 1]]) for b in used]
-                n = len(used)
-                yield pa.record_batch([pa.array([name] * n, pa.int64()), pa.array([role] * n, pa.int32()), pa.array(used, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["chunk", "role", "bucket", "keys", "counts"])
+        for role, name, ids, texts in _chunks(batches):
+            gram, count = np.unique(np.concatenate(Chunk(ids, texts).grams(order)), return_counts=True)
+            bucket = ((gram >> _U(32)) * _U(buckets) >> _U(32)).astype(np.int64)
+            edge = np.searchsorted(bucket, np.arange(buckets + 1))
+            used = np.flatnonzero(np.diff(edge))
+            keys = [planes64(np.diff(gram[edge[b] : edge[b + 1]], prepend=_U(0))) for b in used]
+            counts = [b"" if role == HELD_OUT else packed(count[edge[b] : edge[b + 1]]) for b in used]
+            n = len(used)
+            yield pa.record_batch([pa.array([name] * n, pa.int64()), pa.array([role] * n, pa.int32()), pa.array(used, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.binary())], names=["chunk", "role", "bucket", "keys", "counts"])
 
     return run
 
@@ -145,10 +165,13 @@ def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     single = (key & _U(1)) == 1
     totals = [int((single & (everything > 0)).sum()), int(everything[single].sum()), int(part[single].sum())]
     yield pa.record_batch([pa.array([None], pa.int64()), pa.array([None], pa.int32()), pa.array([None], pa.binary()), pa.array([None], pa.binary()), pa.array([totals], pa.list_(pa.int64()))], names=["chunk", "bucket", "counts", "part", "totals"])
-    at = 0
+    at, answered = 0, set()
     for (chunk, bucket, role), k in zip(asked, keys, strict=True):
         own = inverse[at : at + len(k)]
         at += len(k)
+        if chunk in answered:  # equal chunks have one answer
+            continue
+        answered.add(chunk)
         yield pa.record_batch([pa.array([chunk], pa.int64()), pa.array([bucket], pa.int32()), pa.array([packed(everything[own])], pa.binary()), pa.array([packed(part[own]) if role == EM_PART else b""], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=["chunk", "bucket", "counts", "part", "totals"])
 
 
@@ -157,14 +180,13 @@ def _carry(roles: tuple[int, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = pa.Codec(_CODEC, compression_level=1)
-        for batch in batches:
-            for role, name, ids, texts in _chunks(batch):
-                if role in roles:
-                    data, offsets = W.utf8(texts)
-                    yield pa.record_batch([
-                        pa.array([name], pa.int64()), pa.array([role], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([offsets.tolist()], pa.list_(pa.int64())),
-                        pa.array([codec.compress(data.tobytes(), asbytes=True)], pa.binary()),
-                    ], names=["chunk", "role", "ids", "offsets", "data"])
+        for role, name, ids, texts in _chunks(batches):
+            if role in roles:
+                data, offsets = W.utf8(texts)
+                yield pa.record_batch([
+                    pa.array([name], pa.int64()), pa.array([role], pa.int32()), pa.array([ids], pa.list_(pa.int64())), pa.array([offsets.tolist()], pa.list_(pa.int64())),
+                    pa.array([codec.compress(data.tobytes(), asbytes=True)], pa.binary()),
+                ], names=["chunk", "role", "ids", "offsets", "data"])
 
     return run
 
@@ -278,10 +300,10 @@ def score(docs: DataFrame, order: int = ORDER, stored: bool = False, work: Works
     """Per row of `docs`: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
     spark = docs.sparkSession
     work = work or Workspace(spark, "lm")
-    parts = shuffle_partitions(spark)
     remainder = training_row(F.col("doc_id"), MODULUS)
     role = F.when(remainder == HELD_OUT, HELD_OUT).when(remainder == EM_PART, EM_PART).otherwise(2).cast("int")
     docs = docs.select("doc_id", "text") if stored else work.write(docs.select("doc_id", "text"), "documents")
+    parts = bucket_count(docs)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", role.alias("role"))
 
     asked = docs.mapInArrow(_ask(order, parts), "chunk long, role int, bucket int, keys binary, counts binary").repartitionById(parts, "bucket")

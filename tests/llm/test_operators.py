@@ -372,12 +372,37 @@ def test_contamination(docs, texts, spark):
             assert (r["n_words"], sorted(r["hits"]), sorted(r["items"])) == (len(w), sorted(hit), sorted(found))
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "alpha x beta gamma"), (2, "gamma beta alpha"), (3, "alpha y y y beta gamma")], "doc_id long, text string")
-    index = contamination.build_index(docs)
-    items = spark.createDataFrame([(1, "alpha beta gamma")], "item_id long, text string")
-    assert {r["doc_id"] for r in contamination.search(index, items, slop=1).collect() if r["items"]} == {1, 2}
-    assert not any(r["items"] for r in contamination.search(index, items).collect())
+def near_items(words, items, slop, size=10):
+    """Items with a window whose terms all lie, in any order, in some run of its length + slop words."""
+    found = set()
+    for item, w in items:
+        for k in range(max(1, len(w) - size + 1) if w else 0):
+            terms, span = set(w[k : k + size]), len(w[k : k + size]) + slop
+            if any(terms <= set(words[a : a + span]) for a in range(max(1, len(words) - span + 1))):
+                found.add(str(item))
+    return found
+
+
+@pytest.mark.parametrize("slop,size", [(0, 3), (1, 3), (3, 4), (2, 10)])
+def test_proximity(spark, slop, size):
+    rng = random.Random(slop)
+    texts = [" ".join(rng.choices("abcdefgh", k=rng.randrange(0, 60))) for _ in range(60)]
+    picks = [" ".join(rng.choices("abcdefgh", k=k)) for k in (1, 2, 3, 4, 5, 8, 12, 12)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame(list(enumerate(picks)), "item_id long, text string")
+    work = Workspace(spark, "t")
+    index = work.write(contamination.build_index(docs), "index")
+    for part_bytes in (1 << 20, 20):
+        for r in contamination.search(index, items, size, slop, part_bytes).collect():
+            assert set(r["near"]) == near_items(texts[r["doc_id"]].split(), [(i, p.split()) for i, p in enumerate(picks)], slop, size)
+
+
+def test_contamination_of_repeated_tables(spark):
+    docs = spark.createDataFrame([(i, f"alpha beta w{i} gamma") for i in range(50)], "doc_id long, text string")
+    items = spark.createDataFrame([(i, f"beta w{i}") for i in range(0, 50, 5)], "item_id long, text string")
+    for part_bytes in (1 << 20, 20):
+        got = contamination.contamination(docs.unionByName(docs), items, part_bytes=part_bytes).collect()
+        assert len(got) == 100 and sum(len(r["hits"]) == 2 for r in got) == 20
 
 
 def test_substrings(spark):

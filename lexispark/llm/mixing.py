@@ -8,7 +8,7 @@ misses its target by at most half a document.
 The prefix is found from totals of key bins and one ordered bin per source, never by sorting a source.
 
 Defined results: null text has size 0 and takes 0; a null source is a source of its own, last in order;
-rows with the same id share one key, hence one verdict; an empty table gives an empty result; extra columns
+rows with the same id share one key and go by size, those of the same size share one verdict; an empty table gives an empty result; extra columns
 stay where the caller's frame has them.
 """
 
@@ -40,12 +40,16 @@ def sampling_key(doc_id: Column, weight: Column, seed: int) -> Column:
     return -F.log((number.cast("double") + 1.0) / F.lit(float(1 << 52) + 2.0)) / weight
 
 
+def word_count(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+
+
 def sized(docs: DataFrame, weight: Column | None = None, seed: int = 1) -> DataFrame:
     """One narrow row per document: doc_id, source, size, key."""
     text = F.col("text")
     return docs.select(
         "doc_id", "source",
-        F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        word_count(text).alias("size"),
         sampling_key(F.col("doc_id"), quality_weight(text) if weight is None else weight, seed).alias("key"),
     )
 
@@ -80,13 +84,14 @@ def budgets(sizes: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, max_epo
 
 
 def key_bin(bins: int) -> Column:
-    """A bin number that rises with the key and fills evenly for weights near 1."""
-    return F.least(F.floor((F.lit(1.0) - F.exp(-F.col("key"))) * bins), F.lit(bins - 1)).cast("long")
+    """A bin number that rises with the key.  The logarithm of an exponential key has a density under 1/e whatever
+    the weight, so a bin holds at most about 1 / (e * bins) of a source's rows."""
+    return F.floor(F.log("key") * bins).cast("long")
 
 
 def plan(sizes: DataFrame, work: Workspace, weights: tuple[int, ...] = SOURCE_WEIGHTS, max_epochs: int = MAX_EPOCHS) -> tuple[DataFrame, int]:
     """Per source its budget and where its sample ends: documents in bins before cut_bin, and in cut_bin
-    those up to (cut_key, cut_id), take one epoch more.  Also returns the number of key bins."""
+    those up to `last` (key, id, size), take one epoch more.  Also returns the number of key bins."""
     bins = bin_count(sizes.count())
     goal = work.write(budgets(sizes, weights, max_epochs), "budgets")
     sums = sizes.groupBy("source", key_bin(bins).alias("bin")).agg(F.sum("size").alias("words"))
@@ -99,21 +104,21 @@ def plan(sizes: DataFrame, work: Workspace, weights: tuple[int, ...] = SOURCE_WE
         .select("source", F.col("c.bin").alias("cut_bin"), F.col("c.before").alias("before"), F.col("c.rest").alias("cut_rest"))
     )
     cut = work.write(cut, "cut_bins")
-    inside = Window.partitionBy("cut_source", "cut_bin").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("cut_source", "cut_bin").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     last = (
         sizes.withColumn("bin", key_bin(bins)).join(cut.withColumnRenamed("source", "cut_source"), F.col("source").eqNullSafe(F.col("cut_source")) & (F.col("bin") == F.col("cut_bin")))
         .withColumn("start", F.col("before") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
         .filter(2 * F.col("start") + F.col("size") <= 2 * F.col("cut_rest"))
-        .groupBy("cut_source").agg(F.max(F.struct("key", "doc_id")).alias("last"))
+        .groupBy("cut_source").agg(F.max(F.struct("key", "doc_id", "size")).alias("last"))
     )
     whole = goal.join(cut.select(F.col("source").alias("s2"), "cut_bin"), F.col("source").eqNullSafe(F.col("s2")), "left").join(last, F.col("source").eqNullSafe(F.col("cut_source")), "left")
     return work.write(whole.select("source", "source_size", "target", "epochs", "cut_bin", "last"), "plan"), bins
 
 
 def copies(rows: DataFrame, source_plan: DataFrame, bins: int) -> DataFrame:
-    """Add source_size, target and copies to rows that have source, key and doc_id."""
+    """Add source_size, target and copies to rows that have source, key, doc_id and size."""
     p = source_plan.withColumnRenamed("source", "plan_source")
-    extra = (key_bin(bins) < F.col("cut_bin")) | ((key_bin(bins) == F.col("cut_bin")) & (F.struct("key", "doc_id") <= F.col("last")))
+    extra = (key_bin(bins) < F.col("cut_bin")) | ((key_bin(bins) == F.col("cut_bin")) & (F.struct("key", "doc_id", "size") <= F.col("last")))
     more = F.when(F.col("cut_bin").isNull(), F.lit(1)).when(F.coalesce(extra, F.lit(False)), F.lit(1)).otherwise(F.lit(0))
     at_most = F.when(F.col("epochs") >= MAX_EPOCHS, F.lit(0)).otherwise(more)
     return rows.join(p, F.col("source").eqNullSafe(F.col("plan_source")), "left").withColumn("copies", (F.col("epochs") + at_most).cast("long")).drop("plan_source", "epochs", "cut_bin", "last")
@@ -125,7 +130,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = SOURCE_WEIGHTS, seed: int =
     sizes = work.write(sized(docs, seed=seed), "sizes")
     source_plan, bins = plan(sizes, work, weights)
     keep = [F.col(f"row.{c}").alias(c) for c in docs.columns]
-    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed).alias("key"))
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"), sampling_key(F.col("doc_id"), quality_weight(F.col("text")), seed).alias("key"))
     taken = copies(keyed, source_plan, bins).filter("copies > 0")
     return taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select(*keep)
 

@@ -2,20 +2,21 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-ROWS_PER_BIN = 20_000
-
 
 def uniform(*cols: Column, seed: int = 0) -> Column:
     """A deterministic number in [0, 1) from the given values."""
     return F.shiftrightunsigned(F.xxhash64(F.lit(seed), *cols), 11).cast("double") / F.lit(float(1 << 53))
 
 
-def bin_count(rows: int, rows_per_bin: int = ROWS_PER_BIN) -> int:
-    return max(1, -(-rows // rows_per_bin))
+def bin_count(rows: int) -> int:
+    """About as many bins as rows in a bin, so neither one bin nor the list of bins is large for one task."""
+    return max(1, math.isqrt(rows))
 
 
 def running_total(df: DataFrame, parts: list[str], bins: list[str], order: list[str], value: str, out: str) -> DataFrame:

@@ -19,7 +19,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lexispark.llm.prefix import ROWS_PER_BIN, bin_count, running_total, uniform
+from lexispark.llm.prefix import bin_count, running_total, uniform
 from lexispark.llm.storage import Workspace
 
 SHARDS = 16
@@ -95,17 +95,19 @@ def assign(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS, work: Wo
     groups = state.groupBy(*GROUP).agg(F.lit(True).alias("linked"))
     groups = groups.join(ends, GROUP, "left")
     doc_bins = base.withColumn("u", uniform(F.col("doc_id"), seed=5)).withColumn("b", F.floor(F.col("u") * bins)).withColumn("one", F.lit(1))
-    members = doc_bins.join(groups, GROUP, "left")
+    # written, so that a hot group's join may be split and its ranks are dealt out by bin, not by group
+    members = work.write(doc_bins.join(groups, GROUP, "left"), "members")
     linked_docs = running_total(members.filter("linked"), GROUP, ["b"], ["u", "doc_id"], "one", "rank")
     place = F.get(F.filter("ends", lambda e: e["upto"] > F.col("rank")), F.lit(0))
     linked_docs = linked_docs.withColumn("shard", place["shard"])
     single = members.filter("linked IS NULL").withColumn("rank", F.lit(0).cast("long")).withColumn("shard", F.lit(None).cast("int"))
     columns = ["doc_id", "size", "text_crc32", "group_hash", "u", "rank", "shard"]
     both = work.write(linked_docs.select(*columns).unionByName(single.select(*columns)), "placed")
+    work.drop("members", "kept", *[f"state{k}" for k in range(rounds + 1)])
 
     # everything without a shard fills the room that is left, copies next to each other
     loads = {r["shard"]: r["b"] for r in both.filter("shard IS NOT NULL").groupBy("shard").agg(F.sum("size").alias("b")).collect()}
-    filler = both.filter("shard IS NULL").drop("shard").withColumn("b1", F.floor(uniform(F.col("group_hash"), seed=7) * bins)).withColumn("b2", F.floor(F.col("rank") / ROWS_PER_BIN))
+    filler = both.filter("shard IS NULL").drop("shard").withColumn("b1", F.floor(uniform(F.col("group_hash"), seed=7) * bins)).withColumn("b2", F.floor(F.col("rank") / bins))
     filler = running_total(filler, [], ["b1", "b2"], ["group_hash", "text_crc32", "size", "rank", "u", "doc_id"], "size", "start")
     middle = F.col("start") + F.col("size") / 2
     edges, x = [], 0.0

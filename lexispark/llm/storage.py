@@ -9,20 +9,35 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+ARROW_BATCH = {"maxRecordsPerBatch": 2000, "maxBytesPerBatch": 8 << 20}  # of what goes to Python: a few MB of text, not tens
+BUCKET_BYTES = 32 << 20  # of text, for one Python task of a shuffle
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a local temporary one only where the setting is absent (tests)."""
+    """The cluster's shared folder.  Only a single machine (tests) may leave it unset and gets a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not configured:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         configured = tempfile.mkdtemp(prefix="lexispark-")
         spark.conf.set("spark.checkpoint.dir", configured)
     return configured.rstrip("/")
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the batches that go to Python by ARROW_BATCH, so that their memory follows neither the data nor the defaults."""
+    for name, most in ARROW_BATCH.items():
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
 class Workspace:
     """Names the written tables of one operator call, so that reruns never meet each other's files."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/lexispark/{name}-{uuid.uuid4().hex[:12]}"
 
     def write(self, df: DataFrame, table: str) -> DataFrame:
@@ -39,8 +54,11 @@ class Workspace:
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
+    """Buckets for a shuffle of what `docs` turns into: the session's partitions, or more where a bucket would
+    stand for over BUCKET_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
 
 
 def training_row(doc_id: Column, modulus: int) -> Column:

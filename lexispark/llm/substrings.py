@@ -31,7 +31,7 @@ from lexispark.llm import words as W
 from lexispark.llm.components import components
 from lexispark.llm.lm import unplanes64
 from lexispark.llm.parity_join import _pack, _verify
-from lexispark.llm.storage import Workspace, shuffle_partitions
+from lexispark.llm.storage import Workspace, bucket_count
 
 _U = np.uint64
 SHINGLE, PERCENT, RECALL, ROWS = 5, 80, 0.98, 2
@@ -201,7 +201,7 @@ def _segments_of(docs: DataFrame, classes: DataFrame, with_sets: bool) -> DataFr
 
 def links(docs: DataFrame, percent: int, bands: int, work: Workspace, chunk: int = CHUNK) -> tuple[DataFrame, DataFrame]:
     """The classes that meet, and (fp, root): linked classes with the smallest class they reach among those compared at once."""
-    parts = shuffle_partitions(docs.sparkSession)
+    parts = bucket_count(docs)
     packed = docs.select("text").mapInArrow(_band(bands, parts), "bucket int, keys binary, fps binary")
     met = work.write(packed.repartitionById(parts, "bucket").mapInArrow(_collide, "fp long, run long, members long"), "met")
     runs = work.write(met.filter("run IS NOT NULL").distinct(), "runs")

@@ -16,8 +16,7 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def tag_of(token: Column) -> Column:
-    low = F.lower(token)
+def _tag(token: Column, low: Column) -> Column:
     out = F.lit("NN")
     for suffix, tag in reversed(SUFFIXES):
         out = F.when(low.endswith(suffix), tag).otherwise(out)
@@ -25,8 +24,7 @@ def tag_of(token: Column) -> Column:
     return F.when(token.rlike(r"\A\p{Nd}+\z"), "CD").otherwise(out)
 
 
-def lemma_of(token: Column) -> Column:
-    low, tag = F.lower(token), tag_of(token)
+def _lemma(low: Column, tag: Column) -> Column:
     out = low
     for suffix, name in SUFFIXES:
         if suffix in STRIPPED:
@@ -34,9 +32,16 @@ def lemma_of(token: Column) -> Column:
     return out
 
 
+def analysed(tokens: Column) -> Column:
+    """array<struct<token, low, tag, lemma>>; every token is lower-cased and tagged once."""
+    lowered = F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lower(t).alias("low")))
+    marked = F.transform(lowered, lambda t: F.struct(t["token"].alias("token"), t["low"].alias("low"), _tag(t["token"], t["low"]).alias("tag")))
+    return F.transform(marked, lambda t: F.struct(t["token"].alias("token"), t["low"].alias("low"), t["tag"].alias("tag"), _lemma(t["low"], t["tag"]).alias("lemma")))
+
+
 def tagged_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), "lang", "source", tokenize(F.col("text")).alias("token"))
-    return rows.select("*", F.transform("token", tag_of).alias("tag"), F.transform("token", lemma_of).alias("lemma"))
+    rows = documents(spark, sf_dir).select(F.col("doc_id").alias("unit_id"), "lang", "source", analysed(tokenize(F.col("text"))).alias("a"))
+    return rows.select("unit_id", "lang", "source", *[F.col(f"a.{name}").alias(name) for name in ("token", "low", "tag", "lemma")])
 
 
 def tagged(spark: SparkSession, sf_dir: str) -> Corpus:
@@ -72,8 +77,8 @@ def sentence_markup(spark: SparkSession, sf_dir: str, words: bool = False, bare:
     def inner(line: Column) -> Column:
         if not words:
             return escaped(line)
-        one = lambda t: F.concat(F.lit('<w pos="'), tag_of(t), F.lit('" lemma="'), F.regexp_replace(escaped(lemma_of(t)), '"', "&quot;"), F.lit('">'), escaped(t), F.lit("</w>"))
-        return F.array_join(F.transform(tokenize(line), one), "")
+        one = lambda t: F.concat(F.lit('<w pos="'), t["tag"], F.lit('" lemma="'), F.regexp_replace(escaped(t["lemma"]), '"', "&quot;"), F.lit('">'), escaped(t["token"]), F.lit("</w>"))
+        return F.array_join(F.transform(analysed(tokenize(line)), one), "")
 
     def start(i: Column) -> Column:
         numbered = F.concat(F.lit('<sent n="'), (i + 1).cast("string"), F.lit('">'))
@@ -86,7 +91,9 @@ def sentence_markup(spark: SparkSession, sf_dir: str, words: bool = False, bare:
 
 
 def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, sent_id, src (n-th user turn), tgt (n-th assistant turn or null); sent_id = conv_id * 1000 + n."""
+    """conv_id, sent_id, src (n-th user turn), tgt (n-th assistant turn or null); sent_id = conv_id * 1000 + n.
+
+    A parallel corpus has two sides, so turns of other roles are neither."""
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     number = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn"))
     side = lambda role, name: turns.filter(F.col("role") == role).select("conv_id", number.alias("n"), F.col("text").alias(name))
@@ -94,13 +101,25 @@ def pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("conv_id", (F.col("conv_id") * 1000 + F.col("n")).alias("sent_id"), "src", "tgt")
 
 
-LEXICON = [
-    ("the", "A1"), ("of", "A1"), ("and", "A1"), ("to", "A1"), ("a", "A1"), ("in", "A1"), ("that", "A2"), ("is", "A1"), ("was", "A2"), ("it", "A1"),
-    ("for", "A1"), ("on", "A1"), ("are", "A1"), ("with", "A2"), ("as", "A2"), ("an", "A1"), ("this", "A1"), ("be", "A1"), ("by", "A2"), ("from", "A2"),
-    ("or", "A2"), ("or", "B1"), ("er", "C1"), ("re", "C2"), ("on", "B1"), ("th", "B2"), ("st", "C1"), ("en", "C2"), ("an", "B1"), ("ti", "C2"),
-]
+def side_markup(spark: SparkSession, sf_dir: str, side: str) -> DataFrame:
+    """doc_id, markup: one <sent n="sent_id"> per turn of one side ("src" or "tgt")."""
+    rows = pairs(spark, sf_dir).filter(F.col(side).isNotNull())
+    line = F.concat(F.lit('<sent n="'), F.col("sent_id").cast("string"), F.lit('">'), escaped(F.col(side)), F.lit("</sent>"))
+    packed = rows.groupBy(F.col("conv_id").alias("doc_id")).agg(F.array_sort(F.collect_list(F.struct("sent_id", line.alias("line")))).alias("s"))
+    return packed.select("doc_id", F.concat(F.lit("<text>"), F.array_join(F.col("s.line"), "\n"), F.lit("</text>")).alias("markup"))
+
+
+#: Occurrences in the reference texts from which a word has a level; the rest has the last.
+LEVELS = ((64, "A1"), (32, "A2"), (16, "B1"), (8, "B2"), (4, "C1"))
+LAST_LEVEL = "C2"
 
 
-def lexicon(spark: SparkSession) -> DataFrame:
-    """word, cefr, ipa; a made-up reference table of the size of such a table's excerpt."""
-    return spark.createDataFrame([(w, c, f"/{w}/") for w, c in LEXICON], "word string, cefr string, ipa string")
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """word, cefr, ipa of every word of `benchmark`, which stands for a reference word list: the level goes by the
+    word's frequency there, the transcription is the word without its vowels' marks."""
+    words = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.explode(tokenize(F.col("text"))).alias("token")).groupBy(F.lower("token").alias("word")).agg(F.count("*").alias("n"))
+    level = F.lit(LAST_LEVEL)
+    for least, name in reversed(LEVELS):
+        level = F.when(F.col("n") >= least, name).otherwise(level)
+    sound = F.concat(F.lit("/"), F.translate("word", "áàâäéèêëíìîïóòôöúùûüñç", "aaaaeeeeiiiioooouuuunc"), F.lit("/"))
+    return words.select("word", level.alias("cefr"), sound.alias("ipa"))

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import stats
 from lexispark.functions.text import is_word, pos_class
-from lexispark.operators.frequency import frequency_lower
 from lexispark.operators.search import Hits
 from lexispark.plans import pattern
 from lexispark.plans.corpus import Corpus
+from lexispark.plans.cut import cut
 
 KEY = ["word", "tag", "lemma"]
 
@@ -39,15 +39,35 @@ class Collocates:
         both = F.concat(side(0, "L"), side(1, "R"))
         return self.hits.rows.select("unit_id", "pos", F.explode(both).alias("c")).select("unit_id", "pos", "c.*")
 
+    @cached_property
+    def _everything(self) -> DataFrame:
+        """word, tag, lemma, obs_l, obs_r, nodes, total of one pass over the corpus, written: the collocates of the
+        matches; per word a row without tag and lemma with its `total`, whatever its tag; and one row without a
+        word with the number of matches in `nodes`."""
+        spot = lambda w, t, m, **n: F.struct(w.alias("word"), t.alias("tag"), m.alias("lemma"), *[F.lit(n.get(c, 0)).alias(c) for c in ("l", "r", "node", "total")])
+        none = F.lit(None).cast("string")
+        rows = self.hits.blocks.withColumn("z", F.arrays_zip("low", "tag", "lemma"))
+        one = lambda x, **n: spot(x["low"], x["tag"], x["lemma"], **n)
+
+        def around(i: Column) -> Column:
+            first, end = F.greatest(i - self.window, F.lit(0)), i + self.hits.length
+            left = F.transform(F.slice("z", first + 1, i - first), lambda x: one(x, l=1))
+            right = F.transform(F.slice("z", end + 1, F.lit(self.window)), lambda x: one(x, r=1))
+            return F.concat(left, right, F.array(spot(none, none, none, node=1)))
+
+        near = F.flatten(F.transform("found", around))
+        words = F.transform(self.corpus.core("low")[0], lambda w: spot(w, none, none, total=1))
+        counted = rows.select(F.explode(F.concat(near, words)).alias("c")).select("c.*").groupBy(*KEY)
+        return cut(counted.agg(F.sum("l").alias("obs_l"), F.sum("r").alias("obs_r"), F.sum("node").alias("nodes"), F.sum("total").alias("total")))
+
     def counts(self) -> DataFrame:
         """word, tag, lemma, obs_l, obs_r, observed."""
-        side = lambda s: F.count_if(F.col("side") == s)
-        counted = self.occurrences().groupBy(*KEY).agg(side("L").alias("obs_l"), side("R").alias("obs_r"))
-        return counted.filter(is_word(F.col("word"))).withColumn("observed", F.col("obs_l") + F.col("obs_r"))
+        seen = self._everything.withColumn("observed", F.col("obs_l") + F.col("obs_r")).filter((F.col("observed") > 0) & is_word(F.col("word")))
+        return seen.select(*KEY, "obs_l", "obs_r", "observed")
 
-    @cached_property
+    @property
     def node_frequency(self) -> int:
-        return self.hits.count
+        return int(self._everything.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0])
 
     def stats(self) -> DataFrame:
         """counts() with total_freq (of the word, whatever its tag), ll, mi, significance and direction.
@@ -55,9 +75,10 @@ class Collocates:
         The filters touch group keys only, so they come before the join; N and the totals stay those of the
         whole corpus."""
         counted = self._filtered(self.counts())
-        totals = frequency_lower(self.corpus).select(F.col("token_low").alias("word"), F.col("frequency").alias("total_freq"))
-        joined = counted.join(totals, "word", "left").withColumn("total_freq", F.coalesce("total_freq", F.lit(0)))
-        freq, size = F.lit(self.node_frequency), F.lit(self.corpus.size)
+        totals = self._everything.filter("total > 0").select("word", F.col("total").alias("total_freq"))
+        whole = self._everything.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("_nodes"), F.coalesce(F.sum("total"), F.lit(0)).alias("_size"))  # one row
+        joined = counted.join(totals, "word", "left").withColumn("total_freq", F.coalesce("total_freq", F.lit(0))).crossJoin(F.broadcast(whole))
+        freq, size = F.col("_nodes"), F.col("_size")
         k11 = F.col("observed")
         k12, k21 = freq - k11, F.col("total_freq") - k11
         ll = stats.log_likelihood(k11, k12, k21, size - (k11 + k12 + k21))

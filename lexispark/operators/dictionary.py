@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from lexispark.functions import stats
 from lexispark.functions.semantics import MISSING, NO_LEVEL, PER_MILLION, UNTAGGED
 from lexispark.functions.text import dictionary_link
-from lexispark.operators.frequency import frequency_lower
+from lexispark.operators.search import Hits
 from lexispark.plans.corpus import Corpus
+from lexispark.plans.cut import cut
 
 
 def forms(corpus: Corpus, word: str, per: int = PER_MILLION) -> DataFrame:
@@ -17,16 +18,18 @@ def forms(corpus: Corpus, word: str, per: int = PER_MILLION) -> DataFrame:
     token whatever its case, relative frequency, Zipf score and band.  A word that occurs without a usable
     lemma gives one untagged row."""
     low = word.lower()
-    # one distinct row per attested form: everything after works on types, not tokens
-    types = corpus.tokens("low", "tag", "lemma").distinct()
-    lemmas = types.filter(F.col("low") == low).select("lemma").filter(~F.col("lemma").isin(UNTAGGED, MISSING)).distinct()
+    types = cut(corpus.tokens("low", "tag", "lemma").groupBy("low", "tag", "lemma").agg(F.count("*").alias("n")))  # everything after works on types
+    size = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_size"))
+    usable = ~F.col("lemma").isin(UNTAGGED, MISSING)
+    own = types.filter(F.col("low") == low)
+    lemmas = own.filter(usable).select("lemma").distinct()
     sharing = types.join(lemmas, "lemma", "left_semi").select(F.col("low").alias("token"), "tag", F.lower("lemma").alias("lemma")).distinct()
-    fallback = types.filter(F.col("low") == low).limit(1).select(F.lit(low).alias("token"), F.lit(UNTAGGED).alias("tag"), F.lit(UNTAGGED).alias("lemma"))
-    fallback = fallback.join(sharing.limit(1).select(F.lit(low).alias("token"), F.lit(1).alias("found")), "token", "left_anti")
-    rows = sharing.unionByName(fallback)
-    totals = frequency_lower(corpus).withColumnRenamed("token_low", "token")
-    out = rows.join(totals, "token", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0)))
-    out = out.withColumn("relative_frequency", stats.relative_frequency(F.col("frequency"), F.lit(corpus.size), per)).withColumn("zipf", stats.zipf(F.col("relative_frequency")))
+    untagged = F.lit(UNTAGGED)
+    fallback = own.groupBy().agg(F.count("*").alias("forms"), F.count_if(usable).alias("with_lemma")).filter("forms > 0 AND with_lemma = 0")
+    rows = sharing.unionByName(fallback.select(F.lit(low).alias("token"), untagged.alias("tag"), untagged.alias("lemma")))
+    totals = types.groupBy(F.col("low").alias("token")).agg(F.sum("n").alias("frequency"))
+    out = rows.join(totals, "token", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0))).crossJoin(F.broadcast(size))
+    out = out.withColumn("relative_frequency", stats.relative_frequency(F.col("frequency"), F.col("_size"), per)).drop("_size").withColumn("zipf", stats.zipf(F.col("relative_frequency")))
     return out.withColumn("band", stats.zipf_band(F.col("zipf")))
 
 
@@ -41,6 +44,15 @@ def entry(corpus: Corpus, word: str, lexicon: DataFrame, lang: str = "en", per:
     return rows.withColumn("link", dictionary_link(F.col("token"), F.lit(lang)))
 
 
+def view(corpus: Corpus, word: str, lexicon: DataFrame, lang: str = "en", examples: int = 5, width: int = 7) -> DataFrame:
+    """The whole dictionary page as rows (part, token, detail): the forms with tag, lemma, level, transcription and
+    link; the related forms; the first example lines."""
+    forms_ = entry(corpus, word, lexicon, lang).select(F.lit("form").alias("part"), "token", F.concat_ws(" | ", "tag", "lemma", "cefr", "ipa", "link").alias("detail"))
+    others = related(corpus, word).select(F.lit("related").alias("part"), "token", F.lit("").alias("detail"))
+    lines = Hits(corpus, word).kwic(width, width, limit=examples).select(F.lit("example").alias("part"), F.col("node").alias("token"), F.concat_ws(" | ", "left", "right").alias("detail"))
+    return forms_.unionByName(others).unionByName(lines)
+
+
 def related(corpus: Corpus, word: str) -> DataFrame:
     """Distinct tokens that contain `word`, ignoring case, but for the word itself."""
     low = word.lower()

@@ -9,15 +9,21 @@ from lexispark.functions import stats
 from lexispark.functions.semantics import PER_MILLION, RAW_SHARE, STOPWORDS
 from lexispark.functions.text import is_word
 from lexispark.plans.corpus import Corpus
+from lexispark.plans.cut import cut
 
 
 def summary(corpus: Corpus, by: list[str] | None = None) -> DataFrame:
-    """n_tokens (all tokens), n_types (lower-case words), n_lemmas (as they stand, sentinels included)."""
+    """n_tokens (all tokens), n_types (lower-case words), n_lemmas (as they stand, sentinels included).
+
+    Tokens are counted into types once; the distinct counts work on those, one column at a time."""
     by = by or []
-    rows = corpus.tokens("low", "lemma")
-    return rows.groupBy(*by).agg(
-        F.count("*").alias("n_tokens"), F.count_distinct(F.when(is_word(F.col("low")), F.col("low"))).alias("n_types"), F.count_distinct("lemma").alias("n_lemmas")
-    )
+    types = cut(corpus.tokens("low", "lemma").groupBy(*by, "low", "lemma").agg(F.count("*").alias("n")))
+    words = types.groupBy(*by, "low").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.count_if(is_word(F.col("low"))).alias("n_types"))
+    lemmas = types.groupBy(*by, "lemma").agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count("*").alias("n_lemmas"))
+    if not by:
+        return words.crossJoin(F.broadcast(lemmas))  # a row each
+    same = [words[c].eqNullSafe(lemmas[c]) for c in by]
+    return words.join(lemmas, same).select(*[words[c] for c in by], "n_tokens", "n_types", "n_lemmas")
 
 
 def raw_mode(corpus: Corpus) -> DataFrame:
@@ -27,12 +33,14 @@ def raw_mode(corpus: Corpus) -> DataFrame:
 def frequency(corpus: Corpus, tagged: bool = False, by: list[str] | None = None, per: int = PER_MILLION, extra_punct: tuple[str, ...] = ()) -> DataFrame:
     """Words (case as written; with their tag if `tagged`), frequency and relative frequency.
 
-    Whether a token is a word is decided on the group's key after counting, once per type."""
+    Whether a token is a word is decided on the group's key after counting, once per type.  The corpus size is the
+    sum of the counts, so the corpus is read once."""
     keys = [*(by or []), "token", *(["tag"] if tagged else [])]
-    counted = corpus.tokens("token", *(["tag"] if tagged else [])).groupBy(*keys).agg(F.count("*").alias("frequency"))
+    counted = cut(corpus.tokens("token", *(["tag"] if tagged else [])).groupBy(*keys).agg(F.count("*").alias("frequency")))
+    size = counted.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("_size"))  # one row
     low = F.lower("token")
     kept = counted.filter(is_word(low) & ~low.isin(*extra_punct) & (F.col("token") != "")) if extra_punct else counted.filter(is_word(low) & (F.col("token") != ""))
-    return kept.withColumn("relative_frequency", stats.relative_frequency(F.col("frequency"), F.lit(corpus.size), per))
+    return kept.crossJoin(F.broadcast(size)).withColumn("relative_frequency", stats.relative_frequency(F.col("frequency"), F.col("_size"), per)).drop("_size")
 
 
 def frequency_lower(corpus: Corpus, by: list[str] | None = None) -> DataFrame:

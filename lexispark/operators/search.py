@@ -24,16 +24,20 @@ class Hits:
             raise ValueError("the query is longer than the corpus halo")
 
     @property
-    def rows(self) -> DataFrame:
-        """unit_id, kept columns, pos (within the unit), i (index in the arrays), and the arrays."""
+    def blocks(self) -> DataFrame:
+        """The corpus's blocks with `found`, the indices in the arrays at which matches begin."""
         if not self.terms:
             found: Column = F.array().cast("array<int>")
         else:
             test = pattern.at(self.terms, self.corpus.raw if any(t.structural for t in self.terms) else False)
             indices = F.when(F.col("core_len") > 0, F.sequence(F.col("core_from"), F.col("core_from") + F.col("core_len") - 1)).otherwise(F.array().cast("array<int>"))
             found = F.filter(indices, lambda i: test(i, lambda name, k: F.get(F.col(name), i + k)))
-        b = self.corpus.blocks
-        return b.select("unit_id", *self.corpus.keep, "start", *ARRAYS, F.explode(found).alias("i")).withColumn("pos", F.col("start") + F.col("i"))
+        return self.corpus.blocks.withColumn("found", found)
+
+    @property
+    def rows(self) -> DataFrame:
+        """unit_id, kept columns, pos (within the unit), i (index in the arrays), and the arrays."""
+        return self.blocks.select("unit_id", *self.corpus.keep, "start", *ARRAYS, F.explode("found").alias("i")).withColumn("pos", F.col("start") + F.col("i"))
 
     @cached_property
     def count(self) -> int:
@@ -133,6 +137,9 @@ class Hits:
 
 
 def translated(lines: DataFrame, sentences: DataFrame) -> DataFrame:
-    """Concordance lines with the translation of their sentence; sentences: unit_id, sent_id, text."""
-    joined = lines.join(sentences.select("unit_id", "sent_id", F.col("text").alias("translation")), ["unit_id", "sent_id"], "left")
+    """Concordance lines with the translation of their sentence; sentences: unit_id, sent_id, text, and `ordinal` if
+    their order is known.  Of several translations of one sentence the last counts (without an order, the greatest)."""
+    order = F.struct("ordinal", "text") if "ordinal" in sentences.columns else F.col("text")
+    last = sentences.groupBy("unit_id", "sent_id").agg(F.max_by("text", order).alias("translation"))
+    joined = lines.join(last, ["unit_id", "sent_id"], "left")
     return joined.withColumn("translation", F.coalesce("translation", F.lit(NO_TRANSLATION)))

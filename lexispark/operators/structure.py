@@ -2,22 +2,36 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-START_TAG = r"<[A-Za-z][A-Za-z0-9_.:-]*(?:\s[^<>]*)?>"
-ATTRIBUTE = r"""([A-Za-z_:][A-Za-z0-9_.:-]*)\s*=\s*"([^"]*)\""""
+#: What is no element: comments, CDATA sections, processing instructions, declarations.
+OTHER = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>"
+#: A start tag.  A quoted value may hold anything but its quote, also '>'.
+START_TAG = r"""<[\p{L}_:][^\s<>/="']*(?:\s(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)?>|<[\p{L}_:][^\s<>/="']*/>"""
+NAME = r"""<([^\s<>/="']+)"""
+#: Name, then the value in one of the two kinds of quotes.
+ATTRIBUTE = r"""\s([\p{L}_:][^\s<>/="']*)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
+#: The entities that markup defines by itself; the ampersand last.
+ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+
+
+def decoded(value: Column) -> Column:
+    for name, char in ENTITIES:
+        value = F.replace(value, F.lit(name), F.lit(char))
+    return value
 
 
 def attributes(markup: Column) -> Column:
     """array<struct<tag, attr, value>> from the start tags; a tag without attributes has one null attribute."""
-    tags = F.regexp_extract_all(markup, F.lit(START_TAG), F.lit(0))
+    tags = F.regexp_extract_all(F.regexp_replace(markup, OTHER, " "), F.lit(START_TAG), F.lit(0))
 
     def of(tag: Column) -> Column:
-        name = F.regexp_extract(tag, r"<([A-Za-z][A-Za-z0-9_.:-]*)", 1)
-        pairs = F.arrays_zip(F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(1)), F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(2)))
+        name = F.regexp_extract(tag, NAME, 1)
+        group = lambda k: F.regexp_extract_all(tag, F.lit(ATTRIBUTE), F.lit(k))
+        pairs = F.arrays_zip(group(1).alias("attr"), group(2).alias("double"), group(3).alias("single"))
         none = F.array(F.struct(name.alias("tag"), F.lit(None).cast("string").alias("attr"), F.lit(None).cast("string").alias("value")))
-        found = F.transform(pairs, lambda p: F.struct(name.alias("tag"), p["0"].alias("attr"), p["1"].alias("value")))
+        found = F.transform(pairs, lambda p: F.struct(name.alias("tag"), p["attr"].alias("attr"), decoded(F.concat(p["double"], p["single"])).alias("value")))
         return F.when(F.size(pairs) > 0, found).otherwise(none)
 
     return F.flatten(F.transform(tags, of))
@@ -26,9 +40,8 @@ def attributes(markup: Column) -> Column:
 def structure(df: DataFrame, markup: str, max_values: int = 20) -> DataFrame:
     """tag, attr, n_values (distinct) and values: the first `max_values` of them by name, comma-joined.
 
-    Values are made distinct before they are gathered, and only the smallest are gathered."""
-    from pyspark.sql import Window
-
+    Values are made distinct before they are gathered, and only the smallest are gathered.  Markup need not be
+    well-formed."""
     rows = df.select(F.explode(attributes(F.col(markup))).alias("a")).select("a.*").distinct()
     rank = F.row_number().over(Window.partitionBy("tag", "attr").orderBy("value"))
     ranked = rows.withColumn("rank", rank)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lexispark.fixtures import LEXICON
+from lexispark.fixtures import LAST_LEVEL, LEVELS
 from lexispark.functions.semantics import PUNCTUATION, STOPWORDS, TOKEN_RE
 
 
@@ -115,13 +115,17 @@ LINE_TOK = f"""{LINES},
 lt AS (SELECT doc_id, k, regexp_extract_all(line, '{RE}') AS t FROM lines1),
 lt1 AS (SELECT doc_id, k, generate_subscripts(t, 1) AS i, unnest(t) AS token FROM lt),
 lt2 AS (SELECT doc_id, k AS sent, row_number() OVER (PARTITION BY doc_id ORDER BY k, i) - 1 AS pos, token, lower(token) AS low, {TAGS} AS tag FROM lt1)"""
-LEX = "lex AS (SELECT word, min(cefr) AS cefr, min('/' || word || '/') AS ipa FROM (VALUES " + ", ".join(f"('{w}', '{c}')" for w, c in LEXICON) + ") v(word, cefr) GROUP BY word)"
+LEX = f"""lex AS (SELECT word, CASE {' '.join(f"WHEN n >= {least} THEN '{level}'" for least, level in LEVELS)} ELSE '{LAST_LEVEL}' END AS cefr,
+  '/' || translate(word, 'áàâäéèêëíìîïóòôöúùûüñç', 'aaaaeeeeiiiioooouuuunc') || '/' AS ipa
+  FROM (SELECT lower(token) AS word, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text, '{RE}')) AS token FROM benchmark) GROUP BY 1))"""
 RAW_LINES = r"array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(ltrim(x), '#')), chr(10))"
 ATTRS = r"""
-st AS (SELECT unnest(regexp_extract_all(markup, '<[A-Za-z][A-Za-z0-9_.:-]*(?:\s[^<>]*)?>')) AS s FROM src),
-tagged_attrs AS (SELECT regexp_extract(s, '<([A-Za-z][A-Za-z0-9_.:-]*)', 1) AS tag, regexp_extract_all(s, '([A-Za-z_:][A-Za-z0-9_.:-]*)\s*=\s*"([^"]*)"', 1) AS names,
-  regexp_extract_all(s, '([A-Za-z_:][A-Za-z0-9_.:-]*)\s*=\s*"([^"]*)"', 2) AS vals FROM st),
-flat AS (SELECT DISTINCT tag, unnest(names) AS attr, unnest(vals) AS value FROM tagged_attrs WHERE len(names) > 0 UNION ALL SELECT DISTINCT tag, NULL, NULL FROM tagged_attrs WHERE len(names) = 0),
+pieces AS (SELECT unnest(string_split(regexp_replace(markup, '(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>', ' ', 'g'), '<')[2:]) AS p FROM src),
+heads AS (SELECT regexp_extract(p, '^(?:[^"''>]|"[^"]*"|''[^'']*'')*>') AS h FROM pieces WHERE regexp_matches(p, '^[\p{L}_:]')),
+named AS (SELECT regexp_extract(h, '^[^\s/>=]+') AS tag, regexp_extract_all(h, '[^\s="''<>/]+\s*=\s*(?:"[^"]*"|''[^'']*'')') AS pairs FROM heads WHERE h <> ''),
+one AS (SELECT tag, len(pairs) AS n, unnest(CASE WHEN len(pairs) = 0 THEN [NULL] ELSE pairs END) AS pair FROM named),
+flat AS (SELECT DISTINCT tag, CASE WHEN n > 0 THEN trim(split_part(pair, '=', 1)) END AS attr,
+  CASE WHEN n > 0 THEN replace(replace(replace(replace(replace(trim(substr(pair, strpos(pair, '=') + 1))[2:-2], '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', chr(39)), '&amp;', '&') END AS value FROM one),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY tag, attr ORDER BY value) AS r FROM flat)
 SELECT tag, attr, count(value) AS n_values, coalesce(string_agg(value, ',' ORDER BY value) FILTER (r <= 20), '') AS "values" FROM ranked GROUP BY tag, attr"""
 ESCAPED = "replace(replace(replace({0}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -232,9 +236,26 @@ SQL = {
     "lexicon_cefr": f"{_with(TOK, LEX)} SELECT low AS token, count(*) AS frequency, coalesce(any_value(cefr), 'NA') AS cefr FROM tok LEFT JOIN lex ON word = low GROUP BY low",
     "lexicon_ipa": f"{_with(TOK, LEX)} SELECT low AS token, count(*) AS frequency, coalesce(any_value(ipa), 'NA') AS ipa FROM tok LEFT JOIN lex ON word = low GROUP BY low",
     "dictionary_entry": f"""{_with(TOK, SIZE, LEX)}, f AS (SELECT 'the' AS token, '##' AS tag, '##' AS lemma, count(*) AS frequency, round(count(*) / any_value(n) * 1000000, 4) AS relative_frequency FROM tok, size WHERE low = 'the'),
-      z AS (SELECT *, {ZIPF} AS zipf FROM f) SELECT z.*, {BAND} AS band, cefr, ipa, 'https://dictionary.cambridge.org/dictionary/english/the' AS link FROM z JOIN lex ON word = token""",
+      z AS (SELECT *, {ZIPF} AS zipf FROM f) SELECT z.*, {BAND} AS band, coalesce(cefr, 'NA') AS cefr, coalesce(ipa, 'NA') AS ipa, 'https://dictionary.cambridge.org/dictionary/english/the' AS link FROM z LEFT JOIN lex ON word = token""",
     "word_tags": f"{_with(TAGGED)} SELECT low AS token, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags, string_agg(DISTINCT lemma, ',' ORDER BY lemma) AS lemmas FROM tok WHERE low = 'thing' GROUP BY low",
     "tagset": f"{_with(TAGGED)} SELECT tag, count(*) AS frequency FROM tok GROUP BY tag",
     "markup_structure": f"WITH src AS (SELECT html AS markup FROM pages), {ATTRS}",
     "markup_structure_merged": f"{_with(MARKUP)}, src AS (SELECT html AS markup FROM pages UNION ALL SELECT markup FROM mk), {ATTRS}",
 }
+SQL |= {
+    "corpus_roundtrip": SQL["colloc_counts"],
+    "result_roundtrip": SQL["freq_lower"],
+    "corpus_union": f"""{_with(TAGGED, VERTICAL.format('###'))}, raw0 AS (SELECT doc_id, regexp_extract_all({RAW_LINES}, '{RE}') AS t FROM documents),
+      raw AS (SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token FROM raw0)
+      SELECT 'raw' AS format, doc_id, pos FROM raw WHERE lower(token) = 'the' UNION ALL SELECT 'vertical', doc_id, pos FROM vt WHERE lower(token) = 'the'""",
+    "src_whole_root": f"""WITH t AS (SELECT doc_id, regexp_extract_all(replace(text, chr(10), ' '), '{RE}') AS t FROM documents)
+      SELECT doc_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS token, 1::BIGINT AS sent FROM t""",
+    "parallel_markup": SQL["kwic_translation"],
+    "parallel_target_search": f"""{_with(PAIRS)}, pt AS (SELECT conv_id, sent_id, regexp_extract_all(tgt, '{RE}') AS t FROM pairs WHERE tgt IS NOT NULL),
+      pt1 AS (SELECT conv_id, sent_id, generate_subscripts(t, 1) AS i, unnest(t) AS token FROM pt),
+      tok AS (SELECT conv_id AS unit_id, row_number() OVER (PARTITION BY conv_id ORDER BY sent_id, i) - 1 AS pos, token FROM pt1)
+      SELECT unit_id, pos FROM tok WHERE lower(token) = 'the'""",
+    "dictionary_view": f"""SELECT 'form' AS part, token, concat_ws(' | ', tag, lemma, cefr, ipa, link) AS detail FROM ({SQL['dictionary_entry']})
+      UNION ALL SELECT 'related', token, '' FROM ({SQL['related_forms'].replace('thing', 'the')})
+      UNION ALL SELECT 'example', node, concat_ws(' | ', "left", "right") FROM ({SQL['kwic'].replace('LIMIT 100', 'LIMIT 5')})""",
+}

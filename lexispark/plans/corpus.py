@@ -8,13 +8,15 @@ several blocks.  With scope "corpus" all units form one sequence in the order of
 
 from __future__ import annotations
 
-from functools import cached_property
+import math
+from functools import cached_property, reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.semantics import RAW_SHARE, UNTAGGED
 from lexispark.functions.text import tokenize
+from lexispark.plans.cut import cut
 
 BLOCK, HALO = 8192, 64
 ARRAYS = ["token", "low", "tag", "lemma", "sent"]
@@ -44,12 +46,12 @@ class Corpus:
     # -- building -------------------------------------------------------------------------------------
     @classmethod
     def from_arrays(cls, units: DataFrame, keep: list[str] | None = None, block: int = BLOCK, halo: int = HALO, raw: bool | None = None) -> Corpus:
-        """units: unit_id, token array, and optionally tag, lemma (string arrays) and sent (long array)."""
+        """units: unit_id, token array, and optionally low, tag, lemma (string arrays) and sent (long array)."""
         keep = keep or []
         have = set(units.columns)
         n = F.size("token")
         filled = units.select(
-            "unit_id", *keep, "token", F.transform("token", F.lower).alias("low"),
+            "unit_id", *keep, "token", F.col("low") if "low" in have else F.transform("token", F.lower).alias("low"),
             F.col("tag") if "tag" in have else F.array_repeat(F.lit(UNTAGGED), n).alias("tag"),
             F.col("lemma") if "lemma" in have else F.array_repeat(F.lit(UNTAGGED), n).alias("lemma"),
             F.col("sent") if "sent" in have else F.array_repeat(F.lit(0).cast("long"), n).alias("sent"),
@@ -70,20 +72,39 @@ class Corpus:
         names = {"sent_id": "sent"}
         return cls.from_arrays(units.select("unit_id", *keep, *[F.col(f"t.{c}").alias(names.get(c, c)) for c in fields if c != "pos"]), keep, **options)
 
-    def as_one_sequence(self, unit_bins: int = 64) -> Corpus:
-        """Scope "corpus": one sequence over all units in the order of unit_id.  One shuffle, here only."""
-        tokens = self.positions(unit_bins)
-        core = F.floor(F.col("global_pos") / self.block)
-        inside = F.col("global_pos") - core * self.block
-        homes = F.filter(F.array(core, F.when(inside < self.halo, core - 1), F.when(inside >= self.block - self.halo, core + 1)), lambda b: b.isNotNull() & (b >= 0))
-        copies = tokens.withColumn("home", F.explode(homes))
-        packed = copies.groupBy("home").agg(
-            F.sum((F.col("home") == core).cast("int")).alias("core_len"), F.min(F.when(F.col("home") == core, F.col("global_pos"))).alias("begin"),
-            F.array_sort(F.collect_list(F.struct("global_pos", "token", "low", "tag", "lemma", "sent"))).alias("t"),
-        ).filter("core_len > 0")
+    @classmethod
+    def union(cls, corpora: dict[str, Corpus], label: str = "corpus") -> Corpus:
+        """One corpus of several, each unit labelled with its corpus's name.  Columns that all of them keep are kept;
+        unit ids of unlike types become strings.  Search, counts and concordances take the label as a kept column."""
+        parts = list(corpora.values())
+        keep = [c for c in parts[0].keep if all(c in p.keep for p in parts)]
+        types = {p.blocks.schema["unit_id"].dataType.simpleString() for p in parts}
+        unit = F.col("unit_id") if len(types) == 1 else F.col("unit_id").cast("string").alias("unit_id")
+        block, halo = max(p.block for p in parts), min(p.halo for p in parts)
+        raw = None if any(p._raw is None for p in parts) else parts[0]._raw if len({p._raw for p in parts}) == 1 else None
+        rows = [p.blocks.select(F.lit(name).alias(label), unit, *keep, "block", "start", "core_from", "core_len", *ARRAYS) for name, p in corpora.items()]
+        return cls(reduce(DataFrame.unionByName, rows), [label, *keep], block, halo, raw)
+
+    def as_one_sequence(self) -> Corpus:
+        """Scope "corpus": one sequence over all units in the order of unit_id.
+
+        Each block's own part is sliced for the new blocks that it reaches into, and those are put together: one
+        shuffle of array slices, here only."""
+        own = self.blocks.filter("core_len > 0").select("unit_id", (F.col("start") + F.col("core_from")).alias("pos"), "core_len", *self.core(*ARRAYS))
+        own = own.join(self._unit_starts(), "unit_id").withColumn("begin", F.col("unit_start") + F.col("pos"))
+        last = F.floor((F.col("begin") + F.col("core_len") - 1 + self.halo) / self.block)
+        first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("begin") - self.halo) / self.block))
+        home, block = F.col("home"), F.lit(self.block)
+        low = F.greatest(F.col("begin"), home * block - self.halo)
+        high = F.least(F.col("begin") + F.col("core_len"), (home + 1) * block + self.halo)
+        inside = F.greatest(F.lit(0), F.least(high, (home + 1) * block) - F.greatest(low, home * block))
+        slices = [F.slice(a, (low - F.col("begin") + 1).cast("int"), (high - low).cast("int")).alias(a) for a in ARRAYS]
+        pieces = own.withColumn("home", F.explode(F.sequence(first, last))).filter(high > low).select("home", inside.alias("inside"), F.struct(low.alias("low_pos"), *slices).alias("piece"))
+        packed = pieces.groupBy("home").agg(F.sum("inside").alias("core_len"), F.array_sort(F.collect_list("piece")).alias("t")).filter("core_len > 0")
+        begin = F.col("t.low_pos")[0]
         blocks = packed.select(
-            F.lit(0).cast("long").alias("unit_id"), F.col("home").cast("long").alias("block"), F.col("t.global_pos")[0].alias("start"),
-            (F.col("begin") - F.col("t.global_pos")[0]).cast("int").alias("core_from"), "core_len", *[F.col(f"t.{a}").alias(a) for a in ARRAYS],
+            F.lit(0).cast("long").alias("unit_id"), home.alias("block"), begin.alias("start"),
+            (home * block - begin).cast("int").alias("core_from"), F.col("core_len").cast("int").alias("core_len"), *[F.flatten(F.col(f"t.{a}")).alias(a) for a in ARRAYS],
         )
         return Corpus(blocks, [], self.block, self.halo, self._raw)
 
@@ -100,17 +121,21 @@ class Corpus:
         rows = zipped.select("unit_id", *self.keep, "first", F.posexplode(F.arrays_zip(*names)).alias("i", "t"))
         return rows.select("unit_id", *self.keep, (F.col("first") + F.col("i")).alias("pos"), *[F.col(f"t.{n}").alias(n) for n in names])
 
-    def positions(self, unit_bins: int = 64) -> DataFrame:
-        """tokens() with global_pos, the position in the sequence of all units; by totals of ranges of units,
-        then of units, so no task orders the corpus."""
+    def _unit_starts(self) -> DataFrame:
+        """unit_id and unit_start, the number of tokens in the units before: by totals of ranges of units, then of
+        units, so no task orders the corpus.  The ranges are written once, so that a lost task can't draw them anew."""
         sizes = self.blocks.groupBy("unit_id").agg(F.sum("core_len").alias("n"))
-        ranged = sizes.repartitionByRange(unit_bins, "unit_id").withColumn("bin", F.spark_partition_id())
-        ranged = ranged.persist()
-        bins = ranged.groupBy("bin").agg(F.sum("n").alias("n"))
-        before = bins.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("bin_start"))
+        sizes = cut(sizes)
+        bins = max(1, math.isqrt(sizes.count()))  # as many units in a range as ranges
+        ranged = cut(sizes.repartitionByRange(bins, "unit_id").withColumn("bin", F.spark_partition_id()))
+        totals = ranged.groupBy("bin").agg(F.sum("n").alias("n"))
+        before = totals.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("bin_start"))
         inside = F.coalesce(F.sum("n").over(Window.partitionBy("bin").orderBy("unit_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        starts = ranged.withColumn("inside", inside).join(before, "bin").select("unit_id", (F.col("bin_start") + F.col("inside")).alias("unit_start"))
-        return self.tokens().join(starts, "unit_id").withColumn("global_pos", F.col("unit_start") + F.col("pos")).drop("unit_start")
+        return ranged.withColumn("inside", inside).join(F.broadcast(before), "bin").select("unit_id", (F.col("bin_start") + F.col("inside")).alias("unit_start"))
+
+    def positions(self) -> DataFrame:
+        """tokens() with global_pos, the position in the sequence of all units."""
+        return self.tokens().join(self._unit_starts(), "unit_id").withColumn("global_pos", F.col("unit_start") + F.col("pos")).drop("unit_start")
 
     # -- facts ----------------------------------------------------------------------------------------
     @cached_property
@@ -128,12 +153,18 @@ class Corpus:
         self.blocks = self.blocks.persist()
         return self
 
-    def write(self, path: str) -> None:
-        """Keep the blocks; `Corpus.read` opens them again."""
-        self.blocks.write.mode("overwrite").parquet(path)
+    def write(self, path: str, partition_by: list[str] | None = None) -> None:
+        """Keep the blocks, by kept columns if wanted, and what `Corpus.read` needs to open them: block and halo
+        size, whether the corpus is raw, its number of tokens."""
+        self.blocks.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{path}/blocks")
+        spark = self.blocks.sparkSession
+        stored = Corpus(spark.read.parquet(f"{path}/blocks"), self.keep, self.block, self.halo, self._raw)
+        facts = [(self.block, self.halo, stored.raw, stored.size, self.keep)]
+        spark.createDataFrame(facts, "block int, halo int, raw boolean, size long, keep array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
 
     @classmethod
-    def read(cls, spark, path: str, **options) -> Corpus:
-        blocks = spark.read.parquet(path)
-        fixed = {"unit_id", "block", "start", "core_from", "core_len", *ARRAYS}
-        return cls(blocks, [c for c in blocks.columns if c not in fixed], **options)
+    def read(cls, spark: SparkSession, path: str) -> Corpus:
+        facts = spark.read.parquet(f"{path}/facts").first()
+        corpus = cls(spark.read.parquet(f"{path}/blocks"), facts["keep"], facts["block"], facts["halo"], facts["raw"])
+        corpus.size = facts["size"]
+        return corpus

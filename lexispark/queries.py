@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,8 @@ from lexispark.operators import dictionary, frequency, ngram, structure
 from lexispark.operators.collocation import Collocates
 from lexispark.operators.search import Hits
 from lexispark.plans.corpus import Corpus
+from lexispark.plans.cut import scratch
+from lexispark.sinks import write_table
 from lexispark.sources import markup, parallel, plain
 
 NODE, PHRASE = "the", "of the"
@@ -67,10 +71,38 @@ def markup_lang(spark: SparkSession, d: str) -> DataFrame:
     return docs.unionByName(pages)
 
 
+def _two_formats(spark: SparkSession, d: str) -> Corpus:
+    return Corpus.union({"raw": plain.raw_corpus(fixtures.documents(spark, d)), "vertical": plain.vertical_corpus(fixtures.vertical_text(spark, d))}, "format")
+
+
 def multi_source_union(spark: SparkSession, d: str) -> DataFrame:
-    docs = plain.raw_corpus(fixtures.documents(spark, d)).tokens("token", "tag").select(F.lit("raw").alias("format"), F.col("unit_id").cast("string").alias("unit_id"), "token", "tag")
-    vertical = plain.vertical_corpus(fixtures.vertical_text(spark, d)).tokens("token", "tag").select(F.lit("vertical").alias("format"), F.col("unit_id").cast("string").alias("unit_id"), "token", "tag")
-    return docs.unionByName(vertical).groupBy("format", "unit_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("tag").alias("n_tags"))
+    rows = _two_formats(spark, d).tokens("tag").withColumn("unit_id", F.col("unit_id").cast("string"))
+    return rows.groupBy("format", "unit_id").agg(F.count("*").alias("n_tokens"), F.count_distinct("tag").alias("n_tags"))
+
+
+def corpus_union(spark: SparkSession, d: str) -> DataFrame:
+    """Hits in a union of corpora, by their labels."""
+    return Hits(_two_formats(spark, d), NODE).positions().select("format", F.col("unit_id").alias("doc_id"), "pos")
+
+
+def corpus_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """Collocates in a corpus that was written, partitioned by language, and read again."""
+    path = f"{scratch(spark)}/corpus-{uuid.uuid4().hex[:12]}"
+    fixtures.tagged(spark, d).write(path, ["lang"])
+    return Collocates(Corpus.read(spark, path), NODE).counts()
+
+
+def result_roundtrip(spark: SparkSession, d: str) -> DataFrame:
+    """A frequency list that was saved as CSV and read again."""
+    path = f"{scratch(spark)}/freq-{uuid.uuid4().hex[:12]}"
+    write_table(frequency.frequency_lower(fixtures.raw(spark, d)), path, "csv")
+    return spark.read.schema("token_low string, frequency long").option("header", True).option("escape", '"').csv(path)
+
+
+def whole_root(spark: SparkSession, d: str) -> DataFrame:
+    """Markup without sentence elements: the root is the only sentence."""
+    whole = fixtures.documents(spark, d).select("doc_id", F.concat(F.lit("<text>"), fixtures.escaped(F.regexp_replace("text", "\n", " ")), F.lit("</text>")).alias("markup"))
+    return _tokens(markup.markup_corpus(whole), "token", "sent")
 
 
 def format_detect(spark: SparkSession, d: str) -> DataFrame:
@@ -96,6 +128,17 @@ def parallel_summary(spark: SparkSession, d: str) -> DataFrame:
     return parallel.ParallelCorpus.from_pairs(fixtures.pairs(spark, d).filter("src IS NOT NULL AND tgt IS NOT NULL"), "conv_id", "sent_id", "src", "tgt").summary()
 
 
+def parallel_markup(spark: SparkSession, d: str) -> DataFrame:
+    """Two marked-up files as a parallel corpus; the source sentences that have a translation or none."""
+    p = parallel.ParallelCorpus.from_markup(fixtures.side_markup(spark, d, "src"), fixtures.side_markup(spark, d, "tgt"))
+    return p.kwic(NODE, limit=None).select("unit_id", "pos", "sent_id", "left", "node", "right", "translation")
+
+
+def parallel_target_search(spark: SparkSession, d: str) -> DataFrame:
+    p = parallel.ParallelCorpus.from_pairs(fixtures.pairs(spark, d), "conv_id", "sent_id", "src", "tgt")
+    return Hits(p.target(), NODE).positions().select("unit_id", "pos")
+
+
 def kwic_translation(spark: SparkSession, d: str) -> DataFrame:
     p = parallel.ParallelCorpus.from_pairs(fixtures.pairs(spark, d).filter("src IS NOT NULL"), "conv_id", "sent_id", "src", "tgt")
     return p.kwic(NODE, limit=None).select("unit_id", "pos", "sent_id", "left", "node", "right", "translation")
@@ -187,7 +230,8 @@ def kwic(spark: SparkSession, d: str) -> DataFrame:
 
 
 def kwic_all(spark: SparkSession, d: str) -> DataFrame:
-    return Hits(fixtures.raw(spark, d), PHRASE).kwic(limit=None).select(F.col("unit_id").alias("doc_id"), F.lit("documents").alias("corpus"), "pos", "left", "node", "right")
+    labelled = Corpus.union({"documents": fixtures.raw(spark, d)})
+    return Hits(labelled, PHRASE).kwic(limit=None).select(F.col("unit_id").alias("doc_id"), "corpus", "pos", "left", "node", "right")
 
 
 def kwic_pattern(spark: SparkSession, d: str) -> DataFrame:
@@ -284,16 +328,20 @@ def related_forms(spark: SparkSession, d: str) -> DataFrame:
 
 def lexicon_cefr(spark: SparkSession, d: str) -> DataFrame:
     words = frequency.frequency_lower(fixtures.raw(spark, d)).select(F.col("token_low").alias("token"), "frequency")
-    return dictionary.with_lexicon(words, fixtures.lexicon(spark), "cefr")
+    return dictionary.with_lexicon(words, fixtures.lexicon(spark, d), "cefr")
 
 
 def lexicon_ipa(spark: SparkSession, d: str) -> DataFrame:
     words = frequency.frequency_lower(fixtures.raw(spark, d)).select(F.col("token_low").alias("token"), "frequency")
-    return dictionary.with_lexicon(words, fixtures.lexicon(spark), "ipa")
+    return dictionary.with_lexicon(words, fixtures.lexicon(spark, d), "ipa")
 
 
 def dictionary_entry(spark: SparkSession, d: str) -> DataFrame:
-    return dictionary.entry(fixtures.raw(spark, d), NODE, fixtures.lexicon(spark))
+    return dictionary.entry(fixtures.raw(spark, d), NODE, fixtures.lexicon(spark, d))
+
+
+def dictionary_view(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.view(fixtures.raw(spark, d), NODE, fixtures.lexicon(spark, d))
 
 
 def word_tags(spark: SparkSession, d: str) -> DataFrame:
@@ -329,5 +377,7 @@ QUERIES = {
     "colloc_pos_pattern": colloc_pos_pattern, "colloc_pos_list": colloc_pos_list, "colloc_examples_ll": colloc_examples_ll,
     "colloc_examples_mi": colloc_examples_mi, "colloc_graph_nodes": colloc_graph_nodes, "colloc_graph_edges": colloc_graph_edges,
     "lemma_forms": lemma_forms, "related_forms": related_forms, "lexicon_cefr": lexicon_cefr, "lexicon_ipa": lexicon_ipa, "dictionary_entry": dictionary_entry,
+    "dictionary_view": dictionary_view, "corpus_union": corpus_union, "corpus_roundtrip": corpus_roundtrip, "result_roundtrip": result_roundtrip,
+    "src_whole_root": whole_root, "parallel_markup": parallel_markup, "parallel_target_search": parallel_target_search,
     "word_tags": word_tags, "tagset": tagset, "markup_structure": markup_structure, "markup_structure_merged": markup_structure_merged,
 }

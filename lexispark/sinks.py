@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame
 
 
 def write_table(df: DataFrame, path: str, format: str = "parquet", mode: str = "error") -> None:
-    """Write a result as Parquet or as CSV with a header."""
+    """Write a result as Parquet or as CSV with a header, quotes doubled and blanks kept."""
     writer = df.write.mode(mode)
     if format == "csv":
-        writer.option("header", True).csv(path)
+        plain = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+        writer.options(**plain).csv(path)
     elif format == "parquet":
         writer.parquet(path)
     else:

@@ -1,25 +1,30 @@
 """Quality rules with risk-controlled thresholds.
 
-Each rule is a ratio of a document's own counts, rejecting above a cutoff.  Cutoffs are selected per stratum
-on labelled holdout rows: a cutoff is admissible when the exact binomial (Clopper-Pearson) upper bound of its
-false-rejection rate among good documents is at most `risk`, at confidence 1 - delta / (strata x rules x
-cutoffs), so that all selected cutoffs hold together.  Among admissible cutoffs the one that rejects most bad
-holdout documents is taken, the laxest of equals; a rule without one stays off in that stratum.
+Each rule is a ratio of a document's own counts, rejecting above a cutoff.  The risk that is controlled is that of
+the joint verdict: in each stratum, of the good documents at most a share `risk` is rejected by any rule, with
+confidence 1 - delta for all strata together.
 
-The holdout is counted in Spark: per stratum, rule and cutoff, how many good and bad rows exceed it.  Only
-these counts reach the driver.
+The labelled holdout is cut in two halves by a hash of the text.  On the first, cutoffs are tightened one at a time,
+always where most bad documents go for each good one; that gives a sequence of settings from lax to strict.  On the
+second, the settings are tested in that order by the exact binomial (Clopper-Pearson) upper bound of their rate of
+false rejections, at level delta / strata, until one fails: a fixed sequence needs no further correction for the
+number of its tests.  The last setting that passed is used; a stratum where the first one fails has no rules.
+
+The holdout is counted in Spark: per stratum, half and label, how many documents exceed how many cutoffs of each rule.
+Only these counts reach the driver.  Copies (equal words) count once, as good ones if any label says so.
 
 Strata are classes of length (powers of four of the word count), known for every document.
 
 Defined results: null, empty or blank text has no words and fails the base rule; repeated rows get equal
-verdicts; without labels no rule rejects; several labels of one document count as several findings; extra
-columns are ignored.
+verdicts; without labels no rule rejects; of several labels of one document the good one counts; extra columns
+are ignored.
 """
 
 from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +36,8 @@ from lexispark.llm.storage import Workspace
 
 RISK, DELTA = 0.01, 0.05
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 10, 20, 5
-COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper"]
+COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_upper", "digest"]
+HALVES = 2
 _SYMBOLS = b"#*$%&|<>"
 _BLANK = b"\t\n\x0b\x0c\r "
 _UPPER = bytes(range(65, 91))
@@ -91,13 +97,16 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for s in W.slices(batch.column(1)):
             w = W.words(s, lower=False)
             repeat = repeated_words(w, WINDOW)
+            placed = W.mix(w.hash + (np.arange(len(w.hash)) - w.first[w.doc]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(placed, dtype=np.uint64)))
+            digest = (sums[w.first[1:]] - sums[w.first[:-1]]).view(np.int64).tolist()
             rows = []
             for d, (a, b) in enumerate(zip(s.offsets[:-1].tolist(), s.offsets[1:].tolist(), strict=True)):
                 text = s.data[a:b].tobytes()
                 solid = text.translate(None, _BLANK)
                 points = len(solid) - int(np.count_nonzero((s.data[a:b] & 0xC0) == 0x80))
                 lines, dup = line_counts(text)
-                rows.append((int(w.per_doc[d]), points, len(solid) - len(solid.translate(None, _SYMBOLS)), dup, int(repeat[d]), lines, len(solid) - len(solid.translate(None, _UPPER))))
+                rows.append((int(w.per_doc[d]), points, len(solid) - len(solid.translate(None, _SYMBOLS)), dup, int(repeat[d]), lines, len(solid) - len(solid.translate(None, _UPPER)), digest[d]))
             yield pa.record_batch([batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), *[pa.array([r[i] for r in rows], pa.int64()) for i in range(len(COUNTS))]], names=["doc_id", *COUNTS])
 
 
@@ -129,31 +138,66 @@ def upper_bound(k: int, n: int, level: float) -> float:
     return hi
 
 
-def select_cutoffs(counts: list[dict], risk: float, delta: float) -> dict[tuple[int, str], float]:
-    """(stratum, rule) -> cutoff.  `counts` has stratum, rule, cutoff, good, good_above, bad_above."""
-    level = delta / max(1, len(counts))
-    best: dict[tuple[int, str], tuple[int, float]] = {}
-    for c in counts:
-        # a count over the allowed rate can't have an upper bound under it
-        if c["bad_above"] and c["good_above"] <= risk * c["good"] and upper_bound(c["good_above"], c["good"], level) <= risk:
-            key = (c["stratum"], c["rule"])
-            best[key] = max(best.get(key, (0, 0.0)), (c["bad_above"], c["cutoff"]))
-    return {k: cutoff for k, (_, cutoff) in best.items()}
+def rejected(exceeded: np.ndarray, setting: list[int], sizes: list[int]) -> np.ndarray:
+    """Which rows some rule rejects.  `exceeded` has the number of cutoffs that a row exceeds, per rule; a setting has the
+    number of cutoffs in force, counted from the laxest (0: the rule is off)."""
+    return (exceeded + np.array(setting) > np.array(sizes)).any(axis=1)
+
+
+def settings(exceeded: np.ndarray, good: np.ndarray, bad: np.ndarray, sizes: list[int]) -> Iterator[list[int]]:
+    """Settings from lax to strict.  Each tightens one rule, to where most bad rows go for each good one."""
+    now = [0] * len(sizes)
+    out = rejected(exceeded, now, sizes)
+    while True:
+        best = None
+        for r, size in enumerate(sizes):
+            for v in range(now[r] + 1, size + 1):
+                then = [*now[:r], v, *now[r + 1 :]]
+                new = rejected(exceeded, then, sizes) & ~out
+                gain = (bad[new].sum() / (good[new].sum() + 0.5), bad[new].sum(), -r, -v)
+                if bad[new].sum() and (best is None or gain > best[0]):
+                    best = gain, then
+        if best is None:
+            return
+        now = best[1]
+        out = rejected(exceeded, now, sizes)
+        yield now
+
+
+def select(exceeded: np.ndarray, counts: np.ndarray, sizes: list[int], risk: float, level: float) -> list[int]:
+    """The last setting of the sequence that passes.  `counts` is (rows, half, label): how many holdout documents each
+    row of `exceeded` stands for, labels bad and good."""
+    passed = [0] * len(sizes)
+    total = int(counts[:, 1, 1].sum())
+    for setting in settings(exceeded, counts[:, 0, 1], counts[:, 0, 0], sizes):
+        wrong = int(counts[rejected(exceeded, setting, sizes), 1, 1].sum())
+        if wrong > risk * total or upper_bound(wrong, total, level) > risk:
+            break
+        passed = setting
+    return passed
 
 
 def calibrate(measured: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA) -> dict[tuple[int, str], float]:
-    holdout = measured.filter(~base_failed()).join(labels.filter("quality IS NOT NULL").select("doc_id", "quality"), "doc_id").withColumn("stratum", stratum())
-    tests = [(name, cutoff, ratio > cutoff) for name, (ratio, cutoffs) in rules().items() for cutoff in cutoffs]
-    good, bad = F.col("quality") == 1, F.col("quality") == 0
-    aggs = [F.sum(good.cast("long")).alias("good")]
-    for i, (_, _, above) in enumerate(tests):
-        aggs += [F.sum((good & above).cast("long")).alias(f"g{i}"), F.sum((bad & above).cast("long")).alias(f"b{i}")]
-    counts = [
-        {"stratum": r["stratum"], "rule": name, "cutoff": cutoff, "good": r["good"], "good_above": r[f"g{i}"], "bad_above": r[f"b{i}"]}
-        for r in holdout.groupBy("stratum").agg(*aggs).collect()  # at most nine rows
-        for i, (name, cutoff, _) in enumerate(tests)
-    ]
-    return select_cutoffs(counts, risk, delta)
+    """(stratum, rule) -> cutoff."""
+    known = labels.filter("quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    table = rules()
+    exceeded = [reduce(lambda c, x: c + (ratio > x).cast("int"), cutoffs, F.lit(0)).alias(name) for name, (ratio, cutoffs) in table.items()]
+    holdout = measured.filter(~base_failed()).select("doc_id", "digest", stratum().alias("stratum"), *exceeded).join(known, "doc_id")
+    once = holdout.groupBy("digest", "stratum", *table).agg(F.max("quality").alias("quality")).withColumn("half", F.pmod(F.xxhash64(F.lit(41), "digest"), F.lit(HALVES)))
+    rows = once.groupBy("stratum", "half", "quality", *table).count().collect()  # strata x halves x labels x levels of the rules
+    sizes = [len(cutoffs) for _, cutoffs in table.values()]
+    strata = sorted({r["stratum"] for r in rows})
+    found = {}
+    for s in strata:
+        own = [r for r in rows if r["stratum"] == s and r["quality"] in (0, 1)]
+        cells = sorted({tuple(r[name] for name in table) for r in own})
+        number = {c: i for i, c in enumerate(cells)}
+        counts = np.zeros((len(cells), HALVES, 2), np.int64)
+        for r in own:
+            counts[number[tuple(r[name] for name in table)], r["half"], r["quality"]] += r["count"]
+        setting = select(np.array(cells).reshape(-1, len(sizes)), counts, sizes, risk, delta / len(strata))
+        found |= {(s, name): cutoffs[-v] for v, (name, (_, cutoffs)) in zip(setting, table.items(), strict=True) if v}
+    return found
 
 
 def verdicts(measured: DataFrame, cutoffs: dict[tuple[int, str], float]) -> DataFrame:
@@ -163,7 +207,7 @@ def verdicts(measured: DataFrame, cutoffs: dict[tuple[int, str], float]) -> Data
         for (s, rule), cutoff in cutoffs.items():
             if rule == name:
                 rejected = rejected | ((stratum() == s) & (ratio > cutoff))
-    return measured.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
+    return measured.drop("digest").withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejected)
 
 
 def quality(docs: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, work: Workspace | None = None) -> DataFrame:

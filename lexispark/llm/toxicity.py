@@ -1,6 +1,6 @@
 """Toxicity by weak supervision.
 
-1. A lexicon is extended with words that labelled toxic training texts share and clean ones lack.
+1. A lexicon is extended with words that labelled toxic training texts share and clean ones lack, counted over all of them.
 2. Voters (lexicon and pattern tests) give each document a bit mask.  Spark counts the masks of all training
    rows; there are at most 2**voters of them.
 3. A generative label model is fitted to those counts by EM: a hidden label, and voters that depend on it and,
@@ -16,6 +16,7 @@ equal scores; null labels are ignored; extra columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,10 @@ from lexispark.llm.storage import Workspace, training_row
 
 MODULUS, HELD_OUT = 5, 0
 SAMPLE_PER_SIDE = 3000
-LEXICON_ROWS = 6000  # labelled rows of each class from which words are learned
+LEXICON_WORDS = 20_000  # learned at most: a bound of the model's size
+MARGIN = 3.0  # of the log of the chance that any word of the vocabulary is learned wrongly
+COUNTED = 1 << 21
+BROADCAST_IDS = 1_000_000  # 16 MB of labelled ids
 SLOTS = 1 << 16
 DEFAULT_PRIOR = 0.05
 _U = np.uint64
@@ -103,45 +107,71 @@ class Voting:
         return votes, np.stack([np.log1p(hits), np.log1p(kinds), np.minimum(density * 20, 3)], axis=1), w
 
 
-def _word_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word hash, toxic documents, clean documents) of each batch."""
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each text's smallest shingle hash (0 without words), label and distinct words."""
     for batch in batches:
-        toxic = batch.column(1).to_numpy(zero_copy_only=False).astype(np.int64)
         for s in W.slices(batch.column(0)):
             w = W.words(s, LETTERS)
-            pair = np.unique(np.stack((w.hash, w.doc.astype(_U))), axis=1)
-            h, at = np.unique(pair[0], return_inverse=True)
-            t = np.bincount(at, toxic[s.lo + pair[1].astype(np.int64)], len(h)).astype(np.int64)
-            yield pa.record_batch([pa.array(h.view(np.int64)), pa.array(t), pa.array(np.bincount(at, minlength=len(h)) - t)], names=["word", "toxic", "clean"])
-
-
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Add each text's smallest shingle hash (0 without words)."""
-    for batch in batches:
-        for s in W.slices(batch.column(0)):
-            doc, h = W.shingles(W.words(s), 4)
+            doc, h = W.shingles(w, 4)
             order = np.lexsort((h, doc))
             first = order[np.flatnonzero(np.diff(doc[order], prepend=-1))]
             digest = np.zeros(s.hi - s.lo, np.int64)
             digest[doc[first]] = h[first].view(np.int64)
-            yield pa.record_batch([batch.column(i).slice(s.lo, s.hi - s.lo) for i in (0, 1)] + [pa.array(digest)], names=["text", "toxic", "digest"])
+            order = np.lexsort((w.hash, w.doc))
+            d, h = w.doc[order], w.hash[order]
+            fresh = np.ones(len(d), bool)
+            fresh[1:] = (d[1:] != d[:-1]) | (h[1:] != h[:-1])
+            d, h = d[fresh], h[fresh]
+            edge = np.searchsorted(d, np.arange(s.hi - s.lo + 1))
+            words = [h[a:b].tobytes() for a, b in zip(edge[:-1], edge[1:], strict=True)]
+            yield pa.record_batch([pa.array(digest), batch.column(1).slice(s.lo, s.hi - s.lo), pa.array(words, pa.binary())], names=["digest", "toxic", "words"])
 
 
-def learn_lexicon(labelled: DataFrame, rows: int = LEXICON_ROWS) -> list[int]:
-    """Hashes of words that at least 0.8 % of the toxic training texts hold, eight times the clean share or more
-    (a language with a tenth of the toxic texts has its words found too).  Texts with the same smallest
-    shingle hash count once, so copies and most near copies don't make a word typical."""
-    counts = {r["toxic"]: r["n"] for r in labelled.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["toxic"] in (0, 1)}
-    if not counts.get(1) or not counts.get(0):
-        return []
-    share = F.when(F.col("toxic") == 1, rows / counts[1]).otherwise(rows / counts[0])
-    signed = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share * 1_000_000).select("text", "toxic").mapInArrow(_sign, "text string, toxic int, digest long")
-    once = signed.dropDuplicates(["digest"]).select("text", "toxic")
-    sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def _word_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word hash, toxic documents, clean documents), summed over about COUNTED words at a time."""
+    held: list[tuple[np.ndarray, int]] = []
+    size = 0
+
+    def flush() -> pa.RecordBatch:
+        h, at = np.unique(np.concatenate([np.empty(0, _U), *[w for w, _ in held]]), return_inverse=True)
+        toxic = np.repeat([t for _, t in held], [len(w) for w, _ in held]) if held else np.empty(0)
+        t = np.bincount(at, toxic, len(h)).astype(np.int64)
+        n = np.bincount(at, minlength=len(h))
+        held.clear()
+        return pa.record_batch([pa.array(h.view(np.int64)), pa.array(t), pa.array(n - t)], names=["word", "toxic", "clean"])
+
+    for batch in batches:
+        for row in W.rows(batch):
+            held.append((np.frombuffer(row["words"], _U), row["toxic"]))
+            size += len(held[-1][0])
+            if size > COUNTED:
+                yield flush()
+                size = 0
+    yield flush()
+
+
+def learn_lexicon(labelled: DataFrame, work: Workspace, most: int = LEXICON_WORDS) -> list[int]:
+    """Hashes of words that toxic texts hold eight times as often as clean ones or more, where so many of their texts are
+    toxic that chance doesn't explain it for any word of the vocabulary; the `most` surest of them.
+
+    All labelled texts (text, toxic) count.  Texts with the same smallest shingle hash count once, so copies and
+    most near copies don't make a word typical."""
+    once = labelled.select("text", "toxic").mapInArrow(_signed, "digest long, toxic int, words binary").groupBy("digest").agg(F.max("toxic").alias("toxic"), F.max("words").alias("words"))
+    once = work.write(once.select("toxic", "words"), "signed")
+    sizes = {r["toxic"]: r["n"] for r in once.groupBy("toxic").agg(F.count("*").alias("n")).collect()}  # two rows
     toxic, clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not toxic or not clean:
+        return []
     found = once.mapInArrow(_word_classes, "word long, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("t"), F.sum("clean").alias("c"))
-    typical = (F.col("t") >= max(5, 0.008 * toxic)) & ((F.col("t") + 0.5) / (toxic + 1) >= 8 * (F.col("c") + 0.5) / (clean + 1))
-    return [r["word"] & (2**64 - 1) for r in found.filter(typical).select("word").collect()]
+    found = work.write(found.filter("t > 0"), "words")
+    work.drop("signed")
+    n, q = F.col("t") + F.col("c"), toxic / (toxic + clean)
+    share = F.col("t") / n
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - q))).otherwise(0.0)
+    surprise = n * (share * F.log(share / q) + rest)  # minus the log of a bound on the chance (Chernoff)
+    sure = (share > q) & (surprise >= math.log(max(found.count(), 1)) + MARGIN)
+    often = (F.col("t") + 0.5) / (toxic + 1) >= 8 * (F.col("c") + 0.5) / (clean + 1)
+    return [r["word"] & (2**64 - 1) for r in found.filter(sure & often).orderBy(surprise.desc(), "word").limit(most).select("word").collect()]
 
 
 class LabelModel:
@@ -215,7 +245,7 @@ def _vote(learned: list[int]):
         for batch in batches:
             for s in W.slices(batch.column(1)):
                 votes, _, _ = voting(s)
-                yield pa.record_batch([batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), pa.array((votes << np.arange(len(VOTERS))).sum(axis=1).astype(np.int32))], names=["doc_id", "mask"])
+                yield pa.record_batch([*[batch.column(i).slice(s.lo, s.hi - s.lo).cast(pa.int64()) for i in (0, 2)], pa.array((votes << np.arange(len(VOTERS))).sum(axis=1).astype(np.int32))], names=["doc_id", "digest", "mask"])
 
     return run
 
@@ -291,12 +321,12 @@ def toxicity(docs: DataFrame, labels: DataFrame, work: Workspace | None = None)
     known = labels.filter(F.col("toxic").isNotNull() & (training_row(F.col("doc_id"), MODULUS) != HELD_OUT)).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     totals = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect() if r["toxic"] in (0, 1)}
     prior = totals.get(1, 0) / sum(totals.values()) if totals.get(1) else DEFAULT_PRIOR
-    # a bounded part of the labelled ids, so the join below can send them to the texts
-    bound = F.when(F.col("toxic") == 1, 2 * LEXICON_ROWS / max(totals.get(1, 0), 1)).otherwise(2 * LEXICON_ROWS / max(totals.get(0, 0), 1))
-    some = work.write(known.filter(F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.lit(1_000_000)) < bound * 1_000_000), "labelled")
-    learned = learn_lexicon(work.write(train.join(F.broadcast(some), "doc_id"), "labelled_texts"))
+    train = train.withColumn("digest", F.xxhash64("text"))  # with the id, a row's name: repeated rows are one in the sample
+    known = work.write(known.filter("toxic IN (0, 1)"), "known")
+    few = known.count() <= BROADCAST_IDS
+    learned = learn_lexicon(train.join(F.broadcast(known) if few else known, "doc_id"), work)
 
-    votes = work.write(train.mapInArrow(_vote(learned), "doc_id long, mask int"), "votes")
+    votes = work.write(train.mapInArrow(_vote(learned), "doc_id long, digest long, mask int"), "votes")
     masks = votes.groupBy("mask").agg(F.count("*").alias("n")).collect()
     seen = {r["mask"]: (r["n"], r["t"]) for r in votes.join(known, "doc_id").groupBy("mask").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).collect()}
     mask, count = np.array([r["mask"] for r in masks], np.int64), np.array([r["n"] for r in masks], float)
@@ -310,10 +340,10 @@ def toxicity(docs: DataFrame, labels: DataFrame, work: Workspace | None = None)
         rate = [min(1.0, SAMPLE_PER_SIDE / max(n, 1.0)) for n in sides]
         table = spark.createDataFrame([(int(m), float(p), rate[0] if p >= 0.5 else rate[1]) for m, p in zip(mask, model.post, strict=True)], "mask int, target double, rate double")
         # at most 2**voters rows of posteriors, and a sample of at most about twice SAMPLE_PER_SIDE ids
-        picked = votes.join(F.broadcast(table), "mask").filter(F.pmod(F.xxhash64(F.lit(31), "doc_id"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
-        picked = work.write(picked.select("doc_id", "target", (1 / F.col("rate")).alias("weight")), "picked")
-        sample = train.join(F.broadcast(picked), "doc_id").select("text", "target", "weight").mapInArrow(_features(learned), "dense binary, slots binary, target double, weight double")
-        rows = [tuple(r) for r in sample.toLocalIterator()]
+        picked = votes.join(F.broadcast(table), "mask").filter(F.pmod(F.xxhash64(F.lit(31), "doc_id", "digest"), F.lit(1_000_000)) < F.col("rate") * 1_000_000)
+        picked = work.write(picked.groupBy("doc_id", "digest").agg(F.max("target").alias("target"), (1 / F.max("rate")).alias("weight")), "picked")
+        sample = train.join(F.broadcast(picked), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"]).select("text", "target", "weight").mapInArrow(_features(learned), "dense binary, slots binary, target double, weight double")
+        rows = sorted(tuple(r) for r in sample.toLocalIterator())  # in one order, so that reruns agree
     return docs.select("doc_id", "text").mapInArrow(_score(learned, Classifier(rows)), "doc_id long, score double")
 
 

@@ -4,8 +4,8 @@ A language's model is the log-probability of letter n-grams (hashed) inside word
 per language; the word's script allows only languages seen in that script.  Viterbi over the words of a
 document, with a penalty for switching, labels spans; the document's language is the one with most letters.
 
-Training reads a bounded sample of the labelled rows: those with the smallest hashes of their id, about
-`sample_rows` of them.  Prediction reads every row.
+Training reads a bounded sample of the labelled rows, drawn by hashes of id and text: about `sample_rows` of them, an
+equal share for each language, so that a rare language is learned too.  Prediction reads every row.
 
 Defined results: null text or text without a letter is `und` with score 0; without training rows everything
 is `und`; equal letter counts go to the language whose span begins first in the text; repeated rows get equal
@@ -22,11 +22,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lexispark.llm import words as W
-from lexispark.llm.storage import training_row
+from lexispark.llm.storage import small_batches, training_row
 
 MODULUS, HELD_OUT = 3, 1
 SAMPLE_ROWS = 20_000
 SAMPLE_TASKS = 8
+MAX_LANGS = 512
 TABLE_BITS = 15
 SWITCH_PENALTY = 6.0
 FORBIDDEN = -30.0  # per word, for a language never seen in the word's script
@@ -130,10 +131,11 @@ def _count(langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((1 << TABLE_BITS, len(langs)), np.int64)
         scripts = np.zeros((len(_SCRIPTS), len(langs)), np.int64)
+        number = {x: j for j, x in enumerate(langs)}
         for batch in batches:
             for s in W.slices(batch.column(0)):
                 texts = batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist()
-                own = [langs.index(x) for x in batch.column(1).slice(s.lo, s.hi - s.lo).to_pylist()]
+                own = [number[x] for x in batch.column(1).slice(s.lo, s.hi - s.lo).to_pylist()]
                 for j in set(own):
                     some = [t or "" for t, k in zip(texts, own, strict=True) if k == j]
                     words, number, _ = distinct_words(some)
@@ -146,15 +148,18 @@ def _count(langs: list[str]):
     return run
 
 
-def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
-    """Learn from labelled rows outside the held-out third: all of them, or about `sample_rows`."""
+def train(docs: DataFrame, sample_rows: int = SAMPLE_ROWS, max_langs: int = MAX_LANGS) -> Model:
+    """Learn from labelled rows outside the held-out third: of each language all, or about its equal share of
+    `sample_rows`.  Of more than `max_langs` values of `lang`, those with most rows are learned."""
     rows = docs.filter(F.col("lang").isNotNull() & (training_row(F.col("doc_id"), MODULUS) != HELD_OUT))
-    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
-    langs, total = sorted(per_lang), sum(per_lang.values())
+    per_lang = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
+    langs = sorted(per_lang)
     if not langs:
         return Model([], np.zeros((1 << TABLE_BITS, 0)), np.zeros((len(_SCRIPTS), 0), bool))
-    share = min(1.0, sample_rows / total)
-    picked = rows.filter(F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_000)) < F.lit(int(np.ceil(share * 1_000_000))))
+    share = sample_rows / len(langs)
+    rates = docs.sparkSession.createDataFrame([(x, int(np.ceil(min(1.0, share / per_lang[x]) * 1_000_000))) for x in langs], "lang string, rate long")
+    drawn = F.pmod(F.xxhash64(F.lit(17), "doc_id", "text"), F.lit(1_000_000))
+    picked = rows.select("doc_id", "text", "lang").join(F.broadcast(rates), "lang").filter(drawn < F.col("rate"))  # max_langs rows at most
     grams = np.zeros((1 << TABLE_BITS, len(langs)), np.int64)
     scripts = np.zeros((len(_SCRIPTS), len(langs)), np.int64)
     for r in picked.select("text", "lang").repartition(SAMPLE_TASKS).mapInArrow(_count(langs), "grams binary, scripts binary").toLocalIterator():
@@ -250,6 +255,7 @@ def _predict(model: Model, penalty: float, names: list[str], text_at: int):
 
 def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = SWITCH_PENALTY) -> DataFrame:
     """The `keep` columns with lang_pred, score and spans (word ranges) for every row of `docs`."""
+    small_batches(docs.sparkSession)
     carried = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
     types = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     schema = f"{types}, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>"

@@ -261,11 +261,43 @@ def test_exact_bound_and_selection():
     for k, n, level in ((0, 100, 0.05), (3, 200, 0.01)):
         p = quality.upper_bound(k, n, level)
         assert math.isclose(sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k + 1)), level, rel_tol=1e-6)
-    counts = [
-        {"stratum": 0, "rule": "r", "cutoff": c, "good": 5000, "good_above": g, "bad_above": b} for c, g, b in ((0.1, 40, 300), (0.2, 1, 250), (0.4, 0, 250), (0.8, 0, 10))
-    ]
-    assert quality.select_cutoffs(counts, 0.005, 0.05) == {(0, "r"): 0.4}  # the strict one risks too much; of equals the laxest
-    assert quality.select_cutoffs([c | {"good": 50} for c in counts], 0.005, 0.05) == {}  # too little evidence
+    exceeded = quality.np.array([[0, 0], [1, 0], [2, 0], [0, 1], [2, 1]])  # of two cutoffs and one
+    counts = quality.np.zeros((5, 2, 2), int)
+    counts[:, :, 0] = [[10, 10], [10, 10], [80, 80], [0, 0], [0, 0]]  # bad: mostly over both cutoffs of the first rule
+    counts[:, :, 1] = [[5000, 5000], [200, 200], [2, 2], [300, 300], [0, 0]]
+    assert quality.select(exceeded, counts, [2, 1], 0.005, 0.05) == [1, 0]  # the stricter cutoff risks too much
+    assert quality.select(exceeded, counts // [1, 100] // 1, [2, 1], 0.005, 0.05) == [0, 0]  # too little evidence
+
+
+def test_joint_risk_is_controlled():
+    """Over many draws, the chosen setting rejects more good documents than `risk` at most as often as `level`."""
+    np = quality.np
+    rng, sizes, risk, level, wrong, used = np.random.default_rng(2), [5, 5, 5], 0.05, 0.1, 0, 0
+    for _ in range(200):
+        rate = rng.uniform(0.02, 0.2, 3)
+        draw = lambda n, shift: np.minimum(np.stack([rng.binomial(5, r + s, n) for r, s in zip(rate, shift, strict=True)], axis=1), 5)
+        good, bad = draw(3000, (0, 0, 0)), draw(400, (0.5, 0.2, 0))
+        rows = np.concatenate((good, bad))
+        cells, at = np.unique(rows, axis=0, return_inverse=True)
+        counts = np.zeros((len(cells), 2, 2), int)
+        np.add.at(counts, (at.ravel(), rng.integers(0, 2, len(rows)), np.repeat([1, 0], [3000, 400])), 1)
+        setting = quality.select(cells, counts, sizes, risk, level)
+        used += any(setting)
+        wrong += quality.rejected(draw(40_000, (0, 0, 0)), setting, sizes).mean() > risk
+    assert used >= 150 and wrong <= 200 * level
+
+
+def test_verdicts_reject(spark):
+    """Rules that are switched on reject what they should, whole and joint; copies of one bad text are one finding."""
+    r = random.Random(8)
+    clean = lambda: " ".join(f"word{r.randrange(10**6)}" for _ in range(30))
+    loud = lambda: " ".join(f"WORD{r.randrange(10**6)} ##" for _ in range(30))
+    rows = [(i, clean(), 1) for i in range(3000)] + [(3000 + i, loud(), 0) for i in range(300)] + [(4000, "", 0), (4001, None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    kept = {x["doc_id"]: x["kept"] for x in quality.quality(frame.select("doc_id", "text"), frame.select("doc_id", "quality"), delta=0.2).collect()}
+    assert all(kept[i] for i in range(3000)) and not any(kept[i] for i in range(3000, 3300)) and not kept[4000] and not kept[4001]
+    copies = spark.createDataFrame([(i, rows[0][1], 1) for i in range(3000)] + rows[3000:3300], "doc_id long, text string, quality int")
+    assert all(x["kept"] for x in quality.quality(copies.select("doc_id", "text"), copies.select("doc_id", "quality")).collect())
 
 
 def test_toxicity(spark):
@@ -349,6 +381,28 @@ def test_secret_scan_learns(spark):
     assert sum(any(f["kind"] == "cnn" for f in found[i]["findings"]) for i in range(200)) <= 4
 
 
+def test_secrets_that_no_pattern_knows(spark):
+    """Recall and precision on planted values without a keyword, short, long and inside longer runs; scores of all rows."""
+    r = random.Random(16)
+    pick = lambda chars, n: "".join(r.choice(chars) for _ in range(n))
+    hexes = "0123456789abcdef"
+    plain = lambda: " ".join(r.choice(["ordinary", "sentences", "holding", "mail3.example.com", "10.20.30.40", "2024-01-05", "performance", "http://site.org/a/b"]) for _ in range(12))
+    rows = [(i, f'{plain()} token = "{pick(hexes, 40)}" {plain()}') for i in range(300)] + [(i, f"{plain()} password={pick(hexes, 18)} {plain()}") for i in range(300, 600)]
+    hidden = {700 + i: pick(hexes, n) for i, n in enumerate([18, 20, 24, 28, 30] * 20)}
+    rows += [(i, f"{plain()} {value} {plain()}") for i, value in hidden.items()] + [(900 + i, plain()) for i in range(300)]
+    rows += [(2000, ""), (2001, None), (2002, "x" * 100_000 + " " + "word " * 20_000)]
+    found = {x["doc_id"]: [f for f in x["findings"] if f["kind"] == "cnn"] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    text = dict(rows)
+    caught = sum(any(text[i][f["start"] : f["end"]] == value for f in found[i]) for i, value in hidden.items())
+    spurious = sum(len(v) for i, v in found.items() if i not in hidden)
+    assert caught >= 0.9 * len(hidden) and spurious <= 0.1 * caught
+    assert not found[2000] and not found[2001]
+
+
+def test_secrets_empty(empty, spark):
+    assert secrets.scan(empty).count() == 0
+
+
 def test_contamination(docs, texts, spark):
     item_words = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     split = lambda t: item_words.findall((t or "").translate(LOW))

@@ -12,6 +12,18 @@ PUNCTUATION = (".", ",", "!", "?", ";", ":", "(", ")", "[", "]", "{", "}", '"',
 #: Words left out of cloud weights.
 STOPWORDS = ("the", "of", "to", "and", "in", "that", "is", "a", "for", "on", "it", "with", "as", "by", "this", "be", "are", "have", "not", "will", "i", "we", "you")
 
+#: What is cleaned from markup (characters that it forbids, ampersands that begin no entity), and where
+#: its language stands (any root's attribute, a corpus tag, a text tag).
+FORBIDDEN_RE = r"[^\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\t\n\r]"
+BARE_AMPERSAND_RE = r"&(?![A-Za-z0-9#]{2,5};|#)"
+ROOT_LANG_RE = r"""\A\s*(?:<[?!][^>]*>\s*)*<[A-Za-z_][^\s>/]*(?:\s[^>]*?)?\slang\s*=\s*["']([^"']+)["']"""
+CORPUS_LANG_RE = r'<corpus\s+[^>]*lang="([^"]+)">'
+TEXT_LANG_RE = r'<text\s+lang="([^"]+)">'
+
+#: The syntax of a query term, `[lemma]` and `_TAG`.
+LEMMA_TERM_RE = r"\[(.*?)\]"
+TAG_TERM_RE = r"_([\w*|$-]+)"
+
 UNTAGGED = "##"
 MISSING = "###"
 RAW_SHARE = 0.99  # a corpus is raw when more than this share of its tags is the untagged sentinel

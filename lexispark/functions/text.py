@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from lexispark.functions.semantics import DICTIONARIES, DIGITS_RE, PRONUNCIATIONS, PUNCTUATION, TOKEN_RE
+from lexispark.functions.semantics import (
+    BARE_AMPERSAND_RE, CORPUS_LANG_RE, DICTIONARIES, DIGITS_RE, FORBIDDEN_RE, PRONUNCIATIONS, PUNCTUATION, ROOT_LANG_RE, TEXT_LANG_RE, TOKEN_RE,
+)
 
 
 def tokenize(text: Column) -> Column:
@@ -42,16 +44,13 @@ def dictionary_link(token: Column, lang: Column) -> Column:
 
 def sanitize_markup(markup: Column) -> Column:
     """Drop characters that XML forbids (and those beyond the BMP), escape bare ampersands, trim."""
-    legal = F.regexp_replace(markup, r"[^\x{20}-\x{D7FF}\x{E000}-\x{FFFD}\t\n\r]", "")
-    escaped = F.regexp_replace(legal, r"&(?![A-Za-z0-9#]{2,5};|#)", "&amp;")
+    escaped = F.regexp_replace(F.regexp_replace(markup, FORBIDDEN_RE, ""), BARE_AMPERSAND_RE, "&amp;")
     return F.regexp_replace(escaped, r"\A\s+|\s+\z", "")
 
 
 def markup_language(markup: Column) -> Column:
     """Root lang attribute, else that of a <corpus> or <text> tag, else XML; upper case."""
-    root = F.regexp_extract(markup, r"""\A\s*(?:<[?!][^>]*>\s*)*<[A-Za-z_][^\s>/]*(?:\s[^>]*?)?\slang\s*=\s*["']([^"']+)["']""", 1)
-    corpus = F.regexp_extract(markup, r'<corpus\s+[^>]*lang="([^"]+)">', 1)
-    text = F.regexp_extract(markup, r'<text\s+lang="([^"]+)">', 1)
+    root, corpus, text = (F.regexp_extract(markup, r, 1) for r in (ROOT_LANG_RE, CORPUS_LANG_RE, TEXT_LANG_RE))
     found = F.lit("XML")
     for option in (text, corpus, root):
         found = F.when(option != "", option).otherwise(found)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lexispark.functions import stats
 from lexispark.functions.text import is_word, pos_class
-from lexispark.operators.search import Hits
+from lexispark.operators.search import Hits, once
 from lexispark.plans import pattern
 from lexispark.plans.corpus import Corpus
 from lexispark.plans.cut import cut
@@ -46,18 +46,20 @@ class Collocates:
         word with the number of matches in `nodes`."""
         spot = lambda w, t, m, **n: F.struct(w.alias("word"), t.alias("tag"), m.alias("lemma"), *[F.lit(n.get(c, 0)).alias(c) for c in ("l", "r", "node", "total")])
         none = F.lit(None).cast("string")
-        rows = self.hits.blocks.withColumn("z", F.arrays_zip("low", "tag", "lemma"))
         one = lambda x, **n: spot(x["low"], x["tag"], x["lemma"], **n)
 
-        def around(i: Column) -> Column:
-            first, end = F.greatest(i - self.window, F.lit(0)), i + self.hits.length
-            left = F.transform(F.slice("z", first + 1, i - first), lambda x: one(x, l=1))
-            right = F.transform(F.slice("z", end + 1, F.lit(self.window)), lambda x: one(x, r=1))
-            return F.concat(left, right, F.array(spot(none, none, none, node=1)))
+        def near(z: Column, found: Column) -> Column:
+            def around(i: Column) -> Column:
+                first, end = F.greatest(i - self.window, F.lit(0)), i + self.hits.length
+                left = F.transform(F.slice(z, first + 1, i - first), lambda x: one(x, l=1))
+                right = F.transform(F.slice(z, end + 1, F.lit(self.window)), lambda x: one(x, r=1))
+                return F.concat(left, right, F.array(spot(none, none, none, node=1)))
 
-        near = F.flatten(F.transform("found", around))
+            return F.flatten(F.transform(found, around))
+
+        around_hits = once([F.arrays_zip("low", "tag", "lemma"), self.hits.found], near)
         words = F.transform(self.corpus.core("low")[0], lambda w: spot(w, none, none, total=1))
-        counted = rows.select(F.explode(F.concat(near, words)).alias("c")).select("c.*").groupBy(*KEY)
+        counted = self.corpus.blocks.select(F.explode(F.concat(around_hits, words)).alias("c")).select("c.*").groupBy(*KEY)
         return cut(counted.agg(F.sum("l").alias("obs_l"), F.sum("r").alias("obs_r"), F.sum("node").alias("nodes"), F.sum("total").alias("total")))
 
     def counts(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame
@@ -13,6 +14,13 @@ from lexispark.plans import pattern
 from lexispark.plans.corpus import ARRAYS, Corpus
 
 
+def once(columns: list[Column], use: Callable[..., Column]) -> Column:
+    """use(*columns) with each column evaluated once per row: inside a lambda, an expression that the optimiser puts in
+    place of a column would be evaluated for every element."""
+    held = F.array(F.struct(*[c.alias(f"c{k}") for k, c in enumerate(columns)]))
+    return F.transform(held, lambda s: use(*[s[f"c{k}"] for k in range(len(columns))]))[0]
+
+
 class Hits:
     """Places where a query matches: one row per match, with the block's arrays at hand."""
 
@@ -24,20 +32,25 @@ class Hits:
             raise ValueError("the query is longer than the corpus halo")
 
     @property
-    def blocks(self) -> DataFrame:
-        """The corpus's blocks with `found`, the indices in the arrays at which matches begin."""
+    def found(self) -> Column:
+        """The indices in a block's arrays at which matches begin."""
         if not self.terms:
-            found: Column = F.array().cast("array<int>")
-        else:
-            test = pattern.at(self.terms, self.corpus.raw if any(t.structural for t in self.terms) else False)
-            indices = F.when(F.col("core_len") > 0, F.sequence(F.col("core_from"), F.col("core_from") + F.col("core_len") - 1)).otherwise(F.array().cast("array<int>"))
-            found = F.filter(indices, lambda i: test(i, lambda name, k: F.get(F.col(name), i + k)))
-        return self.corpus.blocks.withColumn("found", found)
+            return F.array().cast("array<int>")
+        structural = any(t.structural for t in self.terms)
+        test = pattern.at(self.terms, self.corpus.raw if structural else False)
+        indices = F.when(F.col("core_len") > 0, F.sequence(F.col("core_from"), F.col("core_from") + F.col("core_len") - 1)).otherwise(F.array().cast("array<int>"))
+        names = ("low", "tag", "lemma") if structural else ("low",)
+
+        def matches(*arrays: Column) -> Column:
+            held = dict(zip(names, arrays, strict=True))
+            return F.filter(indices, lambda i: test(i, lambda name, k: F.get(held[name], i + k) if name in held else F.lit(None)))
+
+        return once([F.col(n) for n in names], matches)
 
     @property
     def rows(self) -> DataFrame:
         """unit_id, kept columns, pos (within the unit), i (index in the arrays), and the arrays."""
-        return self.blocks.select("unit_id", *self.corpus.keep, "start", *ARRAYS, F.explode("found").alias("i")).withColumn("pos", F.col("start") + F.col("i"))
+        return self.corpus.blocks.select("unit_id", *self.corpus.keep, "start", *ARRAYS, F.explode(self.found).alias("i")).withColumn("pos", F.col("start") + F.col("i"))
 
     @cached_property
     def count(self) -> int:

@@ -163,8 +163,9 @@ class Corpus:
         spark.createDataFrame(facts, "block int, halo int, raw boolean, size long, keep array<string>").coalesce(1).write.mode("overwrite").parquet(f"{path}/facts")
 
     @classmethod
-    def read(cls, spark: SparkSession, path: str) -> Corpus:
+    def read(cls, spark: SparkSession, path: str, raw: bool | None = None) -> Corpus:
+        """A written corpus; `raw` overrules what was found when it was written."""
         facts = spark.read.parquet(f"{path}/facts").first()
-        corpus = cls(spark.read.parquet(f"{path}/blocks"), facts["keep"], facts["block"], facts["halo"], facts["raw"])
+        corpus = cls(spark.read.parquet(f"{path}/blocks"), facts["keep"], facts["block"], facts["halo"], facts["raw"] if raw is None else raw)
         corpus.size = facts["size"]
         return corpus

@@ -14,6 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lexispark.functions.semantics import LEMMA_TERM_RE, TAG_TERM_RE
+
 
 def regex_quote(text: str) -> str:
     """Text as a literal for Java's and RE2's dialects alike."""
@@ -73,8 +75,8 @@ class Term:
 
 
 def parse_term(term: str) -> Term:
-    lemma = re.search(r"\[(.*?)\]", term)
-    tag = re.search(r"_([\w*|$-]+)", term[lemma.end() :] if lemma else term)
+    lemma = re.search(LEMMA_TERM_RE, term)
+    tag = re.search(TAG_TERM_RE, term[lemma.end() :] if lemma else term)
     lemma_text = lemma.group(1).strip().lower() if lemma else ""
     if lemma_text or tag:
         return Term(lemma=lemma_text or None, tag=tag.group(1) if tag else None)

@@ -30,7 +30,7 @@ from lexispark.llm.storage import Workspace, training_row
 MODULUS, HELD_OUT = 5, 0
 SAMPLE_PER_SIDE = 3000
 LEXICON_WORDS = 20_000  # learned at most: a bound of the model's size
-MARGIN = 3.0  # of the log of the chance that any word of the vocabulary is learned wrongly
+MARGIN = -2.0  # minus the log of how many words of the vocabulary chance may add: about seven
 COUNTED = 1 << 21
 BROADCAST_IDS = 1_000_000  # 16 MB of labelled ids
 SLOTS = 1 << 16
@@ -152,7 +152,7 @@ def _word_classes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def learn_lexicon(labelled: DataFrame, work: Workspace, most: int = LEXICON_WORDS) -> list[int]:
     """Hashes of words that toxic texts hold eight times as often as clean ones or more, where so many of their texts are
-    toxic that chance doesn't explain it for any word of the vocabulary; the `most` surest of them.
+    toxic that chance explains it for a few words of the whole vocabulary only; the `most` surest of them.
 
     All labelled texts (text, toxic) count.  Texts with the same smallest shingle hash count once, so copies and
     most near copies don't make a word typical."""

@@ -131,11 +131,11 @@ def _count(langs: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams = np.zeros((1 << TABLE_BITS, len(langs)), np.int64)
         scripts = np.zeros((len(_SCRIPTS), len(langs)), np.int64)
-        number = {x: j for j, x in enumerate(langs)}
+        place = {x: j for j, x in enumerate(langs)}
         for batch in batches:
             for s in W.slices(batch.column(0)):
                 texts = batch.column(0).slice(s.lo, s.hi - s.lo).to_pylist()
-                own = [number[x] for x in batch.column(1).slice(s.lo, s.hi - s.lo).to_pylist()]
+                own = [place[x] for x in batch.column(1).slice(s.lo, s.hi - s.lo).to_pylist()]
                 for j in set(own):
                     some = [t or "" for t, k in zip(texts, own, strict=True) if k == j]
                     words, number, _ = distinct_words(some)
@@ -253,15 +253,15 @@ def _predict(model: Model, penalty: float, names: list[str], text_at: int):
     return run
 
 
-def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = SWITCH_PENALTY) -> DataFrame:
+def identify(docs: DataFrame, model: Model, keep: list[str], penalty: float = SWITCH_PENALTY, text: str = "text") -> DataFrame:
     """The `keep` columns with lang_pred, score and spans (word ranges) for every row of `docs`."""
     small_batches(docs.sparkSession)
     carried = [F.col(c).alias(f"_{i}") for i, c in enumerate(keep)]
     types = ", ".join(f"_{i} {docs.schema[c].dataType.simpleString()}" for i, c in enumerate(keep))
     schema = f"{types}, lang_pred string, score double, spans array<struct<first_word:int,end_word:int,lang:string>>"
-    text_at = keep.index("text") if "text" in keep else len(keep)
+    text_at = keep.index(text) if text in keep else len(keep)
     if text_at == len(keep):
-        carried.append(F.col("text").alias("_text"))
+        carried.append(F.col(text).alias("_text"))
     found = docs.select(*carried).mapInArrow(_predict(model, penalty, [f"_{i}" for i in range(len(keep))], text_at), schema)
     return found.select(*[F.col(f"_{i}").alias(c) for i, c in enumerate(keep)], F.col("lang_pred"), F.col("score"), F.col("spans"))
 

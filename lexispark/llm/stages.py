@@ -2,6 +2,8 @@
 
 Removing stages number the rows and judge each by its own text, whatever its doc_id: a null or repeated id neither
 saves nor loses a row.  Of repeated rows the near-duplicate stage keeps one; rows without words are no copies.
+Empty tables give empty results, null texts have no language and go, extra columns are kept, also those that are named
+like an operator's results.
 """
 
 from __future__ import annotations
@@ -37,8 +39,10 @@ def without(rows: DataFrame, removed: DataFrame, work: Workspace) -> DataFrame:
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or without a language for half of their letters, go."""
-    found = langid.identify(docs, langid.train(docs), docs.columns)
-    return found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE)).select(*docs.columns)
+    names = [f"kept{i}" for i in range(len(docs.columns))]  # documents may have columns named like the result's
+    found = langid.identify(docs.toDF(*names), langid.train(docs), names, text=names[docs.columns.index("text")])
+    kept = found.filter((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") >= LEAST_SHARE))
+    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,7 +56,7 @@ def unplanes64(raw: bytes) -> np.ndarray:
 
 def packed(values: np.ndarray) -> bytes:
     """Counts in the narrowest width that holds the largest, plane by plane after a byte that tells the width."""
-    width = next(w for w in (1, 2, 4, 8) if w == 8 or int(values.max(initial=0)) < 1 << (8 * w))
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
     return bytes([width]) + values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
 
 

@@ -14,7 +14,9 @@ d = (1-J)/(1+J) * (n+m) shingles; with k = d+1+slack blocks, at least 1+slack bl
 * Blocks are shipped as packed arrays per bucket of hashes, not as rows.  A bucket yields runs: the
   documents that share a block.  A run is written as its members, never as pairs.
 * Verification: documents are gathered around the partner they share most blocks with, in chunks of bounded
-  size; two chunks that meet in any run are compared in full, in one matrix product per pair of chunks.
+  size, which are compared in full, in one matrix product.  Of two chunks that meet in runs, either all
+  documents are compared, once, or those in each of the runs, whichever stands for fewer shingles.  A chunk travels
+  as the union of its sets and places in it, which is short for near copies.
 
 Exact copies (equal sets) are one class throughout.
 
@@ -34,8 +36,8 @@ from pyspark.sql import functions as F
 
 from lexispark.llm import words as W
 from lexispark.llm.components import components
-from lexispark.llm.lm import planes64, unplanes64
-from lexispark.llm.storage import Workspace, shuffle_partitions
+from lexispark.llm.lm import packed, planes64, unpacked, unplanes64
+from lexispark.llm.storage import Workspace, bucket_count
 
 _U = np.uint64
 SHINGLE = 4
@@ -43,7 +45,7 @@ PERCENT = 85
 LEAST_PERCENT = 80
 ID_BITS = 54  # of a shingle's hash; the bits above number the documents of a slice
 CHUNK_DOCS = 256
-CHUNK_SHINGLES = 200_000
+CHUNK_SHINGLES = 1_000_000
 BROADCAST_IDS = 500_000  # at most 8 MB of candidate ids
 STRONG = 1  # shared runs from which a link to a pivot is followed further
 FOLLOW = 4  # times the gathering is followed, each time twice as far
@@ -210,12 +212,21 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ], names=["run", "fp", "pivot", "times"])
 
 
+def packed_set(elements: np.ndarray) -> bytes:
+    """A sorted set as gaps, which have fewer bytes than hashes."""
+    return packed(np.diff(elements, prepend=_U(0)))
+
+
+def opened_set(raw: bytes) -> np.ndarray:
+    return np.cumsum(unpacked(raw).view(_U), dtype=_U)
+
+
 def _sets_of(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for s in W.slices(batch.column(0)):
                 first, elements = sets(s, size)
-                blobs = [elements[a:b].tobytes() for a, b in zip(first[:-1], first[1:], strict=True)]
+                blobs = [packed_set(elements[a:b]) for a, b in zip(first[:-1], first[1:], strict=True)]
                 yield pa.record_batch([pa.array(fingerprints(first, elements).view(np.int64)), pa.array(blobs, pa.binary())], names=["fp", "elements"])
 
     return run
@@ -243,33 +254,53 @@ def _overlaps(sets_: list[np.ndarray]) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _compare(rows: list[tuple], percent: int) -> Iterator[tuple[int, int, int]]:
-    """(rep, smallest rep of its local component, weight of its links) for the linked documents of two chunks."""
+def _share(runs: list[np.ndarray], below: int) -> np.ndarray:
+    """Whether two documents have a compared run with a name under `below` in common."""
+    owner, name = np.repeat(np.arange(len(runs)), [len(x) for x in runs]), np.concatenate(runs)
+    owner, name = owner[name < below], name[name < below]
+    names, column = np.unique(name, return_inverse=True)
+    x = np.zeros((len(runs), len(names)), np.float32)
+    x[owner, column] = 1
+    return x @ x.T > 0
+
+
+def _compare(run: int | None, rows: list[tuple], percent: int) -> Iterator[tuple[int, int, int]]:
+    """(rep, smallest rep of its local component, weight of its links) for the linked documents of a job.
+
+    A link is counted in one job only: in the chunk that holds both documents; else in the job of their two chunks,
+    if there is one; else in the first of their common runs."""
     seen = dict.fromkeys((side, fp) for side, fp, *_ in rows)
     rows = [r for r in rows if seen.pop((r[0], r[1]), 0) is None]
     if len(rows) < 2:
         return
-    side = np.array([r[0] for r in rows])
-    rep, weight = np.array([r[2] for r in rows]), np.array([r[3] for r in rows])
-    elements = [r[4] for r in rows]
+    side, rep, weight, chunk = (np.array([r[i] for r in rows]) for i in (0, 2, 3, 4))
+    elements = [r[7] for r in rows]
     n = np.array([len(x) for x in elements])
     shared = _overlaps(elements)
     linked = 100 * shared >= percent * (n[:, None] + n[None, :] - shared)
     linked &= (side[:, None] != side[None, :]) if side.any() else ~np.eye(len(rows), dtype=bool)
+    if not linked.any():
+        return
     label = rep.copy()
     while True:
         least = np.minimum(label, np.where(linked, label[None, :], np.iinfo(np.int64).max).min(axis=1))
         if (least == label).all():
             break
         label = least
-    weights = linked @ weight
+    counted = linked
+    if run is not None:
+        elsewhere = chunk[:, None] == chunk[None, :]
+        for i, r in enumerate(rows):
+            elsewhere[i] |= np.isin(chunk, r[6])
+        counted = linked & ~elsewhere & ~_share([r[5] for r in rows], run)
+    weights = counted @ weight
     for i in np.flatnonzero(linked.any(axis=1)):
         yield int(rep[i]), int(label[i]), int(weights[i])
 
 
 def _verify(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, rows, out = None, [], []
+        key, rows, out = (None, None, None), [], []
 
         def flush() -> pa.RecordBatch:
             batch = pa.record_batch([pa.array([x[i] for x in out], pa.int64()) for i in range(3)], names=["rep", "root", "links"])
@@ -277,30 +308,150 @@ def _verify(percent: int):
             return batch
 
         for batch in batches:
-            blobs = batch.column(6)
-            for i, (a, b, side, fp, rep, weight) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
-                if (a, b) != key:
-                    out.extend(_compare(rows, percent))
-                    key, rows = (a, b), []
+            runs, others, blobs = batch.columns[8:]
+            longs = lambda x: np.asarray(x.values, np.int64) if x.is_valid else np.empty(0, np.int64)
+            for i, (a, b, job, *row) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:8]), strict=True)):
+                if (a, b, job) != key:
+                    out.extend(_compare(key[2], rows, percent))
+                    key, rows = (a, b, job), []
                     if len(out) > 10_000:
                         yield flush()
-                rows.append((side, fp, rep, weight, np.frombuffer(blobs[i].as_buffer(), _U)))  # no copy
-        out.extend(_compare(rows, percent))
+                rows.append((*row, longs(runs[i]), longs(others[i]), opened_set(blobs[i].as_buffer())))
+        out.extend(_compare(key[2], rows, percent))
         yield flush()
 
     return run
 
 
+def pack(rep: np.ndarray, weight: np.ndarray, elements: list[np.ndarray]) -> list[bytes]:
+    """A chunk's documents with the union of their sets in front: near copies share most of it, and a place in the union
+    is far shorter than a hash."""
+    union, place = np.unique(np.concatenate(elements), return_inverse=True)
+    n = np.array([len(x) for x in elements])
+    gaps = np.diff(place, prepend=0)
+    first = np.cumsum(n) - n
+    gaps[first] = place[first]
+    return [rep.astype(np.int64).tobytes(), packed(weight), packed(n), packed_set(union), packed(gaps)]
+
+
+class Pack:
+    """An opened pack: rep, weight, n per document, the union, and owner and place in the union of every element."""
+
+    def __init__(self, parts: list[bytes]):
+        self.rep, self.weight, self.n, self.union = np.frombuffer(parts[0], np.int64), unpacked(parts[1]), unpacked(parts[2]), opened_set(parts[3])
+        total = np.cumsum(unpacked(parts[4]))
+        first = np.cumsum(self.n) - self.n
+        before = np.concatenate(([0], total))[first]
+        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+        self.place = total - before[self.owner]
+
+
+def _compare_packs(a: Pack, b: Pack, percent: int) -> Iterator[tuple[int, int, int]]:
+    """As _compare, for the documents of one chunk with those of another."""
+    _, ia, ib = np.intersect1d(a.union, b.union, assume_unique=True, return_indices=True)
+    sides = []
+    for p, at in ((a, ia), (b, ib)):
+        column = np.full(len(p.union), -1)
+        column[at] = np.arange(len(at))
+        column = column[p.place]
+        owner, column = p.owner[column >= 0], column[column >= 0]
+        order = np.argsort(column, kind="stable")
+        sides.append((owner[order], column[order]))
+    shared = np.zeros((len(a.n), len(b.n)))
+    for lo in range(0, len(ia), 4096):
+        x = []
+        for (owner, column), p in zip(sides, (a, b), strict=True):
+            i, j = np.searchsorted(column, (lo, lo + 4096))
+            own = np.zeros((len(p.n), 4096), np.float32)
+            own[owner[i:j], column[i:j] - lo] = 1
+            x.append(own)
+        shared += x[0] @ x[1].T
+    shared = shared.astype(np.int64)
+    linked = 100 * shared >= percent * (a.n[:, None] + b.n[None, :] - shared)
+    if not linked.any():
+        return
+    most = np.iinfo(np.int64).max
+    la, lb = a.rep.copy(), b.rep.copy()
+    while True:
+        na = np.minimum(la, np.where(linked, lb[None, :], most).min(axis=1))
+        nb = np.minimum(lb, np.where(linked, na[:, None], most).min(axis=0))
+        if (na == la).all() and (nb == lb).all():
+            break
+        la, lb = na, nb
+    for p, label, weights, some in ((a, la, linked @ b.weight, linked.any(axis=1)), (b, lb, linked.T @ a.weight, linked.any(axis=0))):
+        for i in np.flatnonzero(some):
+            yield int(p.rep[i]), int(label[i]), int(weights[i])
+
+
+LINK = pa.struct([("rep", pa.int64()), ("root", pa.int64()), ("links", pa.int64())])
+
+
+def _links(rows: list[tuple[int, int, int]]) -> list[dict]:
+    return [{"rep": a, "root": b, "links": c} for a, b, c in rows]
+
+
+def _chunks(percent: int):
+    """Per chunk (rows sorted by it): the links among its documents, and its pack if it is compared with other chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, paired, rows = None, False, {}
+
+        def flush() -> pa.RecordBatch:
+            members = list(rows.values())
+            found = _links(list(_compare(None, [(0, i, m[0], m[1], 0, None, None, m[2]) for i, m in enumerate(members)], percent)))
+            parts = pack(np.array([m[0] for m in members]), np.array([m[1] for m in members]), [m[2] for m in members]) if paired else None
+            return pa.record_batch([pa.array([key], pa.int64()), pa.array([found], pa.list_(LINK)), pa.array([parts], pa.list_(pa.binary()))], names=["chunk", "found", "parts"])
+
+        for batch in batches:
+            blobs = batch.column(5)
+            for i, (chunk, with_others, fp, rep, weight) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:5]), strict=True)):
+                if chunk != key:
+                    if rows:
+                        yield flush()
+                    key, paired, rows = chunk, with_others, {}
+                if fp not in rows:
+                    rows[fp] = rep, weight, opened_set(blobs[i].as_buffer())
+        if rows:
+            yield flush()
+
+    return run
+
+
+def _meet(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in W.rows(batch):
+                found = _links(list(_compare_packs(Pack(row["a"]), Pack(row["b"]), percent)))
+                yield pa.record_batch([pa.array([found], pa.list_(LINK))], names=["found"])
+
+    return run
+
+
+#: Columns of what is compared: the job (ca, cb, and the run if it is one run's), the document's side, set, row, copies
+#: and chunk, the runs in which it is compared, the chunks of the run that are compared elsewhere, and its elements.
+JOB_SCHEMA = ["ca", "cb", "run", "side", "fp", "rep", "weight", "chunk", "runs", "elsewhere", "elements"]
+
+
+def run_jobs(runs: DataFrame, chunk: int) -> DataFrame:
+    """Each run's members (run, members, fp, and what else there is) in parts of about `chunk`; every two parts of a run, and every part alone, are a job."""
+    splits = F.ceil(F.col("members") / chunk)
+    cut = runs.withColumn("own", F.pmod(F.xxhash64("fp"), splits)).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), splits - 1)))
+    part = lambda c: F.when(F.col("members") <= chunk, F.col("run")).otherwise(F.xxhash64("run", c))
+    side = (F.col("own") > F.col("other")).cast("int").alias("side")
+    return cut.select(part(F.least("own", "other")).alias("ca"), part(F.greatest("own", "other")).alias("cb"), side, *[c for c in runs.columns if c != "members"])
+
+
 def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, work: Workspace | None = None) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, class_id (smallest id with an equal set), n_links
     (documents whose set is linked to this one's, copies included)."""
     Bands(percent)
     spark = docs.sparkSession
     work = work or Workspace(spark, "parity-join")
-    parts = shuffle_partitions(spark)
+    parts = bucket_count(docs)
     base = work.write(docs.select("doc_id", "text").mapInArrow(_describe(size), "doc_id long, n long, fp long"), "base")
     packed = docs.select("text").mapInArrow(_sketch(size, percent, parts), "bucket int, keys binary, fps binary")
     runs = work.write(packed.repartitionById(parts, "bucket").mapInArrow(_runs, "run long, fp long, pivot long, times long"), "runs")
+    work.free()
 
     classes = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"))
     met = F.sum(F.when(F.col("fp") == F.col("pivot"), 0).otherwise(F.col("times"))).alias("met")
@@ -314,29 +465,66 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     sizes = gathered.groupBy("cluster").agg(F.count("*").alias("docs"))
     met_in = runs.join(gathered, "fp").select("run", "cluster").distinct().join(sizes, "cluster")
     largest = met_in.groupBy("run").agg(F.max(F.struct("docs", "cluster")).alias("big"))
-    joins = met_in.join(largest, "run").groupBy("cluster").agg(F.max("big").alias("big"))
+    # joins by cluster are stages of their own (their other side is written first), so that AQE may split a large cluster
+    joins = work.write(met_in.join(largest, "run").groupBy("cluster").agg(F.max("big").alias("big")), "joins")
     gathered = gathered.join(joins, "cluster", "left").select("fp", F.coalesce("big.cluster", "cluster").alias("cluster"))
-    members = gathered.join(classes, "fp")
-    splits = members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("splits"))
-    members = members.join(splits, "cluster").select("fp", "rep", "weight", F.xxhash64("cluster", F.pmod(F.xxhash64("fp"), F.col("splits"))).alias("chunk"))
+    members = work.write(gathered.join(classes, "fp"), "unsplit")
+    splits = work.write(members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("splits")), "splits")
+    members = members.join(splits, "cluster").select("fp", "rep", "weight", "n", F.xxhash64("cluster", F.pmod(F.xxhash64("fp"), F.col("splits"))).alias("chunk"))
     members = work.write(members, "members")
-
-    meets = runs.join(members.select("fp", "chunk"), "fp").select("run", "chunk").distinct()
-    pairs = meets.alias("a").join(meets.alias("b"), (F.col("a.run") == F.col("b.run")) & (F.col("a.chunk") < F.col("b.chunk")))
-    pairs = pairs.select(F.col("a.chunk").alias("ca"), F.col("b.chunk").alias("cb")).distinct()
-    alone = members.groupBy("chunk").count().filter("count > 1").select(F.col("chunk").alias("ca"), F.col("chunk").alias("cb"))
-    pairs = work.write(pairs.unionByName(alone), "pairs")
-    sides = pairs.select("ca", "cb", F.lit(0).alias("side"), F.col("ca").alias("chunk")).unionByName(
-        pairs.filter("ca != cb").select("ca", "cb", F.lit(1).alias("side"), F.col("cb").alias("chunk"))
-    )
-    jobs = sides.join(members, "chunk").select("ca", "cb", "side", "fp", "rep", "weight")
-
-    wanted = members.select(F.col("rep").alias("doc_id")).distinct()
-    if members.count() <= BROADCAST_IDS:
-        wanted = F.broadcast(wanted)
-    texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets_of(size), "fp long, elements binary")
-    ready = jobs.join(texts, "fp").select("ca", "cb", "side", "fp", "rep", "weight", "elements").repartition(parts, "ca", "cb").sortWithinPartitions("ca", "cb")
-    linked = work.write(ready.mapInArrow(_verify(percent), "rep long, root long, links long"), "linked")
+    work.drop("nearest", "gathered", "joins", "unsplit", "splits")
+    work.free()
+
+    # A run across chunks asks for their comparison.  Two chunks whose runs hold as many shingles together as the chunks
+    # do are compared in full, once ("close"); for other chunks the members of each run are.
+    placed = work.write(runs.join(members.select("fp", "chunk", "n"), "fp").select("run", "fp", "chunk", "n"), "placed")
+    per_chunk = placed.groupBy("run", "chunk").agg(F.sum("n").alias("n"))
+    spread = per_chunk.groupBy("run").count().filter("count > 1").select("run")
+    cross = work.write(per_chunk.join(spread, "run", "left_semi"), "cross")
+    a, b = cross.alias("a"), cross.alias("b")
+    met_in = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.chunk") < F.col("b.chunk")))
+    met_in = work.write(met_in.select("a.run", F.col("a.chunk").alias("ca"), F.col("b.chunk").alias("cb"), (F.col("a.n") + F.col("b.n")).alias("n")), "met")
+    whole_size = members.groupBy("chunk").agg(F.sum("n").alias("size"))
+    partners = met_in.groupBy("ca", "cb").agg(F.sum("n").alias("via"))
+    for side in ("ca", "cb"):
+        partners = partners.join(whole_size.select(F.col("chunk").alias(side), F.col("size").alias(f"size_{side}")), side)
+    partners = work.write(partners.select("ca", "cb", (F.col("via") >= F.col("size_ca") + F.col("size_cb")).alias("close")), "partners")
+    both = met_in.join(partners, ["ca", "cb"]).select("run", "close", F.explode(F.array(F.struct(F.col("ca").alias("chunk"), F.col("cb").alias("other")), F.struct(F.col("cb").alias("chunk"), F.col("ca").alias("other")))).alias("p"))
+    asked = both.groupBy("run", "p.chunk").agg(F.collect_list(F.when(F.col("close"), F.col("p.other"))).alias("elsewhere"), F.count_if(~F.col("close")).alias("open")).filter("open > 0").drop("open")
+    loose = work.write(placed.join(asked, ["run", "chunk"]).select("run", "fp", "elsewhere"), "asked")
+    loose = work.write(loose.join(loose.groupBy("run").agg(F.count("*").alias("members")), "run"), "loose")
+    pairs = work.write(partners.filter("close").select("ca", "cb"), "pairs")
+    paired = pairs.select(F.explode(F.array("ca", "cb")).alias("chunk")).distinct().withColumn("paired", F.lit(True))
+    compared = members.groupBy("chunk").count().join(paired, "chunk", "left").filter("count > 1 OR paired").select("chunk", F.coalesce("paired", F.lit(False)).alias("paired"))
+    work.drop("runs", "placed", "cross", "met", "asked")
+    work.free()
+
+    known_runs = loose.groupBy("fp").agg(F.sort_array(F.collect_list("run")).alias("runs"))  # at most one per block of a sketch
+    narrow = members.join(compared, "chunk", "left").select("fp", "rep", "weight", "chunk", "paired")
+    narrow = work.write(narrow.join(known_runs, "fp", "left"), "narrow")
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        """`rows` (fp, rep and more) with their sets, from the text of each class's representative."""
+        wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
+        wanted = F.broadcast(wanted) if rows.count() <= BROADCAST_IDS else wanted
+        texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets_of(size), "fp long, elements binary")
+        return texts.join(rows, "fp")
+
+    alone = with_sets(narrow.filter("paired IS NOT NULL")).select("chunk", "paired", "fp", "rep", "weight", "elements").repartition(parts, "chunk").sortWithinPartitions("chunk")
+    link = "array<struct<rep:long,root:long,links:long>>"
+    packs = work.write(alone.mapInArrow(_chunks(percent), f"chunk long, found {link}, parts array<binary>"), "packs")
+    work.free()
+    side = lambda name, key: packs.filter("parts IS NOT NULL").select(F.col("chunk").alias(key), F.col("parts").alias(name))
+    meet = pairs.join(side("a", "ca"), "ca").join(side("b", "cb"), "cb").select("a", "b").mapInArrow(_meet(percent), f"found {link}")
+    meet = work.write(packs.select("found").unionByName(meet).select(F.explode("found").alias("x")).select("x.*"), "of_chunks")
+    work.drop("packs")
+    work.free()
+    ready = run_jobs(loose, CHUNK_DOCS).join(with_sets(narrow.filter("runs IS NOT NULL")), "fp").select(*JOB_SCHEMA)
+    ready = ready.repartition(parts, "ca", "cb").sortWithinPartitions("ca", "cb", "run")
+    of_runs = ready.mapInArrow(_verify(percent), "rep long, root long, links long")
+    linked = work.write(meet.unionByName(of_runs), "linked")
+    work.drop("pairs", "members", "partners", "loose", "narrow", "of_chunks")
+    work.free()
 
     found = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")), work)
     counted = linked.groupBy("rep").agg(F.sum("links").alias("links"))

@@ -53,12 +53,19 @@ class Workspace:
             path = hadoop(f"{self.root}/{table}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def free(self) -> None:
+        """Let Spark's cleaner delete the shuffle files of finished steps, which it does when their plans are collected.  The
+        last plan stays with the session until another one runs, so a small one does."""
+        self.spark.range(1).count()
+        self.spark.sparkContext._jvm.System.gc()
 
-def bucket_count(docs: DataFrame, text_col: str = "text") -> int:
-    """Buckets for a shuffle of what `docs` turns into: the session's partitions, or more where a bucket would
-    stand for over BUCKET_BYTES of text."""
+
+def bucket_count(docs: DataFrame, text_col: str = "text", bucket_bytes: int = BUCKET_BYTES, least: int | None = None) -> int:
+    """Buckets for a shuffle of what `docs` turns into: one for each `bucket_bytes` of text, and no fewer than the
+    session's partitions (or `least` of them, where a bucket's share is small)."""
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, min(parts, least or parts), -(-size // bucket_bytes))
 
 
 def training_row(doc_id: Column, modulus: int) -> Column:

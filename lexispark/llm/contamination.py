@@ -30,7 +30,7 @@ from lexispark.llm.storage import Workspace
 
 WINDOW = 10
 SLOP = 2  # words beyond a window's length in which its terms count as near each other
-BLOCK_BYTES = 2 << 20
+BLOCK_BYTES = 1 << 20
 PART_BYTES = 8 << 20
 
 INDEX_SCHEMA = "block long, doc_ids array<long>, n_words array<int>, terms binary, counts binary, positions binary"

@@ -243,7 +243,7 @@ def _predict(model: Model, penalty: float, names: list[str], text_at: int):
         kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             texts = batch.column(text_at)
-            for s in W.slices(texts, 4 << 20):
+            for s in W.slices(texts, 2 << 20):
                 own = [t or "" for t in texts.slice(s.lo, s.hi - s.lo).to_pylist()]
                 found = label_texts(model, own, penalty)
                 spans = [[{"first_word": a, "end_word": b, "lang": x} for a, b, x in f[2]] for f in found]

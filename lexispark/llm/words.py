@@ -6,12 +6,19 @@ numpy, in slices of about a megabyte, so memory does not follow the batch or (mu
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
+# A Python worker lives through many tasks: large buffers shall go back to the system as soon as they are freed, not
+# stay with the worker (3 names glibc's limit from which allocations are mapped one by one).
+pa.set_memory_pool(pa.system_memory_pool())
+if hasattr(_libc := ctypes.CDLL(None), "mallopt"):
+    _libc.mallopt(-3, 1 << 20)
+
 SLICE_BYTES = 1 << 20
 SLICE_DOCS = 1000
 

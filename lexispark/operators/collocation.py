@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from functools import cached_property
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,80 +10,92 @@ from lexispark.functions.text import is_word, pos_class
 from lexispark.operators.search import Hits, once
 from lexispark.plans import pattern
 from lexispark.plans.corpus import Corpus
-from lexispark.plans.cut import cut
+from lexispark.plans.cut import margins, shared
 
 KEY = ["word", "tag", "lemma"]
 
 
 class Collocates:
-    """Words within `window` tokens of a query's matches.
+    """Words within `window` tokens of a query's matches, in the corpus or in each group of the kept columns `by`.
 
     Distances count punctuation, punctuation itself is no collocate; where windows overlap, a token counts
     once for each match."""
 
-    def __init__(self, corpus: Corpus, query: str, window: int = 5, min_observed: int = 1, word: str | None = None, tag: str | None = None, tags: list[str] | None = None, lemma: str | None = None):
-        self.corpus, self.window, self.min_observed = corpus, window, min_observed
+    def __init__(
+        self, corpus: Corpus, query: str, window: int = 5, min_observed: int = 1, word: str | None = None, tag: str | None = None, tags: list[str] | None = None,
+        lemma: str | None = None, by: list[str] | None = None,
+    ):
+        self.corpus, self.window, self.min_observed, self.by = corpus, window, min_observed, by or []
         self.hits = Hits(corpus, query)
         if window + max(self.hits.length - 1, 0) > corpus.halo:
             raise ValueError("the window is wider than the corpus halo")
         self.word, self.tag, self.tags, self.lemma = word, tag, tags, lemma
 
-    def occurrences(self) -> DataFrame:
-        """One row per (match, collocate): unit_id, pos of the match, word, tag, lemma, side."""
-        def side(k: int, name: str) -> Column:
-            arrays = [self.hits.context(n, self.window, self.window)[k].alias(n) for n in ("low", "tag", "lemma")]
-            return F.transform(F.arrays_zip(*arrays), lambda x: F.struct(x["low"].alias("word"), x["tag"], x["lemma"], F.lit(name).alias("side")))
-
-        both = F.concat(side(0, "L"), side(1, "R"))
-        return self.hits.rows.select("unit_id", "pos", F.explode(both).alias("c")).select("unit_id", "pos", "c.*")
-
-    @cached_property
-    def _everything(self) -> DataFrame:
-        """word, tag, lemma, obs_l, obs_r, nodes, total of one pass over the corpus, written: the collocates of the
-        matches; per word a row without tag and lemma with its `total`, whatever its tag; and one row without a
-        word with the number of matches in `nodes`."""
-        spot = lambda w, t, m, **n: F.struct(w.alias("word"), t.alias("tag"), m.alias("lemma"), *[F.lit(n.get(c, 0)).alias(c) for c in ("l", "r", "node", "total")])
+    def _counted(self, first: bool = False) -> DataFrame:
+        """(by, word, tag, lemma, obs_l, obs_r, nodes, total[, at]) of one pass over the corpus: the collocates of the matches;
+        per word a row without tag and lemma with its `total`, whatever its tag; and per group a row without a word with
+        the number of matches in `nodes`.  With `first`, `at` is the first match (unit_id, pos) that has the collocate.
+
+        A stored corpus knows the totals already, so the pass takes the matches' surroundings only."""
+        left, right, node, total = (F.lit(k).cast("byte") for k in range(4))
         none = F.lit(None).cast("string")
-        one = lambda x, **n: spot(x["low"], x["tag"], x["lemma"], **n)
+        place = lambda i: [(F.col("start") + i).alias("pos")] if first else []
+        spot = lambda w, t, m, kind, i: F.struct(w.alias("word"), t.alias("tag"), m.alias("lemma"), kind.alias("kind"), *place(i))
 
         def near(z: Column, found: Column) -> Column:
             def around(i: Column) -> Column:
-                first, end = F.greatest(i - self.window, F.lit(0)), i + self.hits.length
-                left = F.transform(F.slice(z, first + 1, i - first), lambda x: one(x, l=1))
-                right = F.transform(F.slice(z, end + 1, F.lit(self.window)), lambda x: one(x, r=1))
-                return F.concat(left, right, F.array(spot(none, none, none, node=1)))
+                before, after = self.hits.around(z, i, self.window, self.window)
+                one = lambda side: lambda x: spot(x["low"], x["tag"], x["lemma"], side, i)
+                return F.concat(F.transform(before, one(left)), F.transform(after, one(right)), F.array(spot(none, none, none, node, i)))
 
             return F.flatten(F.transform(found, around))
 
-        around_hits = once([F.arrays_zip("low", "tag", "lemma"), self.hits.found], near)
-        words = F.transform(self.corpus.core("low")[0], lambda w: spot(w, none, none, total=1))
-        counted = self.corpus.blocks.select(F.explode(F.concat(around_hits, words)).alias("c")).select("c.*").groupBy(*KEY)
-        return cut(counted.agg(F.sum("l").alias("obs_l"), F.sum("r").alias("obs_r"), F.sum("node").alias("nodes"), F.sum("total").alias("total")))
+        spots = once([F.arrays_zip("low", "tag", "lemma"), self.hits.found], near)
+        stored = self.corpus.types is not None
+        if not stored:
+            spots = F.concat(spots, F.transform(self.corpus.core("low")[0], lambda w: spot(w, none, none, total, F.lit(0))))
+        own = [(F.col("start") + F.col("core_from")).cast("long").alias("first")] if first else []
+        rows = self.corpus.blocks.select("unit_id", *self.by, *own, F.explode(spots).alias("c")).select("unit_id", *self.by, *(["first"] if first else []), "c.*")
+        beside = F.col("kind") < 2
+        earliest = [F.min(F.when(beside, F.struct("unit_id", "pos", "first"))).alias("at")] if first else []
+        sums = [F.count_if(F.col("kind") == k).alias(name) for k, name in enumerate(("obs_l", "obs_r", "nodes", "total"))]
+        counted = rows.groupBy(*self.by, *KEY).agg(*sums, *earliest)
+        if stored:
+            zero = [F.lit(0).cast("long").alias(c) for c in ("obs_l", "obs_r", "nodes")]
+            types = self.corpus.counted("low", by=self.by).select(*self.by, F.col("low").alias("word"), none.alias("tag"), none.alias("lemma"), *zero, F.col("n").alias("total"))
+            counted = counted.unionByName(types, allowMissingColumns=True)
+        return counted
+
+    @staticmethod
+    def _collocates(counted: DataFrame) -> DataFrame:
+        seen = counted.withColumn("observed", F.col("obs_l") + F.col("obs_r"))
+        return seen.filter(is_word(F.col("word")) & (F.col("observed") > 0)).drop("nodes", "total")
 
     def counts(self) -> DataFrame:
-        """word, tag, lemma, obs_l, obs_r, observed."""
-        seen = self._everything.withColumn("observed", F.col("obs_l") + F.col("obs_r")).filter((F.col("observed") > 0) & is_word(F.col("word")))
-        return seen.select(*KEY, "obs_l", "obs_r", "observed")
+        """(by,) word, tag, lemma, obs_l, obs_r, observed."""
+        return self._collocates(self._counted())
 
     @property
     def node_frequency(self) -> int:
-        return int(self._everything.agg(F.coalesce(F.sum("nodes"), F.lit(0))).first()[0])
-
-    def stats(self) -> DataFrame:
-        """counts() with total_freq (of the word, whatever its tag), ll, mi, significance and direction.
-
-        The filters touch group keys only, so they come before the join; N and the totals stay those of the
-        whole corpus."""
-        counted = self._filtered(self.counts())
-        totals = self._everything.filter("total > 0").select("word", F.col("total").alias("total_freq"))
-        whole = self._everything.agg(F.coalesce(F.sum("nodes"), F.lit(0)).alias("_nodes"), F.coalesce(F.sum("total"), F.lit(0)).alias("_size"))  # one row
-        joined = counted.join(totals, "word", "left").withColumn("total_freq", F.coalesce("total_freq", F.lit(0))).crossJoin(F.broadcast(whole))
+        return self.hits.count
+
+    def stats(self, first: bool = False) -> DataFrame:
+        """counts() with total_freq (of the word, whatever its tag), ll, mi, significance and direction; N, the number of
+        matches and the totals are those of the whole corpus or group, the filters touch group keys only.
+
+        All parts come from one aggregate, whose shuffle is made once."""
+        everything = shared(self._counted(first))
+        counted = self._filtered(self._collocates(margins(everything, self.by, _nodes="nodes", _size="total")))
+        names = {c: f"_by{k}" for k, c in enumerate(self.by)}
+        totals = everything.filter("total > 0").select(*[F.col(c).alias(n) for c, n in names.items()], F.col("word").alias("_word"), F.col("total").alias("total_freq"))
+        joined = counted.join(totals, [F.col("word") == F.col("_word"), *[F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]], "left").withColumn("total_freq", F.coalesce("total_freq", F.lit(0)))
         freq, size = F.col("_nodes"), F.col("_size")
         k11 = F.col("observed")
         k12, k21 = freq - k11, F.col("total_freq") - k11
         ll = stats.log_likelihood(k11, k12, k21, size - (k11 + k12 + k21))
         scored = joined.withColumn("_ll", ll).withColumn("mi", F.round(stats.mutual_information(k11, freq, F.col("total_freq"), size), 6))
-        return scored.select(*KEY, "obs_l", "obs_r", "observed", "total_freq", F.round("_ll", 6).alias("ll"), "mi", stats.significance(F.col("_ll")).alias("significance"), stats.direction(F.col("obs_l"), F.col("obs_r")).alias("direction"))
+        columns = [*self.by, *KEY, "obs_l", "obs_r", "observed", "total_freq", F.round("_ll", 6).alias("ll"), "mi", stats.significance(F.col("_ll")).alias("significance")]
+        return scored.select(*columns, stats.direction(F.col("obs_l"), F.col("obs_r")).alias("direction"), *(["at"] if first else []))
 
     def _filtered(self, counted: DataFrame) -> DataFrame:
         if self.min_observed > 1:
@@ -93,7 +103,7 @@ class Collocates:
         if self.word:
             counted = counted.filter(pattern.filter_pattern(F.col("word"), self.word))
         if (self.tag or self.tags or self.lemma) and self.corpus.raw:
-            return counted.filter(F.lit(False)) if self.tag or self.tags or self.lemma else counted
+            return counted.filter(F.lit(False))
         if self.tag:
             counted = counted.filter(pattern.any_of(F.col("tag"), self.tag))
         elif self.tags:
@@ -103,9 +113,16 @@ class Collocates:
         return counted
 
     def top(self, k: int = 20, rank: str = "ll") -> DataFrame:
-        """The k best by `rank` ("ll" or "mi"), with their rank; ties by word, tag, lemma."""
+        """The k best by `rank` ("ll" or "mi") of the corpus or of each group, with their rank; ties by word, tag, lemma."""
+        return self._best(k, rank).drop("at")
+
+    def _best(self, k: int, rank: str, first: bool = False) -> DataFrame:
         order = [F.desc(rank), *KEY]
-        return self.stats().orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+        place = F.row_number().over(Window.partitionBy(*self.by).orderBy(*order))
+        rows = self.stats(first)
+        if self.by:
+            return rows.withColumn("rank", place).filter(F.col("rank") <= k)
+        return rows.orderBy(*order).limit(k).withColumn("rank", place)
 
     def left(self, k: int = 20) -> DataFrame:
         return self.top(k).filter(F.col("direction").isin("L", "B"))
@@ -116,13 +133,11 @@ class Collocates:
     def examples(self, k: int = 20, rank: str = "ll") -> DataFrame:
         """For each of the top k, the first match (in corpus order) that has it in its window.
 
-        One pass: matches are joined with the k words, and the earliest is kept per word."""
-        best = self.top(k, rank).select("rank", "word", "tag", "lemma")  # k rows
-        near = self.occurrences().select("unit_id", "pos", "word").join(F.broadcast(best), "word")
-        first = near.groupBy("rank", "word", "tag", "lemma").agg(F.min(F.struct("unit_id", "pos")).alias("at"))
-        lines = self.hits.kwic(self.window, self.window, limit=None).select("unit_id", "pos", "left", "node", "right")
-        wanted = first.select("rank", "word", "tag", "lemma", F.col("at.unit_id").alias("unit_id"), F.col("at.pos").alias("pos"))
-        return lines.join(F.broadcast(wanted), ["unit_id", "pos"]).select("rank", "word", "tag", "lemma", "unit_id", "pos", "left", "node", "right")
+        The pass that counts the collocates carries each one's first match; then the blocks of those are read, and
+        their lines cut out."""
+        best = self._best(k, rank, first=True).select(*self.by, "rank", *KEY, F.col("at.unit_id").alias("unit_id"), F.col("at.pos").alias("pos"), F.col("at.first").alias("first"))
+        lines = Hits(self.corpus.around(best), self.hits.query).kwic(self.window, self.window, limit=None).select("unit_id", "pos", "left", "node", "right")
+        return lines.join(F.broadcast(best.drop("first")), ["unit_id", "pos"]).select(*self.by, "rank", *KEY, "unit_id", "pos", "left", "node", "right")  # k rows, or k of each group
 
     def graph_edges(self, k: int = 20) -> DataFrame:
         return self.top(k).select(F.lit(self.hits.query).alias("source"), F.col("word").alias("target"), "tag", "lemma", F.col("ll").alias("weight"))

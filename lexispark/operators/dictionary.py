@@ -10,27 +10,31 @@ from lexispark.functions.semantics import MISSING, NO_LEVEL, PER_MILLION, UNTAGG
 from lexispark.functions.text import dictionary_link
 from lexispark.operators.search import Hits
 from lexispark.plans.corpus import Corpus
-from lexispark.plans.cut import cut
+from lexispark.plans.cut import margins, shared
 
 
-def forms(corpus: Corpus, word: str, per: int = PER_MILLION) -> DataFrame:
-    """Distinct (token, tag, lemma), lower-cased, of all tokens that share a lemma with `word`; frequency of each
-    token whatever its case, relative frequency, Zipf score and band.  A word that occurs without a usable
-    lemma gives one untagged row."""
-    low = word.lower()
-    types = cut(corpus.tokens("low", "tag", "lemma").groupBy("low", "tag", "lemma").agg(F.count("*").alias("n")))  # everything after works on types
-    size = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("_size"))
+def forms(corpus: Corpus, word: str, per: int = PER_MILLION, by: list[str] | None = None) -> DataFrame:
+    """Distinct (token, tag, lemma), lower-cased, of all tokens that share a lemma with `word` (in the corpus or in the
+    group); frequency of each token whatever its case, relative frequency, Zipf score and band.  A word that occurs
+    without a usable lemma gives one untagged row.
+
+    Tokens are counted into types in one shuffle; everything after works on those."""
+    by, low = by or [], word.lower()
+    types = shared(corpus.counted("low", "tag", "lemma", by=by))
+    names = {c: f"_by{k}" for k, c in enumerate(by)}
+    renamed = [F.col(c).alias(n) for c, n in names.items()]
+    same = lambda: [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
     usable = ~F.col("lemma").isin(UNTAGGED, MISSING)
     own = types.filter(F.col("low") == low)
-    lemmas = own.filter(usable).select("lemma").distinct()
-    sharing = types.join(lemmas, "lemma", "left_semi").select(F.col("low").alias("token"), "tag", F.lower("lemma").alias("lemma")).distinct()
+    lemmas = own.filter(usable).groupBy(*by, "lemma").agg(F.sum("n").alias("_n")).select(*renamed, F.col("lemma").alias("_lemma"))
+    sharing = types.join(lemmas, [F.col("lemma") == F.col("_lemma"), *same()]).groupBy(*by, F.col("low").alias("token"), "tag", F.lower("lemma").alias("lemma")).agg(F.sum("n").alias("_n"))
     untagged = F.lit(UNTAGGED)
-    fallback = own.groupBy().agg(F.count("*").alias("forms"), F.count_if(usable).alias("with_lemma")).filter("forms > 0 AND with_lemma = 0")
-    rows = sharing.unionByName(fallback.select(F.lit(low).alias("token"), untagged.alias("tag"), untagged.alias("lemma")))
-    totals = types.groupBy(F.col("low").alias("token")).agg(F.sum("n").alias("frequency"))
-    out = rows.join(totals, "token", "left").withColumn("frequency", F.coalesce("frequency", F.lit(0))).crossJoin(F.broadcast(size))
-    out = out.withColumn("relative_frequency", stats.relative_frequency(F.col("frequency"), F.col("_size"), per)).drop("_size").withColumn("zipf", stats.zipf(F.col("relative_frequency")))
-    return out.withColumn("band", stats.zipf_band(F.col("zipf")))
+    fallback = own.groupBy(*by).agg(F.sum("n").alias("_n"), F.count_if(usable).alias("with_lemma")).filter("_n > 0 AND with_lemma = 0")
+    rows = sharing.drop("_n").unionByName(fallback.select(*by, F.lit(low).alias("token"), untagged.alias("tag"), untagged.alias("lemma")))
+    totals = margins(types.groupBy(*by, "low").agg(F.sum("n").alias("frequency")), by, _size="frequency").select(*renamed, F.col("low").alias("_low"), "frequency", "_size")
+    out = rows.join(totals, [F.col("token") == F.col("_low"), *same()])  # every form is a type
+    out = out.withColumn("relative_frequency", stats.relative_frequency(F.col("frequency"), F.col("_size"), per)).withColumn("zipf", stats.zipf(F.col("relative_frequency")))
+    return out.select(*by, "token", "tag", "lemma", "frequency", "relative_frequency", "zipf", stats.zipf_band(F.col("zipf")).alias("band"))
 
 
 def with_lexicon(rows: DataFrame, lexicon: DataFrame, column: str) -> DataFrame:
@@ -56,16 +60,16 @@ def view(corpus: Corpus, word: str, lexicon: DataFrame, lang: str = "en", exampl
 def related(corpus: Corpus, word: str) -> DataFrame:
     """Distinct tokens that contain `word`, ignoring case, but for the word itself."""
     low = word.lower()
-    return corpus.tokens("token").filter(F.contains(F.lower("token"), F.lit(low))).select("token").distinct().filter(F.lower("token") != low)
+    return corpus.counted("token").filter(F.contains(F.lower("token"), F.lit(low)) & (F.lower("token") != low)).select("token")
 
 
 def word_tags(corpus: Corpus, word: str) -> DataFrame:
     """Tags and usable lemmas of a word, sorted."""
-    rows = corpus.tokens("low", "tag", "lemma").filter(F.col("low") == word.lower())
+    rows = corpus.counted("low", "tag", "lemma").filter(F.col("low") == word.lower())
     lemma = F.when(~F.col("lemma").isin(UNTAGGED, MISSING), F.col("lemma"))
     packed = rows.groupBy(F.col("low").alias("token")).agg(F.array_sort(F.collect_set("tag")).alias("t"), F.array_sort(F.collect_set(lemma)).alias("l"))
     return packed.select("token", F.array_join("t", ",").alias("tags"), F.array_join("l", ",").alias("lemmas"))
 
 
 def tagset(corpus: Corpus) -> DataFrame:
-    return corpus.tokens("tag").filter(~F.col("tag").isin(UNTAGGED, MISSING)).groupBy("tag").agg(F.count("*").alias("frequency"))
+    return corpus.counted("tag").filter(~F.col("tag").isin(UNTAGGED, MISSING)).withColumnRenamed("n", "frequency")

@@ -9,21 +9,21 @@ from lexispark.functions import stats
 from lexispark.functions.semantics import PER_MILLION, RAW_SHARE, STOPWORDS
 from lexispark.functions.text import is_word
 from lexispark.plans.corpus import Corpus
-from lexispark.plans.cut import cut
+from lexispark.plans.cut import margins, shared
 
 
 def summary(corpus: Corpus, by: list[str] | None = None) -> DataFrame:
     """n_tokens (all tokens), n_types (lower-case words), n_lemmas (as they stand, sentinels included).
 
-    Tokens are counted into types once; the distinct counts work on those, one column at a time."""
+    Tokens are counted into types in one shuffle; the distinct counts work on those, one column at a time."""
     by = by or []
-    types = cut(corpus.tokens("low", "lemma").groupBy(*by, "low", "lemma").agg(F.count("*").alias("n")))
+    types = shared(corpus.counted("low", "lemma", by=by))
     words = types.groupBy(*by, "low").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_tokens"), F.count_if(is_word(F.col("low"))).alias("n_types"))
-    lemmas = types.groupBy(*by, "lemma").agg(F.lit(1).alias("one")).groupBy(*by).agg(F.count("*").alias("n_lemmas"))
+    lemmas = types.groupBy(*by, "lemma").agg(F.sum("n").alias("n")).groupBy(*by).agg(F.count_if(F.col("n") > 0).alias("n_lemmas"))
     if not by:
         return words.crossJoin(F.broadcast(lemmas))  # a row each
-    same = [words[c].eqNullSafe(lemmas[c]) for c in by]
-    return words.join(lemmas, same).select(*[words[c] for c in by], "n_tokens", "n_types", "n_lemmas")
+    renamed = lemmas.select(*[F.col(c).alias(f"_by{k}") for k, c in enumerate(by)], "n_lemmas")
+    return words.join(renamed, [F.col(c).eqNullSafe(F.col(f"_by{k}")) for k, c in enumerate(by)]).select(*by, "n_tokens", "n_types", "n_lemmas")
 
 
 def raw_mode(corpus: Corpus) -> DataFrame:
@@ -31,21 +31,23 @@ def raw_mode(corpus: Corpus) -> DataFrame:
 
 
 def frequency(corpus: Corpus, tagged: bool = False, by: list[str] | None = None, per: int = PER_MILLION, extra_punct: tuple[str, ...] = ()) -> DataFrame:
-    """Words (case as written; with their tag if `tagged`), frequency and relative frequency.
+    """Words (case as written; with their tag if `tagged`), frequency and relative frequency, in the corpus or in each
+    group.
 
-    Whether a token is a word is decided on the group's key after counting, once per type.  The corpus size is the
-    sum of the counts, so the corpus is read once."""
-    keys = [*(by or []), "token", *(["tag"] if tagged else [])]
-    counted = cut(corpus.tokens("token", *(["tag"] if tagged else [])).groupBy(*keys).agg(F.count("*").alias("frequency")))
-    size = counted.agg(F.coalesce(F.sum("frequency"), F.lit(0)).alias("_size"))  # one row
+    Whether a token is a word is decided on the group's key after counting, once per type.  The size is the sum of the
+    counts, so the corpus is read once."""
+    by = by or []
+    counted = shared(corpus.counted("token", *(["tag"] if tagged else []), by=by).withColumnRenamed("n", "frequency"))
+    sized = margins(counted, by, _size="frequency")
     low = F.lower("token")
-    kept = counted.filter(is_word(low) & ~low.isin(*extra_punct) & (F.col("token") != "")) if extra_punct else counted.filter(is_word(low) & (F.col("token") != ""))
-    return kept.crossJoin(F.broadcast(size)).withColumn("relative_frequency", stats.relative_frequency(F.col("frequency"), F.col("_size"), per)).drop("_size")
+    word = is_word(low) & (F.col("token") != "")
+    kept = sized.filter(word & ~low.isin(*extra_punct) if extra_punct else word)
+    return kept.withColumn("relative_frequency", stats.relative_frequency(F.col("frequency"), F.col("_size"), per)).drop("_size")
 
 
 def frequency_lower(corpus: Corpus, by: list[str] | None = None) -> DataFrame:
     """Case-insensitive counts of every token, punctuation included."""
-    return corpus.tokens("low").groupBy(*(by or []), F.col("low").alias("token_low")).agg(F.count("*").alias("frequency"))
+    return corpus.counted("low", by=by).withColumnsRenamed({"low": "token_low", "n": "frequency"})
 
 
 def top(freq: DataFrame, limit: int, keys: list[str] | None = None) -> DataFrame:
@@ -55,8 +57,8 @@ def top(freq: DataFrame, limit: int, keys: list[str] | None = None) -> DataFrame
     return freq.orderBy(*order).limit(limit).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
-def cloud_weights(corpus: Corpus, stopwords: tuple[str, ...] = STOPWORDS) -> DataFrame:
+def cloud_weights(corpus: Corpus, stopwords: tuple[str, ...] = STOPWORDS, by: list[str] | None = None) -> DataFrame:
     """Weight of each word outside `stopwords`, and its most frequent tag (ties: the first by name)."""
-    freq = frequency(corpus, tagged=True).filter(~F.lower("token").isin(*stopwords) & ~F.col("token").contains(" "))
+    freq = frequency(corpus, tagged=True, by=by).filter(~F.lower("token").isin(*stopwords) & ~F.col("token").contains(" "))
     best = F.min(F.struct((-F.col("frequency")).alias("f"), "tag"))
-    return freq.groupBy("token").agg(F.sum("frequency").alias("weight"), best["tag"].alias("tag"))
+    return freq.groupBy(*(by or []), "token").agg(F.sum("frequency").alias("weight"), best["tag"].alias("tag"))

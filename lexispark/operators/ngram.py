@@ -9,39 +9,77 @@ from lexispark.functions import stats
 from lexispark.functions.semantics import PER_MILLION
 from lexispark.functions.text import is_word
 from lexispark.plans.corpus import Corpus
+from lexispark.plans.cut import cut, margins, shared
 from lexispark.plans.pattern import parse_term
 
+CELLS = 1 << 22
+FEW_CELLS = 1_000_000  # cells that are sent to every task: about 16 MB at most
+
 
 def _window(corpus: Corpus, n: int, names: list[str]) -> DataFrame:
-    """One row per n-gram that begins in a core: n shifted slices of each array, zipped."""
+    """One row per n-gram that begins in a core: n shifted slices of each array, zipped.  After a block's last n-gram
+    comes a row without tokens that has the block's number of tokens in `_size`, so that sizes need no scan of their own."""
     if n - 1 > corpus.halo:
         raise ValueError(f"n-grams of {n} need a halo of {n - 1}; the corpus was built with {corpus.halo}")
-    width = F.least(F.col("core_len"), F.size(names[0]) - F.col("core_from") - (n - 1))
-    shifted = [F.slice(name, F.col("core_from") + 1 + k, F.greatest(width, F.lit(0))).alias(f"{name}{k}") for name in names for k in range(n)]
-    rows = corpus.blocks.select("unit_id", *corpus.keep, *shifted)
-    zipped = F.explode(F.arrays_zip(*[f"{name}{k}" for name in names for k in range(n)])).alias("g")
+    width = F.greatest(F.least(F.col("core_len"), F.size(names[0]) - F.col("core_from") - (n - 1)), F.lit(0))
+    shifted = [F.slice(name, F.col("core_from") + 1 + k, width).alias(f"{name}{k}") for name in names for k in range(n)]
+    size = F.concat(F.array_repeat(F.lit(None).cast("long"), width), F.array(F.col("core_len").cast("long"))).alias("_size")
+    rows = corpus.blocks.select("unit_id", *corpus.keep, *shifted, size)
+    zipped = F.explode(F.arrays_zip(*[f"{name}{k}" for name in names for k in range(n)], "_size")).alias("g")
     return rows.select(*corpus.keep, zipped).select(*corpus.keep, "g.*")
 
 
-def ngrams(corpus: Corpus, n: int, filters: dict[int, str] | None = None, drop_punct: bool = True, by: list[str] | None = None, per: int = PER_MILLION) -> DataFrame:
-    """ngram (tokens as written), frequency, relative_frequency.
-
-    `filters` maps a 1-based position to a term pattern; positions beyond n are ignored.  Filters touch the
-    n-gram alone, so they run before the shuffle."""
-    by = by or []
+def _wanted(corpus: Corpus, n: int, filters: dict[int, str] | None, drop_punct: bool) -> DataFrame:
+    """(kept columns, ngram, _size) of the n-grams that pass the filters, and the rows with a block's size."""
     wanted = {k: parse_term(p) for k, p in (filters or {}).items() if p.strip() and 1 <= k <= n}
     structural = any(t.structural for t in wanted.values())
     rows = _window(corpus, n, ["token", *(["tag", "lemma"] if structural else [])])
-    if structural and corpus.raw:
-        rows = rows.filter(F.lit(False))
+    passes = F.lit(not (structural and corpus.raw))
     for k, term in wanted.items():
         i = k - 1
         tag, lemma = (F.col(f"tag{i}"), F.col(f"lemma{i}")) if structural else (F.lit(None), F.lit(None))
-        rows = rows.filter(term.matches(F.lower(f"token{i}"), tag, lemma))
+        passes = passes & term.matches(F.lower(f"token{i}"), tag, lemma)
     if drop_punct:
         words: Column = F.lit(False)
         for i in range(n):
             words = words | is_word(F.lower(f"token{i}"))
-        rows = rows.filter(words)
-    counted = rows.groupBy(*by, F.concat_ws(" ", *[F.col(f"token{i}") for i in range(n)]).alias("ngram")).agg(F.count("*").alias("frequency"))
-    return counted.withColumn("relative_frequency", stats.relative_frequency(F.col("frequency"), F.lit(corpus.size), per))
+        passes = passes & words
+    parts = [F.col(f"token{i}") for i in range(n)]
+    return rows.filter(F.col("_size").isNotNull() | passes).select(*corpus.keep, F.when(F.col("_size").isNull(), F.concat_ws(" ", *parts)).alias("ngram"), "_size")
+
+
+def _listed(rows: DataFrame, by: list[str], per: int, minimum: int = 1) -> DataFrame:
+    counted = shared(rows.groupBy(*by, "ngram").agg(F.count("*").alias("frequency"), F.sum("_size").alias("_size")))
+    sized = margins(counted, by, _total="_size").filter(F.col("_size").isNull() & (F.col("frequency") >= minimum))
+    return sized.select(*by, "ngram", "frequency", stats.relative_frequency(F.col("frequency"), F.col("_total"), per).alias("relative_frequency"))
+
+
+def ngrams(corpus: Corpus, n: int, filters: dict[int, str] | None = None, drop_punct: bool = True, by: list[str] | None = None, per: int = PER_MILLION) -> DataFrame:
+    """ngram (tokens as written), frequency, relative_frequency, in the corpus or in each group.
+
+    `filters` maps a 1-based position to a term pattern; positions beyond n are ignored.  Filters touch the
+    n-gram alone, so they run before the shuffle."""
+    return _listed(_wanted(corpus, n, filters, drop_punct), by or [], per)
+
+
+def frequent(
+    corpus: Corpus, n: int, minimum: int, filters: dict[int, str] | None = None, drop_punct: bool = True, by: list[str] | None = None, per: int = PER_MILLION, cells: int = CELLS,
+) -> DataFrame:
+    """`ngrams` of at least `minimum` occurrences, without shuffling the rare ones.
+
+    A first pass adds n-grams up in `cells` cells by hash, each in two (a count-min sketch of two rows).  A cell's total is
+    no less than the count of any n-gram in it, so an n-gram with a cell below the minimum can't reach it.  The second
+    pass counts the rest exactly.  The sketch takes a row for each cell and task at most; full cells are few where the
+    minimum is high: no more than two for each `minimum` n-grams."""
+    by = by or []
+    rows = _wanted(corpus, n, filters, drop_punct)
+    hashed = F.xxhash64("ngram", *by)
+    cell = lambda k: (F.pmod(F.shiftright(hashed, 32 * k) if k else hashed, F.lit(cells)) + k * cells).cast("long")
+    sketch = rows.filter("ngram IS NOT NULL").select(F.explode(F.array(cell(0), cell(1))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
+    full = cut(sketch.filter(F.col("n") >= minimum).select("cell"))
+    few = full.count() <= FEW_CELLS
+    hint = (lambda df: F.broadcast(df)) if few else (lambda df: df)
+    kept = rows.filter("ngram IS NOT NULL")
+    for k in (0, 1):
+        kept = kept.withColumn("cell", cell(k)).join(hint(full), "cell", "left_semi").drop("cell")
+    return _listed(kept.unionByName(rows.filter("ngram IS NULL")), by, per, minimum)

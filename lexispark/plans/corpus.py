@@ -37,10 +37,13 @@ def _cut(units: DataFrame, keep: list[str], block: int, halo: int) -> DataFrame:
 
 
 class Corpus:
-    """Blocks plus the facts that every analysis needs: size, and whether the corpus is raw."""
+    """Blocks plus the facts that every analysis needs: size, and whether the corpus is raw.
 
-    def __init__(self, blocks: DataFrame, keep: list[str], block: int = BLOCK, halo: int = HALO, raw: bool | None = None):
-        self.blocks, self.keep, self.block, self.halo = blocks, keep, block, halo
+    `types`, where a stored corpus has them, are its tokens counted by type: any of the kept columns, token, low, tag,
+    lemma, and n.  Lists and totals then come from types and no token is read."""
+
+    def __init__(self, blocks: DataFrame, keep: list[str], block: int = BLOCK, halo: int = HALO, raw: bool | None = None, types: DataFrame | None = None):
+        self.blocks, self.keep, self.block, self.halo, self.types = blocks, keep, block, halo, types
         self._raw = raw
 
     # -- building -------------------------------------------------------------------------------------
@@ -85,13 +88,15 @@ class Corpus:
         rows = [p.blocks.select(F.lit(name).alias(label), unit, *keep, "block", "start", "core_from", "core_len", *ARRAYS) for name, p in corpora.items()]
         return cls(reduce(DataFrame.unionByName, rows), [label, *keep], block, halo, raw)
 
-    def as_one_sequence(self) -> Corpus:
-        """Scope "corpus": one sequence over all units in the order of unit_id.
+    def as_one_sequence(self, by: list[str] | None = None) -> Corpus:
+        """Scope "corpus": one sequence over all units in the order of unit_id, or one for each group of the kept columns
+        `by`, which the result keeps.
 
         Each block's own part is sliced for the new blocks that it reaches into, and those are put together: one
         shuffle of array slices, here only."""
-        own = self.blocks.filter("core_len > 0").select("unit_id", (F.col("start") + F.col("core_from")).alias("pos"), "core_len", *self.core(*ARRAYS))
-        own = own.join(self._unit_starts(), "unit_id").withColumn("begin", F.col("unit_start") + F.col("pos"))
+        by = by or []
+        own = self.blocks.filter("core_len > 0").select("unit_id", *by, (F.col("start") + F.col("core_from")).alias("pos"), "core_len", *self.core(*ARRAYS))
+        own = self._with_starts(own, by).withColumn("begin", F.col("unit_start") + F.col("pos"))
         last = F.floor((F.col("begin") + F.col("core_len") - 1 + self.halo) / self.block)
         first = F.greatest(F.lit(0).cast("long"), F.floor((F.col("begin") - self.halo) / self.block))
         home, block = F.col("home"), F.lit(self.block)
@@ -99,14 +104,25 @@ class Corpus:
         high = F.least(F.col("begin") + F.col("core_len"), (home + 1) * block + self.halo)
         inside = F.greatest(F.lit(0), F.least(high, (home + 1) * block) - F.greatest(low, home * block))
         slices = [F.slice(a, (low - F.col("begin") + 1).cast("int"), (high - low).cast("int")).alias(a) for a in ARRAYS]
-        pieces = own.withColumn("home", F.explode(F.sequence(first, last))).filter(high > low).select("home", inside.alias("inside"), F.struct(low.alias("low_pos"), *slices).alias("piece"))
-        packed = pieces.groupBy("home").agg(F.sum("inside").alias("core_len"), F.array_sort(F.collect_list("piece")).alias("t")).filter("core_len > 0")
+        pieces = own.withColumn("home", F.explode(F.sequence(first, last))).filter(high > low).select(*by, "home", inside.alias("inside"), F.struct(low.alias("low_pos"), *slices).alias("piece"))
+        packed = pieces.groupBy(*by, "home").agg(F.sum("inside").alias("core_len"), F.array_sort(F.collect_list("piece")).alias("t")).filter("core_len > 0")
         begin = F.col("t.low_pos")[0]
         blocks = packed.select(
-            F.lit(0).cast("long").alias("unit_id"), home.alias("block"), begin.alias("start"),
+            F.lit(0).cast("long").alias("unit_id"), *by, home.alias("block"), begin.alias("start"),
             (home * block - begin).cast("int").alias("core_from"), F.col("core_len").cast("int").alias("core_len"), *[F.flatten(F.col(f"t.{a}")).alias(a) for a in ARRAYS],
         )
-        return Corpus(blocks, [], self.block, self.halo, self._raw)
+        return Corpus(blocks, by, self.block, self.halo, self._raw)
+
+    def around(self, few: DataFrame) -> Corpus:
+        """The corpus of the blocks named by the rows of `few`: unit_id, and first, the position in the unit at which the
+        block's own part begins.
+
+        The rows become one scalar subquery, run once with the query that reads the corpus; its condition on units goes
+        down to the source, so only those units are tokenised."""
+        wanted = few.agg(F.struct(F.collect_list("unit_id").alias("ids"), F.collect_list(F.struct("unit_id", "first")).alias("keys"), F.coalesce(F.bool_or(F.col("unit_id").isNull()), F.lit(False)).alias("none"))).scalar()
+        units = self.blocks.filter(F.array_contains(wanted["ids"], F.col("unit_id")) | (F.col("unit_id").isNull() & wanted["none"]))
+        own = F.struct("unit_id", (F.col("start") + F.col("core_from")).cast("long").alias("first"))
+        return Corpus(units.filter(F.array_contains(wanted["keys"], own)), self.keep, self.block, self.halo, self._raw, self.types)
 
     # -- views ----------------------------------------------------------------------------------------
     def core(self, *names: str) -> list[Column]:
@@ -121,29 +137,46 @@ class Corpus:
         rows = zipped.select("unit_id", *self.keep, "first", F.posexplode(F.arrays_zip(*names)).alias("i", "t"))
         return rows.select("unit_id", *self.keep, (F.col("first") + F.col("i")).alias("pos"), *[F.col(f"t.{n}").alias(n) for n in names])
 
-    def _unit_starts(self) -> DataFrame:
-        """unit_id and unit_start, the number of tokens in the units before: by totals of ranges of units, then of
-        units, so no task orders the corpus.  The ranges are written once, so that a lost task can't draw them anew."""
-        sizes = self.blocks.groupBy("unit_id").agg(F.sum("core_len").alias("n"))
-        sizes = cut(sizes)
+    def counted(self, *names: str, by: list[str] | None = None) -> DataFrame:
+        """Tokens counted by kept columns and attributes: (*by, *names, n).  From the stored types if there are any."""
+        keys = [*(by or []), *names]
+        if self.types is not None and set(keys) <= set(self.types.columns):
+            return self.types.groupBy(*keys).agg(F.sum("n").alias("n"))
+        return self.tokens(*names).groupBy(*keys).agg(F.count("*").alias("n"))
+
+    def _with_starts(self, rows: DataFrame, by: list[str]) -> DataFrame:
+        """Rows with unit_start, the number of tokens in the units before (of the same group): by totals of ranges of
+        units, then of units, so no task orders the corpus.  The ranges are written once, so that a lost task can't
+        draw them anew."""
+        sizes = cut(self.blocks.groupBy(*by, "unit_id").agg(F.sum("core_len").alias("n")))
         bins = max(1, math.isqrt(sizes.count()))  # as many units in a range as ranges
-        ranged = cut(sizes.repartitionByRange(bins, "unit_id").withColumn("bin", F.spark_partition_id()))
-        totals = ranged.groupBy("bin").agg(F.sum("n").alias("n"))
-        before = totals.select("bin", F.coalesce(F.sum("n").over(Window.orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("bin_start"))
-        inside = F.coalesce(F.sum("n").over(Window.partitionBy("bin").orderBy("unit_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return ranged.withColumn("inside", inside).join(F.broadcast(before), "bin").select("unit_id", (F.col("bin_start") + F.col("inside")).alias("unit_start"))
+        ranged = cut(sizes.repartitionByRange(bins, *by, "unit_id").withColumn("bin", F.spark_partition_id()))
+        names = {c: f"_by{k}" for k, c in enumerate(by)}
+        same = lambda: [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+        renamed = [F.col(c).alias(n) for c, n in names.items()]
+        totals = ranged.groupBy(*by, "bin").agg(F.sum("n").alias("n"))
+        earlier = Window.partitionBy(*by).orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        before = totals.select(*renamed, F.col("bin").alias("_bin"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("bin_start"))
+        inside = F.coalesce(F.sum("n").over(Window.partitionBy(*by, "bin").orderBy("unit_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        placed = ranged.withColumn("inside", inside).join(F.broadcast(before), [F.col("bin") == F.col("_bin"), *same()]).select(*by, "unit_id", (F.col("bin_start") + F.col("inside")).alias("unit_start"))
+        starts = placed.select(*renamed, F.col("unit_id").alias("_unit"), "unit_start")
+        return rows.join(starts, [F.col("unit_id") == F.col("_unit"), *same()]).drop("_unit", *names.values())
 
     def positions(self) -> DataFrame:
         """tokens() with global_pos, the position in the sequence of all units."""
-        return self.tokens().join(self._unit_starts(), "unit_id").withColumn("global_pos", F.col("unit_start") + F.col("pos")).drop("unit_start")
+        return self._with_starts(self.tokens(), []).withColumn("global_pos", F.col("unit_start") + F.col("pos")).drop("unit_start")
 
     # -- facts ----------------------------------------------------------------------------------------
     @cached_property
     def size(self) -> int:
+        if self.types is not None:
+            return int(self.types.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
         return int(self.blocks.agg(F.coalesce(F.sum("core_len"), F.lit(0))).first()[0])
 
     def raw_share(self) -> DataFrame:
-        return self.tokens("tag").agg(F.coalesce(F.avg(F.col("tag").contains(UNTAGGED).cast("double")), F.lit(1.0)).alias("share"))
+        tags = self.counted("tag")
+        untagged = F.sum(F.when(F.col("tag").contains(UNTAGGED), F.col("n")).otherwise(0))
+        return tags.agg(F.coalesce(untagged / F.sum("n"), F.lit(1.0)).alias("share"))
 
     @cached_property
     def raw(self) -> bool:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def scratch(spark: SparkSession) -> str:
@@ -19,11 +21,28 @@ def scratch(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """`df`, written to the shared folder and read from there ever after.
-
-    For tables of types or units, which are far smaller than the tokens they are counted from.  A lost executor
-    costs a reread, not a recount."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(scratch(df.sparkSession))
-    return df.checkpoint()
+    """`df`, written to the shared folder as Parquet and read from there ever after.
+
+    For tables of units, which are far smaller than the tokens they are counted from.  A lost executor costs a reread,
+    not a recount; later steps read the columns that they need."""
+    path = f"{scratch(df.sparkSession)}/lexispark/cut-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def shared(df: DataFrame) -> DataFrame:
+    """An aggregate that several parts of one result read, lazily: its shuffle is made once.
+
+    Spark reuses a shuffle only where all its readers plan it alike, but a reader's filter or choice of columns would be
+    pushed below the aggregate.  An observed checksum of all columns keeps both above it."""
+    return df.observe(f"shared-{uuid.uuid4().hex[:12]}", F.bit_xor(F.xxhash64(*df.columns)).alias("checksum"))
+
+
+def margins(df: DataFrame, by: list[str], **sums: str) -> DataFrame:
+    """`df` with sums over all of its rows, or over the rows of each group: margins(df, ["lang"], total="n")."""
+    whole = df.groupBy(*by).agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(name) for name, c in sums.items()])
+    if not by:
+        return df.crossJoin(F.broadcast(whole))  # one row
+    names = {c: f"_by{k}" for k, c in enumerate(by)}
+    renamed = whole.select(*[F.col(c).alias(n) for c, n in names.items()], *sums)
+    return df.join(renamed, [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).drop(*names.values())

@@ -7,7 +7,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
-from lexispark.operators import dictionary, frequency, structure
+from lexispark.operators import dictionary, frequency, ngram, structure
 from lexispark.operators.collocation import Collocates
 from lexispark.operators.search import Hits, translated
 from lexispark.plans.corpus import Corpus
@@ -32,14 +32,27 @@ def reads(spark, tmp_path):
 
 
 @pytest.mark.parametrize("analysis", [
-    frequency.summary, frequency.frequency, lambda c: dictionary.forms(c, "cat"), lambda c: Collocates(c, "the").stats(), lambda c: Collocates(c, "the").top(5),
+    frequency.summary, frequency.frequency, lambda c: frequency.cloud_weights(c), lambda c: dictionary.forms(c, "cat"), lambda c: Collocates(c, "the").stats(), lambda c: Collocates(c, "the").top(5),
+    lambda c: Collocates(c, "the", word="c*", min_observed=2).stats(), lambda c: ngram.ngrams(c, 2), lambda c: Hits(c, "t*").breakdown(), lambda c: Hits(c, "the").summary(near="cat"),
+    lambda c: Hits(c, "the").kwic(limit=None), lambda c: Collocates(c, "the").graph_nodes(5),
 ])
-def test_an_analysis_reads_the_corpus_once(reads, analysis):
+def test_an_analysis_is_lazy_and_reads_the_corpus_once(reads, analysis):
     corpus, counter = reads
-    assert analysis(corpus).collect()
+    answer = analysis(corpus)
+    assert counter.value == 0
+    assert answer.collect()
     assert counter.value == 3
 
 
+@pytest.mark.parametrize("analysis", [lambda c: Hits(c, "the").kwic(), lambda c: Hits(c, "the").kwic(limit=2, sample_seed=1), lambda c: Collocates(c, "the").examples(5)])
+def test_lines_take_a_pass_and_a_fetch(reads, analysis):
+    corpus, counter = reads
+    answer = analysis(corpus)
+    assert counter.value == 0
+    assert answer.collect()
+    assert counter.value == 6
+
+
 def test_positions_and_one_sequence(spark):
     rng = random.Random(2)
     texts = [" ".join(rng.choices("abcdefg", k=rng.randrange(0, 30))) for _ in range(40)]

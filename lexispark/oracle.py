@@ -259,3 +259,32 @@ SQL |= {
       UNION ALL SELECT 'related', token, '' FROM ({SQL['related_forms'].replace('thing', 'the')})
       UNION ALL SELECT 'example', node, concat_ws(' | ', "left", "right") FROM ({SQL['kwic'].replace('LIMIT 100', 'LIMIT 5')})""",
 }
+STATS_BY = f"""langs AS (SELECT doc_id, any_value(lang) AS lang FROM documents GROUP BY doc_id),
+    sizes AS (SELECT lang, count(*) AS n FROM tok GROUP BY lang),
+    nodes AS (SELECT lang, count(*) AS nf FROM hits JOIN langs USING (doc_id) GROUP BY lang),
+    counts AS (SELECT lang, low AS word, tag, lemma, count(*) FILTER (side = 'L') AS obs_l, count(*) FILTER (side = 'R') AS obs_r, count(*) AS observed FROM near JOIN langs USING (doc_id) WHERE {WORD} GROUP BY ALL),
+    lowfreq AS (SELECT lang, low AS word, count(*) AS total_freq FROM tok GROUP BY ALL),
+    cells AS (SELECT c.*, f.total_freq, observed AS k11, nf - observed AS k12, total_freq - observed AS k21, n - (observed + (nf - observed) + (total_freq - observed)) AS k22, nf, n
+      FROM counts c JOIN lowfreq f USING (lang, word) JOIN sizes USING (lang) JOIN nodes USING (lang)),
+    scored {STATS.split('scored', 1)[1]}""".replace("stats AS (SELECT word", "stats AS (SELECT lang, word")
+SQL |= {
+    "search_indexed": f"""{_with(TAGGED)} SELECT 'th*tion' AS query, doc_id, pos, 1 AS len FROM tok WHERE regexp_full_match(low, 'th.*tion')
+      UNION ALL SELECT '[th*]', doc_id, pos, 1 FROM tok WHERE starts_with(lemma, 'th')
+      UNION ALL SELECT 'of the', a.doc_id, a.pos, 2 FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.low = 'of' AND b.low = 'the'
+      UNION ALL SELECT 'of [th*]_NN*', a.doc_id, a.pos, 2 FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.low = 'of' AND starts_with(b.lemma, 'th') AND starts_with(b.tag, 'NN')""",
+    "kwic_indexed": f"{_with(TOK, _hits('of the'), _lines(7, 7))} SELECT * FROM lines ORDER BY doc_id, pos LIMIT 100",
+    "colloc_indexed": _stats(TAGGED, word="thing"),
+    "freq_appended": SQL["freq_list_tagged"],
+    "forms_appended": SQL["lemma_forms"],
+    "summary_sketch": f"{_with(TOK)} SELECT lang, count(*) AS n_tokens, true AS types_close, true AS lemmas_close FROM tok GROUP BY lang",
+    "colloc_by_lang": f"""{_with(TOK, _hits(), _near(5), STATS_BY)} SELECT lang, {STAT_COLUMNS}, rank FROM
+      (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY ll DESC, word, tag, lemma) AS rank FROM stats) WHERE rank <= 10""",
+    "ngram_corpus_scope_by_lang": f"""{_with(TOK)}, sizes AS (SELECT lang, count(*) AS n FROM tok GROUP BY lang),
+      g AS (SELECT lang, token, low, lead(token) OVER w AS token1, lead(low) OVER w AS low1 FROM tok WINDOW w AS (PARTITION BY lang ORDER BY doc_id, pos))
+      SELECT lang, token || ' ' || token1 AS ngram, count(*) AS frequency, round(count(*) / any_value(n) * 1000000, 4) AS relative_frequency FROM g JOIN sizes USING (lang)
+      WHERE token1 IS NOT NULL AND ({WORD} OR {WORD.replace('low', 'low1')}) GROUP BY ALL""",
+    "breakdown_by_lang": f"""{_with(TOK)}, sizes AS (SELECT lang, count(*) AS n FROM tok GROUP BY lang),
+      f AS (SELECT lang, token, count(*) AS frequency, round(count(*) / any_value(n) * 1000000, 4) AS relative_frequency FROM tok JOIN sizes USING (lang) WHERE starts_with(low, 'th') GROUP BY ALL),
+      z AS (SELECT *, {ZIPF} AS zipf FROM f) SELECT *, {BAND} AS band FROM z""",
+    "ngram_frequent": f"SELECT * FROM ({_ngram(5)}) WHERE frequency >= 5",
+}

@@ -16,10 +16,12 @@ from lexispark.operators.collocation import Collocates
 from lexispark.operators.search import Hits
 from lexispark.plans.corpus import Corpus
 from lexispark.plans.cut import scratch
+from lexispark.plans.store import Store
 from lexispark.sinks import write_table
 from lexispark.sources import markup, parallel, plain
 
 NODE, PHRASE = "the", "of the"
+INDEXED = ("th*tion", "[th*]", "of the", "of [th*]_NN*")
 
 
 def _tokens(corpus: Corpus, *names: str) -> DataFrame:
@@ -360,6 +362,64 @@ def markup_structure_merged(spark: SparkSession, d: str) -> DataFrame:
     return structure.merged([(spark.read.parquet(f"{d}/pages.parquet"), "html"), (fixtures.sentence_markup(spark, d), "markup")])
 
 
+def _store(spark: SparkSession, d: str, index: bool = True) -> Store:
+    """The tagged documents in a store of two parts: those in English, then the others by an append."""
+    path = f"{scratch(spark)}/store-{uuid.uuid4().hex[:12]}"
+    english = F.coalesce(F.col("lang") == "en", F.lit(False))
+    parts = [Corpus.from_arrays(fixtures.tagged_units(spark, d).filter(p), ["lang", "source"], raw=False) for p in (english, ~english)]
+    return Store.create(path, parts[0], ["lang"], index).append(parts[1])
+
+
+def search_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """A pattern, a lemma, a phrase and a phrase with a tag, from the positional index."""
+    store, out = _store(spark, d), None
+    for query in INDEXED:
+        rows = store.positions(query).select(F.lit(query).alias("query"), F.col("unit_id").alias("doc_id"), "pos", "len")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def kwic_indexed(spark: SparkSession, d: str) -> DataFrame:
+    return _store(spark, d).kwic(PHRASE).select(F.col("unit_id").alias("doc_id"), "pos", "left", "node", "right")
+
+
+def colloc_indexed(spark: SparkSession, d: str) -> DataFrame:
+    """Surroundings from the blocks that the index names, totals from the types."""
+    return _scores(Collocates(_store(spark, d).narrow("thing"), "thing").stats())
+
+
+def freq_appended(spark: SparkSession, d: str) -> DataFrame:
+    return frequency.frequency(_store(spark, d, index=False).corpus, tagged=True)
+
+
+def forms_appended(spark: SparkSession, d: str) -> DataFrame:
+    return dictionary.forms(_store(spark, d, index=False).corpus, "thing")
+
+
+def summary_sketch(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the sketches' distinct counts are within 3 % of the exact ones, by language."""
+    store = _store(spark, d, index=False)
+    exact = frequency.summary(store.corpus, ["lang"]).select("lang", F.col("n_types").alias("types"), F.col("n_lemmas").alias("lemmas"))
+    close = lambda a, b: (F.abs(F.col(a) - F.col(b)) <= 0.03 * F.col(b) + 1).alias(f"{b}_close")
+    return store.summary_estimate(["lang"]).join(exact, "lang").select("lang", "n_tokens", close("n_types", "types"), close("n_lemmas", "lemmas"))
+
+
+def colloc_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    return _scores(_raw_collocates(spark, d, by=["lang"]).top(10))
+
+
+def ngram_corpus_scope_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    return ngram.ngrams(fixtures.raw(spark, d).as_one_sequence(["lang"]), 2, by=["lang"])
+
+
+def breakdown_by_lang(spark: SparkSession, d: str) -> DataFrame:
+    return Hits(fixtures.raw(spark, d), "th*").breakdown(by=["lang"])
+
+
+def ngram_frequent(spark: SparkSession, d: str) -> DataFrame:
+    return ngram.frequent(fixtures.raw(spark, d), 5, 5)
+
+
 QUERIES = {
     "tokenize": tokenize, "src_raw_tokens": src_raw_tokens, "src_vertical": src_vertical, "src_markup_w": src_markup_w, "src_markup_plain": src_markup_plain,
     "src_markup_vertical": src_markup_vertical, "src_sentence_ids": src_sentence_ids, "markup_sanitize": markup_sanitize, "markup_lang": markup_lang,
@@ -378,6 +438,9 @@ QUERIES = {
     "colloc_examples_mi": colloc_examples_mi, "colloc_graph_nodes": colloc_graph_nodes, "colloc_graph_edges": colloc_graph_edges,
     "lemma_forms": lemma_forms, "related_forms": related_forms, "lexicon_cefr": lexicon_cefr, "lexicon_ipa": lexicon_ipa, "dictionary_entry": dictionary_entry,
     "dictionary_view": dictionary_view, "corpus_union": corpus_union, "corpus_roundtrip": corpus_roundtrip, "result_roundtrip": result_roundtrip,
+    "search_indexed": search_indexed, "kwic_indexed": kwic_indexed, "colloc_indexed": colloc_indexed, "freq_appended": freq_appended, "forms_appended": forms_appended,
+    "summary_sketch": summary_sketch, "colloc_by_lang": colloc_by_lang, "ngram_corpus_scope_by_lang": ngram_corpus_scope_by_lang, "breakdown_by_lang": breakdown_by_lang,
+    "ngram_frequent": ngram_frequent,
     "src_whole_root": whole_root, "parallel_markup": parallel_markup, "parallel_target_search": parallel_target_search,
     "word_tags": word_tags, "tagset": tagset, "markup_structure": markup_structure, "markup_structure_merged": markup_structure_merged,
 }

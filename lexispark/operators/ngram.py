@@ -63,23 +63,23 @@ def ngrams(corpus: Corpus, n: int, filters: dict[int, str] | None = None, drop_p
 
 
 def frequent(
-    corpus: Corpus, n: int, minimum: int, filters: dict[int, str] | None = None, drop_punct: bool = True, by: list[str] | None = None, per: int = PER_MILLION, cells: int = CELLS,
+    corpus: Corpus, n: int, minimum: int, filters: dict[int, str] | None = None, drop_punct: bool = True, by: list[str] | None = None, per: int = PER_MILLION, cells: int = CELLS, depth: int = 1,
 ) -> DataFrame:
     """`ngrams` of at least `minimum` occurrences, without shuffling the rare ones.
 
-    A first pass adds n-grams up in `cells` cells by hash, each in two (a count-min sketch of two rows).  A cell's total is
-    no less than the count of any n-gram in it, so an n-gram with a cell below the minimum can't reach it.  The second
-    pass counts the rest exactly.  The sketch takes a row for each cell and task at most; full cells are few where the
-    minimum is high: no more than two for each `minimum` n-grams."""
+    A first pass counts n-grams in a count-min sketch: `depth` (1 or 2) rows of `cells` cells, an n-gram in one cell of each
+    by its hash.  A cell's total is no less than the count of any n-gram in it, so an n-gram with a cell below the minimum
+    can't reach it.  The second pass counts the rest exactly.  What the sketch shuffles is bounded by its cells for each
+    task, whatever the n-grams' length; full cells are few where the minimum is high: `depth` for each `minimum` n-grams."""
     by = by or []
     rows = _wanted(corpus, n, filters, drop_punct)
     hashed = F.xxhash64("ngram", *by)
-    cell = lambda k: (F.pmod(F.shiftright(hashed, 32 * k) if k else hashed, F.lit(cells)) + k * cells).cast("long")
-    sketch = rows.filter("ngram IS NOT NULL").select(F.explode(F.array(cell(0), cell(1))).alias("cell")).groupBy("cell").agg(F.count("*").alias("n"))
-    full = cut(sketch.filter(F.col("n") >= minimum).select("cell"))
+    cell = lambda k: (F.pmod(F.shiftright(hashed, 32 * k) if k else hashed, F.lit(cells)) + k * cells).cast("int")
+    named = rows.filter("ngram IS NOT NULL")
+    found = named.select(cell(0).alias("cell")) if depth == 1 else named.select(F.explode(F.array(*[cell(k) for k in range(depth)])).alias("cell"))
+    full = cut(found.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= minimum).select("cell"))
     few = full.count() <= FEW_CELLS
-    hint = (lambda df: F.broadcast(df)) if few else (lambda df: df)
-    kept = rows.filter("ngram IS NOT NULL")
-    for k in (0, 1):
-        kept = kept.withColumn("cell", cell(k)).join(hint(full), "cell", "left_semi").drop("cell")
+    kept = named
+    for k in range(depth):
+        kept = kept.withColumn("cell", cell(k)).join(F.broadcast(full) if few else full, "cell", "left_semi").drop("cell")
     return _listed(kept.unionByName(rows.filter("ngram IS NULL")), by, per, minimum)

@@ -186,9 +186,9 @@ def test_frequent_ngrams(spark):
     r = random.Random(9)
     texts = [" ".join(r.choice(WORDS) for _ in range(60)) + f" rare{k} tail{k}" for k in range(40)]
     corpus = Corpus.from_text(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    for minimum, cells in ((2, 1 << 22), (5, 64), (1, 16)):
+    for minimum, cells, depth in ((2, 1 << 22, 1), (5, 64, 2), (1, 16, 1), (3, 1 << 20, 2)):
         every = ngram.ngrams(corpus, 2).filter(F.col("frequency") >= minimum)
-        assert rows_of(ngram.frequent(corpus, 2, minimum, cells=cells)) == rows_of(every)
+        assert rows_of(ngram.frequent(corpus, 2, minimum, cells=cells, depth=depth)) == rows_of(every)
 
 
 def test_no_unit_is_lost_without_an_id(spark):

@@ -69,16 +69,19 @@ def escaped(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(out, "<", "&lt;"), ">", "&gt;")
 
 
+def worded(line: str | Column) -> Column:
+    """A line's tokens as <w> elements."""
+    one = lambda t: F.concat(F.lit('<w pos="'), t["tag"], F.lit('" lemma="'), F.regexp_replace(escaped(t["lemma"]), '"', "&quot;"), F.lit('">'), escaped(t["token"]), F.lit("</w>"))
+    return F.array_join(F.transform(analysed(tokenize(F.col(line) if isinstance(line, str) else line)), one), "")
+
+
 def sentence_markup(spark: SparkSession, sf_dir: str, words: bool = False, bare: bool = False) -> DataFrame:
     """doc_id, markup: one <sent n="k"> per line of text, k from 1; with `words`, its tokens as <w>; with `bare`,
     every third sentence lacks n and every fifth has one that is no number."""
     lines = F.split("text", "\n")
 
     def inner(line: Column) -> Column:
-        if not words:
-            return escaped(line)
-        one = lambda t: F.concat(F.lit('<w pos="'), t["tag"], F.lit('" lemma="'), F.regexp_replace(escaped(t["lemma"]), '"', "&quot;"), F.lit('">'), escaped(t["token"]), F.lit("</w>"))
-        return F.array_join(F.transform(analysed(tokenize(line)), one), "")
+        return worded(line) if words else escaped(line)
 
     def start(i: Column) -> Column:
         numbered = F.concat(F.lit('<sent n="'), (i + 1).cast("string"), F.lit('">'))

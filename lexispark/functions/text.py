@@ -42,10 +42,10 @@ def dictionary_link(token: Column, lang: Column) -> Column:
     return link
 
 
-def sanitize_markup(markup: Column) -> Column:
+def sanitize_markup(markup: Column, trim: bool = True) -> Column:
     """Drop characters that XML forbids (and those beyond the BMP), escape bare ampersands, trim."""
     escaped = F.regexp_replace(F.regexp_replace(markup, FORBIDDEN_RE, ""), BARE_AMPERSAND_RE, "&amp;")
-    return F.regexp_replace(escaped, r"\A\s+|\s+\z", "")
+    return F.regexp_replace(escaped, r"\A\s+|\s+\z", "") if trim else escaped
 
 
 def markup_language(markup: Column) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: What is no element: comments, CDATA sections, processing instructions, declarations.
-OTHER = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>]*>"
+#: What is no element: comments, CDATA sections, processing instructions, declarations, also those with a subset.
+OTHER = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>|<![^>\[]*(?:\[(?:[^\]\"']|\"[^\"]*\"|'[^']*')*\]\s*)?>"
 #: A start tag.  A quoted value may hold anything but its quote, also '>'.
 START_TAG = r"""<[\p{L}_:][^\s<>/="']*(?:\s(?:[^<>"']++|"[^"]*+"|'[^']*+')*+)?>|<[\p{L}_:][^\s<>/="']*/>"""
 NAME = r"""<([^\s<>/="']+)"""
@@ -14,11 +14,21 @@ NAME = r"""<([^\s<>/="']+)"""
 ATTRIBUTE = r"""\s([\p{L}_:][^\s<>/="']*)\s*=\s*(?:"([^"]*)"|'([^']*)')"""
 #: The entities that markup defines by itself; the ampersand last.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&"))
+REFERENCE = r"&#(?:[xX][0-9A-Fa-f]{1,6}|[0-9]{1,7});"
+BUCKETS = 1024  # in which the values of one attribute are ordered apart
 
 
 def decoded(value: Column) -> Column:
-    for name, char in ENTITIES:
-        value = F.replace(value, F.lit(name), F.lit(char))
+    """The value with its character references and entities as characters; references to no character stay."""
+    digits = lambda r: F.regexp_extract(r, r"([0-9A-Fa-f]+);", 1)
+    code = lambda r: F.when(r.rlike("^&#[xX]"), F.conv(digits(r), 16, 10)).otherwise(digits(r)).cast("int")
+    real = lambda c: ((c > 0) & (c < 0xD800)) | ((c > 0xDFFF) & (c <= 0x10FFFF))
+    char = lambda c: F.decode(F.unhex(F.lpad(F.hex(c), 8, "0")), "UTF-32")
+    refs = F.array_distinct(F.regexp_extract_all(value, F.lit(REFERENCE), F.lit(0)))
+    known = F.aggregate(refs, value, lambda v, r: F.replace(v, r, F.when(real(code(r)), char(code(r))).otherwise(r)))
+    value = F.when(value.contains("&#"), known).otherwise(value)
+    for name, symbol in ENTITIES:
+        value = F.replace(value, F.lit(name), F.lit(symbol))
     return value
 
 
@@ -40,12 +50,13 @@ def attributes(markup: Column) -> Column:
 def structure(df: DataFrame, markup: str, max_values: int = 20) -> DataFrame:
     """tag, attr, n_values (distinct) and values: the first `max_values` of them by name, comma-joined.
 
-    Values are made distinct before they are gathered, and only the smallest are gathered.  Markup need not be
-    well-formed."""
-    rows = df.select(F.explode(attributes(F.col(markup))).alias("a")).select("a.*").distinct()
-    rank = F.row_number().over(Window.partitionBy("tag", "attr").orderBy("value"))
+    An attribute's values are dealt into buckets by their hash; each bucket makes them distinct, counts them and keeps its
+    smallest, and these few are merged, so no task sees all values of an attribute.  Markup need not be well-formed."""
+    found = df.select(F.explode(F.array_distinct(attributes(F.col(markup)))).alias("a")).select("a.*", F.pmod(F.xxhash64("a.value"), F.lit(BUCKETS)).alias("bucket"))
+    rows = found.repartition("tag", "attr", "bucket").distinct()
+    rank = F.row_number().over(Window.partitionBy("tag", "attr", "bucket").orderBy("value"))
     ranked = rows.withColumn("rank", rank)
-    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= max_values, F.col("value"))))
+    first = F.slice(F.array_sort(F.collect_list(F.when(F.col("rank") <= max_values, F.col("value")))), 1, max_values)
     return ranked.groupBy("tag", "attr").agg(F.count("value").alias("n_values"), F.array_join(first, ",").alias("values"))
 
 

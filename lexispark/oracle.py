@@ -287,4 +287,6 @@ SQL |= {
       f AS (SELECT lang, token, count(*) AS frequency, round(count(*) / any_value(n) * 1000000, 4) AS relative_frequency FROM tok JOIN sizes USING (lang) WHERE starts_with(low, 'th') GROUP BY ALL),
       z AS (SELECT *, {ZIPF} AS zipf FROM f) SELECT *, {BAND} AS band FROM z""",
     "ngram_frequent": f"SELECT * FROM ({_ngram(5)}) WHERE frequency >= 5",
+    "src_markup_split": f"""{_with(LINES)}, lt AS (SELECT doc_id * 100000 + k - 1 AS sent_id, regexp_extract_all(line, '{RE}') AS t FROM lines1),
+      lt1 AS (SELECT sent_id, generate_subscripts(t, 1) - 1 AS i, unnest(t) AS token FROM lt), lt2 AS (SELECT *, lower(token) AS low, {TAGS} AS tag FROM lt1) SELECT sent_id, i, token, tag, {LEMMA} AS lemma FROM lt2""",
 }

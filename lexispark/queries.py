@@ -370,6 +370,16 @@ def _store(spark: SparkSession, d: str, index: bool = True) -> Store:
     return Store.create(path, parts[0], ["lang"], index).append(parts[1])
 
 
+def src_markup_split(spark: SparkSession, d: str) -> DataFrame:
+    """Words of marked-up sentences in files that Spark splits at the ends of sentences."""
+    path = f"{scratch(spark)}/split-{uuid.uuid4().hex[:12]}"
+    lines = fixtures.documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+    number = (F.col("doc_id") * 100_000 + F.col("k")).cast("string")
+    lines.select(F.concat(F.lit('<sent n="'), number, F.lit('">'), fixtures.worded("line"), F.lit("</sent>"))).write.text(path)
+    rows = markup.split_sentences(spark, path)
+    return rows.select("sent_id", F.posexplode(F.arrays_zip("token", "tag", "lemma")).alias("i", "w")).select("sent_id", F.col("i").cast("long").alias("i"), "w.token", "w.tag", "w.lemma")
+
+
 def search_indexed(spark: SparkSession, d: str) -> DataFrame:
     """A pattern, a lemma, a phrase and a phrase with a tag, from the positional index."""
     store, out = _store(spark, d), None
@@ -438,7 +448,7 @@ QUERIES = {
     "colloc_examples_mi": colloc_examples_mi, "colloc_graph_nodes": colloc_graph_nodes, "colloc_graph_edges": colloc_graph_edges,
     "lemma_forms": lemma_forms, "related_forms": related_forms, "lexicon_cefr": lexicon_cefr, "lexicon_ipa": lexicon_ipa, "dictionary_entry": dictionary_entry,
     "dictionary_view": dictionary_view, "corpus_union": corpus_union, "corpus_roundtrip": corpus_roundtrip, "result_roundtrip": result_roundtrip,
-    "search_indexed": search_indexed, "kwic_indexed": kwic_indexed, "colloc_indexed": colloc_indexed, "freq_appended": freq_appended, "forms_appended": forms_appended,
+    "src_markup_split": src_markup_split, "search_indexed": search_indexed, "kwic_indexed": kwic_indexed, "colloc_indexed": colloc_indexed, "freq_appended": freq_appended, "forms_appended": forms_appended,
     "summary_sketch": summary_sketch, "colloc_by_lang": colloc_by_lang, "ngram_corpus_scope_by_lang": ngram_corpus_scope_by_lang, "breakdown_by_lang": breakdown_by_lang,
     "ngram_frequent": ngram_frequent,
     "src_whole_root": whole_root, "parallel_markup": parallel_markup, "parallel_target_search": parallel_target_search,

@@ -1,20 +1,23 @@
 """Marked-up sources: sentences with <w> elements, plain sentences, or vertical lines inside elements.
 
 The tree is parsed per document in an Arrow-batched Spark job (a document is one row); everything after that,
-tokenising included, is column expressions."""
+tokenising included, is column expressions.  A document that is too large for one task stays a file, which Spark
+splits at the ends of sentences (`split_sentences`)."""
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lexispark.functions.semantics import UNTAGGED
 from lexispark.functions.text import sanitize_markup, tokenize
 from lexispark.plans.corpus import Corpus
+from lexispark.plans.cut import cut
 from lexispark.sources.plain import columns
 
 SENTENCES = "unit_id long, ordinal int, sent_id long, text string, token array<string>, tag array<string>, lemma array<string>"
@@ -24,12 +27,22 @@ def _name(element: ET.Element) -> str:
     return element.tag.rpartition("}")[2] if isinstance(element.tag, str) else ""
 
 
+def _sentence(element: ET.Element) -> tuple:
+    """(id or None, text, tokens, tags, lemmas) of a sentence element; the id is @n or @id as an integer."""
+    try:
+        sent_id = int(element.get("n") or element.get("id") or "")
+    except ValueError:
+        sent_id = None
+    words = [(w, (w.text or "").strip()) for w in element.iter() if _name(w) == "w"]
+    parts = [(t, w.get("pos") or w.get("type") or UNTAGGED, w.get("lemma") or UNTAGGED) for w, t in words if t]
+    return (sent_id, "".join(element.itertext()), *([[p[i] for p in parts] for i in range(3)] if words else [None, None, None]))
+
+
 def sentence_rows(unit: int, markup: str) -> list[tuple]:
     """(unit, ordinal, sent_id, text, tokens, tags, lemmas) of each sentence element.
 
-    Sentences are the <sent> children of the root, else all its children, else the root itself.  The id is @n
-    or @id as an integer; other sentences are numbered by a counter of their own.  Markup that doesn't parse
-    gives no sentences."""
+    Sentences are the <sent> children of the root, else all its children, else the root itself.  Sentences without an
+    id are numbered by a counter of their own.  Markup that doesn't parse gives no sentences."""
     try:
         root = ET.fromstring(markup)
     except ET.ParseError:
@@ -39,16 +52,9 @@ def sentence_rows(unit: int, markup: str) -> list[tuple]:
         return [(unit, 0, 1, "".join(root.itertext()), None, None, None)]
     counter, rows = 0, []
     for k, element in enumerate([c for c in children if _name(c) == "sent"] or children):
-        try:
-            sent_id = int(element.get("n") or element.get("id") or "")
-        except ValueError:
-            counter += 1
-            sent_id = counter
-        words = [(w, (w.text or "").strip()) for w in element.iter() if _name(w) == "w"]
-        parts = [(t, w.get("pos") or w.get("type") or UNTAGGED, w.get("lemma") or UNTAGGED) for w, t in words if t]
-        text = "".join(element.itertext())
-        arrays = [[p[i] for p in parts] for i in range(3)] if words else [None, None, None]
-        rows.append((unit, k, sent_id, text, *arrays))
+        sent_id, *rest = _sentence(element)
+        counter += sent_id is None
+        rows.append((unit, k, counter if sent_id is None else sent_id, *rest))
     return rows
 
 
@@ -67,6 +73,10 @@ def sentences(df: DataFrame, id: str, markup: str, any_blank: bool = False) -> D
     blank-separated columns count as vertical too; ordinary prose in one line then does as well, so it is off
     unless asked for."""
     parsed = df.select(F.col(id).cast("long").alias("unit_id"), sanitize_markup(F.col(markup)).alias("markup")).mapInPandas(_parse, SENTENCES)
+    return _tokenised(parsed, ["unit_id", "ordinal", "sent_id", "text"], any_blank)
+
+
+def _tokenised(parsed: DataFrame, kept: list[str], any_blank: bool) -> DataFrame:
     lines = F.filter(F.split("text", r"\r?\n|\r"), lambda x: F.trim(x) != "")
     columned = lambda x: (x.contains("\t") | (F.size(columns(F.trim(x))) >= 3)) if any_blank else x.contains("\t")
     vertical = (F.size(lines) > 0) & (F.size(F.filter(lines, columned)) > 0.5 * F.size(lines))
@@ -74,7 +84,7 @@ def sentences(df: DataFrame, id: str, markup: str, any_blank: bool = False) -> D
     plain = tokenize(F.regexp_replace("text", r"[\n\t\r]", " "))
     blank = F.array_repeat(F.lit(UNTAGGED), F.size(plain))
     pick = lambda name, v, p: F.when(F.col(name).isNotNull(), F.col(name)).when(vertical, v).otherwise(p).alias(name)
-    return parsed.select("unit_id", "ordinal", "sent_id", "text", pick("token", part(0), plain), pick("tag", part(1), blank), pick("lemma", part(2), blank))
+    return parsed.select(*kept, pick("token", part(0), plain), pick("tag", part(1), blank), pick("lemma", part(2), blank))
 
 
 def markup_corpus(df: DataFrame, id: str = "doc_id", markup: str = "markup", **options) -> Corpus:
@@ -83,3 +93,66 @@ def markup_corpus(df: DataFrame, id: str = "doc_id", markup: str = "markup", **o
     packed = rows.groupBy("unit_id").agg(F.array_sort(F.collect_list(F.struct("ordinal", "token", "tag", "lemma", "sent"))).alias("s"))
     flat = [F.flatten(F.col(f"s.{a}")).alias(a) for a in ("token", "tag", "lemma", "sent")]
     return Corpus.from_arrays(packed.select("unit_id", *flat), **options)
+
+
+END = "</sent>"
+#: A prolog, then the first element's start tag.
+ROOT_RE = r"""\A\s*(?:<\?[^>]*>\s*|<!--(?:[^-]|-[^-])*-->\s*|<![^>\[]*(?:\[[^\]]*\]\s*)?>\s*)*(<[\p{L}_:][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*>)"""
+NO_ROOT = "<sentences>"
+RECORDS = "doc string, begin long, record long, k int, sent_id long, text string, token array<string>, tag array<string>, lemma array<string>"
+
+
+def _parse_records(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Records (what stands before an end of a sentence) to their sentences.  Each is parsed inside its document's own root
+    element, whose namespaces it may use."""
+    for frame in frames:
+        rows = []
+        for doc, begin, record, root, rooted, body in frame[["doc", "begin", "record", "root", "rooted", "body"]].itertuples(index=False):
+            name = re.match(r"<([^\s/>]+)", root).group(1)
+            if rooted:
+                body = body[body.index(root) + len(root) :]
+            last = re.search(rf"</{re.escape(name)}\s*>(?:\s|<!--.*?-->|<\?.*?\?>)*\Z", body, re.S)
+            body = body[: last.start()] if last else body + (END if "<sent" in body else "")
+            try:
+                children = list(ET.fromstring(f"{root}{body}</{name}>"))
+            except ET.ParseError:
+                continue
+            rows += [(doc, begin, record, k, *_sentence(c)) for k, c in enumerate(c for c in children if _name(c) == "sent")]
+        out = pd.DataFrame(rows, columns=[c.split()[0] for c in RECORDS.split(", ")])
+        yield out.astype({"sent_id": "Int64"})
+
+
+def split_sentences(spark: SparkSession, paths: str | list[str], any_blank: bool = False) -> DataFrame:
+    """doc (the file), ordinal, sent_id, text and token/tag/lemma arrays of the <sent> children of the root of each file: what
+    `sentences` gives for whole documents, of files of any size.
+
+    Spark's text reader deals a file to tasks and cuts it at the ends of sentences.  What a piece needs of the rest of
+    its document is handed to it: the root's start tag, and from the pieces before the number of sentences and of those
+    without an id.  A file may also hold <sent> elements without a root.  A sentence that can't be parsed is left out;
+    there must be no <sent> inside another, nor an end of one in a comment."""
+    place = [F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("begin")]
+    body = sanitize_markup(F.col("value"), trim=False)
+    records = spark.read.option("lineSep", END).text(paths).select(*place, F.monotonically_increasing_id().alias("record"), body.alias("body"))
+    start = F.regexp_extract("body", ROOT_RE, 1)
+    heads = records.filter("begin = 0").groupBy("doc").agg(F.min(F.struct("record", start.alias("root"))).alias("head")).select("doc", "head.*")
+    none = F.col("head_root").rlike(r"^(<sent[\s/>]|$)")
+    heads = heads.select("doc", F.col("record").alias("head_record"), F.col("root").alias("head_root"))
+    wrapped = records.join(heads, "doc").select("doc", "begin", "record", "body", F.when(none, NO_ROOT).otherwise(F.col("head_root")).alias("root"), ((F.col("record") == F.col("head_record")) & ~none).alias("rooted"))
+    parsed = cut(_tokenised(wrapped.mapInPandas(_parse_records, RECORDS), ["doc", "begin", "record", "k", "sent_id", "text"], any_blank))
+    missing = F.col("sent_id").isNull().cast("long")
+    pieces = parsed.groupBy("doc", "begin").agg(F.count("*").alias("n"), F.sum(missing).alias("missing"))
+    before = Window.partitionBy("doc").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = pieces.select("doc", "begin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "missing")])
+    inside = Window.partitionBy("doc", "begin").orderBy("record", "k")
+    own = parsed.withColumn("i", F.row_number().over(inside)).withColumn("m", F.sum(missing).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    counted = F.coalesce("sent_id", F.col("missing_before") + F.col("m")).alias("sent_id")
+    return own.join(pieces, ["doc", "begin"]).select("doc", (F.col("n_before") + F.col("i") - 1).alias("ordinal"), counted, "text", "token", "tag", "lemma")
+
+
+def split_corpus(spark: SparkSession, paths: str | list[str], **options) -> Corpus:
+    """`markup_corpus` of files of any size: unit_id is the file.  Sentences are put into blocks by their positions, so no
+    document ever meets in one row."""
+    rows = split_sentences(spark, paths).withColumn("sent", F.array_repeat(F.col("sent_id"), F.size("token")))
+    each = Corpus.from_arrays(cut(rows.select(F.col("ordinal").alias("unit_id"), "doc", "token", "tag", "lemma", "sent")), ["doc"], **options)
+    whole = each.as_one_sequence(["doc"])
+    return Corpus(whole.blocks.drop("unit_id").withColumnRenamed("doc", "unit_id"), [], whole.block, whole.halo)

@@ -105,6 +105,7 @@ def test_structure_against_a_parser(spark):
         """<Köp größe="ä"><a/><a b = "c"  d='e'
         f=""/><![CDATA[<no x="y">]]></Köp>""",
         "<?xml version='1.0'?><r><s n='1'/><s n='2'/><s/></r>",
+        """<!DOCTYPE r [ <!ELEMENT r (s)> <!-- ] --> <!ATTLIST s n CDATA "]>"> ]><r k="&#65;&#x42;&amp;#67; &#228;&#x1F600;&#65;"/>""",
     ]
     expected = {}
     for t in texts:
@@ -119,6 +120,14 @@ def test_structure_against_a_parser(spark):
     assert structure.structure(spark.createDataFrame([(long,)], "markup string"), "markup").count() == 3000
 
 
+def test_many_values_do_not_meet_in_a_task(spark):
+    df = spark.range(60_000).selectExpr("concat('<a id=\"', lpad(id, 6, '0'), '\" k=\"', id % 3, '\"/>') AS markup")
+    got = {r["attr"]: r for r in structure.structure(df, "markup").collect()}
+    assert got["id"]["n_values"] == 60_000 and got["id"]["values"] == ",".join(f"{i:06d}" for i in range(20)) and got["k"]["values"] == "0,1,2"
+    plan = structure.structure(df, "markup")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(tag" in plan and plan.count("Exchange") == 2  # dealt by bucket once, then merged
+
+
 def test_the_last_translation_counts(spark):
     lines = spark.createDataFrame([(1, 5, "x"), (1, 6, "y")], "unit_id long, sent_id long, node string")
     sentences = spark.createDataFrame([(1, 5, 0, "old"), (1, 5, 2, "new"), (1, 5, 1, "zzz")], "unit_id long, sent_id long, ordinal long, text string")
@@ -138,3 +147,32 @@ def test_markup_without_sentences(spark):
     whole = markup.markup_corpus(spark.createDataFrame([(1, "<t>one two</t>"), (2, "<t>broken")], "doc_id long, markup string"))
     assert [(r["unit_id"], r["token"], r["sent"]) for r in whole.tokens("token", "sent").orderBy("pos").collect()] == [(1, "one", 1), (1, "two", 1)]
     assert re.fullmatch(r"\d+", str(whole.size)) and whole.tokens().filter(F.col("unit_id") == 2).count() == 0
+
+
+@pytest.mark.parametrize("size", [64, 700, 100_000])
+def test_a_large_document_is_parsed_in_pieces(spark, tmp_path, size):
+    """Files that Spark splits give what whole documents give: ordinals, counted ids, words, namespaces."""
+    r = random.Random(3)
+
+    def sent(k):
+        head = r.choice([f' n="{k}"', "", ' n="x"', f" id='{k}'"])
+        body = r.choice([f"word{k} &amp; <hi>x</hi> y", '<t:w pos="N" lemma="l">Foo</t:w> <w>bar</w>', "a\tb\tc\nd\te", "", "one<sentiment k='>'>two</sentiment>"])
+        return f"<sent{head}>{body}</sent>" if body or k % 2 else f"<sent{head}/>"
+
+    docs = {}
+    for name, prolog, tail in (("a", "<?xml version='1.0'?>\n<!-- c -->\n<text xmlns:t='urn:t' lang=\"en\">\n<head>no</head>", "\n<sent/>\n</text>\n<!-- end -->\n"), ("b", "<text xmlns:t='urn:t'>", "</text>"), ("c", "<text xmlns:t='urn:t'>", "<note>tail</note>\n</text >\n")):
+        docs[name] = prolog + "".join(sent(k) + r.choice(["", "\n", " junk "]) for k in range(60)) + tail
+        (tmp_path / name).write_text(docs[name])
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        split = markup.split_sentences(spark, str(tmp_path))
+        got = {(x["doc"][-1], x["ordinal"]): (x["sent_id"], x["text"], x["token"], x["tag"], x["lemma"]) for x in split.collect()}
+        corpus = markup.split_corpus(spark, str(tmp_path), block=16, halo=8)
+        tokens = sorted((x["unit_id"][-1], x["pos"], x["token"], x["tag"], x["sent"]) for x in corpus.tokens().collect())
+        tasks = spark.read.option("lineSep", "</sent>").text(str(tmp_path)).rdd.getNumPartitions()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert tasks > 3 if size < 1000 else tasks >= 1
+    whole = spark.createDataFrame([(k, docs[name]) for k, name in enumerate("abc")], "doc_id long, markup string")
+    assert got == {("abc"[x["unit_id"]], x["ordinal"]): (x["sent_id"], x["text"], x["token"], x["tag"], x["lemma"]) for x in markup.sentences(whole, "doc_id", "markup").collect()}
+    assert tokens == sorted(("abc"[x["unit_id"]], x["pos"], x["token"], x["tag"], x["sent"]) for x in markup.markup_corpus(whole).tokens().collect())

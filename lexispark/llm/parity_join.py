@@ -21,8 +21,9 @@ d = (1-J)/(1+J) * (n+m) shingles; with k = d+1+slack blocks, at least 1+slack bl
 Exact copies (equal sets) are one class throughout.
 
 Defined results: null, empty or blank text has an empty set, no links, and is its own component; a text of
-fewer words than a shingle is one shingle; repeated rows are copies of each other; a null id never becomes a
-component id; extra columns are ignored.
+fewer words than a shingle is one shingle; repeated rows are copies of each other.  Rows are told apart by a number of
+their own: a null id links like any other and never becomes a component id (if all ids of a component are null, so is its
+own); rows of one id with unlike texts have their own links, and may be in unlike components.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -98,8 +99,8 @@ def _describe(size: int):
             for s in W.slices(batch.column(1)):
                 first, elements = sets(s, size)
                 yield pa.record_batch([
-                    batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), pa.array(np.diff(first).astype(np.int64)), pa.array(fingerprints(first, elements).view(np.int64)),
-                ], names=["doc_id", "n", "fp"])
+                    *[batch.column(c).slice(s.lo, s.hi - s.lo).cast(pa.int64()) for c in (0, 2)], pa.array(np.diff(first).astype(np.int64)), pa.array(fingerprints(first, elements).view(np.int64)),
+                ], names=["row", "id", "n", "fp"])
 
     return run
 
@@ -441,19 +442,24 @@ def run_jobs(runs: DataFrame, chunk: int) -> DataFrame:
     return cut.select(part(F.least("own", "other")).alias("ca"), part(F.greatest("own", "other")).alias("cb"), side, *[c for c in runs.columns if c != "members"])
 
 
-def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, work: Workspace | None = None) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, work: Workspace | None = None, stored: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, class_id (smallest id with an equal set), n_links
-    (documents whose set is linked to this one's, copies included)."""
+    (documents whose set is linked to this one's, copies included).
+
+    Rows are numbered by task and place, and texts of some are read again by that number.  A table read from files
+    (`stored`) is numbered alike each time; any other input is written first."""
     Bands(percent)
     spark = docs.sparkSession
     work = work or Workspace(spark, "parity-join")
+    docs = docs.select("doc_id", "text") if stored else work.write(docs.select("doc_id", "text"), "documents")
+    docs = docs.withColumn("row", F.monotonically_increasing_id())
     parts = bucket_count(docs)
-    base = work.write(docs.select("doc_id", "text").mapInArrow(_describe(size), "doc_id long, n long, fp long"), "base")
+    base = work.write(docs.select("row", "text", "doc_id").mapInArrow(_describe(size), "row long, id long, n long, fp long"), "base")
     packed = docs.select("text").mapInArrow(_sketch(size, percent, parts), "bucket int, keys binary, fps binary")
     runs = work.write(packed.repartitionById(parts, "bucket").mapInArrow(_runs, "run long, fp long, pivot long, times long"), "runs")
     work.free()
 
-    classes = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("weight"), F.first("n").alias("n"))
+    classes = base.filter("n > 0").groupBy("fp").agg(F.min("row").alias("rep"), F.min("id").alias("least"), F.count("*").alias("weight"), F.first("n").alias("n"))
     met = F.sum(F.when(F.col("fp") == F.col("pivot"), 0).otherwise(F.col("times"))).alias("met")
     nearest = runs.groupBy("fp", "pivot").agg(met).groupBy("fp").agg(F.max(F.struct("met", "pivot")).alias("best"))
     gathered = work.write(nearest.select("fp", F.col("best.pivot").alias("cluster"), (F.col("best.met") >= STRONG).alias("strong")), "nearest")
@@ -468,7 +474,7 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     # joins by cluster are stages of their own (their other side is written first), so that AQE may split a large cluster
     joins = work.write(met_in.join(largest, "run").groupBy("cluster").agg(F.max("big").alias("big")), "joins")
     gathered = gathered.join(joins, "cluster", "left").select("fp", F.coalesce("big.cluster", "cluster").alias("cluster"))
-    members = work.write(gathered.join(classes, "fp"), "unsplit")
+    members = work.write(gathered.join(classes.drop("least"), "fp"), "unsplit")
     splits = work.write(members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("splits")), "splits")
     members = members.join(splits, "cluster").select("fp", "rep", "weight", "n", F.xxhash64("cluster", F.pmod(F.xxhash64("fp"), F.col("splits"))).alias("chunk"))
     members = work.write(members, "members")
@@ -505,9 +511,9 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
 
     def with_sets(rows: DataFrame) -> DataFrame:
         """`rows` (fp, rep and more) with their sets, from the text of each class's representative."""
-        wanted = rows.select(F.col("rep").alias("doc_id")).distinct()
+        wanted = rows.select(F.col("rep").alias("row")).distinct()
         wanted = F.broadcast(wanted) if rows.count() <= BROADCAST_IDS else wanted
-        texts = docs.select("doc_id", "text").join(wanted, "doc_id", "left_semi").select("text").mapInArrow(_sets_of(size), "fp long, elements binary")
+        texts = docs.select("row", "text").join(wanted, "row", "left_semi").select("text").mapInArrow(_sets_of(size), "fp long, elements binary")
         return texts.join(rows, "fp")
 
     alone = with_sets(narrow.filter("paired IS NOT NULL")).select("chunk", "paired", "fp", "rep", "weight", "elements").repartition(parts, "chunk").sortWithinPartitions("chunk")
@@ -528,13 +534,16 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
 
     found = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")), work)
     counted = linked.groupBy("rep").agg(F.sum("links").alias("links"))
-    known = classes.select("fp", "rep", "weight").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")
-    out = base.join(known, "fp", "left")
+    # components are of rows; each is named by the smallest id in it
+    placed = classes.select("fp", "rep", "least", "weight").join(found.withColumnRenamed("node", "rep"), "rep", "left").join(counted, "rep", "left")
+    placed = work.write(placed, "placed_classes")
+    smallest = work.write(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
+    out = base.join(placed.join(smallest, "component", "left"), "fp", "left")
     return out.select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"),
-        F.coalesce("rep", "doc_id").alias("class_id"), (F.coalesce(F.col("weight"), F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("smallest", "least", "id").alias("component_id"),
+        F.coalesce("least", "id").alias("class_id"), (F.coalesce(F.col("weight"), F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
     )
 
 
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return ngram_jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), stored=True)

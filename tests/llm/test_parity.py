@@ -37,3 +37,33 @@ def test_links_across_small_chunks_are_counted_once(spark, monkeypatch):
     for size, percent in ((4, 85), (5, 80)):
         got = {r["doc_id"]: r["n_links"] for r in parity_join.ngram_jaccard_groups(docs, size, percent).collect()}
         assert got == brute(texts, size, percent)
+
+
+def test_null_and_repeated_ids_link_like_others(spark):
+    """Chains through rows without an id, rows of one id with unlike texts; against all pairs of rows."""
+    r = random.Random(8)
+    rows, base = [], [[f"w{r.randrange(5000)}" for _ in range(200)] for _ in range(12)]
+    for k, words in enumerate(base):
+        for step in range(5):  # a chain: each is near the one before, the ends are not near each other
+            words = [*words]
+            for _ in range(2):
+                words[r.randrange(len(words))] = f"x{r.randrange(10**6)}"
+            rows.append((r.choice([None, 100 * k + step, 7]), " ".join(words)))
+    rows += [(None, rows[3][1]), (rows[4][0], rows[4][1]), (None, ""), (5, None), (7, "short"), (None, "short")]
+    r.shuffle(rows)
+    sets = [{tuple(w[k : k + 4]) for k in range(max(1, len(w) - 3))} if (w := (text or "").split()) else set() for _, text in rows]
+    near = [[100 * len(a & b) >= 85 * len(a | b) if a and b else False for b in sets] for a in sets]
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if near[i][j]:
+                group = [group[j] if g == group[i] else g for g in group]
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    expected = []
+    for i, (doc_id, _) in enumerate(rows):
+        own = [rows[j][0] for j in range(len(rows)) if group[j] == group[i]]
+        same = [rows[j][0] for j in range(len(rows)) if sets[j] and sets[j] == sets[i]] or [doc_id]
+        expected.append((doc_id, len(sets[i]), least(own), least(same), sum(near[i]) - near[i][i]))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = [tuple(x[c] for c in ("doc_id", "n_shingles", "component_id", "class_id", "n_links")) for x in parity_join.ngram_jaccard_groups(df).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, expected))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +22,21 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) -> Iterator[None]:
+    """While an action of ours runs, batches for Python hold so many rows and bytes at most; then the session's own
+    settings hold again."""
+    names = {f"spark.sql.execution.arrow.{name}": most for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size))}
+    before = {name: spark.conf.get(name) for name in names}
+    for name, most in names.items():
+        spark.conf.set(name, str(most))
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            spark.conf.set(name, value)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, written to the shared folder as Parquet and read from there ever after.
 

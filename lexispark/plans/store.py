@@ -26,15 +26,15 @@ from lexispark.functions.text import is_word
 from lexispark.operators.search import Hits
 from lexispark.plans import pattern
 from lexispark.plans.corpus import ARRAYS, Corpus
-from lexispark.plans.cut import cut
+from lexispark.plans.cut import cut, small_batches
 
 PAGE_BLOCKS = 16  # blocks in a page of a file: what is read at least
-ROW_GROUP_BYTES = 32 << 20
+ROW_GROUP_BYTES = 4 << 20  # a reader decodes a row group's arrays at once, to about ten times their size
 FEW_BLOCKS = 100_000  # up to so many wanted blocks are named to the scan
 SPANS = 200  # in ranges of at most so many
 SKETCH_K = 14  # log2 of a sketch's registers; errors of about 1 %
 
-FACTS = "part string, tokens long, untagged long, block int, halo int, indexed boolean, keep array<string>, by array<string>"
+FACTS = "part string, tokens long, untagged long, block int, halo int, indexed boolean, lemmas boolean, keep array<string>, by array<string>"
 
 
 def _postings(kinds: list[str], carried: list[str]):
@@ -114,16 +114,19 @@ class Store:
         sketch = lambda c: F.hll_sketch_agg(c, SKETCH_K)
         sketches = types.groupBy(*by).agg(F.sum("n").alias("n_tokens"), sketch(F.when(is_word(F.col("low")), F.col("low"))).alias("words"), sketch(F.col("lemma")).alias("lemmas"))
         sketches.write.parquet(at("sketches"))
+        lemmas = index and corpus._raw is not True  # a raw corpus has none
         if index:
             carried = ["block_id", "unit_id", *keep, "first"]
             cut_out = blocks.select("block_id", "unit_id", *keep, (F.col("start") + F.col("core_from")).alias("first"), "core_from", "core_len", "low", "lemma")
             schema = ", ".join(f"`{c}` {cut_out.schema[c].dataType.simpleString()}" for c in carried) + ", kind string, term string, n_core int, at array<int>"
-            places = cut_out.mapInArrow(_postings(["low", "lemma"], carried), schema).withColumn("term", F.when(F.col("kind") == "lemma", F.lower("term")).otherwise(F.col("term")))
+            places = cut_out.mapInArrow(_postings(["low", "lemma"] if lemmas else ["low"], carried), schema).withColumn("term", F.when(F.col("kind") == "lemma", F.lower("term")).otherwise(F.col("term")))
             # by term and block, so a very frequent term is dealt over many files
-            places.repartitionByRange("kind", "term", "block_id").sortWithinPartitions("kind", "term", "block_id").write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(at("postings"))
+            dealt = places.repartitionByRange("kind", "term", "block_id").sortWithinPartitions("kind", "term", "block_id")
+            with small_batches(spark):
+                dealt.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(at("postings"))
         untagged = F.sum(F.when(F.col("tag").contains(UNTAGGED), F.col("n")).otherwise(0))
         total = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(untagged, F.lit(0)).alias("untagged")).first()
-        fact = [(part, total["tokens"], total["untagged"], corpus.block, corpus.halo, index, keep, by)]
+        fact = [(part, total["tokens"], total["untagged"], corpus.block, corpus.halo, index, lemmas, keep, by)]
         spark.createDataFrame(fact, FACTS).coalesce(1).write.parquet(at("facts"))
         return cls(spark, path)
 
@@ -163,7 +166,7 @@ class Store:
     def _places(self, term: pattern.Term) -> DataFrame | None:
         """The index's rows for a word or lemma (the tag of a term is not indexed); None if the index can't tell."""
         kind, wanted = ("low", term.word) if term.word is not None else ("lemma", term.lemma)
-        if not self.indexed or not wanted or not wanted.strip("*"):
+        if not self.indexed or not wanted or not wanted.strip("*") or (kind == "lemma" and not all(f["lemmas"] for f in self.facts)):
             return None
         return self._table("postings").filter((F.col("kind") == kind) & pattern.wildcard(F.col("term"), wanted))
 
@@ -207,7 +210,10 @@ class Store:
     def narrow(self, query: str) -> Corpus:
         """The corpus without the blocks in which, by the index, the query can't match.  Sizes and totals stay those of the
         whole corpus.  The blocks are looked up when this is called."""
-        found = self._matches(pattern.parse(query))
+        terms = pattern.parse(query)
+        if self.raw and any(t.structural for t in terms):
+            return self._corpus(self.blocks.filter(F.lit(False)))
+        found = self._matches(terms)
         return self.corpus if found is None else self._only(found.select("part", "block_id"))
 
     def kwic(self, query: str, limit: int | None = 100, sample_seed: int | None = None, **options) -> DataFrame:

@@ -362,11 +362,14 @@ def markup_structure_merged(spark: SparkSession, d: str) -> DataFrame:
     return structure.merged([(spark.read.parquet(f"{d}/pages.parquet"), "html"), (fixtures.sentence_markup(spark, d), "markup")])
 
 
-def _store(spark: SparkSession, d: str, index: bool = True) -> Store:
-    """The tagged documents in a store of two parts: those in English, then the others by an append."""
+def _store(spark: SparkSession, d: str, index: bool = True, tagged: bool = False) -> Store:
+    """The documents in a store of two parts: those in English, then the others by an append."""
     path = f"{scratch(spark)}/store-{uuid.uuid4().hex[:12]}"
     english = F.coalesce(F.col("lang") == "en", F.lit(False))
-    parts = [Corpus.from_arrays(fixtures.tagged_units(spark, d).filter(p), ["lang", "source"], raw=False) for p in (english, ~english)]
+    if tagged:
+        parts = [Corpus.from_arrays(fixtures.tagged_units(spark, d).filter(p), ["lang", "source"], raw=False) for p in (english, ~english)]
+    else:
+        parts = [Corpus.from_text(fixtures.documents(spark, d).filter(p), keep=["lang", "source"]) for p in (english, ~english)]
     return Store.create(path, parts[0], ["lang"], index).append(parts[1])
 
 
@@ -382,7 +385,7 @@ def src_markup_split(spark: SparkSession, d: str) -> DataFrame:
 
 def search_indexed(spark: SparkSession, d: str) -> DataFrame:
     """A pattern, a lemma, a phrase and a phrase with a tag, from the positional index."""
-    store, out = _store(spark, d), None
+    store, out = _store(spark, d, tagged=True), None
     for query in INDEXED:
         rows = store.positions(query).select(F.lit(query).alias("query"), F.col("unit_id").alias("doc_id"), "pos", "len")
         out = rows if out is None else out.unionByName(rows)
@@ -399,11 +402,11 @@ def colloc_indexed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def freq_appended(spark: SparkSession, d: str) -> DataFrame:
-    return frequency.frequency(_store(spark, d, index=False).corpus, tagged=True)
+    return frequency.frequency(_store(spark, d, index=False).corpus)
 
 
 def forms_appended(spark: SparkSession, d: str) -> DataFrame:
-    return dictionary.forms(_store(spark, d, index=False).corpus, "thing")
+    return dictionary.forms(_store(spark, d, index=False, tagged=True).corpus, "thing")
 
 
 def summary_sketch(spark: SparkSession, d: str) -> DataFrame:

@@ -32,6 +32,8 @@ PAGE_BLOCKS = 16  # blocks in a page of a file: what is read at least
 ROW_GROUP_BYTES = 4 << 20  # a reader decodes a row group's arrays at once, to about ten times their size
 FEW_BLOCKS = 100_000  # up to so many wanted blocks are named to the scan
 SPANS = 200  # in ranges of at most so many
+TYPE = ["token", "low", "tag", "lemma"]
+HELD_TYPES = 400_000  # types that a task counts before it hands them on
 SKETCH_K = 14  # log2 of a sketch's registers; errors of about 1 %
 
 FACTS = "part string, tokens long, untagged long, block int, halo int, indexed boolean, lemmas boolean, keep array<string>, by array<string>"
@@ -64,6 +66,39 @@ def _postings(kinds: list[str], carried: list[str]):
     return run
 
 
+def _type_counts(by: list[str]):
+    """Blocks to (by, token, low, tag, lemma, n), counted per task in tables of bounded size."""
+    keys = [*by, *TYPE]
+
+    def counted(tables: list[pa.Table]) -> pa.Table:
+        return pa.concat_tables(tables).group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+
+    def of_batch(batch: pa.RecordBatch) -> pa.Table:
+        starts, lengths = (batch.column(c).to_numpy() for c in ("core_from", "core_len"))
+        row = np.repeat(np.arange(batch.num_rows), lengths)
+        inside = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        columns = [batch.column(c).take(pa.array(row)) for c in by]
+        for name in TYPE:
+            lists = batch.column(name)
+            at = lists.offsets.to_numpy()[:-1] + starts
+            columns.append(lists.values.take(pa.array(np.repeat(at, lengths) + inside)))
+        return counted([pa.table([*columns, pa.array(np.ones(len(row), np.int64))], names=[*keys, "n"])])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.Table] = []
+        for batch in batches:
+            held.append(of_batch(batch))
+            if sum(t.num_rows for t in held) > HELD_TYPES:
+                held = [counted(held)]
+                if held[0].num_rows > HELD_TYPES // 2:
+                    yield from held[0].combine_chunks().to_batches()
+                    held = []
+        if held:
+            yield from counted(held).combine_chunks().to_batches()
+
+    return run
+
+
 def spans(ids: list[int], most: int = SPANS, page: int = PAGE_BLOCKS) -> list[tuple[int, int]]:
     """Ranges that cover the ids: apart where a page or more lies between them, but no more than `most`."""
     ids = np.unique(np.array(ids, np.int64))
@@ -105,11 +140,12 @@ class Store:
         spark, part, keep = corpus.blocks.sparkSession, f"p{uuid.uuid4().hex[:12]}", corpus.keep
         at = lambda table: f"{path}/{table}/part={part}"
         rows = corpus.blocks.select(F.monotonically_increasing_id().alias("block_id"), "unit_id", *keep, "block", "start", "core_from", "core_len", *ARRAYS)
-        rows.write.option("parquet.page.row.count.limit", PAGE_BLOCKS).option("parquet.block.size", ROW_GROUP_BYTES).parquet(at("blocks"))
+        rows.write.option("compression", "zstd").option("parquet.page.row.count.limit", PAGE_BLOCKS).option("parquet.block.size", ROW_GROUP_BYTES).parquet(at("blocks"))
         blocks = spark.read.schema(rows.schema).parquet(at("blocks"))
-        names = ["token", "low", "tag", "lemma"]
-        types = Corpus(blocks, keep, corpus.block, corpus.halo, False).tokens(*names).groupBy(*by, *names).agg(F.count("*").alias("n"))
-        types.sortWithinPartitions("low").write.parquet(at("types"))
+        counts = ", ".join([*[f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in by], *[f"{c} string" for c in TYPE], "n long"])
+        types = blocks.select(*by, "core_from", "core_len", *TYPE).mapInArrow(_type_counts(by), counts).groupBy(*by, *TYPE).agg(F.sum("n").alias("n"))
+        with small_batches(spark):
+            types.sortWithinPartitions("low").write.option("compression", "zstd").parquet(at("types"))
         types = spark.read.schema(types.schema).parquet(at("types"))
         sketch = lambda c: F.hll_sketch_agg(c, SKETCH_K)
         sketches = types.groupBy(*by).agg(F.sum("n").alias("n_tokens"), sketch(F.when(is_word(F.col("low")), F.col("low"))).alias("words"), sketch(F.col("lemma")).alias("lemmas"))
@@ -123,7 +159,7 @@ class Store:
             # by term and block, so a very frequent term is dealt over many files
             dealt = places.repartitionByRange("kind", "term", "block_id").sortWithinPartitions("kind", "term", "block_id")
             with small_batches(spark):
-                dealt.write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(at("postings"))
+                dealt.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(at("postings"))
         untagged = F.sum(F.when(F.col("tag").contains(UNTAGGED), F.col("n")).otherwise(0))
         total = types.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("tokens"), F.coalesce(untagged, F.lit(0)).alias("untagged")).first()
         fact = [(part, total["tokens"], total["untagged"], corpus.block, corpus.halo, index, lemmas, keep, by)]

@@ -16,25 +16,28 @@ from lexispark.llm.storage import Workspace
 
 SHINGLE, PERCENT = 5, 80  # near duplicates; op1's own contract has other values
 LEAST_SHARE = 0.5  # of a document's letters in its language
-ROW = "_row"
 BROADCAST_IDS = 1_000_000  # at most about 16 MB of ids
 
 
-def numbered(docs: DataFrame, work: Workspace) -> DataFrame:
-    """`docs` with a number of its own for every row, written so that it stays the same."""
-    return work.write(docs.withColumn(ROW, F.monotonically_increasing_id()), "rows")
+def numbered(docs: DataFrame, work: Workspace) -> tuple[DataFrame, str]:
+    """`docs` with a number of its own for every row, written so that it stays the same, and the number's name, which no
+    column of `docs` has."""
+    row = "_row"
+    while row.lower() in (c.lower() for c in docs.columns):
+        row += "_"
+    return work.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows"), row
 
 
-def as_documents(rows: DataFrame) -> DataFrame:
+def as_documents(rows: DataFrame, row: str) -> DataFrame:
     """Numbered rows for an operator, with the number for the id."""
-    return rows.select(F.col(ROW).alias("doc_id"), "text")
+    return rows.select(F.col(row).alias("doc_id"), "text")
 
 
-def without(rows: DataFrame, removed: DataFrame, work: Workspace) -> DataFrame:
+def without(rows: DataFrame, row: str, removed: DataFrame, work: Workspace) -> DataFrame:
     """Numbered rows without those of the given numbers, which are sent to every task only if they are few."""
-    removed = work.write(removed.select(F.col("doc_id").alias(ROW)), "removed")
+    removed = work.write(removed.select(F.col("doc_id").alias(row)), "removed")
     few = removed.count() <= BROADCAST_IDS
-    return rows.join(F.broadcast(removed) if few else removed, ROW, "left_anti").drop(ROW)
+    return rows.join(F.broadcast(removed) if few else removed, row, "left_anti").drop(row)
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,22 +51,22 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word Jaccard of 0.8 or more, the one with the smallest id stays."""
     work = Workspace(spark, "near-duplicates")
-    rows = numbered(docs, work)
-    groups = work.write(parity_join.ngram_jaccard_groups(as_documents(rows), SHINGLE, PERCENT, work, stored=True), "groups")
+    rows, row = numbered(docs, work)
+    groups = work.write(parity_join.ngram_jaccard_groups(as_documents(rows, row), SHINGLE, PERCENT, work, stored=True), "groups")
     shared = groups.join(groups.filter("doc_id <> component_id").select("component_id").distinct(), "component_id", "left_semi")
-    ids = rows.select(F.col(ROW).alias("doc_id"), F.col("doc_id").alias("id"))
+    ids = rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")
     members = work.write(shared.select("doc_id", "component_id").join(ids, "doc_id").select("component_id", "doc_id", place.alias("place")), "shared")
     keepers = members.groupBy("component_id").agg(F.min("place").alias("keeper"))
-    return without(rows, members.join(keepers, "component_id").filter("doc_id <> keeper.doc_id").select("doc_id"), work)
+    return without(rows, row, members.join(keepers, "component_id").filter("doc_id <> keeper.doc_id").select("doc_id"), work)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a passage of the benchmark go."""
     work = Workspace(spark, "decontaminate")
-    rows = numbered(docs, work)
-    found = contamination.contamination(as_documents(rows), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work)
-    return without(rows, found.filter(F.size("hits") > 0).select("doc_id"), work)
+    rows, row = numbered(docs, work)
+    found = contamination.contamination(as_documents(rows, row), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), work=work)
+    return without(rows, row, found.filter(F.size("hits") > 0).select("doc_id"), work)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -67,3 +67,36 @@ def test_null_and_repeated_ids(spark, tmp_path):
     spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     clean = sorted((tuple(x) for x in stages.decontaminate(spark, docs, str(tmp_path)).collect()), key=key)
     assert clean == sorted([x for x in rows if leak not in x[1]], key=key)
+
+
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, _row string, row string, size string, shard string, kept0 string, lang_pred string, score double"
+
+
+def odd_rows():
+    """Null and repeated ids, null and blank texts, a very long one, and columns that operators have names for."""
+    r = random.Random(4)
+    prose = lambda n: " ".join(r.choice("the house of a small town and its people were there when rain came".split()) for _ in range(n))
+    rows = [(k, prose(r.randrange(20, 90))) for k in range(40)] + [(None, prose(30)), (None, prose(31)), (5, prose(40)), (5, prose(41)), (90, prose(60_000)), (91, None), (92, ""), (93, " \n "), (94, "123")]
+    return [(i, t, "en", r.choice(["a", "b", None]), 7, f"r{k}", "x", "y", "z", "k", "p", 0.5) for k, (i, t) in enumerate(rows)]
+
+
+def test_stages_keep_all_columns_of_odd_rows(spark, tmp_path):
+    docs = spark.createDataFrame(odd_rows(), COLUMNS).repartition(3)
+    spark.createDataFrame([(0, "some words that no document has in this order at all here")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = {x["_row"]: tuple(x) for x in docs.collect()}
+    blank = {x["_row"] for x in docs.collect() if x["doc_id"] in (91, 92, 93, 94)}
+    for stage in (stages.language_id, stages.near_duplicates, stages.decontaminate, stages.mix_sources):
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns
+        got = out.collect()
+        assert all(tuple(x) == rows[x["_row"]] for x in got)  # nothing renamed, overwritten or mixed up
+        kept = {x["_row"] for x in got}
+        if stage is stages.language_id:
+            assert kept == set(rows) - blank
+        elif stage is stages.decontaminate:
+            assert kept == set(rows)
+        elif stage is stages.near_duplicates:
+            assert blank <= kept and len(got) == len(kept)
+    sharded = stages.shard(spark, docs, "").collect()
+    assert sorted(str(x["doc_id"]) for x in sharded) == sorted(str(x[0]) for x in rows.values())
+    assert sum(x["size"] for x in sharded) == sum(len((x[1] or "").encode()) + 1 for x in rows.values())

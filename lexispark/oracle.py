@@ -273,7 +273,7 @@ SQL |= {
       UNION ALL SELECT 'of the', a.doc_id, a.pos, 2 FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.low = 'of' AND b.low = 'the'
       UNION ALL SELECT 'of [th*]_NN*', a.doc_id, a.pos, 2 FROM tok a JOIN tok b ON b.doc_id = a.doc_id AND b.pos = a.pos + 1 WHERE a.low = 'of' AND starts_with(b.lemma, 'th') AND starts_with(b.tag, 'NN')""",
     "kwic_indexed": f"{_with(TOK, _hits('of the'), _lines(7, 7))} SELECT * FROM lines ORDER BY doc_id, pos LIMIT 100",
-    "colloc_indexed": _stats(TOK, word="thing"),
+    "colloc_indexed": f"SELECT word, tag, lemma, obs_l, obs_r, observed, total_freq, significance, direction FROM ({_stats(TOK, word='thing')})",
     "freq_appended": SQL["freq_list"],
     "forms_appended": SQL["lemma_forms"],
     "summary_sketch": f"{_with(TOK)} SELECT lang, count(*) AS n_tokens, true AS types_close, true AS lemmas_close FROM tok GROUP BY lang",

@@ -397,8 +397,8 @@ def kwic_indexed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def colloc_indexed(spark: SparkSession, d: str) -> DataFrame:
-    """Surroundings from the blocks that the index names, totals from the types."""
-    return _scores(Collocates(_store(spark, d).narrow("thing"), "thing").stats())
+    """Surroundings from the blocks that the index names, totals from the types; the whole numbers and what follows from them."""
+    return Collocates(_store(spark, d).narrow("thing"), "thing").stats().drop("ll", "mi")
 
 
 def freq_appended(spark: SparkSession, d: str) -> DataFrame:

@@ -6,8 +6,14 @@ with the text around it.  Labelled findings are what the fixed patterns find (po
 Half of the positives are shown in the surroundings of a negative, so that the network must judge the token and
 not only repeat the patterns.  Scores are calibrated (Platt) on rows held out of training.
 
+Labelled findings are often of one make (say, forty hexadecimal digits), secrets are not.  So variants of each finding are
+positives too: its value cut to a shorter length, its letters and digits drawn anew from one of four alphabets, in
+the surroundings of another candidate.
+
 Every candidate is scored once.  The threshold keeps the wanted recall of all findings that the network was not fitted
-on, each scored with its surroundings hidden; a histogram of all scores, of fixed size, tells it.
+on, each scored with its surroundings hidden, and of their variants as far as these score above even chance.  Other
+candidates are unlabelled, not clean: from even chance up to the highest threshold of that recall, it rises as long as the
+ordinary ones still thin out quickly.  A histogram of all scores, of fixed size, tells it.
 
 Pattern findings always stay; the network adds spans of kind `cnn` that overlap none of them.
 
@@ -50,10 +56,15 @@ EDGES = (0, BEFORE, BEFORE + INSIDE, BEFORE + INSIDE + AFTER)
 WIDTH = EDGES[-1]
 SAMPLE = 4000  # of each kind of labelled candidates (findings, others with a digit, others without), to fit on
 RECALL = 0.98
-SUSPECT = 0.02  # of the findings score lower, where another candidate is set aside in training
+VARIANTS = 4000  # of findings, at least, to fit on
+LEAST_VARIANT = 16  # characters of the shortest variant
+SCORED_VARIANTS = 8  # of each finding that the network was not fitted on
+ALPHABETS = ((10, 6, 0, 0, 0), (10, 6, 20, 0, 0), (10, 6, 20, 26, 0), (10, 6, 20, 26, 2))  # digits, a to f, other lower-case letters, upper-case letters, + and /
+_DRAWN = np.array([4, 1, 2, 3, 5], np.uint8)  # their classes
 CLASSES = 12
 FILTERS, SPAN = 16, 5
 BINS, REACH = 4096, 20.0  # log-odds are kept as one of BINS steps from -REACH to REACH
+BAND = 64  # steps whose candidates are counted together
 
 Span = tuple[str, int, int]
 
@@ -251,8 +262,23 @@ def window_hash(x: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(1)).astype(np.int64)
 
 
+def variants(x: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """The windows with their values cut and drawn anew, by the hashes `h` alone."""
+    h = h.astype(np.uint64)
+    draw = lambda salt: W.mix(h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(salt))
+    sizes = np.array(ALPHABETS)[draw(1) % np.uint64(len(ALPHABETS))]
+    at = np.arange(INSIDE, dtype=np.uint64)
+    letter = (W.mix(draw(2)[:, None] + at) % sizes.sum(axis=1).astype(np.uint64)[:, None]).astype(np.int64)
+    drawn = _DRAWN[(letter[:, :, None] >= np.cumsum(sizes, axis=1)[:, None, :-1]).sum(axis=2)]
+    own = x[:, EDGES[1] : EDGES[2]]
+    length = LEAST_VARIANT + draw(3) % np.uint64(INSIDE - LEAST_VARIANT + 1)
+    out = x.copy()
+    out[:, EDGES[1] : EDGES[2]] = np.where(at < length[:, None], np.where((own >= 1) & (own <= 4), drawn, own), 0)
+    return out
+
+
 def calibration_part(h: np.ndarray) -> np.ndarray:
-    """The fifth of the windows, by hash, that the network is not fitted on."""
+    """The fifth of the candidates, by the hash of their first windows, that the network is not fitted on."""
     return (h >> 1) % 5 == 0
 
 
@@ -264,7 +290,7 @@ def _sampled(most: int):
     """Of each kind of candidates, the windows with the `most` smallest hashes of a partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {k: (np.empty(0, np.int64), np.empty((0, WIDTH), np.uint8)) for k in range(3)}
+        best = {k: (np.empty(0, np.int64), np.empty((0, WIDTH), np.uint8), np.empty(0, bool)) for k in range(3)}
         for batch in batches:
             for s in W.slices(batch.column(0)):
                 c = Candidates(s, _bases(s, batch.column(0)))
@@ -272,24 +298,28 @@ def _sampled(most: int):
                     continue
                 x = c.windows()
                 h = window_hash(x)
-                for k, (own, seen) in best.items():
+                aside = calibration_part(h[c.first])[c.owner]
+                for k, (own, seen, apart) in best.items():
                     pick = np.flatnonzero(c.kind[c.owner] == k)
                     if len(own) == most:
                         pick = pick[h[pick] < own[-1]]
                     if len(pick):
-                        hashes, at = np.unique(np.concatenate((own, h[pick])), return_index=True)
-                        best[k] = hashes[:most], np.concatenate((seen, x[pick]))[at[:most]]
-        for k, (own, seen) in best.items():
-            yield pa.record_batch([pa.array(np.full(len(own), k, np.int32)), pa.array(own), pa.array([w.tobytes() for w in seen], pa.binary())], names=["kind", "hash", "window"])
+                        flags = np.concatenate((apart, aside[pick]))
+                        order = np.argsort(~flags, kind="stable")  # a window of two candidates is set apart if one of them is
+                        hashes, at = np.unique(np.concatenate((own, h[pick]))[order], return_index=True)
+                        at = order[at[:most]]
+                        best[k] = hashes[:most], np.concatenate((seen, x[pick]))[at], flags[at]
+        for k, (own, seen, apart) in best.items():
+            yield pa.record_batch([pa.array(np.full(len(own), k, np.int32)), pa.array(own), pa.array([w.tobytes() for w in seen], pa.binary()), pa.array(apart)], names=["kind", "hash", "window", "apart"])
 
     return run
 
 
 def train(docs: DataFrame, work: Workspace, sample: int = SAMPLE) -> Network:
-    """Fit on about `sample` distinct windows of each kind, those with the smallest hashes; a fifth of them, by hash, is
-    for the calibration only.  Half of the findings are shown in the surroundings of another candidate."""
+    """Fit on about `sample` distinct windows of each kind, those with the smallest hashes; a fifth of the
+    candidates, by hash, is for the calibration only.  Half of the findings are shown in the surroundings of another candidate."""
     network = Network()
-    found = work.write(docs.select("text").mapInArrow(_sampled(sample), "kind int, hash long, window binary"), "sampled").distinct()
+    found = work.write(docs.select("text").mapInArrow(_sampled(sample), "kind int, hash long, window binary, apart boolean"), "sampled").groupBy("kind", "hash", "window").agg(F.max("apart").alias("apart"))
     level = F.floor(F.log2(F.col("hash") + 1) * 64).cast("int")
     upto: dict[int, int] = {}
     seen: dict[int, int] = {}
@@ -298,34 +328,42 @@ def train(docs: DataFrame, work: Workspace, sample: int = SAMPLE) -> Network:
             seen[r["kind"]] = seen.get(r["kind"], 0) + r["count"]
             upto[r["kind"]] = r["level"]
     wanted = reduce(lambda c, k: c | ((F.col("kind") == k) & (level <= upto[k])), upto, F.lit(False))
-    picked = found.filter(wanted).select("kind", "hash", "window")
-    rows = sorted((r["kind"], r["hash"], r["window"]) for r in picked.toLocalIterator())
+    picked = found.filter(wanted).select("kind", "hash", "window", "apart")
+    rows = sorted((r["kind"], r["hash"], r["window"], r["apart"]) for r in picked.toLocalIterator())
     kind = np.array([r[0] for r in rows])
     if not (kind == 0).any() or not (kind > 0).any():
         return network
     x, h = np.stack([np.frombuffer(r[2], np.uint8) for r in rows]), np.array([r[1] for r in rows])
+    apart = np.array([r[3] for r in rows])
     y = (kind == 0).astype(np.int64)
     network.sampled = int(h[y == 1].max())
     r = np.random.default_rng(11)
     hidden, clean = np.flatnonzero((y == 1) & (h % 2 == 0)), np.flatnonzero(y == 0)
+    of = np.flatnonzero(y == 1)
+    of = np.tile(of, -(-VARIANTS // len(of)))
+    hidden = np.concatenate((hidden, len(x) + np.arange(len(of))))
+    x = np.concatenate((x, variants(x[of], np.arange(len(of)) + h[of])))
+    y, apart = np.concatenate((y, np.ones(len(of), np.int64))), np.concatenate((apart, apart[of]))
     donor = r.choice(clean, len(hidden))
     for left, right in ((0, EDGES[1]), (EDGES[2], WIDTH)):
         x[hidden, left:right] = x[donor, left:right]
-    learn = ~calibration_part(h)
+    learn = ~apart
     if (y[learn] == 1).sum() < 2 or len(set(y[~learn])) < 2:
         learn[:], network.fifth = True, False
-    # what no pattern finds is unlabelled rather than clean: a first, short fit sets aside what looks like a finding
+    # what no pattern finds is unlabelled rather than clean: a first, short fit sets aside what it takes for a finding by
+    # its characters alone, as surroundings tell the labelled ones apart
+    bare = x.copy()
+    bare[:, : EDGES[1]] = bare[:, EDGES[2] :] = 0
     first = Network()
-    first.fit(x[learn], y[learn], epochs=2)
-    z = first.logit(x)
-    suspect = (y == 0) & (z >= np.quantile(z[y == 1], SUSPECT))
+    first.fit(bare[learn], y[learn], epochs=2)
+    suspect = (y == 0) & (first.logit(bare) >= 0)
     network.fit(x[learn & ~suspect], y[learn & ~suspect])
     held = ~learn if network.fifth else learn
     network.calibrate(x[held & ~suspect], y[held & ~suspect])
     return network
 
 
-SCORED_SCHEMA = "doc_id long, base array<struct<kind:string,start:int,end:int>>, starts binary, lengths binary, bins binary, found binary, held binary"
+SCORED_SCHEMA = "doc_id long, base array<struct<kind:string,start:int,end:int>>, starts binary, lengths binary, bins binary, found binary, held binary, variants binary"
 
 
 def _step(logit: np.ndarray) -> np.ndarray:
@@ -335,7 +373,8 @@ def _step(logit: np.ndarray) -> np.ndarray:
 def _scored(network: Network):
     """Per document the findings, and of every candidate its place, the step of its log-odds and whether it touches a finding.
 
-    Findings are scored with their surroundings hidden; `held` tells those of them that the network was not fitted on (all, if there were too few to keep some)."""
+    Findings are scored with their surroundings hidden; `held` tells those of them that the network was not fitted on (all,
+    if there were too few to keep some), `variants` holds the steps of variants of these."""
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -343,50 +382,61 @@ def _scored(network: Network):
             for s in W.slices(batch.column(1)):
                 base = _bases(s, batch.column(1))
                 c = Candidates(s, base)
-                step, held = np.zeros(len(c.doc), np.int64), np.zeros(len(c.doc), bool)
+                step, held, altered = np.zeros(len(c.doc), np.int64), np.zeros(len(c.doc), bool), np.empty((0, SCORED_VARIANTS), np.int64)
                 if len(c.doc) and network.trained:
-                    step = np.maximum.reduceat(_step(network.logit(c.windows(borrow=True))), c.first)
+                    x = c.windows(borrow=True)
+                    step = np.maximum.reduceat(_step(network.logit(x)), c.first)
                     if c.found.any():
                         h = window_hash(c.windows())
-                        unseen = (h > network.sampled) | (calibration_part(h) | (not network.fifth))
-                        held = c.found & np.logical_and.reduceat(unseen, c.first)
+                        aside = calibration_part(h[c.first]) | (not network.fifth)
+                        held = c.found & (aside | np.logical_and.reduceat(h > network.sampled, c.first))
+                        first = c.first[held]
+                        altered = np.stack([_step(network.logit(variants(x[first], h[first] ^ k))) for k in range(SCORED_VARIANTS)], axis=1)
+                of_doc = np.concatenate(([0], np.cumsum(held)))
                 edge = np.searchsorted(c.doc, np.arange(s.hi - s.lo + 1))
                 cut = lambda v: pa.array([packed(v[a:b]) if b > a else b"" for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())
                 yield pa.record_batch([
                     batch.column(0).slice(s.lo, s.hi - s.lo).cast(pa.int64()), pa.array([[{"kind": k, "start": a, "end": b} for (k, a, b), _ in spans] for spans in base], kind),
                     cut(c.start), cut(c.end - c.start), cut(step), cut(c.found.astype(np.int64)), cut(held.astype(np.int64)),
-                ], names=["doc_id", "base", "starts", "lengths", "bins", "found", "held"])
+                    pa.array([packed(altered[of_doc[a] : of_doc[b]].ravel()) if of_doc[b] > of_doc[a] else b"" for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary()),
+                ], names=["doc_id", "base", "starts", "lengths", "bins", "found", "held", "variants"])
 
     return run
 
 
 def _histogram(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many candidates have each step: held-out findings, and others."""
-    total = np.zeros((2, BINS), np.int64)
+    """How many candidates have each step: held-out findings, others, and variants of held-out findings."""
+    total = np.zeros((3, BINS), np.int64)
     for batch in batches:
         for row in W.rows(batch):
             if row["bins"]:
                 step, found, held = unpacked(row["bins"]), unpacked(row["found"]) > 0, unpacked(row["held"]) > 0
                 total[0] += np.bincount(step[held], minlength=BINS)
                 total[1] += np.bincount(step[~found], minlength=BINS)
+            if row["variants"]:
+                total[2] += np.bincount(unpacked(row["variants"]), minlength=BINS)
     label, step = np.nonzero(total)
-    yield pa.record_batch([pa.array(label.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(total[label, step])], names=["other", "step", "n"])
+    yield pa.record_batch([pa.array(label.astype(np.int32)), pa.array(step.astype(np.int32)), pa.array(total[label, step])], names=["label", "step", "n"])
 
 
 def threshold(scored: DataFrame, recall: float) -> tuple[int, float, int]:
     """A step that keeps the wanted recall of the findings that the network was not fitted on (BINS without any), the recall
-    there, and how many other candidates reach it.  The highest such step; or, where that lies above even chance, halfway
-    to it, so that values a little unlike the labelled ones are found."""
-    total = np.zeros((2, BINS), np.int64)
-    rows = scored.select("bins", "found", "held").mapInArrow(_histogram, "other int, step int, n long").groupBy("other", "step").agg(F.sum("n").alias("n")).collect()  # 2 * BINS at most
+    there, and how many other candidates reach it.  From even chance it rises by bands of steps while the next band holds under
+    half as many other candidates, up to the highest step that keeps the same recall of variants too, and never over the
+    findings' own."""
+    total = np.zeros((3, BINS), np.int64)
+    rows = scored.select("bins", "held", "found", "variants").mapInArrow(_histogram, "label int, step int, n long").groupBy("label", "step").agg(F.sum("n").alias("n")).collect()  # 3 * BINS at most
     for r in rows:
-        total[r["other"], r["step"]] = r["n"]
+        total[r["label"], r["step"]] = r["n"]
     if not total[0].sum():
         return BINS, 0.0, 0
-    reached = np.cumsum(total[0][::-1])[::-1] / total[0].sum()
-    step = int(np.flatnonzero(reached >= recall)[-1])
-    step = min(step, (step + BINS // 2) // 2)
-    return step, float(reached[step]), int(total[1][step:].sum())
+    reached = np.cumsum(total[:, ::-1], axis=1)[:, ::-1]
+    own, altered = (int(np.flatnonzero(reached[k] >= recall * reached[k, 0])[-1]) for k in (0, 2))
+    low, high = BINS // 2, max(min(own, altered), BINS // 2)
+    bands = total[1][low:].reshape(-1, BAND).sum(axis=1)
+    falling = np.append(2 * bands[1:] < bands[:-1], False)
+    step = min(own, high, low + BAND * int(np.argmin(falling)))
+    return step, float(reached[0, step] / reached[0, 0]), int(reached[1, step])
 
 
 def _findings(step: int):

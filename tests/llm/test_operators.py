@@ -4,9 +4,11 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -399,6 +401,39 @@ def test_secrets_that_no_pattern_knows(spark):
     assert not found[2000] and not found[2001]
 
 
+def test_secrets_planted_in_given_documents(spark):
+    """Keyword-free values of several makes, in the real documents: the labelled findings there are all of one make."""
+    r = random.Random(26)
+    mixed = string.ascii_letters + string.digits
+    makes = [(mixed, 36), (mixed, 20), ("0123456789abcdef", 28), (mixed + "+/", 44), (string.ascii_lowercase + string.digits, 24)]
+    rows, hidden = [], {}
+    for n, x in enumerate(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()):
+        text = x["text"]
+        if text and n % 5 == 0:
+            chars, size = makes[n // 5 % len(makes)]
+            hidden[x["doc_id"]] = "".join(r.choice(chars) for _ in range(size))
+            at = r.choice([i for i, c in enumerate(text) if c == " "] or [0])
+            text = f"{text[:at]} {hidden[x['doc_id']]} {text[at:]}"
+        rows.append((x["doc_id"], text))
+    found = {x["doc_id"]: [f for f in x["findings"] if f["kind"] == "cnn"] for x in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    text = dict(rows)
+    caught = sum(any(text[i][f["start"] : f["end"]] == value for f in found[i]) for i, value in hidden.items())
+    assert len(hidden) > 150 and caught >= 0.9 * len(hidden)
+    assert sum(map(len, found.values())) - caught <= 5
+
+
+def test_secret_variants():
+    x = np.full((500, secrets.WIDTH), 4, np.uint8)
+    made = secrets.variants(x, np.arange(500))
+    assert (made == secrets.variants(x, np.arange(500))).all() and len(np.unique(made, axis=0)) > 490
+    left, right = secrets.EDGES[1:3]
+    assert (made[:, :left] == 4).all() and (made[:, right:] == 4).all()
+    lengths = (made[:, left:right] > 0).sum(axis=1)
+    assert lengths.min() == secrets.LEAST_VARIANT and lengths.max() == secrets.INSIDE
+    assert set(np.unique(made[:, left:right])) == {0, 1, 2, 3, 4, 5}
+    assert secrets.variants(x[:0], np.empty(0, np.int64)).shape == (0, secrets.WIDTH)
+
+
 def test_secrets_empty(empty, spark):
     assert secrets.scan(empty).count() == 0
 

@@ -9,7 +9,7 @@ the line has them) and the first eight of them are segments, which repeat when t
 
 The first occurrence of a segment or cluster (smallest doc_id, then place) is kept.  Overlapping and adjoining repeats
 of a document are one passage, also across at most `GAP` words that match nothing where both sides are kept in the
-same document; passages under `min_words` words (common lines, licences) are not reported.
+same document, and `n_bridged` counts these words, so that a user who deletes passages knows; passages under `min_words` words (common lines, licences) are not reported.
 
 Documents are read in chunks.  A chunk sends its distinct segments, with their first place in it, packed per bucket of
 hashes; a bucket answers each chunk with those that other documents hold too.  So a line that every document holds
@@ -377,8 +377,10 @@ def _chunk_passages(row: dict, min_words: int) -> pa.RecordBatch:
         keeper, end = (k_none, k_id), word + n
         gap = word - reach
         if d != last_doc or gap > GAP or (gap > 0 and reach_kept != keeper):
-            out.append([d, word, end, keeper, False])
+            out.append([d, word, end, keeper, False, 0])
+            gap = 0
         passage = out[-1]
+        passage[5] += max(gap, 0)
         passage[2] = max(passage[2], end)
         passage[3] = min(passage[3], keeper)
         passage[4] |= keeper != (none[d], own[d]) or k_first != word
@@ -386,11 +388,14 @@ def _chunk_passages(row: dict, min_words: int) -> pa.RecordBatch:
             last_doc, reach, reach_kept = d, end, keeper
     out = [x for x in out if x[2] - x[1] >= min_words]
     columns = [[ids[x[0]] for x in out], [x[1] for x in out], [x[2] for x in out], [x[2] - x[1] for x in out], [None if x[3][0] else x[3][1] for x in out]]
-    return pa.record_batch([*[pa.array(c, pa.int64()) for c in columns], pa.array([bool(x[4]) for x in out], pa.bool_())], names=["doc_id", "first_word", "end_word", "n_words", "first_doc_id", "removed"])
+    return pa.record_batch(
+        [*[pa.array(c, pa.int64()) for c in columns], pa.array([bool(x[4]) for x in out], pa.bool_()), pa.array([x[5] for x in out], pa.int64())],
+        names=["doc_id", "first_word", "end_word", "n_words", "first_doc_id", "removed", "n_bridged"],
+    )
 
 
 def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = RECALL, min_words: int = MIN_WORDS, work: Workspace | None = None, part: int = PART) -> DataFrame:
-    """doc_id, first_word, end_word, n_words, first_doc_id (where the passage is kept), removed."""
+    """doc_id, first_word, end_word, n_words, first_doc_id (where the passage is kept), removed, n_bridged (words in it that match nothing)."""
     work = work or Workspace(docs.sparkSession, "substrings")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     buckets = bucket_count(docs, bucket_bytes=BUCKET_BYTES, least=LEAST_BUCKETS)
@@ -411,7 +416,7 @@ def repeated_passages(docs: DataFrame, percent: int = PERCENT, recall: float = R
     by_chunk = answers.groupBy("chunk").agg(F.collect_list("answer").alias("answers"))
     lines = shared.groupBy("chunk").agg(F.collect_list(F.struct("place", "none", "id", "first")).alias("lines"))
     whole = chunks.join(by_chunk, "chunk", "left").join(lines, "chunk", "left").filter("answers IS NOT NULL OR lines IS NOT NULL")
-    return whole.mapInArrow(_passages(min_words), "doc_id long, first_word long, end_word long, n_words long, first_doc_id long, removed boolean")
+    return whole.mapInArrow(_passages(min_words), "doc_id long, first_word long, end_word long, n_words long, first_doc_id long, removed boolean, n_bridged long")
 
 
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:

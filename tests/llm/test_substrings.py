@@ -86,7 +86,9 @@ def test_passages_inside_lines_are_joined_across_a_changed_word(spark):
     copies = [x for x in found if x["doc_id"] % 2]
     assert len(copies) == 30 and all(x["first_doc_id"] == x["doc_id"] - 1 for x in copies)  # and one passage each
     # with fewer than two common cuts between the change and an edge, that side has no segment to match
-    assert sum(x["first_word"] <= 65 - 8 and x["end_word"] >= 65 + 8 for x in copies) >= 27
+    across = [x for x in copies if x["first_word"] <= 65 - 8 and x["end_word"] >= 65 + 8]
+    assert len(across) >= 27 and all(1 <= x["n_bridged"] <= substrings.GAP for x in across)
+    assert all(x["n_bridged"] == 0 for x in copies if not x["first_word"] <= 65 < x["end_word"])
 
 
 def test_null_ids(spark):
@@ -94,6 +96,7 @@ def test_null_ids(spark):
     a, b = (" ".join(f"w{r.randrange(10**7)}" for _ in range(40)) for _ in range(2))
     rows = [(None, a), (3, a), (4, a), (None, b), (None, b)]
     found = substrings.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert all(x["n_bridged"] == 0 for x in found)
     got = sorted((x["doc_id"] or 0, x["n_words"], x["first_doc_id"] or 0, x["removed"]) for x in found)
     assert got == [(0, 40, 0, False), (0, 40, 0, True), (0, 40, 3, True), (3, 40, 3, False), (4, 40, 3, True)]
 

@@ -45,7 +45,7 @@ def dictionary_link(token: Column, lang: Column) -> Column:
 def sanitize_markup(markup: Column, trim: bool = True) -> Column:
     """Drop characters that XML forbids (and those beyond the BMP), escape bare ampersands, trim."""
     escaped = F.regexp_replace(F.regexp_replace(markup, FORBIDDEN_RE, ""), BARE_AMPERSAND_RE, "&amp;")
-    return F.regexp_replace(escaped, r"\A\s+|\s+\z", "") if trim else escaped
+    return F.trim(escaped, F.lit(" \t\n\r")) if trim else escaped  # the other white space of \s is forbidden
 
 
 def markup_language(markup: Column) -> Column:

@@ -37,6 +37,14 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) ->
             spark.conf.set(name, value)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
+    """For lazy results, whose action is not ours: bound the session's batches for Python, if they may be larger."""
+    for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):
+        name = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(name).rstrip("b")) <= most:
+            spark.conf.set(name, str(most))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """`df`, written to the shared folder as Parquet and read from there ever after.
 

@@ -17,9 +17,18 @@ def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("unit_id"), F.col("value").alias("text"))
 
 
+def _content(line: Column) -> Column:
+    return (F.trim(line) != "") & ~F.ltrim(line).startswith("#")
+
+
+def _three(line: Column) -> Column:
+    """Whether a line has three columns.  Tabs are counted where there are some: such a line need not be split."""
+    return F.when(line.contains("\t"), F.length(line) - F.length(F.replace(line, F.lit("\t"), F.lit(""))) == 2).otherwise(F.size(F.split(F.trim(line), r"\s+", 4)) == 3)
+
+
 def content_lines(text: Column) -> Column:
     """The text's lines without blank lines and #-comments."""
-    return F.filter(F.split(text, r"\r?\n"), lambda line: (F.trim(line) != "") & ~F.ltrim(line).startswith("#"))
+    return F.filter(F.split(text, r"\r?\n"), _content)
 
 
 def raw_corpus(df: DataFrame, id: str = "doc_id", text: str = "text", keep: list[str] | None = None, **options) -> Corpus:
@@ -34,22 +43,28 @@ def columns(line: Column) -> Column:
     return F.when(line.contains("\t"), F.split(line, "\t")).otherwise(F.split(F.trim(line), r"\s+"))
 
 
-def vertical_arrays(lines: Column) -> list[Column]:
-    """token, tag and lemma arrays of vertical lines; a missing tag or lemma is '###'."""
-    part = lambda k, default: F.transform(lines, lambda x: F.coalesce(F.nullif(F.get(columns(x), F.lit(k)), F.lit("")), F.lit(default)))
-    return [part(0, "").alias("token"), part(1, MISSING).alias("tag"), part(2, MISSING).alias("lemma")]
+def vertical_rows(text: Column) -> Column:
+    """array<array<string>>: the columns of each line that has a token.  A line is split once."""
+    rows = F.transform(F.split(text, r"\r?\n"), columns)
+    return F.filter(rows, lambda c: F.get(c, F.lit(0)) != "")
+
+
+def vertical_arrays(rows: Column) -> list[Column]:
+    """token, tag and lemma arrays of split lines; a missing tag or lemma is '###'."""
+    part = lambda k: F.transform(rows, lambda c: F.when(F.get(c, F.lit(k)) != "", F.get(c, F.lit(k))).otherwise(MISSING))
+    return [F.transform(rows, lambda c: F.get(c, F.lit(0))).alias("token"), part(1).alias("tag"), part(2).alias("lemma")]
 
 
 def vertical_corpus(df: DataFrame, id: str = "doc_id", text: str = "text", keep: list[str] | None = None, **options) -> Corpus:
     """One token per line.  Lines keep their order; lines without a token are dropped."""
     keep = keep or []
-    lines = F.filter(F.split(F.col(text), r"\r?\n"), lambda x: F.get(columns(x), F.lit(0)) != "")
-    return Corpus.from_arrays(df.select(F.col(id).alias("unit_id"), *keep, *vertical_arrays(lines)), keep, **options)
+    split = df.select(F.col(id).alias("unit_id"), *keep, vertical_rows(F.col(text)).alias("rows"))
+    return Corpus.from_arrays(split.select("unit_id", *keep, *vertical_arrays(F.col("rows"))), keep, **options)
 
 
 def detect_format(text: Column) -> Column:
     """'markup', 'vertical' or 'raw' for one unit, by its own content."""
-    lines = content_lines(text)
-    three = F.size(F.filter(lines, lambda x: F.size(columns(x)) == 3))
-    vertical = (F.size(lines) > 0) & (three > VERTICAL_SHARE * F.size(lines))
-    return F.when(F.ltrim(text).startswith("<"), "markup").when(vertical, "vertical").otherwise("raw")
+    # one pass over the lines: each is told to be left out (null), of three columns or not; text that is markup is not split
+    one = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.when(_content(x), _three(x))), lambda t: t.isNotNull())
+    counted = F.aggregate(one, F.struct(F.lit(0).alias("n"), F.lit(0).alias("three")), lambda a, t: F.struct((a["n"] + 1).alias("n"), (a["three"] + t.cast("int")).alias("three")), lambda a: (a["n"] > 0) & (a["three"] > VERTICAL_SHARE * a["n"]))
+    return F.when(F.ltrim(text).startswith("<"), "markup").when(counted, "vertical").otherwise("raw")

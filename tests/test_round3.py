@@ -44,3 +44,19 @@ def test_markup_bytes_are_cleaned_like_columns(spark, trim):
 def test_a_declared_encoding_is_overruled(spark):
     rows = spark.createDataFrame([(1, "<?xml version='1.0' encoding='ISO-8859-1'?><t><sent>café</sent></t>")], "doc_id long, markup string")
     assert [r["text"] for r in markup.sentences(rows, "doc_id", "markup").collect()] == ["café"]
+
+
+def test_a_vertical_line_is_split_once(spark):
+    rows = spark.createDataFrame([(1, "a\tX\tl\r\nb\tY\n\nc\n\t\t\nd e f\n é\t\tm"), (2, None)], "doc_id long, text string")
+    corpus = plain.vertical_corpus(rows)
+    assert corpus.tokens()._jdf.queryExecution().optimizedPlan().toString().count("split(lambda") <= 2
+    got = [(r["token"], r["tag"], r["lemma"]) for r in corpus.tokens().orderBy("unit_id", "pos").collect()]
+    assert got == [("a", "X", "l"), ("b", "Y", "###"), ("c", "###", "###"), ("d", "e", "f"), (" é", "###", "m")]
+
+
+def test_formats_are_told_from_one_pass(spark):
+    texts = {"a\tb\tc": "vertical", "a\tb\tc\td\nx": "raw", "a b c\n# x\n\n  d  e  f ": "vertical", "a b c\nd e": "raw", "": "raw", "\t\t\nx": "raw", " <p>": "markup", "# a b c": "raw", "a b c d": "raw"}
+    rows = spark.createDataFrame(list(texts.items()), "text string, format string").select("text", "format", plain.detect_format(F.col("text")).alias("got"))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
+    assert [(r["text"], r["got"]) for r in rows.collect() if r["got"] != r["format"]] == []
+    assert spark.createDataFrame([(None,)], "text string").select(plain.detect_format(F.col("text"))).first()[0] == "raw"

@@ -104,12 +104,14 @@ class Corpus:
         high = F.least(F.col("begin") + F.col("core_len"), (home + 1) * block + self.halo)
         inside = F.greatest(F.lit(0), F.least(high, (home + 1) * block) - F.greatest(low, home * block))
         slices = [F.slice(a, (low - F.col("begin") + 1).cast("int"), (high - low).cast("int")).alias(a) for a in ARRAYS]
-        pieces = own.withColumn("home", F.explode(F.sequence(first, last))).filter(high > low).select(*by, "home", inside.alias("inside"), F.struct(low.alias("low_pos"), *slices).alias("piece"))
-        packed = pieces.groupBy(*by, "home").agg(F.sum("inside").alias("core_len"), F.array_sort(F.collect_list("piece")).alias("t")).filter("core_len > 0")
-        begin = F.col("t.low_pos")[0]
+        pieces = own.withColumn("home", F.explode(F.sequence(first, last))).filter(high > low).select(*by, "home", inside.alias("inside"), low.alias("low_pos"), *slices)
+        # each array is gathered by itself, so those that the analysis doesn't read are not shuffled
+        gathered = [F.array_sort(F.collect_list(F.struct("low_pos", F.col(a).alias("part")))).alias(a) for a in ARRAYS]
+        packed = pieces.groupBy(*by, "home").agg(F.sum("inside").alias("core_len"), F.min("low_pos").alias("begin"), *gathered).filter("core_len > 0")
+        begin = F.col("begin")
         blocks = packed.select(
             F.lit(0).cast("long").alias("unit_id"), *by, home.alias("block"), begin.alias("start"),
-            (home * block - begin).cast("int").alias("core_from"), F.col("core_len").cast("int").alias("core_len"), *[F.flatten(F.col(f"t.{a}")).alias(a) for a in ARRAYS],
+            (home * block - begin).cast("int").alias("core_from"), F.col("core_len").cast("int").alias("core_len"), *[F.flatten(F.col(f"{a}.part")).alias(a) for a in ARRAYS],
         )
         return Corpus(blocks, by, self.block, self.halo, self._raw)
 

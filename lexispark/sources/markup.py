@@ -177,18 +177,22 @@ END = "</sent>"
 #: A prolog, then the first element's start tag.
 ROOT_RE = r"""\A\s*(?:<\?[^>]*>\s*|<!--(?:[^-]|-[^-])*-->\s*|<![^>\[]*(?:\[[^\]]*\]\s*)?>\s*)*(<[\p{L}_:][^\s/>]*(?:[^>"']|"[^"]*"|'[^']*')*>)"""
 NO_ROOT = "<sentences>"
-RECORDS = f"doc string, begin long, record long, k int, {SENTENCE.replace(':', ' ')}"
+RECORDS = f"doc string, begin long, i long, m long, {SENTENCE.replace(':', ' ')}"
 RECORD_NAMES = [c.split()[0] for c in RECORDS.split(", ")]
 
 
 def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Records (what stands before an end of a sentence) to their sentences.  Each is parsed inside its document's own root
-    element, whose namespaces it may use."""
+    element, whose namespaces it may use.  A task has a file's piece whole and in order, so it numbers the piece's sentences
+    (`i`, from 0) and counts those without an id up to each (`m`)."""
+    here, i, m = None, 0, 0
     ends: dict[bytes, re.Pattern] = {}
     for batch in batches:
         for piece in _pieces(batch, "body"):
-            place, numbers, rows = [], [], []
-            for i, (root, rooted, body) in enumerate(zip(*[piece.column(c).to_pylist() for c in ("root", "rooted", "body")], strict=True)):
+            place, numbers, counts, rows = [], [], [], []
+            for at, (doc, begin, root, rooted, body) in enumerate(zip(*[piece.column(c).to_pylist() for c in ("doc", "begin", "root", "rooted", "body")], strict=True)):
+                if (doc, begin) != here:
+                    here, i, m = (doc, begin), 0, 0
                 body, root = sanitized(body, trim=False), root.encode()
                 name = re.match(rb"<([^\s/>]+)", root).group(1)
                 if rooted:
@@ -201,12 +205,15 @@ def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     children = list(_root(root + body + b"</" + name + b">"))
                 except ET.ParseError:
                     continue
-                found = [_sentence(c) for c in children if _name(c) == "sent"]
-                place += [i] * len(found)
-                numbers += range(len(found))
-                rows += found
-            kept = [piece.column(c).take(pa.array(place, pa.int32())) for c in ("doc", "begin", "record")]
-            yield pa.record_batch([*kept, pa.array(numbers, pa.int32()), *sentence_arrays(rows)], names=RECORD_NAMES)
+                for found in [_sentence(c) for c in children if _name(c) == "sent"]:
+                    m += found[0] is None
+                    place.append(at)
+                    numbers.append(i)
+                    counts.append(m)
+                    rows.append(found)
+                    i += 1
+            kept = [piece.column(c).take(pa.array(place, pa.int32())) for c in ("doc", "begin")]
+            yield pa.record_batch([*kept, pa.array(numbers, pa.int64()), pa.array(counts, pa.int64()), *sentence_arrays(rows)], names=RECORD_NAMES)
 
 
 def split_sentences(spark: SparkSession, paths: str | list[str], any_blank: bool = False) -> DataFrame:
@@ -220,20 +227,19 @@ def split_sentences(spark: SparkSession, paths: str | list[str], any_blank: bool
     place = [F.col("_metadata.file_path").alias("doc"), F.col("_metadata.file_block_start").alias("begin")]
     bounded_batches(spark)
     records = spark.read.option("lineSep", END).text(paths).select(*place, F.monotonically_increasing_id().alias("record"), F.col("value").alias("body"))
+    # a row for each file or piece goes to every task: no more than the driver's own list of them
+    firsts = F.broadcast(records.filter("begin = 0").groupBy("doc").agg(F.min("record").alias("record")))
     start = F.regexp_extract(sanitize_markup(F.col("body"), trim=False), ROOT_RE, 1)
-    heads = records.filter("begin = 0").groupBy("doc").agg(F.min(F.struct("record", start.alias("root"))).alias("head")).select("doc", "head.*")
+    heads = F.broadcast(records.filter("begin = 0").join(firsts, ["doc", "record"]).select("doc", F.col("record").alias("head_record"), start.alias("head_root")))
     none = F.col("head_root").rlike(r"^(<sent[\s/>]|$)")
-    heads = heads.select("doc", F.col("record").alias("head_record"), F.col("root").alias("head_root"))
-    wrapped = records.join(heads, "doc").select("doc", "begin", "record", F.col("body").cast("binary").alias("body"), F.when(none, NO_ROOT).otherwise(F.col("head_root")).alias("root"), ((F.col("record") == F.col("head_record")) & ~none).alias("rooted"))
-    parsed = cut(_tokenised(wrapped.mapInArrow(_parse_records, RECORDS), ["doc", "begin", "record", "k", "sent_id", "text"], any_blank))
-    missing = F.col("sent_id").isNull().cast("long")
-    pieces = parsed.groupBy("doc", "begin").agg(F.count("*").alias("n"), F.sum(missing).alias("missing"))
+    root = F.when(none, NO_ROOT).otherwise(F.col("head_root")).alias("root")
+    wrapped = records.join(heads, "doc").select("doc", "begin", F.col("body").cast("binary").alias("body"), root, ((F.col("record") == F.col("head_record")) & ~none).alias("rooted"))
+    parsed = cut(_tokenised(wrapped.mapInArrow(_parse_records, RECORDS), ["doc", "begin", "i", "m", "sent_id", "text"], any_blank))
+    pieces = parsed.groupBy("doc", "begin").agg(F.count("*").alias("n"), F.max("m").alias("missing"))
     before = Window.partitionBy("doc").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("doc", "begin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "missing")])
-    inside = Window.partitionBy("doc", "begin").orderBy("record", "k")
-    own = parsed.withColumn("i", F.row_number().over(inside)).withColumn("m", F.sum(missing).over(inside.rowsBetween(Window.unboundedPreceding, 0)))
     counted = F.coalesce("sent_id", F.col("missing_before") + F.col("m")).alias("sent_id")
-    return own.join(pieces, ["doc", "begin"]).select("doc", (F.col("n_before") + F.col("i") - 1).alias("ordinal"), counted, "text", "token", "tag", "lemma")
+    return parsed.join(F.broadcast(pieces), ["doc", "begin"]).select("doc", (F.col("n_before") + F.col("i")).alias("ordinal"), counted, "text", "token", "tag", "lemma")
 
 
 def split_corpus(spark: SparkSession, paths: str | list[str], **options) -> Corpus:

@@ -60,3 +60,10 @@ def test_formats_are_told_from_one_pass(spark):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("split(text") == 1
     assert [(r["text"], r["got"]) for r in rows.collect() if r["got"] != r["format"]] == []
     assert spark.createDataFrame([(None,)], "text string").select(plain.detect_format(F.col("text"))).first()[0] == "raw"
+
+
+def test_pieces_are_numbered_where_they_are_parsed(spark, tmp_path):
+    (tmp_path / "a").write_text("<t>" + "".join(f"<sent>w{k}</sent>" for k in range(40)) + "</t>")
+    rows = markup.split_sentences(spark, str(tmp_path))
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # over pieces, none over sentences
+    assert [(r["ordinal"], r["sent_id"], r["token"]) for r in rows.orderBy("ordinal").collect()] == [(k, k + 1, [f"w{k}"]) for k in range(40)]

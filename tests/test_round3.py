@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import sanitize_markup
+from lexispark.plans.corpus import Corpus
 from lexispark.sources import markup, plain
 
 
@@ -67,3 +68,11 @@ def test_pieces_are_numbered_where_they_are_parsed(spark, tmp_path):
     rows = markup.split_sentences(spark, str(tmp_path))
     assert rows._jdf.queryExecution().optimizedPlan().toString().count("Window [") == 1  # over pieces, none over sentences
     assert [(r["ordinal"], r["sent_id"], r["token"]) for r in rows.orderBy("ordinal").collect()] == [(k, k + 1, [f"w{k}"]) for k in range(40)]
+
+
+def test_one_sequence_gathers_only_what_is_read(spark):
+    corpus = Corpus.from_text(spark.createDataFrame([(1, "a b c"), (2, "d e")], "doc_id long, text string")).as_one_sequence()
+    gathered = re.findall(r"collect_list\(", corpus.tokens("token")._jdf.queryExecution().optimizedPlan().toString())
+    assert len(gathered) == 1
+    plan = corpus.tokens("token")._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_repeat(##" not in plan

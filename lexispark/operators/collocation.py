@@ -31,12 +31,12 @@ class Collocates:
             raise ValueError("the window is wider than the corpus halo")
         self.word, self.tag, self.tags, self.lemma = word, tag, tags, lemma
 
-    def _counted(self, first: bool = False) -> DataFrame:
+    def _counted(self, first: bool = False, totals: bool = True) -> DataFrame:
         """(by, word, tag, lemma, obs_l, obs_r, nodes, total[, at]) of one pass over the corpus: the collocates of the matches;
         per word a row without tag and lemma with its `total`, whatever its tag; and per group a row without a word with
         the number of matches in `nodes`.  With `first`, `at` is the first match (unit_id, pos) that has the collocate.
 
-        A stored corpus knows the totals already, so the pass takes the matches' surroundings only."""
+        A stored corpus knows the totals already, so the pass takes the matches' surroundings only; so it does without `totals`."""
         left, right, node, total = (F.lit(k).cast("byte") for k in range(4))
         none = F.lit(None).cast("string")
         place = lambda i: [(F.col("start") + i).alias("pos")] if first else []
@@ -52,7 +52,7 @@ class Collocates:
 
         spots = once([F.arrays_zip("low", "tag", "lemma"), self.hits.found], near)
         stored = self.corpus.types is not None
-        if not stored:
+        if totals and not stored:
             spots = F.concat(spots, F.transform(self.corpus.core("low")[0], lambda w: spot(w, none, none, total, F.lit(0))))
         own = [(F.col("start") + F.col("core_from")).cast("long").alias("first")] if first else []
         rows = self.corpus.blocks.select("unit_id", *self.by, *own, F.explode(spots).alias("c")).select("unit_id", *self.by, *(["first"] if first else []), "c.*")
@@ -60,7 +60,7 @@ class Collocates:
         earliest = [F.min(F.when(beside, F.struct("unit_id", "pos", "first"))).alias("at")] if first else []
         sums = [F.count_if(F.col("kind") == k).alias(name) for k, name in enumerate(("obs_l", "obs_r", "nodes", "total"))]
         counted = rows.groupBy(*self.by, *KEY).agg(*sums, *earliest)
-        if stored:
+        if totals and stored:
             zero = [F.lit(0).cast("long").alias(c) for c in ("obs_l", "obs_r", "nodes")]
             types = self.corpus.counted("low", by=self.by).select(*self.by, F.col("low").alias("word"), none.alias("tag"), none.alias("lemma"), *zero, F.col("n").alias("total"))
             counted = counted.unionByName(types, allowMissingColumns=True)
@@ -73,7 +73,7 @@ class Collocates:
 
     def counts(self) -> DataFrame:
         """(by,) word, tag, lemma, obs_l, obs_r, observed."""
-        return self._collocates(self._counted())
+        return self._collocates(self._counted(totals=False))
 
     @property
     def node_frequency(self) -> int:

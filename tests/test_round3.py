@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import sanitize_markup
+from lexispark.operators.collocation import Collocates
 from lexispark.plans.corpus import Corpus
 from lexispark.sources import markup, plain
 
@@ -76,3 +77,27 @@ def test_one_sequence_gathers_only_what_is_read(spark):
     assert len(gathered) == 1
     plan = corpus.tokens("token")._jdf.queryExecution().optimizedPlan().toString()
     assert "array_repeat(##" not in plan
+
+
+def exploded(df) -> int:
+    """The rows that the plan's Generate nodes made when `df` was collected without adaptive plans."""
+    spark = df.sparkSession
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        df.collect()
+        nodes, made = [df._jdf.queryExecution().executedPlan()], 0
+        while nodes:
+            node = nodes.pop()
+            made += node.metrics().apply("numOutputRows").value() if node.nodeName() == "Generate" else 0
+            nodes += [node.children().apply(i) for i in range(node.children().size())]
+        return made
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_counts_take_the_surroundings_of_matches_only(spark):
+    rows = spark.createDataFrame([(1, "the cat " + "x " * 500), (2, "y " * 500), (3, "a the b")], "doc_id long, text string")
+    found = Collocates(Corpus.from_text(rows), "the", window=1).counts()
+    assert exploded(found) <= 10  # a block each, three neighbours and two matches; the totals would be a row for each of 1,005 tokens
+    assert sorted((r["word"], r["obs_l"], r["obs_r"]) for r in found.collect()) == [("a", 1, 0), ("b", 0, 1), ("cat", 0, 1)]

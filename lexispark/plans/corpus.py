@@ -16,9 +16,10 @@ from pyspark.sql import functions as F
 
 from lexispark.functions.semantics import RAW_SHARE, UNTAGGED
 from lexispark.functions.text import tokenize
-from lexispark.plans.cut import cut
+from lexispark.plans.cut import cut, open_writers
 
 BLOCK, HALO = 8192, 64
+ROW_GROUP_BYTES = 16 << 20  # what a writer of blocks holds for each partition that it has open
 ARRAYS = ["token", "low", "tag", "lemma", "sent"]
 
 
@@ -191,7 +192,9 @@ class Corpus:
     def write(self, path: str, partition_by: list[str] | None = None) -> None:
         """Keep the blocks, by kept columns if wanted, and what `Corpus.read` needs to open them: block and halo
         size, whether the corpus is raw, its number of tokens."""
-        self.blocks.write.mode("overwrite").partitionBy(*(partition_by or [])).parquet(f"{path}/blocks")
+        writer = self.blocks.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES)
+        with open_writers(self.blocks.sparkSession):
+            writer.partitionBy(*(partition_by or [])).parquet(f"{path}/blocks")
         spark = self.blocks.sparkSession
         stored = Corpus(spark.read.parquet(f"{path}/blocks"), self.keep, self.block, self.halo, self._raw)
         facts = [(self.block, self.halo, stored.raw, stored.size, self.keep)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
+from contextlib import AbstractContextManager, contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,13 +23,10 @@ def scratch(spark: SparkSession) -> str:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) -> Iterator[None]:
-    """While an action of ours runs, batches for Python hold so many rows and bytes at most; then the session's own
-    settings hold again."""
-    names = {f"spark.sql.execution.arrow.{name}": most for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size))}
-    before = {name: spark.conf.get(name) for name in names}
-    for name, most in names.items():
-        spark.conf.set(name, str(most))
+def _settings(spark: SparkSession, values: dict[str, int]) -> Iterator[None]:
+    before = {name: spark.conf.get(name) for name in values}
+    for name, value in values.items():
+        spark.conf.set(name, str(value))
     try:
         yield
     finally:
@@ -37,6 +34,18 @@ def small_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) ->
             spark.conf.set(name, value)
 
 
+def small_batches(spark: SparkSession, rows: int = 256, size: int = 4 << 20) -> AbstractContextManager[None]:
+    """While an action of ours runs, batches for Python hold so many rows and bytes at most; then the session's own
+    settings hold again."""
+    return _settings(spark, {"spark.sql.execution.arrow.maxRecordsPerBatch": rows, "spark.sql.execution.arrow.maxBytesPerBatch": size})
+
+
+def open_writers(spark: SparkSession, most: int = 16) -> AbstractContextManager[None]:
+    """While an action of ours writes a partitioned table, a task keeps a file open for each of up to `most` partitions; only
+    beyond that it sorts (and spills) the rows that are left by partition."""
+    return _settings(spark, {"spark.sql.maxConcurrentOutputFileWriters": most})
+
+
 def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20) -> None:
     """For lazy results, whose action is not ours: bound the session's batches for Python, if they may be larger."""
     for name, most in (("maxRecordsPerBatch", rows), ("maxBytesPerBatch", size)):

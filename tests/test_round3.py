@@ -101,3 +101,13 @@ def test_counts_take_the_surroundings_of_matches_only(spark):
     found = Collocates(Corpus.from_text(rows), "the", window=1).counts()
     assert exploded(found) <= 10  # a block each, three neighbours and two matches; the totals would be a row for each of 1,005 tokens
     assert sorted((r["word"], r["obs_l"], r["obs_r"]) for r in found.collect()) == [("a", 1, 0), ("b", 0, 1), ("cat", 0, 1)]
+
+
+def test_a_written_corpus_is_packed_by_partition(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "the cat", f"l{k % 3}" if k % 4 else None) for k in range(40)], "doc_id long, text string, lang string")
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    Corpus.from_text(rows, keep=["lang"]).write(str(tmp_path), ["lang"])
+    assert spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
+    assert all(f.name.endswith(".zstd.parquet") for f in tmp_path.glob("blocks/*/*.parquet"))
+    again = Corpus.read(spark, str(tmp_path)).blocks
+    assert sorted((r["unit_id"], r["lang"]) for r in again.select("unit_id", "lang").collect()) == [(k, f"l{k % 3}" if k % 4 else None) for k in range(40)]

@@ -32,32 +32,31 @@ class Collocates:
         self.word, self.tag, self.tags, self.lemma = word, tag, tags, lemma
 
     def _counted(self, first: bool = False, totals: bool = True) -> DataFrame:
-        """(by, word, tag, lemma, obs_l, obs_r, nodes, total[, at]) of one pass over the corpus: the collocates of the matches;
+        """(by, word, tag, lemma, obs_l, obs_r, nodes, total[, at, at_null]) of one pass over the corpus: the collocates of the matches;
         per word a row without tag and lemma with its `total`, whatever its tag; and per group a row without a word with
-        the number of matches in `nodes`.  With `first`, `at` is the first match (unit_id, pos) that has the collocate.
+        the number of matches in `nodes`.  With `first`, `at` is the first unit that has the collocate, a null one if `at_null`:
+        a plain value, as a struct would be sorted for instead of hashed.
 
         A stored corpus knows the totals already, so the pass takes the matches' surroundings only; so it does without `totals`."""
         left, right, node, total = (F.lit(k).cast("byte") for k in range(4))
         none = F.lit(None).cast("string")
-        place = lambda i: [(F.col("start") + i).alias("pos")] if first else []
-        spot = lambda w, t, m, kind, i: F.struct(w.alias("word"), t.alias("tag"), m.alias("lemma"), kind.alias("kind"), *place(i))
+        spot = lambda w, t, m, kind: F.struct(w.alias("word"), t.alias("tag"), m.alias("lemma"), kind.alias("kind"))
 
         def near(z: Column, found: Column) -> Column:
             def around(i: Column) -> Column:
                 before, after = self.hits.around(z, i, self.window, self.window)
-                one = lambda side: lambda x: spot(x["low"], x["tag"], x["lemma"], side, i)
-                return F.concat(F.transform(before, one(left)), F.transform(after, one(right)), F.array(spot(none, none, none, node, i)))
+                one = lambda side: lambda x: spot(x["low"], x["tag"], x["lemma"], side)
+                return F.concat(F.transform(before, one(left)), F.transform(after, one(right)), F.array(spot(none, none, none, node)))
 
             return F.flatten(F.transform(found, around))
 
         spots = once([F.arrays_zip("low", "tag", "lemma"), self.hits.found], near)
         stored = self.corpus.types is not None
         if totals and not stored:
-            spots = F.concat(spots, F.transform(self.corpus.core("low")[0], lambda w: spot(w, none, none, total, F.lit(0))))
-        own = [(F.col("start") + F.col("core_from")).cast("long").alias("first")] if first else []
-        rows = self.corpus.blocks.select("unit_id", *self.by, *own, F.explode(spots).alias("c")).select("unit_id", *self.by, *(["first"] if first else []), "c.*")
-        beside = F.col("kind") < 2
-        earliest = [F.min(F.when(beside, F.struct("unit_id", "pos", "first"))).alias("at")] if first else []
+            spots = F.concat(spots, F.transform(self.corpus.core("low")[0], lambda w: spot(w, none, none, total)))
+        rows = self.corpus.blocks.select("unit_id", *self.by, F.explode(spots).alias("c")).select("unit_id", *self.by, "c.*")
+        beside, null = F.col("kind") < 2, F.col("unit_id").isNull()
+        earliest = [F.min(F.when(beside, F.col("unit_id"))).alias("at"), F.coalesce(F.max(beside & null), F.lit(False)).alias("at_null")] if first else []
         sums = [F.count_if(F.col("kind") == k).alias(name) for k, name in enumerate(("obs_l", "obs_r", "nodes", "total"))]
         counted = rows.groupBy(*self.by, *KEY).agg(*sums, *earliest)
         if totals and stored:
@@ -66,6 +65,16 @@ class Collocates:
             counted = counted.unionByName(types, allowMissingColumns=True)
         return counted
 
+    def _beside(self) -> DataFrame:
+        """(unit_id, by, pos, word, tag, lemma) of every token beside a match at `pos`."""
+
+        def near(z: Column, found: Column) -> Column:
+            around = lambda i: F.transform(F.concat(*self.hits.around(z, i, self.window, self.window)), lambda x: F.struct((F.col("start") + i).alias("pos"), x["low"].alias("word"), x["tag"].alias("tag"), x["lemma"].alias("lemma")))
+            return F.flatten(F.transform(found, around))
+
+        spots = once([F.arrays_zip("low", "tag", "lemma"), self.hits.found], near)
+        return self.corpus.blocks.select("unit_id", *self.by, F.explode(spots).alias("c")).select("unit_id", *self.by, "c.*")
+
     @staticmethod
     def _collocates(counted: DataFrame) -> DataFrame:
         seen = counted.withColumn("observed", F.col("obs_l") + F.col("obs_r"))
@@ -95,7 +104,7 @@ class Collocates:
         ll = stats.log_likelihood(k11, k12, k21, size - (k11 + k12 + k21))
         scored = joined.withColumn("_ll", ll).withColumn("mi", F.round(stats.mutual_information(k11, freq, F.col("total_freq"), size), 6))
         columns = [*self.by, *KEY, "obs_l", "obs_r", "observed", "total_freq", F.round("_ll", 6).alias("ll"), "mi", stats.significance(F.col("_ll")).alias("significance")]
-        return scored.select(*columns, stats.direction(F.col("obs_l"), F.col("obs_r")).alias("direction"), *(["at"] if first else []))
+        return scored.select(*columns, stats.direction(F.col("obs_l"), F.col("obs_r")).alias("direction"), *(["at", "at_null"] if first else []))
 
     def _filtered(self, counted: DataFrame) -> DataFrame:
         if self.min_observed > 1:
@@ -114,7 +123,7 @@ class Collocates:
 
     def top(self, k: int = 20, rank: str = "ll") -> DataFrame:
         """The k best by `rank` ("ll" or "mi") of the corpus or of each group, with their rank; ties by word, tag, lemma."""
-        return self._best(k, rank).drop("at")
+        return self._best(k, rank)
 
     def _best(self, k: int, rank: str, first: bool = False) -> DataFrame:
         order = [F.desc(rank), *KEY]
@@ -133,11 +142,17 @@ class Collocates:
     def examples(self, k: int = 20, rank: str = "ll") -> DataFrame:
         """For each of the top k, the first match (in corpus order) that has it in its window.
 
-        The pass that counts the collocates carries each one's first match; then the blocks of those are read, and
-        their lines cut out."""
-        best = self._best(k, rank, first=True).select(*self.by, "rank", *KEY, F.col("at.unit_id").alias("unit_id"), F.col("at.pos").alias("pos"), F.col("at.first").alias("first"))
-        lines = Hits(self.corpus.around(best), self.hits.query).kwic(self.window, self.window, limit=None).select("unit_id", "pos", "left", "node", "right")
-        return lines.join(F.broadcast(best.drop("first")), ["unit_id", "pos"]).select(*self.by, "rank", *KEY, "unit_id", "pos", "left", "node", "right")  # k rows, or k of each group
+        The pass that counts the collocates carries the first unit that has each; then those units are read, and the
+        first lines cut out of them."""
+        unit = F.when(~F.col("at_null"), F.col("at"))
+        names = {c: f"_best{i}" for i, c in enumerate(["unit_id", *self.by, *KEY])}
+        best = self._best(k, rank, first=True).select("rank", unit.alias(names["unit_id"]), *[F.col(c).alias(names[c]) for c in [*self.by, *KEY]])
+        few = self.corpus.units(best.select(F.col(names["unit_id"]).alias("unit_id")))
+        near = Collocates(few, self.hits.query, self.window, by=self.by)._beside()
+        found = near.join(F.broadcast(best), [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).groupBy("rank", *names).agg(F.min("pos").alias("pos"))  # k rows, or k of each group
+        lines = Hits(few, self.hits.query).kwic(self.window, self.window, limit=None).select("unit_id", "pos", "left", "node", "right")
+        firsts = found.select("rank", *self.by, *KEY, F.col("unit_id").alias("_unit"), F.col("pos").alias("_pos"))
+        return lines.join(F.broadcast(firsts), [F.col("unit_id").eqNullSafe(F.col("_unit")), F.col("pos") == F.col("_pos")]).select(*self.by, "rank", *KEY, "unit_id", "pos", "left", "node", "right")
 
     def graph_edges(self, k: int = 20) -> DataFrame:
         return self.top(k).select(F.lit(self.hits.query).alias("source"), F.col("word").alias("target"), "tag", "lemma", F.col("ll").alias("weight"))

@@ -127,6 +127,12 @@ class Corpus:
         own = F.struct("unit_id", (F.col("start") + F.col("core_from")).cast("long").alias("first"))
         return Corpus(units.filter(F.array_contains(wanted["keys"], own)), self.keep, self.block, self.halo, self._raw, self.types)
 
+    def units(self, few: DataFrame) -> Corpus:
+        """The corpus of the units named by the rows of `few`: unit_id.  As in `around`, they are one scalar subquery."""
+        wanted = few.agg(F.struct(F.collect_set("unit_id").alias("ids"), F.coalesce(F.bool_or(F.col("unit_id").isNull()), F.lit(False)).alias("none"))).scalar()
+        units = self.blocks.filter(F.array_contains(wanted["ids"], F.col("unit_id")) | (F.col("unit_id").isNull() & wanted["none"]))
+        return Corpus(units, self.keep, self.block, self.halo, self._raw, self.types)
+
     # -- views ----------------------------------------------------------------------------------------
     def core(self, *names: str) -> list[Column]:
         """The block's own part of the named arrays."""

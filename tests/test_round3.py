@@ -111,3 +111,12 @@ def test_a_written_corpus_is_packed_by_partition(spark, tmp_path):
     assert all(f.name.endswith(".zstd.parquet") for f in tmp_path.glob("blocks/*/*.parquet"))
     again = Corpus.read(spark, str(tmp_path)).blocks
     assert sorted((r["unit_id"], r["lang"]) for r in again.select("unit_id", "lang").collect()) == [(k, f"l{k % 3}" if k % 4 else None) for k in range(40)]
+
+
+def test_examples_are_counted_without_a_sort(spark):
+    rows = spark.createDataFrame([(3, "the cat the dog"), (None, "a cat the"), (2, "dog a the"), (1, "x y")], "doc_id long, text string")
+    collocates = Collocates(Corpus.from_text(rows), "the", window=2)
+    plan = collocates.stats(first=True)._jdf.queryExecution().sparkPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    got = {r["word"]: (r["unit_id"], r["pos"], r["node"]) for r in collocates.examples(5).collect()}
+    assert got == {"cat": (None, 2, "the"), "a": (None, 2, "the"), "dog": (2, 2, "the"), "the": (3, 0, "the")}

@@ -66,14 +66,19 @@ class Collocates:
         return counted
 
     def _beside(self) -> DataFrame:
-        """(unit_id, by, pos, word, tag, lemma) of every token beside a match at `pos`."""
+        """(unit_id, by, word, tag, lemma, line) of every token beside a match; line: pos, left, node, right."""
 
-        def near(z: Column, found: Column) -> Column:
-            around = lambda i: F.transform(F.concat(*self.hits.around(z, i, self.window, self.window)), lambda x: F.struct((F.col("start") + i).alias("pos"), x["low"].alias("word"), x["tag"].alias("tag"), x["lemma"].alias("lemma")))
-            return F.flatten(F.transform(found, around))
+        def lines(token: Column, z: Column, found: Column) -> Column:
+            def line(i: Column) -> Column:
+                before, after = self.hits.around(token, i, self.window, self.window)
+                texts = [F.array_join(x, " ").alias(c) for c, x in (("left", before), ("node", F.slice(token, i + 1, F.lit(self.hits.length))), ("right", after))]
+                return F.struct(F.struct((F.col("start") + i).alias("pos"), *texts).alias("line"), F.concat(*self.hits.around(z, i, self.window, self.window)).alias("near"))
 
-        spots = once([F.arrays_zip("low", "tag", "lemma"), self.hits.found], near)
-        return self.corpus.blocks.select("unit_id", *self.by, F.explode(spots).alias("c")).select("unit_id", *self.by, "c.*")
+            return F.transform(found, line)
+
+        found = F.explode(once([F.col("token"), F.arrays_zip("low", "tag", "lemma"), self.hits.found], lines)).alias("m")
+        rows = self.corpus.blocks.select("unit_id", *self.by, found).select("unit_id", *self.by, "m.line", F.explode("m.near").alias("c"))
+        return rows.select("unit_id", *self.by, F.col("c.low").alias("word"), "c.tag", "c.lemma", "line")
 
     @staticmethod
     def _collocates(counted: DataFrame) -> DataFrame:
@@ -149,10 +154,9 @@ class Collocates:
         best = self._best(k, rank, first=True).select("rank", unit.alias(names["unit_id"]), *[F.col(c).alias(names[c]) for c in [*self.by, *KEY]])
         few = self.corpus.units(best.select(F.col(names["unit_id"]).alias("unit_id")))
         near = Collocates(few, self.hits.query, self.window, by=self.by)._beside()
-        found = near.join(F.broadcast(best), [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]).groupBy("rank", *names).agg(F.min("pos").alias("pos"))  # k rows, or k of each group
-        lines = Hits(few, self.hits.query).kwic(self.window, self.window, limit=None).select("unit_id", "pos", "left", "node", "right")
-        firsts = found.select("rank", *self.by, *KEY, F.col("unit_id").alias("_unit"), F.col("pos").alias("_pos"))
-        return lines.join(F.broadcast(firsts), [F.col("unit_id").eqNullSafe(F.col("_unit")), F.col("pos") == F.col("_pos")]).select(*self.by, "rank", *KEY, "unit_id", "pos", "left", "node", "right")
+        same = [F.col(c).eqNullSafe(F.col(n)) for c, n in names.items()]
+        found = near.join(F.broadcast(best), same).groupBy("rank", "unit_id", *self.by, *KEY).agg(F.min("line").alias("line"))  # k rows, or k of each group
+        return found.select(*self.by, "rank", *KEY, "unit_id", "line.pos", "line.left", "line.node", "line.right")
 
     def graph_edges(self, k: int = 20) -> DataFrame:
         return self.top(k).select(F.lit(self.hits.query).alias("source"), F.col("word").alias("target"), "tag", "lemma", F.col("ll").alias("weight"))

@@ -45,10 +45,13 @@ SHINGLE = 4
 PERCENT = 85
 LEAST_PERCENT = 80
 ID_BITS = 54  # of a shingle's hash; the bits above number the documents of a slice
-CHUNK_DOCS = 256
+CHUNK_DOCS = 1024  # near copies in a chunk: twice as many halve what the comparisons of a large cluster's chunks ship
+RUN_DOCS = 256  # documents of a run's part, whose sets have no bound together
 CHUNK_SHINGLES = 1_000_000
 BROADCAST_IDS = 500_000  # at most 8 MB of candidate ids
+BROADCAST_ROWS = 200_000  # at most 10 MB of what a set is compared for
 STRONG = 1  # shared runs from which a link to a pivot is followed further
+HUBS = 8  # of a cluster that is many chunks, where components only are wanted
 FOLLOW = 4  # times the gathering is followed, each time twice as far
 FLUSH_KEYS = 1 << 20
 FLUSH_DOCS = 60_000  # a place in a blob has 16 bits
@@ -442,10 +445,14 @@ def run_jobs(runs: DataFrame, chunk: int) -> DataFrame:
     return cut.select(part(F.least("own", "other")).alias("ca"), part(F.greatest("own", "other")).alias("cb"), side, *[c for c in runs.columns if c != "members"])
 
 
-def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, work: Workspace | None = None, stored: bool = False) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, work: Workspace | None = None, stored: bool = False, links: bool = True) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, class_id (smallest id with an equal set), n_links
     (documents whose set is linked to this one's, copies included).
 
+    Without `links`, the column n_links is left out, and a link between documents that other links join already need not be
+    found: chunks are compared first, each with some documents of its whole cluster, and of the runs only those go on that
+    still hold documents of several components.
+
     Rows are numbered by task and place, and texts of some are read again by that number.  A table read from files
     (`stored`) is numbered alike each time; any other input is written first."""
     Bands(percent)
@@ -478,12 +485,48 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     splits = work.write(members.groupBy("cluster").agg(F.greatest(F.ceil(F.count("*") / CHUNK_DOCS), F.ceil(F.sum("n") / CHUNK_SHINGLES)).alias("splits")), "splits")
     members = members.join(splits, "cluster").select("fp", "rep", "weight", "n", F.xxhash64("cluster", F.pmod(F.xxhash64("fp"), F.col("splits"))).alias("chunk"))
     members = work.write(members, "members")
+
+    def with_sets(rows: DataFrame) -> DataFrame:
+        """`rows` (fp, rep and more) with their sets, from the text of each class's representative."""
+        n, wanted = rows.count(), rows.select(F.col("rep").alias("row")).distinct()
+        wanted = F.broadcast(wanted) if n <= BROADCAST_IDS else wanted
+        texts = docs.select("row", "text").join(wanted, "row", "left_semi").select("text").mapInArrow(_sets_of(size), "fp long, elements binary")
+        return texts.join(F.broadcast(rows) if n <= BROADCAST_ROWS else rows, "fp")  # few rows go to the sets, which then move once
+
+    link = "array<struct<rep:long,root:long,links:long>>"
+
+    def of_chunks(rows: DataFrame) -> DataFrame:
+        """(chunk, found, parts) of `rows` (chunk, paired, fp, rep, weight)."""
+        alone = with_sets(rows).select("chunk", "paired", "fp", "rep", "weight", "elements").repartition(parts, "chunk").sortWithinPartitions("chunk")
+        return alone.mapInArrow(_chunks(percent), f"chunk long, found {link}, parts array<binary>")
+
+    opened = lambda rows: rows.select(F.explode("found").alias("x")).select("x.*")
+    inside, placing = None, members.select("fp", "chunk", "n")
+    if not links:
+        whole = work.read("unsplit").select("fp", "rep", "weight", "cluster")
+        split = work.read("splits").filter("splits > 1").select("cluster")
+        hubs = whole.join(split, "cluster").groupBy("cluster", F.pmod(F.xxhash64("fp"), F.lit(HUBS))).agg(F.min(F.struct("fp", "rep", "weight")).alias("hub")).select("cluster", "hub.*")
+        within = whole.join(split, "cluster").join(members.select("fp", "chunk"), "fp").select("cluster", "chunk").distinct()
+        rows = members.select("chunk", "fp", "rep", "weight").unionByName(hubs.join(within, "cluster").select("chunk", "fp", "rep", "weight"))
+        several = members.groupBy("chunk").count().filter("count > 1").select("chunk").unionByName(within.select("chunk")).distinct()
+        rows = work.write(rows.join(several, "chunk", "left_semi").withColumn("paired", F.lit(False)), "with_hubs")
+        inside = work.write(opened(of_chunks(rows)), "inside")
+        work.drop("with_hubs")
+        work.free()
+        joined = components(inside.select(F.col("rep").alias("u"), F.col("root").alias("v")), Workspace(spark, "parity-join-inside"))
+        placing = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "chunk", "n", F.coalesce("component", "rep").alias("component"))
     work.drop("nearest", "gathered", "joins", "unsplit", "splits")
     work.free()
 
     # A run across chunks asks for their comparison.  Two chunks whose runs hold as many shingles together as the chunks
     # do are compared in full, once ("close"); for other chunks the members of each run are.
-    placed = work.write(runs.join(members.select("fp", "chunk", "n"), "fp").select("run", "fp", "chunk", "n"), "placed")
+    placed = runs.join(placing, "fp")
+    if not links:
+        apart = placed.groupBy("run").agg(*[(F.min(c) < F.max(c)).alias(c) for c in ("chunk", "component")]).filter("chunk AND component")
+        placed = placed.join(work.write(apart.select("run"), "apart"), "run", "left_semi")
+    placed = work.write(placed.select("run", "fp", "chunk", "n"), "placed")
+    if not links:  # other documents have nothing left to be compared with
+        members = work.write(members.join(placed.select("fp").distinct(), "fp", "left_semi"), "waiting")
     per_chunk = placed.groupBy("run", "chunk").agg(F.sum("n").alias("n"))
     spread = per_chunk.groupBy("run").count().filter("count > 1").select("run")
     cross = work.write(per_chunk.join(spread, "run", "left_semi"), "cross")
@@ -495,41 +538,37 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     for side in ("ca", "cb"):
         partners = partners.join(whole_size.select(F.col("chunk").alias(side), F.col("size").alias(f"size_{side}")), side)
     partners = work.write(partners.select("ca", "cb", (F.col("via") >= F.col("size_ca") + F.col("size_cb")).alias("close")), "partners")
-    both = met_in.join(partners, ["ca", "cb"]).select("run", "close", F.explode(F.array(F.struct(F.col("ca").alias("chunk"), F.col("cb").alias("other")), F.struct(F.col("cb").alias("chunk"), F.col("ca").alias("other")))).alias("p"))
+    known = met_in.join(partners, ["ca", "cb"])
+    partial = work.write(known.filter("NOT close").select("run").distinct(), "partial")  # other runs have nothing left to ask for
+    both = known.join(partial, "run", "left_semi").select("run", "close", F.explode(F.array(F.struct(F.col("ca").alias("chunk"), F.col("cb").alias("other")), F.struct(F.col("cb").alias("chunk"), F.col("ca").alias("other")))).alias("p"))
     asked = both.groupBy("run", "p.chunk").agg(F.collect_list(F.when(F.col("close"), F.col("p.other"))).alias("elsewhere"), F.count_if(~F.col("close")).alias("open")).filter("open > 0").drop("open")
     loose = work.write(placed.join(asked, ["run", "chunk"]).select("run", "fp", "elsewhere"), "asked")
     loose = work.write(loose.join(loose.groupBy("run").agg(F.count("*").alias("members")), "run"), "loose")
     pairs = work.write(partners.filter("close").select("ca", "cb"), "pairs")
     paired = pairs.select(F.explode(F.array("ca", "cb")).alias("chunk")).distinct().withColumn("paired", F.lit(True))
     compared = members.groupBy("chunk").count().join(paired, "chunk", "left").filter("count > 1 OR paired").select("chunk", F.coalesce("paired", F.lit(False)).alias("paired"))
-    work.drop("runs", "placed", "cross", "met", "asked")
+    work.drop("runs", "placed", "cross", "met", "partial", "asked")
     work.free()
 
     known_runs = loose.groupBy("fp").agg(F.sort_array(F.collect_list("run")).alias("runs"))  # at most one per block of a sketch
     narrow = members.join(compared, "chunk", "left").select("fp", "rep", "weight", "chunk", "paired")
     narrow = work.write(narrow.join(known_runs, "fp", "left"), "narrow")
 
-    def with_sets(rows: DataFrame) -> DataFrame:
-        """`rows` (fp, rep and more) with their sets, from the text of each class's representative."""
-        wanted = rows.select(F.col("rep").alias("row")).distinct()
-        wanted = F.broadcast(wanted) if rows.count() <= BROADCAST_IDS else wanted
-        texts = docs.select("row", "text").join(wanted, "row", "left_semi").select("text").mapInArrow(_sets_of(size), "fp long, elements binary")
-        return texts.join(rows, "fp")
-
-    alone = with_sets(narrow.filter("paired IS NOT NULL")).select("chunk", "paired", "fp", "rep", "weight", "elements").repartition(parts, "chunk").sortWithinPartitions("chunk")
-    link = "array<struct<rep:long,root:long,links:long>>"
-    packs = work.write(alone.mapInArrow(_chunks(percent), f"chunk long, found {link}, parts array<binary>"), "packs")
+    packs = work.write(of_chunks(narrow.filter("paired IS NOT NULL" if links else "paired")), "packs")
     work.free()
     side = lambda name, key: packs.filter("parts IS NOT NULL").select(F.col("chunk").alias(key), F.col("parts").alias(name))
     meet = pairs.join(side("a", "ca"), "ca").join(side("b", "cb"), "cb").select("a", "b").mapInArrow(_meet(percent), f"found {link}")
-    meet = work.write(packs.select("found").unionByName(meet).select(F.explode("found").alias("x")).select("x.*"), "of_chunks")
+    meet = work.write(opened(packs.select("found").unionByName(meet) if links else meet), "of_chunks")
     work.drop("packs")
     work.free()
-    ready = run_jobs(loose, CHUNK_DOCS).join(with_sets(narrow.filter("runs IS NOT NULL")), "fp").select(*JOB_SCHEMA)
+    jobs = run_jobs(loose, RUN_DOCS)
+    jobs = F.broadcast(jobs) if jobs.count() <= BROADCAST_ROWS else jobs
+    ready = with_sets(narrow.filter("runs IS NOT NULL")).join(jobs, "fp").select(*JOB_SCHEMA)
     ready = ready.repartition(parts, "ca", "cb").sortWithinPartitions("ca", "cb", "run")
     of_runs = ready.mapInArrow(_verify(percent), "rep long, root long, links long")
+    meet = meet if links else meet.unionByName(inside)
     linked = work.write(meet.unionByName(of_runs), "linked")
-    work.drop("pairs", "members", "partners", "loose", "narrow", "of_chunks")
+    work.drop("inside", "apart", "waiting", "pairs", "members", "partners", "loose", "narrow", "of_chunks")
     work.free()
 
     found = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")), work)
@@ -539,9 +578,10 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     placed = work.write(placed, "placed_classes")
     smallest = work.write(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("least").alias("smallest")), "smallest")
     out = base.join(placed.join(smallest, "component", "left"), "fp", "left")
+    n_links = (F.coalesce(F.col("weight"), F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links")
     return out.select(
         F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("smallest", "least", "id").alias("component_id"),
-        F.coalesce("least", "id").alias("class_id"), (F.coalesce(F.col("weight"), F.lit(1)) - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
+        F.coalesce("least", "id").alias("class_id"), *([n_links] if links else []),
     )
 
 

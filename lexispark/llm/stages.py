@@ -52,7 +52,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Of each group of documents linked by five-word Jaccard of 0.8 or more, the one with the smallest id stays."""
     work = Workspace(spark, "near-duplicates")
     rows, row = numbered(docs, work)
-    groups = work.write(parity_join.ngram_jaccard_groups(as_documents(rows, row), SHINGLE, PERCENT, work, stored=True), "groups")
+    groups = work.write(parity_join.ngram_jaccard_groups(as_documents(rows, row), SHINGLE, PERCENT, work, stored=True, links=False), "groups")
     shared = groups.join(groups.filter("doc_id <> component_id").select("component_id").distinct(), "component_id", "left_semi")
     ids = rows.select(F.col(row).alias("doc_id"), F.col("doc_id").alias("id"))
     place = F.struct(F.col("id").isNull().alias("none"), "id", "doc_id")

@@ -67,3 +67,41 @@ def test_null_and_repeated_ids_link_like_others(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
     got = [tuple(x[c] for c in ("doc_id", "n_shingles", "component_id", "class_id", "n_links")) for x in parity_join.ngram_jaccard_groups(df).collect()]
     assert sorted(map(str, got)) == sorted(map(str, expected))
+
+
+def chained_groups(seed):
+    """Groups of near copies, some of them chains whose ends are far apart, with passages that groups share."""
+    r = random.Random(seed)
+    word = lambda: f"w{r.randrange(5000)}"
+    texts, shared = [], [word() for _ in range(40)]
+    for group in range(10):
+        base = [word() for _ in range(r.choice((30, 80, 200)))]
+        base[5:5] = shared[: r.choice((0, 20, 40))]
+        for _ in range(r.choice((2, 9, 30))):
+            own = list(base)
+            for _ in range(r.randrange(9)):
+                own[r.randrange(len(own))] = word()
+            texts.append(" ".join(own))
+            base = own if group % 3 == 0 and r.random() < 0.3 else base
+    return texts
+
+
+def test_components_alone_are_those_of_all_links(spark, monkeypatch):
+    """Without links, hubs and runs of one component are left out: components and classes stay, and fewer pairs of chunks meet."""
+    monkeypatch.setattr(parity_join, "CHUNK_DOCS", 4)
+    monkeypatch.setattr(parity_join, "HUBS", 2)
+    docs = spark.createDataFrame(list(enumerate(chained_groups(11))), "doc_id long, text string").repartition(5)
+    made, write = {}, parity_join.Workspace.write
+
+    def counted(self, df, table):
+        out = write(self, df, table)
+        made[table] = out.count()
+        return out
+
+    monkeypatch.setattr(parity_join.Workspace, "write", counted)
+    rows = lambda df: sorted(tuple(x) for x in df.select("doc_id", "n_shingles", "component_id", "class_id").collect())
+    expected = rows(parity_join.ngram_jaccard_groups(docs, 5, 80))
+    met = made["met"]
+    found = parity_join.ngram_jaccard_groups(docs, 5, 80, links=False)
+    assert "n_links" not in found.columns and rows(found) == expected
+    assert len({x[2] for x in expected}) < len(expected) and made["met"] < met

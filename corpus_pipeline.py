@@ -4,6 +4,8 @@ Each stage's result is written as Parquet and read again as the next one's docum
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import DataFrame, SparkSession
 
 from lexispark.llm import stages
@@ -11,8 +13,8 @@ from lexispark.llm.storage import Workspace
 
 STAGES = [
     ("language_id", stages.language_id),
-    ("near_duplicates", stages.near_duplicates),
-    ("decontamination", stages.decontaminate),
+    ("near_duplicates", partial(stages.near_duplicates, stored=True)),
+    ("decontamination", partial(stages.decontaminate, stored=True)),
     ("mixing", stages.mix_sources),
     ("sharding", stages.shard),
 ]

@@ -445,7 +445,7 @@ def run_jobs(runs: DataFrame, chunk: int) -> DataFrame:
     return cut.select(part(F.least("own", "other")).alias("ca"), part(F.greatest("own", "other")).alias("cb"), side, *[c for c in runs.columns if c != "members"])
 
 
-def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, work: Workspace | None = None, stored: bool = False, links: bool = True) -> DataFrame:
+def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, work: Workspace | None = None, stored: bool = False, links: bool = True, numbered: bool = False) -> DataFrame:
     """Per row of `docs`: doc_id, n_shingles, component_id, class_id (smallest id with an equal set), n_links
     (documents whose set is linked to this one's, copies included).
 
@@ -454,12 +454,13 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     still hold documents of several components.
 
     Rows are numbered by task and place, and texts of some are read again by that number.  A table read from files
-    (`stored`) is numbered alike each time; any other input is written first."""
+    (`stored`) is numbered alike each time; any other input is written first.  With `numbered`, doc_id is a number of each
+    row's own, and stands for it."""
     Bands(percent)
     spark = docs.sparkSession
     work = work or Workspace(spark, "parity-join")
     docs = docs.select("doc_id", "text") if stored else work.write(docs.select("doc_id", "text"), "documents")
-    docs = docs.withColumn("row", F.monotonically_increasing_id())
+    docs = docs.withColumn("row", F.col("doc_id") if numbered else F.monotonically_increasing_id())
     parts = bucket_count(docs)
     base = work.write(docs.select("row", "text", "doc_id").mapInArrow(_describe(size), "row long, id long, n long, fp long"), "base")
     packed = docs.select("text").mapInArrow(_sketch(size, percent, parts), "bucket int, keys binary, fps binary")
@@ -513,7 +514,8 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
         inside = work.write(opened(of_chunks(rows)), "inside")
         work.drop("with_hubs")
         work.free()
-        joined = components(inside.select(F.col("rep").alias("u"), F.col("root").alias("v")), Workspace(spark, "parity-join-inside"))
+        rounds = Workspace(spark, "parity-join-inside")
+        joined = components(inside.select(F.col("rep").alias("u"), F.col("root").alias("v")), rounds)
         placing = members.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", "chunk", "n", F.coalesce("component", "rep").alias("component"))
     work.drop("nearest", "gathered", "joins", "unsplit", "splits")
     work.free()
@@ -526,6 +528,7 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
         placed = placed.join(work.write(apart.select("run"), "apart"), "run", "left_semi")
     placed = work.write(placed.select("run", "fp", "chunk", "n"), "placed")
     if not links:  # other documents have nothing left to be compared with
+        rounds.clear()
         members = work.write(members.join(placed.select("fp").distinct(), "fp", "left_semi"), "waiting")
     per_chunk = placed.groupBy("run", "chunk").agg(F.sum("n").alias("n"))
     spread = per_chunk.groupBy("run").count().filter("count > 1").select("run")

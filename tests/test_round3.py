@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import sanitize_markup
+from lexispark.llm import stages, storage
 from lexispark.operators.collocation import Collocates
 from lexispark.plans.corpus import Corpus
 from lexispark.sources import markup, plain
@@ -120,3 +121,19 @@ def test_examples_are_counted_without_a_sort(spark):
     assert "SortAggregate" not in plan and "HashAggregate" in plan
     got = {r["word"]: (r["unit_id"], r["pos"], r["node"]) for r in collocates.examples(5).collect()}
     assert got == {"cat": (None, 2, "the"), "a": (None, 2, "the"), "dog": (2, 2, "the"), "the": (3, 0, "the")}
+
+
+def test_stages_write_no_second_copy_of_stored_documents(spark, tmp_path, monkeypatch):
+    words = random.Random(1)
+    prose = lambda: " ".join(f"w{words.randrange(10**6)}" for _ in range(60))
+    twice, leak = prose(), prose()
+    rows = [(k, prose(), "x") for k in range(8)] + [(None, twice, "y"), (3, twice, "z"), (4, leak, "u")]
+    spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3).write.parquet(f"{tmp_path}/documents")
+    spark.createDataFrame([(0, leak)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents")
+    for stage, gone in ((stages.near_duplicates, (None, twice, "y")), (stages.decontaminate, (4, leak, "u"))):
+        monkeypatch.setattr(storage, "shared_dir", lambda _, name=stage.__name__: f"{tmp_path}/{name}")
+        out = stage(spark, docs, str(tmp_path), stored=True)
+        assert out.columns == docs.columns
+        assert {tuple(x) for x in out.collect()} == set(rows) - {gone} and out.count() == len(rows) - 1
+        assert {p.parent.name for p in (tmp_path / stage.__name__).rglob("part-*")} == {"removed"}

@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +28,7 @@ from lexispark.llm.storage import small_batches, training_row
 MODULUS, HELD_OUT = 3, 1
 SAMPLE_ROWS = 20_000
 SAMPLE_TASKS = 8
+SLICE_BYTES = 512 << 10  # of text that a task labels at a time: its words and scores in Python are about a hundred times as many bytes
 MAX_LANGS = 512
 TABLE_BITS = 15
 SWITCH_PENALTY = 6.0
@@ -242,8 +244,10 @@ def _predict(model: Model, penalty: float, names: list[str], text_at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("first_word", pa.int32()), ("end_word", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
+            # texts of like length go together: labelling a slice takes as many steps as its longest text has words
+            batch = batch.take(pc.sort_indices(pc.fill_null(pc.binary_length(batch.column(text_at)), 0)))
             texts = batch.column(text_at)
-            for s in W.slices(texts, 2 << 20):
+            for s in W.slices(texts, SLICE_BYTES):
                 own = [t or "" for t in texts.slice(s.lo, s.hi - s.lo).to_pylist()]
                 found = label_texts(model, own, penalty)
                 spans = [[{"first_word": a, "end_word": b, "lang": x} for a, b, x in f[2]] for f in found]

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lexispark.functions.text import sanitize_markup
-from lexispark.llm import stages, storage
+from lexispark.llm import langid, stages, storage
 from lexispark.operators.collocation import Collocates
 from lexispark.plans.corpus import Corpus
 from lexispark.sources import markup, plain
@@ -137,3 +137,16 @@ def test_stages_write_no_second_copy_of_stored_documents(spark, tmp_path, monkey
         assert out.columns == docs.columns
         assert {tuple(x) for x in out.collect()} == set(rows) - {gone} and out.count() == len(rows) - 1
         assert {p.parent.name for p in (tmp_path / stage.__name__).rglob("part-*")} == {"removed"}
+
+
+def test_languages_are_labelled_in_small_slices_of_like_length(monkeypatch):
+    """Python holds the words of half a MB of text at a time, and long texts don't hold up the short ones beside them."""
+    texts = [("la casa " if k % 2 else "the house ") * (4000 if k % 10 == 0 else 20) for k in range(400)]
+    seen = []
+    label = lambda model, own, penalty: seen.append([len(t) for t in own]) or [(t[:2], 1.0, []) for t in own]
+    monkeypatch.setattr(langid, "label_texts", label)
+    batch = pa.record_batch([pa.array(range(401)), pa.array([*texts, None])], names=["_0", "_text"])
+    out = pa.Table.from_batches(list(langid._predict(None, 1.0, ["_0"], 1)(iter([batch])))).to_pydict()
+    assert dict(zip(out["_0"], out["lang_pred"], strict=True)) == {**{k: t[:2] for k, t in enumerate(texts)}, 400: ""}
+    assert max(map(sum, seen)) <= 1 << 19
+    assert sum(map(max, seen)) < 6 * max(map(max, seen))

@@ -113,7 +113,7 @@ def format_detect(spark: SparkSession, d: str) -> DataFrame:
         fixtures.vertical_text(spark, d).select("doc_id", F.lit("vertical").alias("made_as"), "text"),
         fixtures.sentence_markup(spark, d).select("doc_id", F.lit("markup").alias("made_as"), F.col("markup").alias("text")),
     ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "made_as", plain.detect_format(F.col("text")).alias("format"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).select("doc_id", "made_as", plain.detect_format(F.col("text"), "\n").alias("format"))
 
 
 def parallel_pairs(spark: SparkSession, d: str) -> DataFrame:

@@ -18,12 +18,14 @@ def files(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def _content(line: Column) -> Column:
-    return (F.trim(line) != "") & ~F.ltrim(line).startswith("#")
+    """Whether a line's first character that is no space (of any kind) exists and begins no comment."""
+    return line.rlike(r"\A\p{Zs}*[^\p{Zs}#]")
 
 
 def _three(line: Column) -> Column:
     """Whether a line has three columns.  Tabs are counted where there are some: such a line need not be split."""
-    return F.when(line.contains("\t"), F.length(line) - F.length(F.replace(line, F.lit("\t"), F.lit(""))) == 2).otherwise(F.size(F.split(F.trim(line), r"\s+", 4)) == 3)
+    trimmed = F.regexp_replace(line, r"\A\p{Zs}+|(?<!\p{Zs})\p{Zs}+\z", "")
+    return F.when(line.contains("\t"), F.length(line) - F.length(F.replace(line, F.lit("\t"), F.lit(""))) == 2).otherwise(F.size(F.split(trimmed, r"[ \t\n\f\r]+", 4)) == 3)
 
 
 def content_lines(text: Column) -> Column:
@@ -62,9 +64,9 @@ def vertical_corpus(df: DataFrame, id: str = "doc_id", text: str = "text", keep:
     return Corpus.from_arrays(split.select("unit_id", *keep, *vertical_arrays(F.col("rows"))), keep, **options)
 
 
-def detect_format(text: Column) -> Column:
-    """'markup', 'vertical' or 'raw' for one unit, by its own content."""
+def detect_format(text: Column, newline: str = r"\r?\n") -> Column:
+    """'markup', 'vertical' or 'raw' for one unit, by its own content.  `newline` is what its lines end with."""
     # one pass over the lines: each is told to be left out (null), of three columns or not; text that is markup is not split
-    one = F.filter(F.transform(F.split(text, r"\r?\n"), lambda x: F.when(_content(x), _three(x))), lambda t: t.isNotNull())
+    one = F.filter(F.transform(F.split(text, newline), lambda x: F.when(_content(x), _three(x))), lambda t: t.isNotNull())
     counted = F.aggregate(one, F.struct(F.lit(0).alias("n"), F.lit(0).alias("three")), lambda a, t: F.struct((a["n"] + 1).alias("n"), (a["three"] + t.cast("int")).alias("three")), lambda a: (a["n"] > 0) & (a["three"] > VERTICAL_SHARE * a["n"]))
-    return F.when(F.ltrim(text).startswith("<"), "markup").when(counted, "vertical").otherwise("raw")
+    return F.when(text.rlike(r"\A\p{Zs}*<"), "markup").when(counted, "vertical").otherwise("raw")

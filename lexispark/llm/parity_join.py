@@ -28,7 +28,8 @@ own); rows of one id with unlike texts have their own links, and may be in unlik
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -50,6 +51,8 @@ RUN_DOCS = 256  # documents of a run's part, whose sets have no bound together
 CHUNK_SHINGLES = 1_000_000
 BROADCAST_IDS = 500_000  # at most 8 MB of candidate ids
 BROADCAST_ROWS = 200_000  # at most 10 MB of what a set is compared for
+WAVE_BYTES = 8 << 20  # for each bucket, of what comparisons ship at a time: less than the sketches of a bucket's text
+SHINGLE_BYTES = 6  # of a set's element as it is shipped
 STRONG = 1  # shared runs from which a link to a pivot is followed further
 HUBS = 8  # of a cluster that is many chunks, where components only are wanted
 FOLLOW = 4  # times the gathering is followed, each time twice as far
@@ -530,9 +533,10 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     if not links:  # other documents have nothing left to be compared with
         rounds.clear()
         members = work.write(members.join(placed.select("fp").distinct(), "fp", "left_semi"), "waiting")
-    per_chunk = placed.groupBy("run", "chunk").agg(F.sum("n").alias("n"))
-    spread = per_chunk.groupBy("run").count().filter("count > 1").select("run")
-    cross = work.write(per_chunk.join(spread, "run", "left_semi"), "cross")
+    cross = placed.groupBy("run", "chunk").agg(F.sum("n").alias("n"))
+    if links:  # else only runs across chunks are left
+        cross = cross.join(cross.groupBy("run").count().filter("count > 1").select("run"), "run", "left_semi")
+    cross = work.write(cross, "cross")
     a, b = cross.alias("a"), cross.alias("b")
     met_in = a.join(b, (F.col("a.run") == F.col("b.run")) & (F.col("a.chunk") < F.col("b.chunk")))
     met_in = work.write(met_in.select("a.run", F.col("a.chunk").alias("ca"), F.col("b.chunk").alias("cb"), (F.col("a.n") + F.col("b.n")).alias("n")), "met")
@@ -545,7 +549,7 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     partial = work.write(known.filter("NOT close").select("run").distinct(), "partial")  # other runs have nothing left to ask for
     both = known.join(partial, "run", "left_semi").select("run", "close", F.explode(F.array(F.struct(F.col("ca").alias("chunk"), F.col("cb").alias("other")), F.struct(F.col("cb").alias("chunk"), F.col("ca").alias("other")))).alias("p"))
     asked = both.groupBy("run", "p.chunk").agg(F.collect_list(F.when(F.col("close"), F.col("p.other"))).alias("elsewhere"), F.count_if(~F.col("close")).alias("open")).filter("open > 0").drop("open")
-    loose = work.write(placed.join(asked, ["run", "chunk"]).select("run", "fp", "elsewhere"), "asked")
+    loose = work.write(placed.join(asked, ["run", "chunk"]).select("run", "fp", "n", "elsewhere"), "asked")
     loose = work.write(loose.join(loose.groupBy("run").agg(F.count("*").alias("members")), "run"), "loose")
     pairs = work.write(partners.filter("close").select("ca", "cb"), "pairs")
     paired = pairs.select(F.explode(F.array("ca", "cb")).alias("chunk")).distinct().withColumn("paired", F.lit(True))
@@ -560,18 +564,35 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     packs = work.write(of_chunks(narrow.filter("paired IS NOT NULL" if links else "paired")), "packs")
     work.free()
     side = lambda name, key: packs.filter("parts IS NOT NULL").select(F.col("chunk").alias(key), F.col("parts").alias(name))
-    meet = pairs.join(side("a", "ca"), "ca").join(side("b", "cb"), "cb").select("a", "b").mapInArrow(_meet(percent), f"found {link}")
-    meet = work.write(opened(packs.select("found").unionByName(meet) if links else meet), "of_chunks")
+    waves = lambda shipped, rows: max(1, -(-int(shipped or 0) // (parts * WAVE_BYTES)), -(-rows // BROADCAST_ROWS))
+    of_wave = lambda rows, wave, most: rows.filter(F.pmod(F.xxhash64("ca", "cb"), F.lit(most)) == wave) if most > 1 else rows
+    length = packs.filter("parts IS NOT NULL").select(F.col("chunk").alias("ca"), F.aggregate(F.transform("parts", F.octet_length), F.lit(0).cast("long"), lambda x, y: x + y).alias("length"))
+    meets = waves(*pairs.join(length, "ca").agg(F.sum("length"), F.count("*")).first())
+
+    def meeting(wave: int) -> DataFrame:
+        few = F.broadcast(of_wave(pairs, wave, meets))  # about BROADCAST_ROWS of them
+        return opened(side("a", "ca").join(few, "ca").join(side("b", "cb"), "cb").select("a", "b").mapInArrow(_meet(percent), f"found {link}"))
+
+    meet = in_waves(work, "of_chunks", meets, meeting)
+    meet = meet.unionByName(opened(packs.select("found"))) if links else meet.unionByName(inside)
+    if links:
+        meet = work.write(meet, "of_chunks")
     work.drop("packs")
     work.free()
-    jobs = run_jobs(loose, RUN_DOCS)
-    jobs = F.broadcast(jobs) if jobs.count() <= BROADCAST_ROWS else jobs
-    ready = with_sets(narrow.filter("runs IS NOT NULL")).join(jobs, "fp").select(*JOB_SCHEMA)
-    ready = ready.repartition(parts, "ca", "cb").sortWithinPartitions("ca", "cb", "run")
-    of_runs = ready.mapInArrow(_verify(percent), "rep long, root long, links long")
-    meet = meet if links else meet.unionByName(inside)
+    times = F.ceil(F.col("members") / RUN_DOCS)
+    jobs, verified = run_jobs(loose, RUN_DOCS), waves(loose.agg(SHINGLE_BYTES * F.sum(F.col("n") * times)).first()[0], 0)
+    sets_ = with_sets(narrow.filter("runs IS NOT NULL"))
+    sets_ = work.write(sets_, "sets") if verified > 1 else sets_
+
+    def verifying(wave: int) -> DataFrame:
+        own = of_wave(jobs, wave, verified)
+        own = F.broadcast(own) if own.count() <= BROADCAST_ROWS else own
+        ready = sets_.join(own, "fp").select(*JOB_SCHEMA).repartition(parts, "ca", "cb").sortWithinPartitions("ca", "cb", "run")
+        return ready.mapInArrow(_verify(percent), "rep long, root long, links long")
+
+    of_runs = in_waves(work, "of_runs", verified, verifying)
     linked = work.write(meet.unionByName(of_runs), "linked")
-    work.drop("inside", "apart", "waiting", "pairs", "members", "partners", "loose", "narrow", "of_chunks")
+    work.drop("inside", "apart", "waiting", "pairs", "members", "partners", "loose", "narrow", "sets", *(t for t in work.tables if t.startswith(("of_chunks", "of_runs"))))
     work.free()
 
     found = components(linked.select(F.col("rep").alias("u"), F.col("root").alias("v")), work)
@@ -588,5 +609,15 @@ def ngram_jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PE
     )
 
 
+def in_waves(work: Workspace, name: str, waves: int, rows: Callable[[int], DataFrame]) -> DataFrame:
+    """The rows of all waves.  Each is written by itself and its shuffle goes before the next one's, so what comparisons ship
+    together, which may grow with the square of a cluster, doesn't lie on the disks at a time."""
+    written = []
+    for wave in range(waves):
+        written.append(work.write(rows(wave), f"{name}{wave}"))
+        work.free()
+    return reduce(DataFrame.unionByName, written)
+
+
 def op1_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard_groups(spark.read.parquet(f"{sf_dir}/documents.parquet"), stored=True)

@@ -105,3 +105,17 @@ def test_components_alone_are_those_of_all_links(spark, monkeypatch):
     found = parity_join.ngram_jaccard_groups(docs, 5, 80, links=False)
     assert "n_links" not in found.columns and rows(found) == expected
     assert len({x[2] for x in expected}) < len(expected) and made["met"] < met
+
+
+def test_comparisons_are_shipped_in_waves(spark, monkeypatch):
+    """What comparisons ship is dealt to waves by its bytes, each written and freed before the next one; the links stay."""
+    monkeypatch.setattr(parity_join, "CHUNK_DOCS", 4)
+    monkeypatch.setattr(parity_join, "RUN_DOCS", 2)
+    docs = spark.createDataFrame(list(enumerate(chained_groups(11))), "doc_id long, text string").repartition(5)
+    rows = lambda links: sorted(tuple(x) for x in parity_join.ngram_jaccard_groups(docs, 5, 80, links=links).drop("n_links" if not links else "").collect())
+    expected = rows(True), rows(False)
+    tables, write = [], parity_join.Workspace.write
+    monkeypatch.setattr(parity_join.Workspace, "write", lambda self, df, table: tables.append(table) or write(self, df, table))
+    monkeypatch.setattr(parity_join, "WAVE_BYTES", 2000, raising=False)
+    assert (rows(True), rows(False)) == expected
+    assert tables.count("of_chunks1") == tables.count("of_runs1") == 2

@@ -54,13 +54,19 @@ def bounded_batches(spark: SparkSession, rows: int = 2000, size: int = 8 << 20)
             spark.conf.set(name, str(most))
 
 
-def cut(df: DataFrame) -> DataFrame:
+def drop(spark: SparkSession, path: str) -> None:
+    """Delete a written folder that no later step reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def cut(df: DataFrame, compression: str = "snappy") -> DataFrame:
     """`df`, written to the shared folder as Parquet and read from there ever after.
 
     For tables of units, which are far smaller than the tokens they are counted from.  A lost executor costs a reread,
     not a recount; later steps read the columns that they need."""
     path = f"{scratch(df.sparkSession)}/lexispark/cut-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

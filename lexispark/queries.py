@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,12 +16,14 @@ from lexispark.operators import dictionary, frequency, ngram, structure
 from lexispark.operators.collocation import Collocates
 from lexispark.operators.search import Hits
 from lexispark.plans.corpus import Corpus
-from lexispark.plans.cut import scratch
+from lexispark.plans.cut import drop, scratch
 from lexispark.plans.store import Store
 from lexispark.sinks import write_table
 from lexispark.sources import markup, parallel, plain
 
 NODE, PHRASE = "the", "of the"
+SPLIT_GROUPS = 8  # at most: each group reads the documents
+SPLIT_BYTES = 16 << 20  # of text in a group, at least
 INDEXED = ("th*tion", "[th*]", "of the", "of [th*]_NN*")
 
 
@@ -374,12 +377,22 @@ def _store(spark: SparkSession, d: str, index: bool = True, tagged: bool = False
 
 
 def src_markup_split(spark: SparkSession, d: str) -> DataFrame:
-    """Words of marked-up sentences in files that Spark splits at the ends of sentences."""
-    path = f"{scratch(spark)}/split-{uuid.uuid4().hex[:12]}"
-    lines = fixtures.documents(spark, d).select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
-    number = (F.col("doc_id") * 100_000 + F.col("k")).cast("string")
-    lines.select(F.concat(F.lit('<sent n="'), number, F.lit('">'), fixtures.worded("line"), F.lit("</sent>"))).write.text(path)
-    rows = markup.split_sentences(spark, path)
+    """Words of marked-up sentences in files that Spark splits at the ends of sentences.
+
+    The files are many times the documents, so large tables are written and parsed in groups of documents, a group's files
+    going before the next group's are written."""
+    docs = fixtures.documents(spark, d)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    groups, parts = max(1, min(SPLIT_GROUPS, size // SPLIT_BYTES)), []
+    for group in range(groups):
+        path = f"{scratch(spark)}/split-{uuid.uuid4().hex[:12]}"
+        own = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(groups)) == group) if groups > 1 else docs
+        lines = own.select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "line"))
+        number = (F.col("doc_id") * 100_000 + F.col("k")).cast("string")
+        lines.select(F.concat(F.lit('<sent n="'), number, F.lit('">'), fixtures.worded("line"), F.lit("</sent>"))).write.text(path)
+        parts.append(markup.split_sentences(spark, path, with_text=False))
+        drop(spark, path)
+    rows = reduce(DataFrame.unionByName, parts)
     return rows.select("sent_id", F.posexplode(F.arrays_zip("token", "tag", "lemma")).alias("i", "w")).select("sent_id", F.col("i").cast("long").alias("i"), "w.token", "w.tag", "w.lemma")
 
 

@@ -181,7 +181,14 @@ RECORDS = f"doc string, begin long, i long, m long, {SENTENCE.replace(':', ' ')}
 RECORD_NAMES = [c.split()[0] for c in RECORDS.split(", ")]
 
 
-def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _parse_records(with_text: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _parsed_records(batches, with_text)
+
+    return run
+
+
+def _parsed_records(batches: Iterator[pa.RecordBatch], with_text: bool) -> Iterator[pa.RecordBatch]:
     """Records (what stands before an end of a sentence) to their sentences.  Each is parsed inside its document's own root
     element, whose namespaces it may use.  A task has a file's piece whole and in order, so it numbers the piece's sentences
     (`i`, from 0) and counts those without an id up to each (`m`)."""
@@ -205,7 +212,7 @@ def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
                     children = list(_root(root + body + b"</" + name + b">"))
                 except ET.ParseError:
                     continue
-                for found in [_sentence(c) for c in children if _name(c) == "sent"]:
+                for found in [_sentence(c, with_text) for c in children if _name(c) == "sent"]:
                     m += found[0] is None
                     place.append(at)
                     numbers.append(i)
@@ -216,9 +223,11 @@ def _parse_records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             yield pa.record_batch([*kept, pa.array(numbers, pa.int64()), pa.array(counts, pa.int64()), *sentence_arrays(rows)], names=RECORD_NAMES)
 
 
-def split_sentences(spark: SparkSession, paths: str | list[str], any_blank: bool = False) -> DataFrame:
+def split_sentences(spark: SparkSession, paths: str | list[str], any_blank: bool = False, with_text: bool = True) -> DataFrame:
     """doc (the file), ordinal, sent_id, text and token/tag/lemma arrays of the <sent> children of the root of each file: what
-    `sentences` gives for whole documents, of files of any size.
+    `sentences` gives for whole documents, of files of any size.  Without `with_text` the column text is left out.
+
+    The files are read now: the result is what was parsed, kept in the shared folder.
 
     Spark's text reader deals a file to tasks and cuts it at the ends of sentences.  What a piece needs of the rest of
     its document is handed to it: the root's start tag, and from the pieces before the number of sentences and of those
@@ -234,18 +243,19 @@ def split_sentences(spark: SparkSession, paths: str | list[str], any_blank: bool
     none = F.col("head_root").rlike(r"^(<sent[\s/>]|$)")
     root = F.when(none, NO_ROOT).otherwise(F.col("head_root")).alias("root")
     wrapped = records.join(heads, "doc").select("doc", "begin", F.col("body").cast("binary").alias("body"), root, ((F.col("record") == F.col("head_record")) & ~none).alias("rooted"))
-    parsed = cut(_tokenised(wrapped.mapInArrow(_parse_records, RECORDS), ["doc", "begin", "i", "m", "sent_id", "text"], any_blank))
+    text = ["text"] if with_text else []
+    parsed = cut(_tokenised(wrapped.mapInArrow(_parse_records(with_text), RECORDS), ["doc", "begin", "i", "m", "sent_id", *text], any_blank), "zstd")
     pieces = parsed.groupBy("doc", "begin").agg(F.count("*").alias("n"), F.max("m").alias("missing"))
     before = Window.partitionBy("doc").orderBy("begin").rowsBetween(Window.unboundedPreceding, -1)
     pieces = pieces.select("doc", "begin", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_before") for c in ("n", "missing")])
     counted = F.coalesce("sent_id", F.col("missing_before") + F.col("m")).alias("sent_id")
-    return parsed.join(F.broadcast(pieces), ["doc", "begin"]).select("doc", (F.col("n_before") + F.col("i")).alias("ordinal"), counted, "text", "token", "tag", "lemma")
+    return parsed.join(F.broadcast(pieces), ["doc", "begin"]).select("doc", (F.col("n_before") + F.col("i")).alias("ordinal"), counted, *text, "token", "tag", "lemma")
 
 
 def split_corpus(spark: SparkSession, paths: str | list[str], **options) -> Corpus:
     """`markup_corpus` of files of any size: unit_id is the file.  Sentences are put into blocks by their positions, so no
     document ever meets in one row."""
-    rows = split_sentences(spark, paths).withColumn("sent", F.array_repeat(F.col("sent_id"), F.size("token")))
+    rows = split_sentences(spark, paths, with_text=False).withColumn("sent", F.array_repeat(F.col("sent_id"), F.size("token")))
     each = Corpus.from_arrays(cut(rows.select(F.col("ordinal").alias("unit_id"), "doc", "token", "tag", "lemma", "sent")), ["doc"], **options)
     whole = each.as_one_sequence(["doc"])
     return Corpus(whole.blocks.drop("unit_id").withColumnRenamed("doc", "unit_id"), [], whole.block, whole.halo)

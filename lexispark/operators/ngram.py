@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -9,11 +13,14 @@ from lexispark.functions import stats
 from lexispark.functions.semantics import PER_MILLION
 from lexispark.functions.text import is_word
 from lexispark.plans.corpus import Corpus
-from lexispark.plans.cut import cut, margins, shared
+from lexispark.plans.cut import cut, margins, shared, small_batches
 from lexispark.plans.pattern import parse_term
 
-CELLS = 1 << 22
-FEW_CELLS = 1_000_000  # cells that are sent to every task: about 16 MB at most
+CELLS = 1 << 25  # marks, sent to every task in 524,288 rows at most: about 20 MB
+KEY_BITS = 40  # of a hash that the first pass counts
+ROW_BITS = 14  # by which a key is shifted for its cell in the second row
+BUCKETS = 1024  # of keys: one is counted at a time
+HELD_KEYS = 1 << 21  # keys that a task holds before it hands them on
 
 
 def _window(corpus: Corpus, n: int, names: list[str]) -> DataFrame:
@@ -62,24 +69,87 @@ def ngrams(corpus: Corpus, n: int, filters: dict[int, str] | None = None, drop_p
     return _listed(_wanted(corpus, n, filters, drop_punct), by or [], per)
 
 
+def _planes(values: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes: those of small numbers are mostly zeros, which the shuffle's compression takes out."""
+    return values.view(np.uint8).reshape(len(values), values.itemsize).T.tobytes()
+
+
+def _numbers(planes: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.frombuffer(planes, np.uint8).reshape(size, -1).T.copy().view(kind).ravel()
+
+
+def _counted(minimum: int):
+    """Hashes to (bucket, keys, counts): a task's different keys in their order, as gaps, with their counts."""
+    most, edges = min(max(minimum, 1), 2**32 - 1), np.arange(BUCKETS + 1, dtype=np.uint64) * np.uint64((1 << KEY_BITS) // BUCKETS)
+
+    def packed(held: list[np.ndarray]) -> pa.RecordBatch:
+        key, n = np.unique(np.concatenate(held), return_counts=True)
+        n, at = np.minimum(n, most).astype(np.uint32), np.searchsorted(key, edges)
+        ids = np.flatnonzero(np.diff(at))
+        keys = [_planes(np.diff(key[at[b] : at[b + 1]], prepend=edges[b])) for b in ids]
+        return pa.record_batch([pa.array(ids, pa.int32()), pa.array(keys, pa.binary()), pa.array([_planes(n[at[b] : at[b + 1]]) for b in ids], pa.binary())], names=["bucket", "keys", "counts"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        for batch in batches:
+            held.append(batch.column(0).to_numpy().view(np.uint64) >> np.uint64(64 - KEY_BITS))
+            if sum(map(len, held)) > HELD_KEYS:
+                yield packed(held)
+                held = []
+        if held:
+            yield packed(held)
+
+    return run
+
+
+def _full_cells(minimum: int, cells: int, depth: int):
+    """Buckets of counted keys, in their order, to (word, bits): the cells of keys that have the minimum, 64 to a word."""
+
+    def words(keys: list[np.ndarray], counts: list[np.ndarray]) -> pa.RecordBatch:
+        key, place = np.unique(np.concatenate(keys), return_inverse=True)
+        full = key[np.bincount(place, np.concatenate(counts)) >= minimum]
+        cell = np.unique(np.concatenate([(full >> np.uint64(ROW_BITS * k)) % np.uint64(cells) + np.uint64(k * cells) for k in range(depth)]))
+        word, first = np.unique(cell >> np.uint64(6), return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (cell & np.uint64(63)), first) if len(cell) else cell
+        return pa.record_batch([pa.array(word.view(np.int64)), pa.array(bits.view(np.int64))], names=["word", "bits"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, keys, counts = None, [], []
+        for batch in batches:
+            for bucket, gaps, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if bucket != here and keys:
+                    yield words(keys, counts)
+                    keys, counts = [], []
+                here = bucket
+                keys.append(np.cumsum(_numbers(gaps, np.uint64), dtype=np.uint64) + np.uint64(bucket) * np.uint64((1 << KEY_BITS) // BUCKETS))
+                counts.append(_numbers(n, np.uint32))
+        if keys:
+            yield words(keys, counts)
+
+    return run
+
+
 def frequent(
     corpus: Corpus, n: int, minimum: int, filters: dict[int, str] | None = None, drop_punct: bool = True, by: list[str] | None = None, per: int = PER_MILLION, cells: int = CELLS, depth: int = 1,
 ) -> DataFrame:
     """`ngrams` of at least `minimum` occurrences, without shuffling the rare ones.
 
-    A first pass counts n-grams in a count-min sketch: `depth` (1 or 2) rows of `cells` cells, an n-gram in one cell of each
-    by its hash.  A cell's total is no less than the count of any n-gram in it, so an n-gram with a cell below the minimum
-    can't reach it.  The second pass counts the rest exactly.  What the sketch shuffles is bounded by its cells for each
-    task, whatever the n-grams' length; full cells are few where the minimum is high: `depth` for each `minimum` n-grams."""
+    A first pass counts 40 bits of the n-grams' hashes, packed into about three bytes each.  Those that have the minimum
+    mark a cell in each of `depth` (1 or 2) rows of `cells` cells, by their bits.  An n-gram without its mark can't reach the
+    minimum.  The marks go to every task, 64 to a row, so the second pass drops such n-grams where they stand and counts
+    the rest exactly."""
     by = by or []
     rows = _wanted(corpus, n, filters, drop_punct)
     hashed = F.xxhash64("ngram", *by)
-    cell = lambda k: (F.pmod(F.shiftright(hashed, 32 * k) if k else hashed, F.lit(cells)) + k * cells).cast("int")
-    named = rows.filter("ngram IS NOT NULL")
-    found = named.select(cell(0).alias("cell")) if depth == 1 else named.select(F.explode(F.array(*[cell(k) for k in range(depth)])).alias("cell"))
-    full = cut(found.groupBy("cell").agg(F.count("*").alias("n")).filter(F.col("n") >= minimum).select("cell"))
-    few = full.count() <= FEW_CELLS
-    kept = named
+    counted = rows.filter("ngram IS NOT NULL").select(hashed.alias("h")).mapInArrow(_counted(minimum), "bucket int, keys binary, counts binary")
+    marks = counted.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_full_cells(minimum, cells, depth), "word long, bits long")
+    with small_batches(rows.sparkSession, rows=1 << 16):  # of hashes: half a MB
+        full = cut(marks.groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    kept = rows.withColumn("key", F.shiftrightunsigned(hashed, 64 - KEY_BITS))
     for k in range(depth):
-        kept = kept.withColumn("cell", cell(k)).join(F.broadcast(full) if few else full, "cell", "left_semi").drop("cell")
-    return _listed(kept.unionByName(rows.filter("ngram IS NULL")), by, per, minimum)
+        cell = F.shiftright("key", ROW_BITS * k) % cells + k * cells
+        kept = kept.withColumn("cell", cell).withColumn("word", F.shiftright("cell", 6)).join(F.broadcast(full), "word", "left")
+        # rows without an n-gram have a block's size
+        kept = kept.filter(F.col("ngram").isNull() | (F.call_function("getbit", "bits", (F.col("cell") % 64).cast("int")) == 1)).drop("word", "bits", "cell")
+    return _listed(kept.drop("key"), by, per, minimum)

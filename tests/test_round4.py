@@ -4,10 +4,14 @@ import os
 from collections import Counter
 
 import duckdb
+import numpy as np
+import pyarrow as pa
 import pytest
 
 import __spark_entry__
 from lexispark import queries
+from lexispark.operators import ngram
+from lexispark.plans.corpus import Corpus
 from lexispark.plans.cut import scratch
 from lexispark.sources import markup
 
@@ -47,3 +51,33 @@ def test_marked_up_files_are_written_in_groups_and_dropped(spark, monkeypatch):
     monkeypatch.setattr(markup, "split_sentences", lambda *a, **o: beside.append(folders() - before) or split(*a, **o))
     monkeypatch.setattr(queries, "SPLIT_BYTES", 200_000, raising=False)
     assert rows() == whole and [len(x) for x in beside] == [1, 1] and folders() == before
+
+
+def test_no_rare_ngram_is_shuffled_however_full_the_marks_are(spark, monkeypatch):
+    """The marks are few rows, so they go to the n-grams: these are never dealt by their cells, and come from one more read."""
+    cut, made = ngram.cut, []
+    monkeypatch.setattr(ngram, "cut", lambda df, *a: made.append(cut(df, *a)) or made[-1])
+    words = [f"w{k % 37} w{k % 41} w{k % 43} w{k}" for k in range(400)] * 5
+    corpus = Corpus.from_text(spark.createDataFrame(list(enumerate(words)), "doc_id long, text string"))
+    every = {(r["ngram"], r["frequency"]) for r in ngram.ngrams(corpus, 3).collect() if r["frequency"] >= 6}
+    for cells in (1 << 10, 1 << 25):
+        monkeypatch.setattr(ngram, "FEW_CELLS", 3, raising=False)
+        found = ngram.frequent(corpus, 3, 6, cells=cells)
+        plan = found._jdf.queryExecution().optimizedPlan().toString()
+        assert {(r["ngram"], r["frequency"]) for r in found.collect()} == every and every
+        assert "LeftSemi" not in plan and made[-1].count() <= cells // 64
+
+
+def test_packed_keys_are_counted_as_they_are():
+    r = np.random.default_rng(1)
+    hashes = np.concatenate([r.integers(-(2**63), 2**63 - 1, 3000), np.repeat(r.integers(-(2**63), 2**63 - 1, 500), 4), [0, 0, -1, -1, -1]])
+    r.shuffle(hashes)
+    batches = [pa.record_batch([pa.array(part)], names=["h"]) for part in np.array_split(hashes, 7)]
+    packed = pa.Table.from_batches([b for some in (batches[:3], batches[3:]) for b in ngram._counted(3)(iter(some))]).sort_by("bucket")
+    words = {}
+    for b in ngram._full_cells(3, 1 << 12, 2)(iter(packed.to_batches(100))):
+        for word, bits in zip(*(c.to_pylist() for c in b.columns)):
+            words[word] = words.get(word, 0) | bits & (2**64 - 1)
+    key, n = np.unique(hashes.view(np.uint64) >> np.uint64(24), return_counts=True)
+    wanted = {int(k) >> 14 * row & (1 << 12) - 1 | row << 12 for k in key[n >= 3] for row in (0, 1)}
+    assert {w << 6 | i for w, bits in words.items() for i in range(64) if bits >> i & 1} == wanted

@@ -34,14 +34,28 @@ FEW_BLOCKS = 100_000  # up to so many wanted blocks are named to the scan
 SPANS = 200  # in ranges of at most so many
 TYPE = ["token", "low", "tag", "lemma"]
 HELD_TYPES = 400_000  # types that a task counts before it hands them on
+RANGE_TOKENS = 100_000  # of postings in a range, at least
+SAMPLE = 100  # types drawn for a range
 SKETCH_K = 14  # log2 of a sketch's registers; errors of about 1 %
 
 FACTS = "part string, tokens long, untagged long, block int, halo int, indexed boolean, lemmas boolean, keep array<string>, by array<string>"
 
 
-def _postings(kinds: list[str], carried: list[str]):
-    """Blocks to (carried columns, kind, term, n_core, at): a term's places in the block counted from the block's own part
-    on, `n_core` of them within it and the rest in the halo behind."""
+def _postings(kinds: list[str], carried: list[str], bounds: dict[str, list[str]]):
+    """Blocks to (carried columns, kind, term, n_core, at, bucket): a term's places in the block counted from the block's own part
+    on, `n_core` of them within it and the rest in the halo behind, and the range that it is dealt to.  `bounds` are the
+    terms of a kind at which a range begins; a term at which several begin is dealt to all of these by block."""
+    before = {kind: sum(len(bounds[k]) for k in kinds[:i]) for i, kind in enumerate(kinds)}
+
+    def buckets(kind: str, terms: pa.Array, ids: pa.Array) -> pa.Array:
+        if not bounds[kind]:
+            return pa.array(np.full(len(terms), before[kind]), pa.int32())
+        encoded = terms.dictionary_encode()
+        names = np.array([x.lower() if kind == "lemma" else x for x in encoded.dictionary.to_pylist()], object)
+        low, high = (np.searchsorted(np.array(bounds[kind], object), names, side)[encoded.indices.to_numpy()] for side in ("left", "right"))
+        several = high - low
+        spread = ids.to_numpy() % np.maximum(several, 1) + 1
+        return pa.array(before[kind] + low + np.where(several > 0, spread, 0), pa.int32())
 
     def of_block(tokens: pa.Array, core_from: int, core_len: int) -> tuple[pa.Array, np.ndarray, pa.ListArray]:
         encoded = pc.fill_null(tokens.slice(core_from), "").dictionary_encode()
@@ -60,8 +74,9 @@ def _postings(kinds: list[str], carried: list[str]):
                 kept = pa.array(np.repeat(np.flatnonzero(np.array(lengths) > 0), [len(p[0]) for p in parts]))
                 terms, places = (pa.concat_arrays([p[k] for p in parts]) for k in (0, 2))
                 core = pa.array(np.concatenate([p[1] for p in parts]), pa.int32())
-                columns = [batch.column(c).take(kept) for c in carried]
-                yield pa.record_batch([*columns, pa.array([kind] * len(terms), pa.string()), terms.cast(pa.string()), core, places], names=[*carried, "kind", "term", "n_core", "at"])
+                columns, terms = [batch.column(c).take(kept) for c in carried], terms.cast(pa.string())
+                bucket = buckets(kind, terms, columns[carried.index("block_id")])
+                yield pa.record_batch([*columns, pa.array([kind] * len(terms), pa.string()), terms, core, places, bucket], names=[*carried, "kind", "term", "n_core", "at", "bucket"])
 
     return run
 
@@ -99,6 +114,27 @@ def _type_counts(by: list[str]):
     return run
 
 
+def _bounds(types: DataFrame, kinds: list[str]) -> dict[str, list[str]]:
+    """The terms at which the postings' ranges begin, one for each of the session's partitions and no more than there are
+    RANGE_TOKENS: each range has about as many tokens.  They come from the types, of which about SAMPLE rows for a range are
+    drawn by their counts, so no posting is made for it."""
+    total = types.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * len(kinds)
+    ranges = max(1, min(int(types.sparkSession.conf.get("spark.sql.shuffle.partitions")), total // RANGE_TOKENS))
+    if ranges == 1:
+        return {kind: [] for kind in kinds}
+    each = total / (ranges * SAMPLE)
+    term = {"low": F.col("low"), "lemma": F.lower("lemma")}
+    rows = types.select("n", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.coalesce(term[k], F.lit("")).alias("term")) for k in kinds])).alias("x")).groupBy("x").agg(F.sum("n").alias("n"))
+    drawn = rows.select("x.*", F.floor(F.col("n") / each + F.pmod(F.xxhash64("x"), F.lit(1 << 20)) / (1 << 20)).cast("long").alias("n")).filter("n > 0")
+    drawn = sorted(tuple(r) for r in drawn.collect())  # about ranges * SAMPLE at most
+    ends = np.cumsum([n for *_, n in drawn])
+    found: dict[str, list[str]] = {kind: [] for kind in kinds}
+    for at in np.searchsorted(ends, np.arange(1, ranges) * SAMPLE, "right"):
+        if at < len(drawn):
+            found[drawn[at][0]].append(drawn[at][1])
+    return found
+
+
 def spans(ids: list[int], most: int = SPANS, page: int = PAGE_BLOCKS) -> list[tuple[int, int]]:
     """Ranges that cover the ids: apart where a page or more lies between them, but no more than `most`."""
     ids = np.unique(np.array(ids, np.int64))
@@ -154,10 +190,12 @@ class Store:
         if index:
             carried = ["block_id", "unit_id", *keep, "first"]
             cut_out = blocks.select("block_id", "unit_id", *keep, (F.col("start") + F.col("core_from")).alias("first"), "core_from", "core_len", "low", "lemma")
-            schema = ", ".join(f"`{c}` {cut_out.schema[c].dataType.simpleString()}" for c in carried) + ", kind string, term string, n_core int, at array<int>"
-            places = cut_out.mapInArrow(_postings(["low", "lemma"] if lemmas else ["low"], carried), schema).withColumn("term", F.when(F.col("kind") == "lemma", F.lower("term")).otherwise(F.col("term")))
-            # by term and block, so a very frequent term is dealt over many files
-            dealt = places.repartitionByRange("kind", "term", "block_id").sortWithinPartitions("kind", "term", "block_id")
+            schema = ", ".join(f"`{c}` {cut_out.schema[c].dataType.simpleString()}" for c in carried) + ", kind string, term string, n_core int, at array<int>, bucket int"
+            kinds = ["lemma", "low"] if lemmas else ["low"]
+            bounds = _bounds(types, kinds)
+            places = cut_out.mapInArrow(_postings(kinds, carried, bounds), schema).withColumn("term", F.when(F.col("kind") == "lemma", F.lower("term")).otherwise(F.col("term")))
+            # by ranges of terms, so a very frequent term is dealt over many files
+            dealt = places.repartitionById(sum(map(len, bounds.values())) + 1, "bucket").drop("bucket").sortWithinPartitions("kind", "term", "block_id")
             with small_batches(spark):
                 dealt.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP_BYTES).parquet(at("postings"))
         untagged = F.sum(F.when(F.col("tag").contains(UNTAGGED), F.col("n")).otherwise(0))

@@ -7,10 +7,13 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 from lexispark import queries
 from lexispark.operators import ngram
+from lexispark.operators.search import Hits
+from lexispark.plans import store
 from lexispark.plans.corpus import Corpus
 from lexispark.plans.cut import scratch
 from lexispark.sources import markup
@@ -81,3 +84,17 @@ def test_packed_keys_are_counted_as_they_are():
     key, n = np.unique(hashes.view(np.uint64) >> np.uint64(24), return_counts=True)
     wanted = {int(k) >> 14 * row & (1 << 12) - 1 | row << 12 for k in key[n >= 3] for row in (0, 1)}
     assert {w << 6 | i for w, bits in words.items() for i in range(64) if bits >> i & 1} == wanted
+
+
+def test_postings_are_dealt_by_ranges_of_the_counted_types(spark, monkeypatch, tmp_path):
+    """No posting is made to find the ranges; a frequent term is dealt over several files, and every place is found."""
+    monkeypatch.setattr(store, "RANGE_TOKENS", 500, raising=False)
+    words = [" ".join(["the"] * 30 + [f"w{k % 97}", f"x{k}", "Éa", "zu"]) for k in range(400)]
+    docs = spark.createDataFrame(list(enumerate(words)), "doc_id long, text string")
+    monkeypatch.setattr(type(docs), "repartitionByRange", None)  # it would make the postings once more
+    made = store.Store.create(str(tmp_path / "s"), Corpus.from_text(docs))
+    files = made._table("postings").filter("term = 'the'").select(F.input_file_name()).distinct().count()
+    assert files > 1
+    for query in ("the", "w5*", "éa zu", "x399"):
+        expected = sorted(tuple(r) for r in Hits(made.corpus, query).positions().collect())
+        assert sorted(tuple(r) for r in made.positions(query).collect()) == expected and expected
